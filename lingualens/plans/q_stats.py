@@ -1,5 +1,119 @@
-"""Queries (to be filled)."""
+"""Bootstrap intervals and correlation queries."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..operators import bootstrap as bs
+from ..operators import correlation as cor
+from .registry import query
+
+M = K.AVERAGED_METRICS
+T = cor.CORRELATION_TASKS
+ORACLE_REPLICATES = 10
+HIGHLIGHTED = ["NATION_1", "NATION_2", "NATION_3"]
+_ORDER = ["bcp_47", "task", "sentence_nr"]
+
+
+def _hashed_ci_sql(src_filter: str, prefix: str) -> tuple[list, str]:
+    ctes = [
+        ("s", f"""SELECT model, score,
+              row_number() OVER (PARTITION BY model ORDER BY bcp_47, task, sentence_nr) - 1 AS idx,
+              count(*) OVER (PARTITION BY model) AS n
+            FROM kl_tm WHERE {src_filter}"""),
+        ("r", f"SELECT * FROM range(0, {ORACLE_REPLICATES}) t(rep)"),
+        ("draws", """SELECT s.model, r.rep,
+              CAST(('0x' || substr(md5(s.model || '|' || CAST(r.rep AS VARCHAR) || '|' || CAST(s.idx AS VARCHAR)), 1, 8)) AS BIGINT) % s.n AS pick
+            FROM s, r"""),
+        ("means", """SELECT d.model, d.rep, avg(s.score) AS m
+            FROM draws d JOIN s ON s.model = d.model AND s.idx = d.pick GROUP BY d.model, d.rep"""),
+    ]
+    body = f"""SELECT model, quantile_cont(m, 0.025) AS {prefix}ci_lower,
+      quantile_cont(m, 0.975) AS {prefix}ci_upper FROM means GROUP BY model"""
+    return ctes, body
+
+
+_ACC_CTES, _ACC_BODY = _hashed_ci_sql("metric = 'accuracy'", "")
+_AVG_CTES, _AVG_BODY = _hashed_ci_sql(
+    "task_metric IN (" + ", ".join(f"'{m}'" for m in M) + ")", "average_")
+
+
+@query("bootstrap_ci", ["kl_tm"], _ACC_BODY, _ACC_CTES)
+def bootstrap_ci(ctx):
+    """Per-model CI of accuracy rows, md5-drawn resamples (10 replicates)."""
+    acc = ctx.detailed.where(F.col("metric") == "accuracy")
+    return bs.hashed_resample_ci(acc, "model", _ORDER, ORACLE_REPLICATES)
+
+
+@query("bootstrap_ci_pooled", ["kl_tm"], _AVG_BODY, _AVG_CTES)
+def bootstrap_ci_pooled(ctx):
+    """Per-model CI of the six averaged metrics pooled."""
+    d = ctx.detailed.where(F.concat_ws("_", "task", "metric").isin(M))
+    return bs.hashed_resample_ci(d, "model", _ORDER, ORACLE_REPLICATES, prefix="average_")
+
+
+@query("bootstrap_ci_full")
+def bootstrap_ci_full(ctx):
+    """B=1000 Poisson-bootstrap CIs per model and metric plus the pooled
+    average (rows-only: draws are hash-seeded, not comparable by SQL)."""
+    return bs.metric_intervals(ctx.detailed, "model", method="poisson")
+
+
+# ------------------------------------------------------------------ correlation
+
+_J = [
+    ("jm", """SELECT task, metric, bcp_47, avg(score) AS score FROM results
+              WHERE metric <> 'chrf' GROUP BY task, metric, bcp_47"""),
+    ("jl", """SELECT task, metric, bcp_47, CASE WHEN task = 'classification'
+                THEN ln(least(greatest(score, 0.001), 0.999) / (1 - least(greatest(score, 0.001), 0.999)))
+                ELSE score END AS score FROM jm"""),
+    ("jp", "SELECT bcp_47, " + ", ".join(
+        f"avg(score) FILTER (WHERE task = '{t}') AS {t}" for t in T) + " FROM jl GROUP BY bcp_47"),
+]
+
+
+def _logit(ctx):
+    return cor.logit_classification(cor.task_language_means(ctx.results))
+
+
+@query("task_language_means", ["results"], "SELECT * FROM jp", _J)
+def task_language_means(ctx):
+    """Language x task matrix of mean (logit-transformed) scores."""
+    return cor.task_pivot(_logit(ctx))
+
+
+@query("logit_scores", ["results"], "SELECT * FROM jl", _J)
+def logit_scores(ctx):
+    """Per-language task means with logit classification scores."""
+    return _logit(ctx)
+
+
+@query("task_correlation", ["results"], "\nUNION ALL\n".join(
+    f"SELECT '{T[i]}' AS task_y, '{T[j]}' AS task_x, corr({T[i]}, {T[j]}) AS corr FROM jp"
+    for i in range(len(T)) for j in range(i)), _J)
+def task_correlation(ctx):
+    """Pairwise-complete Pearson correlations, lower triangle."""
+    return cor.task_correlation(cor.task_pivot(_logit(ctx)))
+
+
+@query("score_histogram", ["results"], """
+SELECT jl.task, CAST(CASE WHEN hi - lo = 0 THEN 0 ELSE least(floor((score - lo) / (hi - lo) * 20), 19) END AS INTEGER) AS bin,
+  count(*) AS n
+FROM jl JOIN (SELECT task, min(score) AS lo, max(score) AS hi FROM jl WHERE score IS NOT NULL GROUP BY task) b
+  ON b.task = jl.task
+WHERE score IS NOT NULL GROUP BY 1, 2""", _J)
+def score_histogram(ctx):
+    """20-bin histogram per task."""
+    return cor.score_histogram(_logit(ctx).select("task", "bcp_47", "score"))
+
+
+@query("scatter_pairs", ["results"], "\nUNION ALL\n".join(
+    f"""SELECT bcp_47, '{x}' AS task_x, '{y}' AS task_y, {x} AS x, {y} AS y,
+          bcp_47 IN ({", ".join(f"'{h}'" for h in HIGHLIGHTED)}) AS highlighted,
+          CASE WHEN bcp_47 IN ({", ".join(f"'{h}'" for h in HIGHLIGHTED)}) THEN bcp_47 ELSE 'Other' END AS label
+        FROM jp WHERE {x} IS NOT NULL AND {y} IS NOT NULL"""
+    for y in T for x in T if x != y), _J)
+def scatter_pairs(ctx):
+    """Scatter points per ordered task pair, highlighted languages labelled."""
+    return cor.scatter_pairs(cor.task_pivot(_logit(ctx)), HIGHLIGHTED)
