@@ -1,5 +1,75 @@
-"""Queries (to be filled)."""
+"""Worklist and resumption queries."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from .. import constants as K
+from ..operators import worklist as wl
+from .registry import query
+
+N_LANGUAGES = 20
+N_MODELS = 40
+
+_CTES = [
+    ("top_lang", f"SELECT bcp_47 FROM languages ORDER BY speakers DESC, language_name DESC LIMIT {N_LANGUAGES}"),
+    ("cohort", f"""SELECT model, CAST(row_number() OVER (ORDER BY model) AS INTEGER) AS position
+                  FROM (SELECT id AS model FROM models ORDER BY id LIMIT {N_MODELS})"""),
+    ("valid_tl", "SELECT DISTINCT task, bcp_47 FROM result_log"),
+    ("tasks", "SELECT unnest([" + ", ".join(f"'{t}'" for t in K.TASKS) + "]) AS task"),
+    ("wl", f"""SELECT v.task, c.model, v.bcp_47, CAST(s.sentence_nr AS INTEGER) AS sentence_nr
+              FROM cohort c CROSS JOIN tasks t JOIN valid_tl v ON v.task = t.task
+              JOIN top_lang l ON l.bcp_47 = v.bcp_47 CROSS JOIN range(0, {K.N_SENTENCES}) s(sentence_nr)"""),
+    ("pend", """SELECT * FROM wl WHERE NOT EXISTS (
+                 SELECT 1 FROM valid v WHERE v.task = wl.task AND v.model = wl.model
+                   AND v.bcp_47 = wl.bcp_47 AND v.sentence_nr = wl.sentence_nr)"""),
+]
+_USES = ["languages", "models", "result_log", "valid"]
+
+
+def _parts(ctx):
+    cohort = wl.cohort_models(ctx.models, N_MODELS)
+    langs = wl.top_languages(ctx.languages, N_LANGUAGES)
+    valid = wl.valid_task_languages(ctx.log)
+    work = wl.worklist(cohort, langs, valid)
+    return cohort, work, wl.pending(work, ctx.detailed)
+
+
+@query("worklist_pending", _USES, "SELECT * FROM pend", _CTES)
+def worklist_pending(ctx):
+    """All (task, model, language, sample) items not yet completed."""
+    return _parts(ctx)[2]
+
+
+@query("pending_counts", _USES, """
+SELECT p.model, count(*) AS pending, c.position FROM pend p JOIN cohort c ON c.model = p.model
+GROUP BY p.model, c.position""", _CTES)
+def pending_counts(ctx):
+    """D3: pending items per model with cohort position."""
+    cohort, _, pend = _parts(ctx)
+    return wl.pending_counts(pend, cohort)
+
+
+@query("coverage", _USES, """
+SELECT c.model, coalesce(e.expected, 0) AS expected, coalesce(p.pending, 0) AS pending,
+  CASE WHEN coalesce(e.expected, 0) > 0
+       THEN (coalesce(e.expected, 0) - coalesce(p.pending, 0)) / coalesce(e.expected, 0) END AS done_ratio,
+  coalesce(p.pending, 0) = 0 AS covered
+FROM cohort c
+LEFT JOIN (SELECT model, count(*) AS expected FROM wl GROUP BY model) e ON e.model = c.model
+LEFT JOIN (SELECT model, count(*) AS pending FROM pend GROUP BY model) p ON p.model = c.model""", _CTES)
+def coverage(ctx):
+    """Expected vs pending items; coverage-complete models."""
+    cohort, work, pend = _parts(ctx)
+    return wl.coverage(work, pend, cohort)
+
+
+@query("valid_task_languages", ["result_log"], "SELECT DISTINCT task, bcp_47 FROM result_log")
+def valid_task_languages(ctx):
+    """(task, language) pairs that have data."""
+    return wl.valid_task_languages(ctx.log)
+
+
+@query("top_languages", ["languages"], f"""
+SELECT * FROM languages ORDER BY speakers DESC, language_name DESC LIMIT {N_LANGUAGES}""")
+def top_languages(ctx):
+    """Most spoken languages first, top N."""
+    return wl.top_languages(ctx.languages, N_LANGUAGES)
