@@ -1,5 +1,249 @@
-"""Queries (to be filled)."""
+"""Item selection and request-table queries."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..operators import items as it
+from .registry import query
+
+SEED = K.BOOTSTRAP_SEED
+NS = K.N_SENTENCES
+
+
+def sql_text(s: str) -> str:
+    """A SQL string expression for a Python string with newlines."""
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _template(tpl: str, *names_and_exprs: tuple[str, str]) -> str:
+    """``concat`` of the template pieces and the placeholder expressions."""
+    out, rest = [], tpl
+    for name, expr in names_and_exprs:
+        head, rest = rest.split("{" + name + "}", 1)
+        out += [sql_text(head), expr]
+    out.append(sql_text(rest))
+    return "concat(" + ", ".join(out) + ")"
+
+
+_E1 = ("chosen", """SELECT bcp_47, min(source_rank) AS source_rank, arg_min(n_items, source_rank) AS n_items,
+    CASE WHEN min(source_rank) = 2 THEN 'machine' ELSE 'human' END AS origin
+  FROM (SELECT bcp_47, source_rank, count(*) AS n_items FROM items WHERE source_rank IN (0, 1, 2)
+        GROUP BY bcp_47, source_rank) GROUP BY bcp_47""")
+
+
+@query("source_priority", ["items"], "SELECT * FROM chosen", [_E1])
+def source_priority(ctx):
+    """Best source per language, human before machine."""
+    return it.source_priority(ctx.view("items"))
+
+
+@query("rotating_items", ["items"], f"""
+SELECT g.bcp_47, CAST(g.sentence_nr AS INTEGER) AS sentence_nr, k.subject, n.doc_id, g.origin
+FROM grid g JOIN cats k ON k.cat_pos = (g.sentence_nr % (SELECT count(*) FROM cats)) + 1
+JOIN num n ON n.bcp_47 = g.bcp_47 AND n.source_rank = g.source_rank AND n.subject = k.subject
+  AND n.sentence_nr = g.sentence_nr""", [_E1,
+    ("cats", "SELECT subject, row_number() OVER (ORDER BY subject) AS cat_pos FROM (SELECT DISTINCT subject FROM items)"),
+    ("num", """SELECT i.bcp_47, i.source_rank, i.subject, i.doc_id,
+        row_number() OVER (PARTITION BY i.bcp_47, i.source_rank, i.subject ORDER BY i.doc_id) - 1 AS sentence_nr
+      FROM items i JOIN chosen c ON c.bcp_47 = i.bcp_47 AND c.source_rank = i.source_rank"""),
+    ("grid", f"SELECT c.bcp_47, c.source_rank, c.origin, s.nr AS sentence_nr FROM chosen c CROSS JOIN range(0, {NS}) s(nr)")])
+def rotating_items(ctx):
+    """Category rotation and nr-th item of the category."""
+    items = ctx.view("items")
+    return it.rotating_items(items, it.source_priority(items))
+
+
+_E3 = ("ci", f"""SELECT item_id, CAST(row_number() OVER (
+    ORDER BY md5('{SEED}|' || CAST(item_id AS VARCHAR)), item_id) AS INTEGER) AS position
+  FROM items GROUP BY item_id HAVING count(DISTINCT bcp_47) = (SELECT count(DISTINCT bcp_47) FROM items)""")
+
+
+@query("common_items", ["items"], "SELECT * FROM ci", [_E3])
+def common_items(ctx):
+    """Ids present in all languages, seeded shuffle."""
+    return it.common_items(ctx.view("items"), SEED)
+
+
+@query("priority_items", ["items"], f"""
+SELECT bcp_47, CAST(sentence_nr AS INTEGER) AS sentence_nr,
+  arg_min(item_id, (source_rank, doc_id, item_id)) AS item_id, arg_min(doc_id, (source_rank, doc_id)) AS doc_id,
+  min(source_rank) AS source_rank, CASE WHEN min(source_rank) = 2 THEN 'machine' ELSE 'human' END AS origin
+FROM (SELECT i.*, c.position - 1 AS sentence_nr FROM items i JOIN ci c USING (item_id)
+      WHERE c.position <= {NS} AND i.source_rank IN (0, 1, 2))
+GROUP BY bcp_47, sentence_nr""", [_E3])
+def priority_items(ctx):
+    """Nr-th common id from the best source of each language."""
+    items = ctx.view("items")
+    return it.items_by_common_id(items, it.common_items(items, SEED))
+
+
+@query("mgsm_items", ["items"], f"""
+SELECT b.bcp_47, CAST(b.sentence_nr AS INTEGER) AS sentence_nr, b.source_rank, b.doc_id,
+  CASE WHEN instr(d.text, '####') > 0 THEN trim(substr(d.text, instr(d.text, '####') + 4)) END AS answer
+FROM (SELECT bcp_47, sentence_nr, min(source_rank) AS source_rank, arg_min(doc_id, (source_rank, doc_id)) AS doc_id
+      FROM (SELECT bcp_47, source_rank, doc_id,
+              row_number() OVER (PARTITION BY bcp_47, source_rank ORDER BY doc_id) - 1 AS sentence_nr FROM items)
+      WHERE sentence_nr < {NS} GROUP BY bcp_47, sentence_nr) b
+JOIN documents d ON d.doc_id = b.doc_id""")
+def mgsm_items(ctx):
+    """First source with more than nr items; answer after '####'."""
+    b = it.first_source_in_range(ctx.view("items"))
+    d = ctx.t.documents.select("doc_id", "text")
+    return (b.join(d, "doc_id")
+            .select("bcp_47", "sentence_nr", "source_rank", "doc_id",
+                    it.answer_after_marker(F.col("text")).alias("answer")))
+
+
+_E5 = ("conv_items", """SELECT conv_id, list(text ORDER BY turn) AS choices,
+    list(CASE WHEN role = 'assistant' AND turn = 1 THEN 1 ELSE 0 END ORDER BY turn) AS labels
+  FROM conversations GROUP BY conv_id""")
+
+
+@query("correct_choice_letter", [], """
+SELECT conv_id, CAST(len(choices) AS INTEGER) AS n_choices, chr(CAST(64 + list_position(labels, 1) AS INTEGER)) AS answer
+FROM conv_items WHERE list_position(labels, 1) > 0""", [_E5])
+def correct_choice_letter(ctx):
+    """E5: items with a correct label and its answer letter."""
+    return it.correct_choice_letter(it.conversation_items(ctx.t.conversations))
+
+
+@query("choices_array", [], """
+SELECT conv_id, [a, b, c, d] AS choices FROM (
+  SELECT conv_id, max(text) FILTER (WHERE turn = 0) AS a, max(text) FILTER (WHERE turn = 1) AS b,
+    max(text) FILTER (WHERE turn = 2) AS c, max(text) FILTER (WHERE turn = 3) AS d
+  FROM conversations GROUP BY conv_id)
+WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL""")
+def choices_array(ctx):
+    """Choices array from four option columns."""
+    return it.choices_from_columns(ctx.t.conversations)
+
+
+_E8 = [
+    ("s", "SELECT bcp_47, url, pos, lower(topic) AS topic, text FROM paragraphs WHERE topic IS NOT NULL"),
+    ("p", """SELECT bcp_47, url, string_agg(text, ' ' ORDER BY pos) AS text, arg_min(topic, pos) AS topic
+             FROM s GROUP BY bcp_47, url"""),
+    ("tt", """SELECT bcp_47, topic, n, row_number() OVER (PARTITION BY bcp_47 ORDER BY n DESC, topic) AS topic_rank
+              FROM (SELECT bcp_47, topic, count(*) AS n FROM p GROUP BY bcp_47, topic)"""),
+    ("tp", """SELECT p.* FROM p JOIN tt ON tt.bcp_47 = p.bcp_47 AND tt.topic = p.topic AND tt.topic_rank <= 5"""),
+    ("sp", f"""SELECT bcp_47, CAST(nr AS INTEGER) AS sentence_nr,
+                 arg_min(url, md5(CAST(nr AS VARCHAR) || '|' || CAST(url AS VARCHAR))) AS url,
+                 arg_min(topic, md5(CAST(nr AS VARCHAR) || '|' || CAST(url AS VARCHAR))) AS topic
+               FROM tp CROSS JOIN range(0, {NS}) s(nr) GROUP BY bcp_47, nr"""),
+]
+
+
+@query("topic_paragraphs", ["paragraphs"], "SELECT * FROM tp", _E8)
+def topic_paragraphs(ctx):
+    """Paragraphs per url with one of the top-5 topics."""
+    return it.topic_paragraphs(ctx.view("paragraphs"))
+
+
+@query("seeded_paragraph", ["paragraphs"], "SELECT * FROM sp", _E8)
+def seeded_paragraph(ctx):
+    """One seeded paragraph per (language, nr)."""
+    return it.seeded_paragraph(it.topic_paragraphs(ctx.view("paragraphs")))
+
+
+def _weighted_sql(src: str) -> list[tuple[str, str]]:
+    return [
+        ("wt", src),
+        ("cum", "SELECT bcp_47, w, sum(w) OVER (ORDER BY bcp_47 ROWS UNBOUNDED PRECEDING) AS hi FROM wt"),
+        ("iv", """SELECT bcp_47, (hi - w) / (SELECT sum(w) FROM wt) AS lo, hi / (SELECT sum(w) FROM wt) AS hi
+                  FROM cum"""),
+        ("dr", f"""SELECT CAST(k AS INTEGER) AS draw,
+                     CAST(('0x' || substr(md5('{SEED}|' || CAST(k AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296e0 AS u
+                   FROM (SELECT unnest(range(0, (SELECT count(*) FROM wt))) AS k)"""),
+        ("targets", "SELECT dr.draw, iv.bcp_47 FROM dr JOIN iv ON dr.u >= iv.lo AND dr.u < iv.hi"),
+    ]
+
+
+@query("weighted_targets", ["languages"], "SELECT * FROM targets", _weighted_sql(
+    "SELECT bcp_47, CAST(speakers AS DOUBLE) AS w FROM languages WHERE in_benchmark"))
+def weighted_targets(ctx):
+    """Speaker-weighted target languages, drawn with replacement."""
+    langs = ctx.languages.where("in_benchmark")
+    return it.weighted_sample(langs, "speakers", SEED)
+
+
+def _sentence_langs(ctx):
+    return ctx.view("paragraphs").groupBy("bcp_47").agg(F.count(F.lit(1)).alias("w"))
+
+
+@query("parallel_pairs", ["paragraphs"], f"""
+SELECT t.bcp_47 AS target, s.sentence_nr, s.bcp_47, s.text AS source_text, x.text AS target_text
+FROM num s JOIN (SELECT CAST(draw AS INTEGER) AS sentence_nr, bcp_47 FROM targets) t ON t.sentence_nr = s.sentence_nr
+JOIN num x ON x.bcp_47 = t.bcp_47 AND x.sentence_nr = s.sentence_nr""",
+       _weighted_sql("SELECT bcp_47, CAST(count(*) AS DOUBLE) AS w FROM paragraphs GROUP BY bcp_47") + [
+           ("num", f"""SELECT * FROM (SELECT bcp_47, CAST(row_number() OVER (PARTITION BY bcp_47 ORDER BY pos) - 1 AS INTEGER)
+                         AS sentence_nr, text FROM paragraphs) WHERE sentence_nr < {NS}""")])
+def parallel_pairs(ctx):
+    """source/target sentence pairs by position."""
+    targets = it.weighted_sample(_sentence_langs(ctx), "w", SEED)
+    return it.parallel_pairs(ctx.view("paragraphs"), targets)
+
+
+_CLS_PROMPT = _template(it.CLASSIFY_PROMPT, ("topics", "tp2.topics"), ("text", "tp.text"))
+_MC_PROMPT = _template(it.TRUTHFULQA_PROMPT, ("question", "choices[1]"), (
+    "choices", "array_to_string(list_transform(choices[2:], lambda x, i: chr(CAST(64 + i AS INTEGER)) || ': ' || x || chr(10)), '')"))
+
+
+@query("request_table", ["paragraphs"], f"""
+SELECT 'classification' AS task, sp.bcp_47 AS item_key, sp.sentence_nr, {_CLS_PROMPT} AS prompt
+FROM sp JOIN tp ON tp.bcp_47 = sp.bcp_47 AND tp.url = sp.url
+JOIN (SELECT bcp_47, string_agg(topic, ', ' ORDER BY topic_rank) AS topics FROM tt WHERE topic_rank <= 5
+      GROUP BY bcp_47) tp2 ON tp2.bcp_47 = sp.bcp_47
+UNION ALL
+SELECT 'truthfulqa', CAST(conv_id AS VARCHAR), 0, {_MC_PROMPT} FROM conv_items WHERE len(choices) >= 2""",
+       _E8 + [_E5])
+def request_table(ctx):
+    """Prompt text per work item (classification and multiple choice)."""
+    cls = it.classification_requests(ctx.view("paragraphs"))
+    mc = it.multiple_choice_requests(it.conversation_items(ctx.t.conversations))
+    return cls.unionByName(mc)
+
+
+@query("shuffled_choices", [], f"""
+SELECT conv_id, choices, labels, chr(CAST(64 + list_position(labels, 1) AS INTEGER)) AS answer FROM (
+  SELECT conv_id,
+    list(c ORDER BY md5('{SEED}|' || CAST(conv_id AS VARCHAR) || '|' || CAST(i AS VARCHAR))) AS choices,
+    list(l ORDER BY md5('{SEED}|' || CAST(conv_id AS VARCHAR) || '|' || CAST(i AS VARCHAR))) AS labels
+  FROM (SELECT conv_id, unnest(choices) AS c, unnest(labels) AS l, unnest(range(1, len(choices) + 1)) AS i
+        FROM conv_items) GROUP BY conv_id)""", [_E5])
+def shuffled_choices(ctx):
+    """Seeded shuffle of choices together with labels."""
+    return it.shuffled_choices(it.conversation_items(ctx.t.conversations), SEED)
+
+
+@query("translation_worklist", ["items", "languages"], """
+SELECT t.bcp_47, s.subject, s.doc_id, CAST(s.pos AS INTEGER) AS pos
+FROM (SELECT bcp_47 FROM languages WHERE in_benchmark
+        AND bcp_47 NOT IN (SELECT bcp_47 FROM items WHERE source_rank IN (0, 1))) t
+CROSS JOIN (SELECT subject, doc_id, row_number() OVER (PARTITION BY subject ORDER BY doc_id) AS pos
+      FROM items WHERE source_rank = 0 QUALIFY pos <= 20) s""")
+def translation_worklist(ctx):
+    """Supported languages without a human set, each with the up to
+    20 sampled original items per category."""
+    return it.translation_worklist(ctx.view("items"), ctx.languages.where("in_benchmark"))
+
+
+@query("regroup_choices", [], """
+SELECT conv_id, CAST(floor(turn / 4) AS INTEGER) AS chunk, list(text ORDER BY turn) AS choices
+FROM conversations GROUP BY conv_id, floor(turn / 4)""")
+def regroup_choices(ctx):
+    """Flat choice lists regrouped in chunks of four."""
+    return it.regroup_choices(ctx.t.conversations)
+
+
+@query("dataset_coverage", ["items"], """
+SELECT per.*, coalesce(miss.missing, []) AS missing
+FROM (SELECT source_rank, count(DISTINCT subject) AS n_subjects, count(*) AS n_items,
+        count(DISTINCT bcp_47) AS n_languages FROM items GROUP BY source_rank) per
+LEFT JOIN (SELECT s.source_rank, list(l.bcp_47 ORDER BY l.bcp_47) AS missing
+           FROM (SELECT DISTINCT bcp_47 FROM items) l CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS source_rank) s
+           WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.bcp_47 = l.bcp_47 AND i.source_rank = s.source_rank)
+           GROUP BY s.source_rank) miss ON miss.source_rank = per.source_rank""")
+def dataset_coverage(ctx):
+    """Per-source coverage and missing languages."""
+    return it.dataset_coverage(ctx.view("items"))
