@@ -141,7 +141,9 @@ def poisson_bootstrap_ci(samples: DataFrame, group: str,
             .withColumn("seed", F.xxhash64("grp", "score", F.lit(seed))))
     sums = hist.mapInPandas(_weighted_sums(replicates),
                             "grp string, rep int, sw double, swx double")
-    means = (sums.groupBy("grp", "rep").agg((F.sum("swx") / F.sum("sw")).alias("_mean"))
+    # A replicate whose weights are all zero (tiny groups) has no mean; the
+    # percentile ignores it.
+    means = (sums.groupBy("grp", "rep").agg(F.try_divide(F.sum("swx"), F.sum("sw")).alias("_mean"))
              .withColumnRenamed("grp", group))
     return _interval(means, group, "_mean", level, prefix)
 

@@ -1,5 +1,85 @@
-"""Queries (to be filled)."""
+"""Queries checked by row count only: sinks/sources round trip, the
+dashboard payload, and the micro-batch log (A1-A7, A9, A10, K1-K3)."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import health
+from ..session import shared_dir
+from ..sources import io
+from ..streaming import incremental as inc
+from . import dashboard
+from .q_board import SELECTED
+from .registry import query
+
+
+def _scratch(ctx, name: str) -> str:
+    return shared_dir(ctx.spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("table_round_trip")
+def table_round_trip(ctx):
+    """The model-health table written as parquet, JSON,
+    CSV and TSV in the shared folder and read back with explicit schemas;
+    a missing table loads as an empty one."""
+    base = _scratch(ctx, "roundtrip")
+    h = health.model_health(ctx.detailed).select("model", "total", "failed", "score_nonfailed",
+                                                 "failed_pct")
+    io.save(h, f"{base}/health", json_path=f"{base}/health_json")
+    io.write_health_snapshot(h, f"{base}/snapshot")
+    h.write.mode("overwrite").option("header", True).csv(f"{base}/health_csv")
+    h.write.mode("overwrite").option("sep", "\t").csv(f"{base}/health_tsv")
+    back = io.load(ctx.spark, f"{base}/health", io.MODEL_HEALTH)
+    missing = io.load(ctx.spark, f"{base}/does-not-exist", io.MODEL_HEALTH)
+    csv = io.read_csv_na_empty_only(ctx.spark, f"{base}/health_csv", io.MODEL_HEALTH)
+    tsv = ctx.spark.read.schema(io.MODEL_HEALTH).option("sep", "\t").csv(f"{base}/health_tsv")
+    js = ctx.spark.read.schema(io.MODEL_HEALTH).json(f"{base}/snapshot")
+    # Every reader must return the same models: join the four read-backs.
+    keyed = [d.select("model", F.col("total").alias(f"total_{i}"))
+             for i, d in enumerate([csv, tsv, js])]
+    out = back.unionByName(missing)
+    for k in keyed:
+        out = out.join(k, "model")
+    return out.select("model", "total", "failed", "score_nonfailed", "failed_pct")
+
+
+@query("dashboard_payload")
+def dashboard_payload(ctx):
+    """A10: the seven dashboard collections for a language selection,
+    written as JSON; returns (collection, rows)."""
+    sel = ctx.spark.createDataFrame([(c,) for c in SELECTED], "bcp_47 string")
+    payload = dashboard.build_dashboard(ctx.results, ctx.detailed, ctx.models, ctx.languages,
+                                        ctx.view("population"), ctx.view("dataset_catalog"), sel)
+    dashboard.write_dashboard(payload, _scratch(ctx, "dashboard"))
+    return dashboard.payload_sizes(payload)
+
+
+@query("incremental_log")
+def incremental_log(ctx):
+    """K1, K2: the result log arrives in three file batches; a streaming
+    query merges each batch (keep-last) and refreshes the touched aggregate
+    buckets.  Returns the merged log, which equals the batch keep-last."""
+    base = _scratch(ctx, "stream")
+    src = ctx.log.withColumn("arrival", (F.col("tie1") % 3).cast("int"))
+    src.write.mode("overwrite").partitionBy("arrival").parquet(f"{base}/incoming")
+    schema = ctx.spark.read.parquet(f"{base}/incoming").schema
+    q = inc.start_log_merge(ctx.spark, f"{base}/incoming", schema, f"{base}/log", f"{base}/agg",
+                            f"{base}/ckpt_log", files_per_batch=8)
+    q.awaitTermination()
+    return ctx.spark.read.parquet(f"{base}/log").drop("bucket", "arrival")
+
+
+@query("streaming_error_rate")
+def streaming_error_rate(ctx):
+    """K3: running per-model row count and not-ok rate from a stateful
+    streaming aggregation over the arriving result files."""
+    base = _scratch(ctx, "rate")
+    ctx.log.withColumn("arrival", (F.col("tie1") % 3).cast("int")) \
+        .write.mode("overwrite").partitionBy("arrival").parquet(f"{base}/incoming")
+    schema = ctx.spark.read.parquet(f"{base}/incoming").schema
+    q = inc.start_error_rate(ctx.spark, f"{base}/incoming", schema, f"{base}/rate", f"{base}/ckpt")
+    q.awaitTermination()
+    return inc.current_error_rate(ctx.spark, f"{base}/rate")
