@@ -84,6 +84,28 @@ def running(df: DataFrame, order: Sequence[Column | str], value: Column, how: st
     return joined.withColumn(out, combined).drop("_v", "_local", "_carry", _SLICE, _POS)
 
 
+def nested_rank(df: DataFrame, group: Sequence[str], coarse: Sequence[str],
+                fine: Sequence[Column | str], out: str = "rank") -> DataFrame:
+    """``row_number()`` per ``group`` along ``coarse`` then ``fine``, for a
+    group too large for one task but whose (group, coarse) cells are small.
+
+    Rows per cell are counted (an aggregate), each cell's offset is the
+    running count of the cells before it in its group (a window at cell
+    grain), and rows are numbered inside their cell (a window per cell).
+    No global sort and no checkpoint are needed.
+    """
+    group, coarse = list(group), list(coarse)
+    cell = [*group, *coarse]
+    counts = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*group).orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*cell, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*cell).orderBy(*_as_cols(fine))
+    numbered = df.withColumn("_rn", F.row_number().over(inside))
+    return (numbered.join(offsets, cell)
+            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("int"))
+            .drop("_off", "_rn"))
+
+
 def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank",
                 partition_by: Sequence[str] = ()) -> DataFrame:
     """``row_number()`` over a total order (per group), computed distributed."""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.ordered import global_rank
+from ..functions.ordered import nested_rank
 
 
 def _interval(df: DataFrame, group: str, value: str, level: float, prefix: str) -> DataFrame:
@@ -52,7 +52,9 @@ def hashed_resample_ci(samples: DataFrame, group: str, order: Sequence[str],
     fills slot ``i`` with sample ``md5(group|rep|i) mod n``.
     """
     s = samples.select(group, "score", *order)
-    numbered = global_rank(s, [F.col(c) for c in order], out="_idx", partition_by=[group])
+    # Numbering per group: cells (group, first order column) are small, so
+    # the nested rank needs no global sort even for a hot group.
+    numbered = nested_rank(s, [group], [order[0]], list(order[1:]) or [order[0]], out="_idx")
     numbered = numbered.select(group, "score", (F.col("_idx") - 1).cast("bigint").alias("_idx"))
     sizes = s.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")
@@ -90,13 +92,17 @@ def _uniforms(seeds: np.ndarray, replicates: int) -> np.ndarray:
 
 
 def _poisson_quantile(c: int, u: np.ndarray) -> np.ndarray:
-    """Poisson(c) draws for uniforms ``u`` by inverting a table of the CDF."""
+    """Poisson(c) draws for uniforms ``u`` by inverting a table of the CDF.
+
+    The table spans c +- 12 sd; log-probabilities follow from the mode by
+    the recurrence log p(k+1) = log p(k) + log c - log(k+1).
+    """
     sd = math.sqrt(c)
     lo = max(0, int(c - 12 * sd - 10))
     hi = int(c + 12 * sd + 10)
     ks = np.arange(lo, hi + 1)
-    logc = math.log(c)
-    logp = np.array([k * logc - c - math.lgamma(k + 1) for k in range(lo, hi + 1)])
+    steps = math.log(c) - np.log(ks[1:].astype(np.float64))
+    logp = np.concatenate([[0.0], np.cumsum(steps)])
     cdf = np.cumsum(np.exp(logp - logp.max()))
     cdf /= cdf[-1]
     return ks[np.minimum(np.searchsorted(cdf, u), len(ks) - 1)]
@@ -111,7 +117,9 @@ def _bin_weights(counts: np.ndarray, seeds: np.ndarray, replicates: int) -> np.n
     return w
 
 
-def _weighted_sums(replicates: int, chunk: int = 2048):
+def _weighted_sums(replicates: int, chunk: int = 4096):
+    """Per chunk of bins: replicate weight sums and weighted score sums per
+    group.  Bins arrive sorted by group, so a group spans few chunks."""
     def fn(batches):
         for pdf in batches:
             for start in range(0, len(pdf), chunk):
@@ -119,10 +127,10 @@ def _weighted_sums(replicates: int, chunk: int = 2048):
                 w = _bin_weights(part["n"].to_numpy(np.int64), part["seed"].to_numpy(np.int64),
                                  replicates)
                 codes, groups = pd.factorize(part["grp"])
-                sw = np.zeros((len(groups), replicates))
-                swx = np.zeros((len(groups), replicates))
-                np.add.at(sw, codes, w)
-                np.add.at(swx, codes, w * part["score"].to_numpy(np.float64)[:, None])
+                onehot = np.zeros((len(groups), len(part)))
+                onehot[codes, np.arange(len(part))] = 1.0
+                sw = onehot @ w
+                swx = onehot @ (w * part["score"].to_numpy(np.float64)[:, None])
                 yield pd.DataFrame({
                     "grp": np.repeat(np.asarray(groups, dtype=object), replicates),
                     "rep": np.tile(np.arange(replicates, dtype=np.int32), len(groups)),
@@ -130,17 +138,32 @@ def _weighted_sums(replicates: int, chunk: int = 2048):
     return fn
 
 
+# Bins one task handles per group before the group is split over tasks.
+BINS_PER_TASK = 20_000
+
+
 def poisson_bootstrap_ci(samples: DataFrame, group: str,
                          replicates: int = K.BOOTSTRAP_REPLICATES,
                          level: float = K.BOOTSTRAP_LEVEL, seed: int = K.BOOTSTRAP_SEED,
                          prefix: str = "") -> DataFrame:
-    """Percentile CI of the mean per group, Poisson bootstrap with B replicates."""
+    """Percentile CI of the mean per group, Poisson bootstrap with B replicates.
+
+    Bins of a group are brought together (hash partitioning on the group,
+    sorted within the partition) so each group yields about B partial rows;
+    a group with more than ``BINS_PER_TASK`` distinct scores is salted over
+    several tasks by a hash of the score, so no task takes a hot group whole.
+    """
     hist = (samples.where(F.col("score").isNotNull())
             .groupBy(F.col(group).cast("string").alias("grp"), "score")
             .agg(F.count(F.lit(1)).alias("n"))
             .withColumn("seed", F.xxhash64("grp", "score", F.lit(seed))))
-    sums = hist.mapInPandas(_weighted_sums(replicates),
-                            "grp string, rep int, sw double, swx double")
+    fan = hist.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BINS_PER_TASK).alias("_fan"))
+    salted = (hist.join(fan, "grp")
+              .withColumn("_salt", F.pmod(F.xxhash64("score"), F.col("_fan")))
+              .repartition("grp", "_salt").sortWithinPartitions("grp", "_salt")
+              .drop("_fan", "_salt"))
+    sums = salted.mapInPandas(_weighted_sums(replicates),
+                              "grp string, rep int, sw double, swx double")
     # A replicate whose weights are all zero (tiny groups) has no mean; the
     # percentile ignores it.
     means = (sums.groupBy("grp", "rep").agg(F.try_divide(F.sum("swx"), F.sum("sw")).alias("_mean"))

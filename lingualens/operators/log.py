@@ -1,17 +1,22 @@
-"""Per-sample result log: keep-last merge, valid rows, published aggregate."""
+"""Per-sample result log: keep-last merge, valid rows, published aggregate."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# One log row per (task, model, language, metric, sample).
-LOG_KEY = ["task", "model", "bcp_47", "metric", "sentence_nr"]
+from .. import constants as K
+
+# A cell of the published aggregate, and the per-sample key within it.  The
+# cell columns lead, so one hash partitioning on the cell serves the
+# keep-last window and the cell aggregation without a second shuffle.
+CELL = ["model", "bcp_47", "task", "metric"]
+LOG_KEY = [*CELL, "sentence_nr"]
 # Log order: a later row wins on merge; the earliest row is "first".
 LOG_ORDER = ["logged_at", "tie1", "tie2", "tie3"]
-AGG_KEY = ["model", "bcp_47", "task", "metric"]
+AGG_KEY = CELL
 
 
 def log_order(order: Sequence[str] = LOG_ORDER) -> Column:
@@ -19,20 +24,23 @@ def log_order(order: Sequence[str] = LOG_ORDER) -> Column:
 
 
 def keep_last(log: DataFrame, key: Sequence[str] = LOG_KEY,
-              order: Sequence[str] = LOG_ORDER) -> DataFrame:
+              order: Sequence[str] = LOG_ORDER, cluster: Sequence[str] | None = None) -> DataFrame:
     """Last row per key in log order (G1).
 
-    ``max`` of a struct that leads with the order columns is an ordinary
-    aggregate, so Spark combines map-side before the shuffle and a hot key
-    never reaches one task as raw rows.  Remaining columns break exact ties
-    deterministically.
+    One shuffle: rows are hash-partitioned on ``cluster`` (default: the
+    cell, a prefix of the key) and the latest row per key is kept by a
+    window inside each partition.  A sample key holds only its duplicates,
+    and a hot model is spread over all of its cells.  The remaining columns
+    break exact ties deterministically.
     """
     key = list(key)
-    rest = [c for c in log.columns if c not in key]
-    ordered = list(order) + [c for c in rest if c not in order]
-    return (log.groupBy(*key)
-            .agg(F.max(F.struct(*ordered)).alias("_last"))
-            .select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest]))
+    cluster = list(cluster) if cluster is not None else [c for c in CELL if c in key] or key
+    rest = [c for c in log.columns if c not in key and c not in order]
+    latest_first = [F.col(c).desc_nulls_last() for c in [*order, *rest]]
+    w = Window.partitionBy(*key).orderBy(*latest_first)
+    return (log.repartition(*[F.col(c) for c in cluster])
+            .withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") == 1).drop("_rn"))
 
 
 def is_valid(status: Column | None = None) -> Column:
@@ -61,3 +69,35 @@ def aggregate_results(valid: DataFrame, publishable_models: DataFrame | None = N
     return (v.groupBy(*AGG_KEY)
             .agg(F.avg("score").alias("score"),
                  F.min_by("origin", log_order(order)).alias("origin")))
+
+
+def published_aggregate(detailed: DataFrame, covered_models: DataFrame,
+                        cohort_languages: DataFrame,
+                        min_attempts: int = K.HEALTH_MIN_ATTEMPTS,
+                        fail_pct: float = K.HEALTH_FAIL_PCT,
+                        order: Sequence[str] = LOG_ORDER) -> DataFrame:
+    """The published aggregate (G3 + G4) in one pass over the merged log.
+
+    Each cell is reduced once to its row count, error count, mean of valid
+    scores and first valid origin.  The publish guard (covered, and not
+    ``>= min_attempts`` rows with ``>= fail_pct`` % errors) is then decided
+    per model from the cell totals -- a window at cell grain, where a model
+    has at most languages x metrics rows -- so the log is read once.
+    """
+    valid = is_valid()
+    cells = (detailed.groupBy(*CELL)
+             .agg(F.count(F.lit(1)).alias("_n"),
+                  F.count_if(F.col("status") == "error").alias("_err"),
+                  F.count_if(valid).alias("_nv"),
+                  F.avg(F.when(valid, F.col("score"))).alias("score"),
+                  F.min_by(F.when(valid, F.col("origin")),
+                           F.when(valid, log_order(order))).alias("origin")))
+    # The guard counts every row of a covered model, in all languages.
+    cells = cells.join(covered_models.select("model"), "model", "left_semi")
+    by_model = Window.partitionBy("model")
+    total, errors = F.sum("_n").over(by_model), F.sum("_err").over(by_model)
+    broken = (total >= min_attempts) & (errors / total * 100 >= fail_pct)
+    return (cells.withColumn("_broken", broken)
+            .where(~F.col("_broken") & (F.col("_nv") > 0))
+            .join(cohort_languages.select("bcp_47"), "bcp_47", "left_semi")
+            .select(*CELL, "score", "origin"))

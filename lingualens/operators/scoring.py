@@ -1,11 +1,12 @@
 """Scoring of model responses as batch jobs.
 
 Text parsing uses built-in regex functions (JVM side, whole-stage codegen).
-BLEU and chrF are n-gram jobs: every n-gram of the prediction and of the
-reference is exploded, counted per (row, order, n-gram) with map-side
-combine, matched by an equi-join on (row, order, n-gram) and reduced back
-to one row.  Work is linear in text length -- whole texts are scored, never
-prefixes -- and no per-row Python runs.
+BLEU and chrF are n-gram jobs: the pairs are hash-partitioned on their row
+key once, every n-gram of the prediction and of the reference is exploded
+with a side tag, counted per (row, order, n-gram) in one aggregation that
+the row partitioning already satisfies, and reduced back to one row.  The
+exploded n-grams never cross the network.  Work is linear in text length --
+whole texts are scored, never prefixes -- and no per-row Python runs.
 """
 
 from __future__ import annotations
@@ -110,25 +111,37 @@ def _grams(tokens: Column, orders: Sequence[int]) -> Column:
 def ngram_matches(pairs: DataFrame, key: Sequence[str], hyp: str, ref: str,
                   orders: Sequence[int]) -> DataFrame:
     """Clipped n-gram matches per (key, n): sum over n-grams of
-    min(count in hyp, count in ref)."""
+    min(count in hyp, count in ref).
+
+    The pairs are hash-partitioned on ``key`` once (one row per pair); the
+    n-grams of both sides are exploded side-tagged and counted in one
+    aggregation on (key, n, gram), which that partitioning already
+    satisfies -- so the exploded n-grams are never shuffled or joined.
+    """
     key = list(key)
 
-    def counts(col: str, name: str) -> DataFrame:
-        g = pairs.select(*key, F.explode(_grams(F.col(col), orders)).alias("_x"))
-        return (g.groupBy(*key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"))
-                .agg(F.count(F.lit(1)).alias(name)))
+    def tagged(col: str, side: int) -> Column:
+        return F.transform(_grams(F.col(col), orders),
+                           lambda x: F.struct(x["n"].alias("n"), x["g"].alias("g"),
+                                              F.lit(side).alias("s")))
 
-    h, r = counts(hyp, "_h"), counts(ref, "_r")
-    return (h.join(r, [*key, "n", "g"])
-            .groupBy(*key, "n").agg(F.sum(F.least("_h", "_r")).alias("m")))
+    e = pairs.select(*key, F.explode(F.concat(tagged(hyp, 0), tagged(ref, 1))).alias("_x"))
+    c = (e.groupBy(*key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"))
+         .agg(F.count_if(F.col("_x.s") == 0).alias("_h"), F.count_if(F.col("_x.s") == 1).alias("_r")))
+    return c.groupBy(*key, "n").agg(F.sum(F.least("_h", "_r")).alias("m"))
 
 
-def _per_order(pairs: DataFrame, key, hyp, ref, orders) -> DataFrame:
-    """One row per key with lengths and m_1..m_k match columns."""
-    m = ngram_matches(pairs, key, hyp, ref, orders)
+def _per_order(pairs: DataFrame, key, hyp, ref, orders, carry=()) -> DataFrame:
+    """One row per key with lengths, ``carry`` columns and m_1..m_k matches.
+
+    Pairs are hash-partitioned on the key once; the n-gram aggregation and
+    the join back to the pair rows reuse that partitioning.
+    """
+    p = pairs.repartition(*[F.col(k) for k in key])
+    m = ngram_matches(p, key, hyp, ref, orders)
     wide = m.groupBy(*key).agg(*[F.sum(F.when(F.col("n") == n, F.col("m"))).alias(f"m{n}")
                                  for n in orders])
-    base = pairs.select(*key, F.size(hyp).alias("hyp_len"), F.size(ref).alias("ref_len"))
+    base = p.select(*key, *carry, F.size(hyp).alias("hyp_len"), F.size(ref).alias("ref_len"))
     out = base.join(wide, list(key), "left")
     return out.fillna(0, [f"m{n}" for n in orders])
 
@@ -142,7 +155,7 @@ def bleu_scores(pairs: DataFrame, key: Sequence[str], prediction: str, reference
                      word_tokens(F.col(reference)).alias("_ref"),
                      F.col(prediction).isNotNull().alias("_has"))
     orders = list(range(1, max_order + 1))
-    w = _per_order(p, key, "_hyp", "_ref", orders).join(p.select(*key, "_has"), key)
+    w = _per_order(p, key, "_hyp", "_ref", orders, carry=["_has"])
     prec = [F.when(F.col("hyp_len") - n + 1 > 0, F.col(f"m{n}") / (F.col("hyp_len") - n + 1))
             .otherwise(F.lit(0.0)) for n in orders]
     all_pos = F.lit(True)
@@ -167,7 +180,7 @@ def chrf_scores(pairs: DataFrame, key: Sequence[str], prediction: str, reference
                      char_tokens(F.col(reference)).alias("_ref"),
                      F.col(prediction).isNotNull().alias("_has"))
     orders = list(range(1, char_order + 1))
-    w = _per_order(p, key, "_hyp", "_ref", orders).join(p.select(*key, "_has"), key)
+    w = _per_order(p, key, "_hyp", "_ref", orders, carry=["_has"])
     eff = F.lit(0)
     sp = F.lit(0.0)
     sr = F.lit(0.0)

@@ -61,5 +61,7 @@ class Ctx:
 
     @cached_property
     def results(self) -> DataFrame:
-        """The published aggregate."""
-        return log.aggregate_results(self.valid, self.published, self.languages)
+        """The published aggregate (G3 guard + G4), one pass over the log."""
+        return log.published_aggregate(self.detailed, self.covered, self.languages,
+                                       min_attempts=PUBLISH_MIN_ATTEMPTS,
+                                       fail_pct=PUBLISH_FAIL_PCT)

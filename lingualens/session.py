@@ -12,6 +12,12 @@ from pyspark.sql import SparkSession
 # partitions and splits skewed ones; nothing here pins a physical strategy.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
+    # Static planning sizes a parquet scan by its *compressed* bytes, which
+    # understates a projected table several-fold, so a large fact table can
+    # look broadcastable.  Keep the static bar low and let AQE convert joins
+    # to broadcast from the measured size of the shuffled side.
+    "spark.sql.autoBroadcastJoinThreshold": str(1 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(16 << 20),
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
