@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import health
 from .context import PUBLISH_FAIL_PCT, PUBLISH_MIN_ATTEMPTS
 from .registry import query
@@ -140,3 +141,14 @@ FROM timings GROUP BY model HAVING count(*) >= 100 AND sum(seconds) / count(*) >
 def slow_models(ctx):
     """Models slower than 0.3 s per sample over at least 100 attempts."""
     return _slow(ctx)
+
+
+@query("publish_decision", ["models", "languages"], f"""
+SELECT (SELECT count(DISTINCT id) FROM models) AS n_models,
+  (SELECT count(DISTINCT bcp_47) FROM languages) AS n_languages,
+  (SELECT count(DISTINCT id) FROM models) >= {K.PUBLISH_MIN_MODELS}
+    AND (SELECT count(DISTINCT bcp_47) FROM languages) >= {K.PUBLISH_MIN_LANGUAGES} AS publish_aggregates""")
+def publish_decision(ctx):
+    """A4: may this run overwrite the published aggregates (full scale only)?"""
+    from ..sources.io import publish_target
+    return publish_target(ctx.covered, ctx.languages)

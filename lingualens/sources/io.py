@@ -10,22 +10,25 @@ from .. import constants as K
 
 HELPER_COLUMNS = ("__index_level_0__",)
 
-RESULTS_DETAILED = StructType.fromDDL(
+# Schemas are DDL strings (accepted by readers and createDataFrame), so the
+# module imports without a running session.
+
+RESULTS_DETAILED = (
     "model string, bcp_47 string, task string, metric string, score double, origin string, "
     "sentence_nr int, prompt string, response string, status string")
-RESULTS = StructType.fromDDL(
+RESULTS = (
     "model string, bcp_47 string, task string, metric string, score double, origin string")
-MODEL_HEALTH = StructType.fromDDL(
+MODEL_HEALTH = (
     "model string, total bigint, failed bigint, score_nonfailed double, failed_pct double")
-SCRIPT_CODES = StructType.fromDDL(
+SCRIPT_CODES = (
     "Code string, `N°` string, `English Name` string, `Nom français` string, Alias string, "
     "Age string, Date string")
-LANGUOID = StructType.fromDDL("id string, family_id string, name string, iso639P3code string")
-DATASET_CATALOG = StructType.fromDDL(
+LANGUOID = ("id string, family_id string, name string, iso639P3code string")
+DATASET_CATALOG = (
     "name string, author string, author_url string, url string, n_languages string, "
     "languages array<string>, tasks array<string>, parallel boolean, translation string, "
     "base string, implemented boolean, `group` string")
-SPEECH_TSV = StructType.fromDDL(
+SPEECH_TSV = (
     "id string, fname string, raw_transcription string, transcription string, words string, "
     "id2 string, gender string")
 
@@ -38,7 +41,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def load(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A stored table, or an empty one of the same schema if absent (A1)."""
     if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
@@ -91,21 +94,21 @@ def guarded_publish(spark: SparkSession, log: DataFrame, aggregate: DataFrame,
     return False
 
 
-def read_csv_na_empty_only(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_csv_na_empty_only(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with header where only the empty string is missing (A5): text such
     as 'NA' or 'Nan' stays a value."""
     return (spark.read.schema(schema).option("header", True).option("nullValue", "")
             .option("nanValue", "\u0000nan-disabled").csv(path))
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType = DATASET_CATALOG) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str = DATASET_CATALOG) -> DataFrame:
     """A JSON array file whose ``n_languages`` mixes numbers, digit strings
     and null (A6): read as text, typed with ``try_cast``."""
     df = spark.read.schema(schema).option("multiLine", True).json(path)
     return df.withColumn("n_languages", F.col("n_languages").try_cast("int"))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: StructType = SPEECH_TSV) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: StructType | str = SPEECH_TSV) -> DataFrame:
     """Tab-separated file without header, named columns."""
     return spark.read.schema(schema).option("sep", "\t").option("header", False).csv(path)
 
