@@ -19,16 +19,22 @@ Two forms of the same statistic (percentile interval of resampled means):
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.ordered import nested_rank
 
+# The grouped numpy code below runs in Python workers, which need not have
+# this package installed: ship these functions by value, not by module name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _interval(df: DataFrame, group: str, value: str, level: float, prefix: str) -> DataFrame:
     lo, hi = (1 - level) / 2, (1 + level) / 2
@@ -117,24 +123,84 @@ def _bin_weights(counts: np.ndarray, seeds: np.ndarray, replicates: int) -> np.n
     return w
 
 
-def _weighted_sums(replicates: int, chunk: int = 4096):
-    """Per chunk of bins: replicate weight sums and weighted score sums per
-    group.  Bins arrive sorted by group, so a group spans few chunks."""
+def _group_intervals(replicates: int, lo_q: float, hi_q: float, chunk: int = 4096):
+    """Replicate sums per group, finished in numpy where possible.
+
+    Bins arrive sorted by group within the partition, so a group is a
+    contiguous run: its B weight sums and weighted-score sums are
+    accumulated run by run (memory O(B) per group).  A group whose bins all
+    live in this partition (``_fan == 1``) is finished here: its replicate
+    means give the percentile interval directly (linear interpolation, as
+    Spark's ``percentile``).  A salted hot group (``_fan > 1``) emits its
+    partial sums as arrays for Spark to combine.
+    """
     def fn(batches):
+        state = {"g": None, "fan": 1, "sw": None, "swx": None}
+        rows = []
+
+        done_g, done_sw, done_swx = [], [], []
+
+        def flush():
+            g = state["g"]
+            if g is None:
+                return
+            if state["fan"] == 1:
+                done_g.append(g)
+                done_sw.append(state["sw"])
+                done_swx.append(state["swx"])
+            else:
+                rows.append((g, None, None, state["sw"].tolist(), state["swx"].tolist()))
+
+        def finish():
+            """Percentile intervals of all finished groups at once."""
+            if not done_g:
+                return
+            sw, swx = np.vstack(done_sw), np.vstack(done_swx)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                means = np.where(sw > 0, swx / sw, np.nan)
+            means.sort(axis=1)  # NaN (no mean) sorts last
+            n = (~np.isnan(means)).sum(axis=1)
+            bounds = []
+            for q in (lo_q, hi_q):
+                pos = q * np.maximum(n - 1, 0)
+                i0 = np.floor(pos).astype(np.int64)
+                i1 = np.minimum(i0 + 1, np.maximum(n - 1, 0))
+                r = np.arange(len(n))
+                a0, a1 = means[r, i0], means[r, i1]
+                bounds.append(a0 + (pos - i0) * (a1 - a0))
+            for g, k, lo, hi in zip(done_g, n, bounds[0], bounds[1]):
+                rows.append((g, float(lo), float(hi), None, None) if k else (g, None, None, None, None))
+            done_g.clear()
+            done_sw.clear()
+            done_swx.clear()
+
         for pdf in batches:
             for start in range(0, len(pdf), chunk):
                 part = pdf.iloc[start:start + chunk]
                 w = _bin_weights(part["n"].to_numpy(np.int64), part["seed"].to_numpy(np.int64),
                                  replicates)
-                codes, groups = pd.factorize(part["grp"])
-                onehot = np.zeros((len(groups), len(part)))
-                onehot[codes, np.arange(len(part))] = 1.0
-                sw = onehot @ w
-                swx = onehot @ (w * part["score"].to_numpy(np.float64)[:, None])
-                yield pd.DataFrame({
-                    "grp": np.repeat(np.asarray(groups, dtype=object), replicates),
-                    "rep": np.tile(np.arange(replicates, dtype=np.int32), len(groups)),
-                    "sw": sw.ravel(), "swx": swx.ravel()})
+                wx = w * part["score"].to_numpy(np.float64)[:, None]
+                grp = part["grp"].to_numpy(dtype=object)
+                fans = part["_fan"].to_numpy(np.int64)
+                starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
+                seg_w = np.add.reduceat(w, starts, axis=0)
+                seg_wx = np.add.reduceat(wx, starts, axis=0)
+                for i, s in enumerate(starts):
+                    if grp[s] == state["g"]:
+                        state["sw"] += seg_w[i]
+                        state["swx"] += seg_wx[i]
+                    else:
+                        flush()
+                        state.update(g=grp[s], fan=int(fans[s]), sw=seg_w[i].copy(),
+                                     swx=seg_wx[i].copy())
+            finish()
+            if rows:
+                yield pd.DataFrame(rows, columns=["grp", "lo", "hi", "sw", "swx"])
+                rows.clear()
+        flush()
+        finish()
+        if rows:
+            yield pd.DataFrame(rows, columns=["grp", "lo", "hi", "sw", "swx"])
     return fn
 
 
@@ -149,10 +215,14 @@ def poisson_bootstrap_ci(samples: DataFrame, group: str,
     """Percentile CI of the mean per group, Poisson bootstrap with B replicates.
 
     Bins of a group are brought together (hash partitioning on the group,
-    sorted within the partition) so each group yields about B partial rows;
-    a group with more than ``BINS_PER_TASK`` distinct scores is salted over
-    several tasks by a hash of the score, so no task takes a hot group whole.
+    sorted within the partition), so almost every group is finished in one
+    pass in numpy and yields one row.  A group with more than
+    ``BINS_PER_TASK`` distinct scores is salted over several tasks by a hash
+    of the score -- no task takes a hot group whole -- and its per-task
+    replicate sums are combined by Spark.  A replicate whose weights are all
+    zero (tiny groups) has no mean and is ignored.
     """
+    lo_q, hi_q = (1 - level) / 2, (1 + level) / 2
     hist = (samples.where(F.col("score").isNotNull())
             .groupBy(F.col(group).cast("string").alias("grp"), "score")
             .agg(F.count(F.lit(1)).alias("n"))
@@ -160,15 +230,22 @@ def poisson_bootstrap_ci(samples: DataFrame, group: str,
     fan = hist.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BINS_PER_TASK).alias("_fan"))
     salted = (hist.join(fan, "grp")
               .withColumn("_salt", F.pmod(F.xxhash64("score"), F.col("_fan")))
-              .repartition("grp", "_salt").sortWithinPartitions("grp", "_salt")
-              .drop("_fan", "_salt"))
-    sums = salted.mapInPandas(_weighted_sums(replicates),
-                              "grp string, rep int, sw double, swx double")
-    # A replicate whose weights are all zero (tiny groups) has no mean; the
-    # percentile ignores it.
-    means = (sums.groupBy("grp", "rep").agg(F.try_divide(F.sum("swx"), F.sum("sw")).alias("_mean"))
-             .withColumnRenamed("grp", group))
-    return _interval(means, group, "_mean", level, prefix)
+              .repartition("grp", "_salt").sortWithinPartitions("grp", "_salt"))
+    res = salted.mapInPandas(_group_intervals(replicates, lo_q, hi_q),
+                             "grp string, lo double, hi double, sw array<double>, swx array<double>")
+    # Finished groups pass through as one row (rep NULL); partial sums of
+    # salted groups are summed per replicate, then reduced to percentiles.
+    z = res.select("grp", "lo", "hi",
+                   F.posexplode_outer(F.arrays_zip("sw", "swx")).alias("rep", "z"))
+    per_rep = z.groupBy("grp", "rep").agg(
+        F.max("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.try_divide(F.sum("z.swx"), F.sum("z.sw")).alias("_mean"))
+    p = F.percentile(F.col("_mean"), F.array(F.lit(lo_q), F.lit(hi_q)))
+    out = per_rep.groupBy("grp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"),
+                                     p.alias("_p"))
+    return out.select(F.col("grp").alias(group),
+                      F.coalesce("lo", F.col("_p")[0]).alias(f"{prefix}ci_lower"),
+                      F.coalesce("hi", F.col("_p")[1]).alias(f"{prefix}ci_upper"))
 
 
 def metric_intervals(detailed: DataFrame, group: str, metrics: Sequence[str] = K.AVERAGED_METRICS,

@@ -75,3 +75,20 @@ def test_frontier_is_monotone(spark):
     for r in sorted(f, key=lambda r: r.max_average):
         assert r.max_average >= best
         best = r.max_average
+
+
+def test_group_interval_kernel_matches_numpy_percentile():
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    df = pd.DataFrame({"grp": np.repeat(["a", "b", "c"], [3, 1, 4]).astype(object),
+                       "score": rng.random(8), "n": rng.integers(1, 50, 8),
+                       "seed": rng.integers(-2**62, 2**62, 8), "_fan": 1})
+    out = pd.concat(list(bs._group_intervals(300, 0.025, 0.975)(iter([df.iloc[:5], df.iloc[5:]]))))
+    for g, part in df.groupby("grp"):
+        w = bs._bin_weights(part["n"].to_numpy(), part["seed"].to_numpy(), 300)
+        sw, swx = w.sum(0), (w * part["score"].to_numpy()[:, None]).sum(0)
+        means = swx[sw > 0] / sw[sw > 0]
+        lo, hi = np.percentile(means, [2.5, 97.5])
+        row = out[out.grp == g].iloc[0]
+        assert row.lo == pytest.approx(lo) and row.hi == pytest.approx(hi)
