@@ -89,59 +89,73 @@ def word_tokens(c: Column) -> Column:
 
 def char_tokens(c: Column) -> Column:
     """Characters without whitespace (chrF ignores spaces)."""
-    return F.regexp_extract_all(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""),
-                                F.lit("(?s)."), 0)
+    return F.regexp_extract_all(no_space(c), F.lit("(?s)."), 0)
 
 
-def _grams(tokens: Column, orders: Sequence[int]) -> Column:
-    """All n-grams of orders ``orders`` as structs (n, gram)."""
-    def gram_at(n: int):
-        # A one-argument lambda: transform() reads a second parameter as the index.
-        return lambda i: F.struct(F.lit(n).alias("n"),
-                                  F.array_join(F.slice(tokens, i, n), "\u0001").alias("g"))
+def no_space(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+
+
+# Overlapping n-grams come straight from one built-in regex call per order
+# (a capturing look-ahead at every start position), so no per-element
+# lambda runs.  Orders never collide: a char n-gram has n characters, a
+# word n-gram (tokens joined by one space; tokens never contain spaces) has
+# n - 1 spaces.
+def _char_grams(s: Column, n: int) -> Column:
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+
+
+def _word_grams(s: Column, n: int) -> Column:
+    return F.regexp_extract_all(s, F.lit(rf"(?:^| )(?=(\S+(?: \S+){{{n - 1}}}))"), 1)
 
-    per = []
-    for n in orders:
-        g = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), gram_at(n))
-        per.append(F.when(F.size(tokens) >= n, g))
-    return F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<n:int,g:string>>"))
-                               for p in per]))
+
+def _gram_order(g: Column, kind: str) -> Column:
+    if kind == "char":
+        return F.char_length(g)
+    return F.char_length(g) - F.char_length(F.replace(g, F.lit(" "), F.lit(""))) + 1
 
 
 def ngram_matches(pairs: DataFrame, key: Sequence[str], hyp: str, ref: str,
-                  orders: Sequence[int]) -> DataFrame:
+                  orders: Sequence[int], kind: str) -> DataFrame:
     """Clipped n-gram matches per (key, n): sum over n-grams of
     min(count in hyp, count in ref).
 
-    The pairs are hash-partitioned on ``key`` once (one row per pair); the
-    n-grams of both sides are exploded side-tagged and counted in one
-    aggregation on (key, n, gram), which that partitioning already
-    satisfies -- so the exploded n-grams are never shuffled or joined.
+    ``hyp``/``ref`` are strings: whitespace-free text for ``kind='char'``,
+    space-joined tokens for ``kind='word'``.  Both sides' n-grams are
+    exploded from one concatenated array (the position tells the side) and
+    counted in one aggregation on (key, gram), which the caller's hash
+    partitioning on ``key`` already satisfies -- the exploded n-grams are
+    never shuffled or joined.
     """
     key = list(key)
-
-    def tagged(col: str, side: int) -> Column:
-        return F.transform(_grams(F.col(col), orders),
-                           lambda x: F.struct(x["n"].alias("n"), x["g"].alias("g"),
-                                              F.lit(side).alias("s")))
-
-    e = pairs.select(*key, F.explode(F.concat(tagged(hyp, 0), tagged(ref, 1))).alias("_x"))
-    c = (e.groupBy(*key, F.col("_x.n").alias("n"), F.col("_x.g").alias("g"))
-         .agg(F.count_if(F.col("_x.s") == 0).alias("_h"), F.count_if(F.col("_x.s") == 1).alias("_r")))
-    return c.groupBy(*key, "n").agg(F.sum(F.least("_h", "_r")).alias("m"))
-
-
-def _per_order(pairs: DataFrame, key, hyp, ref, orders, carry=()) -> DataFrame:
+    grams = _char_grams if kind == "char" else _word_grams
+    g = pairs.select(*key, F.concat(*[grams(F.col(hyp), n) for n in orders]).alias("_gh"),
+                     F.concat(*[grams(F.col(ref), n) for n in orders]).alias("_gr"))
+    # The side marker travels inside the generator input: a column computed
+    # before the explode and read after it would be re-evaluated per n-gram.
+    g = g.select(*key, F.concat("_gh", "_gr").alias("g"),
+                 F.concat(F.array_repeat(F.lit(0), F.size("_gh")),
+                          F.array_repeat(F.lit(1), F.size("_gr"))).alias("s"))
+    e = g.select(*key, F.explode(F.arrays_zip("g", "s")).alias("_x"))
+    c = (e.groupBy(*key, F.col("_x.g").alias("g"))
+         .agg(F.count_if(F.col("_x.s") == 0).alias("_h"),
+              F.count_if(F.col("_x.s") == 1).alias("_r")))
+    return (c.groupBy(*key, _gram_order(F.col("g"), kind).alias("n"))
+            .agg(F.sum(F.least("_h", "_r")).alias("m")))
+
+
+def _per_order(pairs: DataFrame, key, hyp, ref, orders, kind, hyp_len, ref_len,
+               carry=()) -> DataFrame:
     """One row per key with lengths, ``carry`` columns and m_1..m_k matches.
 
     Pairs are hash-partitioned on the key once; the n-gram aggregation and
     the join back to the pair rows reuse that partitioning.
     """
     p = pairs.repartition(*[F.col(k) for k in key])
-    m = ngram_matches(p, key, hyp, ref, orders)
+    m = ngram_matches(p, key, hyp, ref, orders, kind)
     wide = m.groupBy(*key).agg(*[F.sum(F.when(F.col("n") == n, F.col("m"))).alias(f"m{n}")
                                  for n in orders])
-    base = p.select(*key, *carry, F.size(hyp).alias("hyp_len"), F.size(ref).alias("ref_len"))
+    base = p.select(*key, *carry, F.col(hyp_len).alias("hyp_len"), F.col(ref_len).alias("ref_len"))
     out = base.join(wide, list(key), "left")
     return out.fillna(0, [f"m{n}" for n in orders])
 
@@ -151,11 +165,12 @@ def bleu_scores(pairs: DataFrame, key: Sequence[str], prediction: str, reference
     """Sentence BLEU per row (F6): clipped precisions of orders 1..4,
     geometric mean, brevity penalty, no smoothing; 0 without prediction."""
     key = list(key)
-    p = pairs.select(*key, word_tokens(F.col(prediction)).alias("_hyp"),
-                     word_tokens(F.col(reference)).alias("_ref"),
+    th, tr = word_tokens(F.col(prediction)), word_tokens(F.col(reference))
+    p = pairs.select(*key, F.array_join(th, " ").alias("_hyp"), F.array_join(tr, " ").alias("_ref"),
+                     F.size(th).alias("_hl"), F.size(tr).alias("_rl"),
                      F.col(prediction).isNotNull().alias("_has"))
     orders = list(range(1, max_order + 1))
-    w = _per_order(p, key, "_hyp", "_ref", orders, carry=["_has"])
+    w = _per_order(p, key, "_hyp", "_ref", orders, "word", "_hl", "_rl", carry=["_has"])
     prec = [F.when(F.col("hyp_len") - n + 1 > 0, F.col(f"m{n}") / (F.col("hyp_len") - n + 1))
             .otherwise(F.lit(0.0)) for n in orders]
     all_pos = F.lit(True)
@@ -176,11 +191,12 @@ def chrf_scores(pairs: DataFrame, key: Sequence[str], prediction: str, reference
     without whitespace; precision and recall averaged over the orders that
     both sides have; F-beta with beta = 2; 0 without prediction."""
     key = list(key)
-    p = pairs.select(*key, char_tokens(F.col(prediction)).alias("_hyp"),
-                     char_tokens(F.col(reference)).alias("_ref"),
+    sh, sr_ = no_space(F.col(prediction)), no_space(F.col(reference))
+    p = pairs.select(*key, sh.alias("_hyp"), sr_.alias("_ref"),
+                     F.char_length(sh).alias("_hl"), F.char_length(sr_).alias("_rl"),
                      F.col(prediction).isNotNull().alias("_has"))
     orders = list(range(1, char_order + 1))
-    w = _per_order(p, key, "_hyp", "_ref", orders, carry=["_has"])
+    w = _per_order(p, key, "_hyp", "_ref", orders, "char", "_hl", "_rl", carry=["_has"])
     eff = F.lit(0)
     sp = F.lit(0.0)
     sr = F.lit(0.0)
