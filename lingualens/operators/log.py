@@ -27,20 +27,18 @@ def keep_last(log: DataFrame, key: Sequence[str] = LOG_KEY,
               order: Sequence[str] = LOG_ORDER, cluster: Sequence[str] | None = None) -> DataFrame:
     """Last row per key in log order (G1).
 
-    One shuffle: rows are hash-partitioned on ``cluster`` (default: the
-    cell, a prefix of the key) and the latest row per key is kept by a
-    window inside each partition.  A sample key holds only its duplicates,
-    and a hot model is spread over all of its cells.  The remaining columns
-    break exact ties deterministically.
+    ``max`` of a struct that leads with the order columns is an ordinary
+    aggregate, so Spark combines copies map-side before the shuffle: even a
+    key whose copies are a third of all rows reaches the reduce side as one
+    row per map task, never as one task's worth of raw rows.  The remaining
+    columns break exact ties deterministically.  (``cluster`` is accepted
+    for callers that name one; the aggregate shuffles on the key.)
     """
     key = list(key)
-    cluster = list(cluster) if cluster is not None else [c for c in CELL if c in key] or key
     rest = [c for c in log.columns if c not in key and c not in order]
-    latest_first = [F.col(c).desc_nulls_last() for c in [*order, *rest]]
-    w = Window.partitionBy(*key).orderBy(*latest_first)
-    return (log.repartition(*[F.col(c) for c in cluster])
-            .withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") == 1).drop("_rn"))
+    latest = F.max(F.struct(*order, *rest)).alias("_last")
+    return (log.groupBy(*key).agg(latest)
+            .select(*key, *[F.col(f"_last.{c}").alias(c) for c in [*order, *rest]]))
 
 
 def is_valid(status: Column | None = None) -> Column:
