@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import cohort as co
-from ..operators import health
+from .q_log import _STRIKE_CTES, _history
 from .registry import query
 
 # Request parameters of the registered cohort queries.
@@ -160,10 +160,9 @@ def model_tasks(ctx):
 
 @query("auto_excluded", ["run_health", "timings"], """
 SELECT model, CAST(strikes AS INTEGER) AS strikes FROM rec WHERE run_nr = 9 AND strikes >= 2""",
-       __import__("lingualens.plans.q_log", fromlist=["_STRIKE_CTES"])._STRIKE_CTES, recursive=True)
+       _STRIKE_CTES, recursive=True)
 def auto_excluded(ctx):
     """Models excluded after two or more consecutive bad runs."""
-    from .q_log import _history
     last = _history(ctx).where(F.col("run_nr") == 9)
     return co.auto_excluded(last)
 
@@ -177,5 +176,3 @@ def cost_cap_report(ctx):
     lookup = co.lookup_rows(co.normalise_catalog(ctx.view("catalog")))
     return co.dropped_by_cap(lookup, curated).select("slug", "name", "cost")
 
-
-_ = health  # health thresholds are shared through q_log
