@@ -227,16 +227,30 @@ def parallel_pairs(sentences: DataFrame, targets: DataFrame,
     return src.join(t, "sentence_nr").join(tgt, ["target", "sentence_nr"])
 
 
+def paragraph_topics(sentences: DataFrame) -> DataFrame:
+    """(language, url, first topic) without building the paragraph text."""
+    s = sentences.where(F.col("topic").isNotNull()).withColumn("topic", F.lower("topic"))
+    return s.groupBy("bcp_47", "url").agg(F.min_by("topic", F.col("pos")).alias("topic"))
+
+
 def classification_requests(sentences: DataFrame, k: int = 5,
                             n_sentences: int = K.N_SENTENCES) -> DataFrame:
-    """Classification prompt per (language, nr)."""
-    paras = topic_paragraphs(sentences, k)
-    pick = seeded_paragraph(paras, n_sentences)
-    topics = (top_topics(paragraphs_by_url(sentences), k)
-              .groupBy("bcp_47")
+    """Classification prompt per (language, nr).
+
+    Topic counts and the seeded pick need only (language, url, topic); the
+    paragraph text is concatenated for the picked urls only (at most
+    ``n_sentences`` per language), not for every paragraph.
+    """
+    pt = paragraph_topics(sentences)
+    top = top_topics(pt, k)
+    eligible = pt.join(top.select("bcp_47", "topic"), ["bcp_47", "topic"], "left_semi")
+    pick = seeded_paragraph(eligible, n_sentences)
+    picked = sentences.join(pick.select("bcp_47", "url").distinct(), ["bcp_47", "url"], "left_semi")
+    texts = paragraphs_by_url(picked).select("bcp_47", "url", "text")
+    topics = (top.groupBy("bcp_47")
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic_rank", "topic"))),
                                             lambda x: x["topic"]), ", ").alias("topics")))
-    j = pick.join(paras.select("bcp_47", "url", "text"), ["bcp_47", "url"]).join(topics, "bcp_47")
+    j = pick.join(texts, ["bcp_47", "url"]).join(topics, "bcp_47")
     prompt = F.format_string(CLASSIFY_PROMPT.replace("{topics}", "%s").replace("{text}", "%s"),
                              F.col("topics"), F.col("text"))
     return j.select(F.lit("classification").alias("task"), F.col("bcp_47").alias("item_key"),

@@ -142,8 +142,10 @@ def topic_paragraphs(ctx):
 
 @query("seeded_paragraph", ["paragraphs"], "SELECT * FROM sp", _E8)
 def seeded_paragraph(ctx):
-    """One seeded paragraph per (language, nr)."""
-    return it.seeded_paragraph(it.topic_paragraphs(ctx.view("paragraphs")))
+    """One seeded paragraph per (language, nr); no paragraph text is built."""
+    pt = it.paragraph_topics(ctx.view("paragraphs"))
+    top = it.top_topics(pt).select("bcp_47", "topic")
+    return it.seeded_paragraph(pt.join(top, ["bcp_47", "topic"], "left_semi"))
 
 
 def _weighted_sql(src: str) -> list[tuple[str, str]]:

@@ -95,9 +95,10 @@ FROM (SELECT *, regexp_replace(lower(coalesce(prediction, '')), '^\s+|\s+$', '',
         regexp_replace(lower(topic), '^\s+|\s+$', '', 'g') AS tru FROM tr)""", _TOPIC_CTES)
 def topic_accuracy(ctx):
     """topic classification accuracy."""
-    paras = it.topic_paragraphs(ctx.view("paragraphs"))
-    pick = it.seeded_paragraph(paras)
-    topics = (it.top_topics(it.paragraphs_by_url(ctx.view("paragraphs")))
+    pt = it.paragraph_topics(ctx.view("paragraphs"))
+    top = it.top_topics(pt)
+    pick = it.seeded_paragraph(pt.join(top.select("bcp_47", "topic"), ["bcp_47", "topic"], "left_semi"))
+    topics = (top
               .groupBy("bcp_47")
               .agg(F.transform(F.array_sort(F.collect_list(F.struct("topic_rank", "topic"))),
                                lambda x: x["topic"]).alias("topics")))
