@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.joins import FIXED_ROWS, bounded
 from ..operators import health, log
 from ..sources import views
 from ..sources.tables import Tables
@@ -38,7 +39,8 @@ class Ctx:
 
     @cached_property
     def languages(self) -> DataFrame:
-        return self.view("languages")
+        # One row per nation: bounded by definition, so joins broadcast it.
+        return bounded(self.view("languages"), FIXED_ROWS["nation"])
 
     @cached_property
     def detailed(self) -> DataFrame:
