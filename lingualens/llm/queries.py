@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Tables
-from . import decontam, packing
+from . import chat, decontam, langid, mtree, ngram_join, packing, pii, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,8 +28,56 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(Tables(spark, sf_dir).documents)
 
 
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that aren't held out."""
+    return langid.digest(Tables(spark, sf_dir).documents)
+
+
+@query
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of the conversations that prefix no longer one."""
+    return chat.rendered(Tables(spark, sf_dir).conversations)
+
+
+@query
+def op4_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every 50th vector against all."""
+    return mtree.digest(Tables(spark, sf_dir).embeddings)
+
+
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
     t = Tables(spark, sf_dir)
     return decontam.digest(t.documents, t.benchmark)
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(Tables(spark, sf_dir).documents)
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(Tables(spark, sf_dir).documents)
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries active when it was fetched."""
+    pages = Tables(spark, sf_dir).pages
+    return url_filter.judged(url_filter.fetched(pages), url_filter.list_log(pages))
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with 3-word shingle Jaccard of 0.9 or more."""
+    return ngram_join.joined(Tables(spark, sf_dir).documents)
+
+
+ORACLE_SQL["op3_chat"] = chat.SQL
+ORACLE_SQL["op4_mtree"] = mtree.SQL
+ORACLE_SQL["op9_url_filter"] = url_filter.SQL

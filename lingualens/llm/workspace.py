@@ -1,13 +1,17 @@
-"""Reliable intermediate tables in the shared folder of the session."""
+"""Reliable intermediate tables in the shared folder of the session, and keys
+and bitmaps that find the rows of a table again."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+BITMAP_BITS = 24
+
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
@@ -17,3 +21,25 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession, f"llm-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """128-bit key of a row's id and text (equal rows share it)."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(F.col(id_col), t).alias("k1"), F.xxhash64(F.lit(1), t, F.col(id_col)).alias("k2")]
+
+
+def bitmap(keys: DataFrame, col: str) -> DataFrame:
+    """Bitmap of the keys' hashes: at most 2 ** BITMAP_BITS / 64 rows."""
+    slot = F.pmod(F.hash(col), F.lit(1 << BITMAP_BITS))
+    return (keys.select(slot.alias("slot")).distinct()
+            .groupBy(F.floor(F.col("slot") / 64).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")))
+
+
+def maybe_in(rows: DataFrame, col: str, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be in the bitmap (no key is missed)."""
+    slot = F.pmod(F.hash(col), F.lit(1 << BITMAP_BITS))
+    hit = rows.withColumn("__slot", slot).withColumn("__word", F.floor(F.col("__slot") / 64)) \
+        .join(F.broadcast(bits), F.col("__word") == F.col("word"))  # the size is fixed
+    return hit.where(F.expr("shiftright(bits, cast(__slot % 64 as int)) & 1 = 1")).drop("__slot", "__word", "word", "bits")
