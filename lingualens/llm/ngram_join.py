@@ -34,11 +34,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbytes import NOT_SPACE, Words, append, blocks, mix, utf8
-from .workspace import bitmap, maybe_in, row_key, stored
+from .workspace import bitmap, flagged, maybe_in, row_key, stored
 
 N, PERCENT, ORDERS = 3, 90, 3
 SKETCH_BITS, SKETCH_BLOCK = 20, 4096
@@ -275,9 +275,10 @@ def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: st
     return components(links.union(more))
 
 
-def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT,
-           orders: int = ORDERS) -> DataFrame:
-    """id, n_shingles, component_id of every row."""
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT,
+            orders: int = ORDERS) -> DataFrame:
+    """id, k1, k2 (key of the row), n, c1, c2 (key of its component, null
+    without words) and component_id, for every row."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     rows = stored(signatures(docs.select("id", *row_key("id", "t"), "t"), "t", n, "s").select("id", "k1", "k2", "s.*"))
     parts = class_components(docs, rows, "id", "t", n, percent, orders)
@@ -286,10 +287,35 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
                .join(parts, ["k1", "k2"], "left").withColumn("c1", F.coalesce("c1", "k1")).withColumn("c2", F.coalesce("c2", "k2")))
     classes = stored(classes)
     named = (classes.join(classes.groupBy("c1", "c2").agg(F.min("least").alias("component_id")), ["c1", "c2"])
-             .select("s1", "s2", "component_id"))
+             .select("s1", "s2", "c1", "c2", "component_id"))
+    some = F.col("n") > 0
     return rows.join(named, ["s1", "s2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        "id", "k1", "k2", "n", *[F.when(some, F.col(c)).alias(c) for c in ("c1", "c2")],
+        F.when(some, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def joined(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """id, n_shingles, component_id of every row."""
+    return grouped(docs, id_col=id_col, **how).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (a null id
+    last; ties by a hash of the row).  Rows without words all stay.  Only rows
+    that may go are shuffled."""
+    rows = grouped(docs, id_col=id_col, text_col=text_col, **how)
+    keys = stored(rows.where("n > 0").groupBy("k1", "k2", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("m")))
+    order = F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")
+    first = keys.groupBy("c1", "c2").agg(F.min(order).alias("f")).select("c1", "c2", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"))
+    special = stored(keys.join(first, ["c1", "c2"]).withColumn("stays", F.expr("k1 = f1 and k2 = f2"))
+                     .where("m > 1 or not stays").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("stays").alias("__stays")))
+    k1, k2 = row_key(id_col, text_col)
+    marked = flagged(docs.withColumn("__k1", k1).withColumn("__k2", k2), "__k1", bitmap(special, "__k1"), "__odd")
+    odd = marked.where("__odd").join(special, ["__k1", "__k2"], "left").where("__stays is null or __stays")
+    one = F.row_number().over(Window.partitionBy("__k1", "__k2", "__stays").orderBy(F.lit(0)))
+    odd = odd.where("__stays is null").unionByName(odd.where("__stays").withColumn("__nr", one).where("__nr = 1").drop("__nr"))
+    return marked.where("not __odd").select(docs.columns).union(odd.select(docs.columns))
 
 
 def reference(docs: list[tuple], n: int = N, percent: int = PERCENT) -> list[tuple]:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Tables
-from . import chat, decontam, langid, mtree, ngram_join, packing, pii, secrets, url_filter
+from . import chat, decontam, langid, mtree, ngram_join, packing, pii, secrets, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,6 +59,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(Tables(spark, sf_dir).documents)
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 200 bytes that repeat."""
+    return suffix_dedup.digest(Tables(spark, sf_dir).documents)
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""

@@ -31,7 +31,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import stored
+from .workspace import bitmap, flagged, stored
 
 SCOPE = 256
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
@@ -149,7 +149,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     the other kinds the span.  Overlapping values are masked as one."""
     cut = F.when(F.col("kind") == "assign", F.col("end") - F.col("value")).otherwise(F.col("start"))
     own = (spans(docs, id_col, text_col).where("kind not in ('text', 'endpoint')")
-           .groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct(cut.cast("int").alias("a"), F.col("end").cast("int").alias("b")))).alias("cuts")))
+           .groupBy(F.col("k1").alias("__h1"), F.col("k2").alias("__h2")).agg(F.sort_array(F.collect_set(F.struct(cut.cast("int").alias("a"), F.col("end").cast("int").alias("b")))).alias("__cuts")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -158,13 +158,17 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
         return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"),
                         F.greatest(acc["at"], s["b"]).alias("at"))
 
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), _text(text_col).alias("__text"),
-                        *_keys(id_col, text_col))
-    joined = keyed.join(own, ["k1", "k2"], "left").withColumn("__cut", F.when(
-        F.col("cuts").isNotNull(), F.aggregate("cuts", start, step,
-                                               lambda r: F.concat(r["out"], F.expr("substring(__text, 1)").substr(r["at"] + 1, F.length("__text"))))))
-    return joined.select(*[(F.coalesce(F.col("__cut"), F.col(f"__row.`{c}`")) if c == text_col else F.col(f"__row.`{c}`")).alias(c)
-                           for c in docs.columns])
+    own = stored(own)
+    k1, k2 = _keys(id_col, text_col)
+    marked = flagged(docs.withColumn("__k1", k1).withColumn("__k2", k2), "__k1", bitmap(own, "__h1"), "__hit")
+    hit = (marked.where("__hit").withColumn("__text", _text(text_col))
+           .join(own, (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left"))
+    tail = F.aggregate("__cuts", start, step, lambda r: F.concat(r["out"], F.col("__text").substr(r["at"] + 1, F.length("__text"))))
+    # The masked text goes where the old one was; other columns may have any name.
+    hit = hit.withColumn("__new", F.when(F.col("__cuts").isNotNull(), tail).otherwise(F.col(f"`{text_col}`")))
+    old = [F.col(f"`{c}`") for c in docs.columns]
+    new = [(F.col("__new") if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]
+    return marked.where("not __hit").select(*old).union(hit.select(*new))
 
 
 def reference(doc, text: str | None) -> tuple:

@@ -37,9 +37,16 @@ def bitmap(keys: DataFrame, col: str) -> DataFrame:
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")))
 
 
-def maybe_in(rows: DataFrame, col: str, bits: DataFrame) -> DataFrame:
-    """Rows whose key may be in the bitmap (no key is missed)."""
+def flagged(rows: DataFrame, col: str, bits: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column: whether the key may be in the bitmap (no key is missed)."""
     slot = F.pmod(F.hash(col), F.lit(1 << BITMAP_BITS))
-    hit = rows.withColumn("__slot", slot).withColumn("__word", F.floor(F.col("__slot") / 64)) \
-        .join(F.broadcast(bits), F.col("__word") == F.col("word"))  # the size is fixed
-    return hit.where(F.expr("shiftright(bits, cast(__slot % 64 as int)) & 1 = 1")).drop("__slot", "__word", "word", "bits")
+    with_slot = rows.withColumn("__slot", slot).withColumn("__word", F.floor(F.col("__slot") / 64))
+    bits = bits.select(F.col("word").alias("__own"), F.col("bits").alias("__bits"))
+    hit = F.coalesce(F.expr("shiftright(__bits, cast(__slot % 64 as int)) & 1 = 1"), F.lit(False))
+    return (with_slot.join(F.broadcast(bits), F.col("__word") == F.col("__own"), "left")  # of a fixed size
+            .withColumn(name, hit).drop("__slot", "__word", "__own", "__bits"))
+
+
+def maybe_in(rows: DataFrame, col: str, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be in the bitmap."""
+    return flagged(rows, col, bits, "__maybe").where("__maybe").drop("__maybe")
