@@ -7,12 +7,9 @@ collections are DataFrames built from the tables, written as JSON by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..operators import bootstrap as bs
 from ..operators import countries
 from ..operators import history as hist
@@ -22,19 +19,9 @@ COLLECTIONS = ["model_table", "language_table", "dataset_table", "countries",
                "machine_translated_metrics", "language_tier_history", "license_history"]
 
 
-def _wide_intervals(ci_long: DataFrame, group: str,
-                    metrics: Sequence[str] = K.AVERAGED_METRICS) -> DataFrame:
-    cols = []
-    for m in [*metrics, "average"]:
-        cols += [F.max(F.when(F.col("metric") == m, F.col("ci_lower"))).alias(f"{m}_ci_lower"),
-                 F.max(F.when(F.col("metric") == m, F.col("ci_upper"))).alias(f"{m}_ci_upper")]
-    return ci_long.groupBy(group).agg(*cols)
-
-
 def build_dashboard(results: DataFrame, detailed: DataFrame, models: DataFrame,
                     languages: DataFrame, population: DataFrame, dataset_catalog: DataFrame,
-                    selected: DataFrame | None = None,
-                    replicates: int = K.BOOTSTRAP_REPLICATES) -> dict[str, DataFrame]:
+                    selected: DataFrame | None = None) -> dict[str, DataFrame]:
     """Seven collections for a language selection (A10); no selection = all.
 
     The selection narrows the model table and the countries only; the
@@ -43,13 +30,10 @@ def build_dashboard(results: DataFrame, detailed: DataFrame, models: DataFrame,
     sel_results = lb.select_languages(results, selected)
     sel_detailed = lb.select_languages(detailed, selected)
 
-    board = lb.model_table(sel_results, models)
-    m_ci = _wide_intervals(bs.metric_intervals(sel_detailed, "model", replicates=replicates), "model")
-    flags = lb.machine_flags(sel_results)
-    model_table = board.join(m_ci, "model", "left").join(flags, "model", "left")
+    model_table = lb.full_model_table(sel_results, sel_detailed, models)
 
     lang = lb.language_table(results, detailed, languages)
-    l_ci = _wide_intervals(bs.metric_intervals(detailed, "bcp_47", replicates=replicates), "bcp_47")
+    l_ci = bs.wide_intervals(bs.metric_intervals(detailed, "bcp_47"), "bcp_47")
     language_table = lang.join(l_ci, "bcp_47", "left")
 
     sel_lang = lb.language_table(sel_results, sel_detailed, languages)
@@ -72,11 +56,12 @@ def write_dashboard(payload: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
 
 
-def payload_sizes(payload: dict[str, DataFrame]) -> DataFrame:
-    """(collection, rows) for every collection, as one lazy DataFrame."""
-    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("collection"), "n_rows")
-             for name, df in payload.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def payload_sizes(spark: SparkSession, payload: dict[str, DataFrame], path: str) -> DataFrame:
+    """(collection, rows) of a written payload: the files are counted, so
+    nothing is computed a second time."""
+    out = None
+    for name, df in payload.items():
+        n = (spark.read.schema(df.schema).json(f"{path.rstrip('/')}/{name}").agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(name).alias("collection"), "n_rows"))
+        out = n if out is None else out.unionByName(n)
     return out

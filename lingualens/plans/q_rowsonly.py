@@ -1,5 +1,5 @@
-"""Queries checked by row count only: sinks/sources round trip, the
-dashboard payload, and the micro-batch log (A1-A7, A9, A10, K1-K3)."""
+"""Sinks and sources: round trips, guarded publish, the dashboard payload, and
+the micro-batch log (A1-A7, A9, A10, K1-K3)."""
 
 from __future__ import annotations
 
@@ -12,15 +12,33 @@ from ..session import shared_dir
 from ..sources import io
 from ..streaming import incremental as inc
 from . import dashboard
+from .context import PUBLISH_FAIL_PCT, PUBLISH_MIN_ATTEMPTS
 from .q_board import SELECTED
+from .q_history import _MLS, _TIERS
 from .registry import query
 
 
+_SEL = ", ".join(f"'{c}'" for c in SELECTED)
+_HEALTH_SQL = """
+SELECT model, count(*) AS total, count(*) FILTER (WHERE status IS DISTINCT FROM 'ok') AS failed,
+  avg(score) FILTER (WHERE status = 'ok') AS score_nonfailed,
+  count(*) FILTER (WHERE status IS DISTINCT FROM 'ok') / count(*) * 100 AS failed_pct
+FROM kl GROUP BY model"""
+_PAYLOAD_SQL = f"""
+SELECT 'model_table' AS collection, count(DISTINCT model) AS n_rows FROM results_tm WHERE bcp_47 IN ({_SEL})
+UNION ALL SELECT 'language_table', count(*) FROM (SELECT bcp_47 FROM languages UNION SELECT bcp_47 FROM results_tm)
+UNION ALL SELECT 'dataset_table', count(*) FROM dataset_catalog
+UNION ALL SELECT 'countries', count(DISTINCT iso2) FROM population
+UNION ALL SELECT 'machine_translated_metrics', count(DISTINCT task_metric) FROM results_tm WHERE origin = 'machine'
+UNION ALL SELECT 'language_tier_history', count(*) FROM (SELECT DISTINCT model, tier FROM mls JOIN lt USING (bcp_47))
+UNION ALL SELECT 'license_history', count(DISTINCT model) FROM results_tm"""
+
+
 def _scratch(ctx, name: str) -> str:
     return shared_dir(ctx.spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-@query("table_round_trip")
+@query("table_round_trip", ["kl"], _HEALTH_SQL)
 def table_round_trip(ctx):
     """The model-health table written as parquet, JSON,
     CSV and TSV in the shared folder and read back with explicit schemas;
@@ -29,14 +47,17 @@ def table_round_trip(ctx):
     h = health.model_health(ctx.detailed).select("model", "total", "failed", "score_nonfailed",
                                                  "failed_pct")
     io.save(h, f"{base}/health", json_path=f"{base}/health_json")
+    h = io.load(ctx.spark, f"{base}/health", io.MODEL_HEALTH)  # derived once, then read
     io.write_health_snapshot(h, f"{base}/snapshot")
     h.write.mode("overwrite").option("header", True).csv(f"{base}/health_csv")
     h.write.mode("overwrite").option("sep", "\t").csv(f"{base}/health_tsv")
     back = io.load(ctx.spark, f"{base}/health", io.MODEL_HEALTH)
     missing = io.load(ctx.spark, f"{base}/does-not-exist", io.MODEL_HEALTH)
     csv = io.read_csv_na_empty_only(ctx.spark, f"{base}/health_csv", io.MODEL_HEALTH)
-    tsv = ctx.spark.read.schema(io.MODEL_HEALTH).option("sep", "\t").csv(f"{base}/health_tsv")
-    js = ctx.spark.read.schema(io.MODEL_HEALTH).json(f"{base}/snapshot")
+    tsv = io.read_tsv(ctx.spark, f"{base}/health_tsv", io.MODEL_HEALTH)
+    io.save_local_only(h, f"{base}/local")
+    js = ctx.spark.read.schema(io.MODEL_HEALTH).json(f"{base}/snapshot").join(
+        ctx.spark.read.schema(io.MODEL_HEALTH).json(f"{base}/local").select("model"), "model", "left_semi")
     # Every reader must return the same models: join the four read-backs.
     keyed = [d.select("model", F.col("total").alias(f"total_{i}"))
              for i, d in enumerate([csv, tsv, js])]
@@ -46,33 +67,67 @@ def table_round_trip(ctx):
     return out.select("model", "total", "failed", "score_nonfailed", "failed_pct")
 
 
-@query("dashboard_payload")
+@query("dashboard_payload", ["results_tm", "languages", "population", "dataset_catalog", "models", "kl_tm"], _PAYLOAD_SQL,
+       [*_TIERS, _MLS])
 def dashboard_payload(ctx):
     """A10: the seven dashboard collections for a language selection,
     written as JSON; returns (collection, rows)."""
     sel = ctx.spark.createDataFrame([(c,) for c in SELECTED], "bcp_47 string")
     payload = dashboard.build_dashboard(ctx.results, ctx.detailed, ctx.models, ctx.languages,
                                         ctx.view("population"), ctx.view("dataset_catalog"), sel)
-    dashboard.write_dashboard(payload, _scratch(ctx, "dashboard"))
-    return dashboard.payload_sizes(payload)
+    path = _scratch(ctx, "dashboard")
+    dashboard.write_dashboard(payload, path)
+    return dashboard.payload_sizes(ctx.spark, payload, path)
 
 
-@query("incremental_log")
-def incremental_log(ctx):
-    """K1, K2: the result log arrives in three file batches; a streaming
-    query merges each batch (keep-last) and refreshes the touched aggregate
-    buckets.  Returns the merged log, which equals the batch keep-last."""
+def _merged(ctx):
+    """Run the streaming merge over three arrivals; paths of log and aggregate."""
     base = _scratch(ctx, "stream")
     src = ctx.log.withColumn("arrival", (F.col("tie1") % 3).cast("int"))
     src.write.mode("overwrite").partitionBy("arrival").parquet(f"{base}/incoming")
     schema = ctx.spark.read.parquet(f"{base}/incoming").schema
+    covered, languages = _small(ctx, ctx.covered, base, "covered"), _small(ctx, ctx.languages, base, "languages")
     q = inc.start_log_merge(ctx.spark, f"{base}/incoming", schema, f"{base}/log", f"{base}/agg",
-                            f"{base}/ckpt_log", files_per_batch=8)
+                            f"{base}/ckpt_log", covered, languages, files_per_batch=8,
+                            min_attempts=PUBLISH_MIN_ATTEMPTS, fail_pct=PUBLISH_FAIL_PCT)
     q.awaitTermination()
-    return ctx.spark.read.parquet(f"{base}/log").drop("bucket", "arrival")
+    return f"{base}/log", f"{base}/agg"
+
+
+def _small(ctx, df, base: str, name: str):
+    """A dimension written once, so that every micro-batch reads it."""
+    df.write.parquet(f"{base}/{name}")
+    return ctx.spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+
+@query("incremental_log", ["kl"], "SELECT * FROM kl")
+def incremental_log(ctx):
+    """K1: the result log arrives in three file batches; a streaming query
+    merges each batch (keep-last).  Equals the batch keep-last."""
+    return ctx.spark.read.parquet(_merged(ctx)[0]).drop("bucket", "arrival")
+
+
+@query("incremental_results", ["results"], "SELECT * FROM results")
+def incremental_results(ctx):
+    """K2: the aggregate that the same stream refreshes, through the publish
+    guard.  Equals the batch aggregate."""
+    return ctx.spark.read.parquet(_merged(ctx)[1]).drop("bucket")
+
+
+@query("publish_twice", ["kl"], "SELECT * FROM kl")
+def publish_twice(ctx):
+    """A1, A2, A4: load, merge and publish on one path, three times."""
+    path = f"{_scratch(ctx, 'publish')}/results-detailed"
+    out = None
+    for part in range(3):
+        out = io.merge_and_publish(ctx.spark, ctx.log.where(F.col("tie1") % 3 == part), path)
+    return out
 
 
-@query("streaming_error_rate")
+@query("streaming_error_rate", ["result_log"], """
+SELECT model, count(*) AS rows, count(*) FILTER (WHERE status IS DISTINCT FROM 'ok') AS not_ok,
+  count(*) FILTER (WHERE status IS DISTINCT FROM 'ok') / count(*) AS error_rate
+FROM result_log GROUP BY model""")
 def streaming_error_rate(ctx):
     """K3: running per-model row count and not-ok rate from a stateful
     streaming aggregation over the arriving result files."""

@@ -44,19 +44,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of the session.
 
-    On a cluster this setting names shared storage and is used as is.  Only
-    when it is unset (local tests) is a private scratch folder created.
+    A folder that the context already has, or that ``spark.checkpoint.dir``
+    names, is used as it is.  Only a local session without either (as in
+    tests) gets a private folder; on a cluster executors couldn't see one, so
+    there it is an error.
     """
+    sc = spark.sparkContext
+    held = sc.getCheckpointDir()
+    if held:
+        # The context's folder is a subfolder of its own in the one that was set.
+        return spark.conf.get("spark.checkpoint.dir", None) or held
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    path = tempfile.mkdtemp(prefix="lingualens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="lingualens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    sc.setCheckpointDir(configured)
+    return configured
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,32 +35,83 @@ SPEECH_TSV = (
     "id2 string, gender string")
 
 
+CURRENT = "_CURRENT"
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop file system and path object of ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Metadata check through the Hadoop file system of the path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _fs(spark, path)
     return bool(fs.exists(p))
 
 
+def drop_partition(spark: SparkSession, path: str) -> None:
+    """Remove one partition folder of a table."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder that holds the published version of a table, if there is one."""
+    fs, p = _fs(spark, f"{path}/{CURRENT}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return f"{path}/{stream.readLine()}"
+    finally:
+        stream.close()
+
+
+def _switch(spark: SparkSession, path: str, version: str) -> None:
+    """Point the table at ``version``: the pointer is written beside its place
+    and renamed over it, so readers see the old version or the new one."""
+    jvm = spark.sparkContext._jvm
+    fs, tmp = _fs(spark, f"{path}/{CURRENT}.{version}")
+    out = fs.create(tmp, True)
+    try:
+        out.writeBytes(version + "\n")
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{path}/{CURRENT}"), how)
+
+
 def load(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A stored table, or an empty one of the same schema if absent (A1)."""
-    if path_exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
+    version = current_version(spark, path)
+    if version or path_exists(spark, path):
+        return spark.read.schema(schema).parquet(version or path)
     return spark.createDataFrame([], schema)
 
 
 def save(df: DataFrame, path: str, json_path: str | None = None,
          partition_by: list[str] | None = None) -> None:
-    """Publish a table snapshot: drop helper columns, overwrite parquet, and
-    optionally a JSON copy (A2)."""
+    """Publish a table snapshot: drop helper columns, write parquet, and
+    optionally a JSON copy (A2).
+
+    The snapshot goes to a new version folder and the table is switched to
+    it when it is complete, so ``df`` may read the table that it replaces,
+    and a failed job leaves the published version as it was.
+    """
+    spark = df.sparkSession
     out = df.drop(*[c for c in HELPER_COLUMNS if c in df.columns])
-    w = out.write.mode("overwrite")
+    version = f"v-{uuid.uuid4().hex}"
+    w = out.write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    w.parquet(f"{path}/{version}")
     if json_path:
-        out.write.mode("overwrite").json(json_path)
+        # From the written files: what was published, and computed once.
+        spark.read.schema(out.schema).parquet(f"{path}/{version}").write.mode("overwrite").json(json_path)
+    _switch(spark, path, version)
 
 
 def save_local_only(df: DataFrame, json_path: str) -> None:
@@ -79,19 +132,32 @@ def publish_target(cohort_models: DataFrame, cohort_languages: DataFrame,
                     .alias("publish_aggregates"))
 
 
-def guarded_publish(spark: SparkSession, log: DataFrame, aggregate: DataFrame,
+def guarded_publish(spark: SparkSession, log: DataFrame, aggregate: DataFrame, models: DataFrame, languages: DataFrame,
                     cohort_models: DataFrame, cohort_languages: DataFrame,
                     published_dir: str, local_dir: str) -> bool:
-    """Write the log to the published location and the aggregate there only
-    at full scale, else to the local location (A4).  Returns whether the
-    aggregate was published.  The decision reads one aggregated row."""
+    """Publish the log always, and the aggregate, models and languages only at
+    full scale, else write them to the local location (A4).  Returns whether
+    they were published.  The decision reads one aggregated row."""
     decision = publish_target(cohort_models, cohort_languages).first()
     save(log, f"{published_dir}/results-detailed")
-    if decision and decision["publish_aggregates"]:
-        save(aggregate, f"{published_dir}/results")
-        return True
-    save_local_only(aggregate, f"{local_dir}/results")
-    return False
+    tables = {"results": aggregate, "models": models, "languages": languages}
+    full = bool(decision and decision["publish_aggregates"])
+    for name, df in tables.items():
+        if full:
+            save(df, f"{published_dir}/{name}")
+        else:
+            save_local_only(df, f"{local_dir}/{name}")
+    return full
+
+
+def merge_and_publish(spark: SparkSession, new_rows: DataFrame, path: str) -> DataFrame:
+    """Load the published log, merge new rows with keep-last and publish the
+    result on the same path; returns the published log."""
+    from ..operators.log import keep_last
+    schema = new_rows.schema
+    merged = keep_last(load(spark, path, schema).unionByName(new_rows))
+    save(merged.select(schema.names), path)
+    return load(spark, path, schema)
 
 
 def read_csv_na_empty_only(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

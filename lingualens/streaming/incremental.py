@@ -9,9 +9,9 @@ The log and the aggregate are parquet tables partitioned by a hash bucket
 of the model, written with dynamic partition overwrite, so a batch rewrites
 only the buckets it touches.  The merged bucket data is checkpointed before
 it overwrites the partitions it was read from.  Sinks are idempotent per
-epoch (a replayed batch recomputes the same partitions), and progress is
-kept in a checkpoint location on shared storage, so a lost executor or a
-restarted driver resumes where it stopped.
+epoch -- a replayed batch overwrites the partitions it wrote before -- and
+progress is kept in a checkpoint location on shared storage, so a lost
+executor or a restarted driver resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.health import not_ok
-from ..operators.log import LOG_KEY, aggregate_results, keep_last, valid_rows
-from ..sources.io import path_exists
+from ..operators.log import LOG_KEY, keep_last, published_aggregate
+from ..sources.io import drop_partition, path_exists
 
 N_BUCKETS = 64
 
@@ -32,9 +32,13 @@ def bucket_of(model_col="model", n: int = N_BUCKETS):
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, log_path: str, agg_path: str,
-                n_buckets: int = N_BUCKETS) -> None:
+                covered: DataFrame, languages: DataFrame, n_buckets: int = N_BUCKETS, **guard) -> None:
     """Keep-last merge of one batch into the log; aggregate refresh of the
-    touched buckets (K1, K2)."""
+    touched buckets (K1, K2).
+
+    A bucket holds whole models, so the publish guard (covered models, error
+    bar, cohort languages) is decided as in the batch job.
+    """
     b = batch.withColumn("bucket", bucket_of(n=n_buckets))
     touched = b.select("bucket").distinct()
     if path_exists(spark, log_path):
@@ -47,20 +51,27 @@ def merge_batch(spark: SparkSession, batch: DataFrame, log_path: str, agg_path:
     merged = merged.checkpoint(eager=True)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(log_path))
-    agg = aggregate_results(valid_rows(merged)).withColumn("bucket", bucket_of(n=n_buckets))
+    agg = published_aggregate(merged, covered, languages, **guard).withColumn("bucket", bucket_of(n=n_buckets))
+    # A touched bucket without a publishable model must lose its old rows.
+    if path_exists(spark, agg_path):
+        stale = spark.read.parquet(agg_path).join(F.broadcast(touched), "bucket", "left_semi").select("bucket").distinct() \
+            .join(agg.select("bucket").distinct(), "bucket", "left_anti")
+        for row in stale.collect():  # at most n_buckets rows
+            drop_partition(spark, f"{agg_path}/bucket={row.bucket}")
     (agg.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(agg_path))
 
 
 def start_log_merge(spark: SparkSession, incoming: str, schema: StructType, log_path: str,
-                    agg_path: str, checkpoint: str, files_per_batch: int | None = None):
+                    agg_path: str, checkpoint: str, covered: DataFrame, languages: DataFrame,
+                    files_per_batch: int | None = None, **guard):
     """Streaming query over ``incoming`` that merges each micro-batch (K1, K2)."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.parquet(incoming)
     return (stream.writeStream
-            .foreachBatch(lambda df, epoch: merge_batch(spark, df, log_path, agg_path))
+            .foreachBatch(lambda df, epoch: merge_batch(spark, df, log_path, agg_path, covered, languages, **guard))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
@@ -80,9 +91,11 @@ def start_error_rate(spark: SparkSession, incoming: str, schema: StructType, out
                                          F.count_if(not_ok()).alias("not_ok"))
 
     def sink(df, epoch):
+        # One folder an epoch: a replayed epoch overwrites its own rows.
         (df.withColumn("epoch", F.lit(epoch).cast("long"))
          .withColumn("error_rate", F.col("not_ok") / F.col("rows"))
-         .write.mode("append").parquet(out_path))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(out_path))
 
     return (counts.writeStream.outputMode("update").foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
