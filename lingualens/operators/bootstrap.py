@@ -1,19 +1,21 @@
 """Bootstrap confidence intervals of group means.
 
-Two forms of the same statistic (percentile interval of resampled means):
-
-* ``hashed_resample_ci`` draws every resample index from ``md5(group|rep|slot)``
-  and joins it back to the numbered samples.  Its draws are reproducible in
-  any SQL engine, so it is the form checked against the oracle.  Work is
-  ``rows x replicates``, so it is meant for few replicates.
-* ``poisson_bootstrap_ci`` is the form for B = 1000 at scale.  Samples are
-  first reduced to a (group, score) -> count histogram (map-side combined,
-  so a hot group is never moved as raw rows); each bin then receives one
-  Poisson(count) weight per replicate -- the sum of ``count`` Poisson(1)
-  weights, i.e. the Poisson bootstrap of every sample in the bin -- and the
-  per-replicate weighted sums are aggregated by Spark.  Uniforms come from a
-  counter-based hash of (bin, replicate), so results do not depend on how
-  the bins are partitioned.
+The percentile interval of B = 1000 resampled means, as a Poisson bootstrap:
+
+* Samples are reduced to a (group, score) -> count histogram, map-side
+  combined, so a hot group is never moved as raw rows.
+* Each bin gets one Poisson(count) weight per replicate -- the sum of
+  ``count`` Poisson(1) weights, one per sample of the bin.
+* The uniforms behind the weights are a 32-bit counter hash of (bin,
+  replicate), seeded by md5 of the bin: independent of partitioning, and
+  simple enough for SQL, which the oracle uses to draw the same weights.
+* A group's bins are spread over tasks by a hash of the score; each task
+  sums its weights per replicate (numpy, vectorised), and a second stage
+  adds a group's partial sums and takes the percentiles.  Every group takes
+  this one path, whatever its size.
+
+``hashed_resample_ci`` draws every index of a resample by md5 instead; its work
+is rows x replicates, so it serves as a cross-check with few replicates.
 """
 
 from __future__ import annotations
@@ -35,232 +37,186 @@ from ..functions.ordered import nested_rank
 # this package installed: ship these functions by value, not by module name.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# --- fixed values: multipliers of the 32-bit finaliser and the counter step
+FMIX = (2246822507, 3266489909)
+STEP = 2654435769
+# ---------------------------------------------------------------------------
+#: Distinct scores of a group that one task draws for.
+BINS_PER_SALT = 2000
 
-def _interval(df: DataFrame, group: str, value: str, level: float, prefix: str) -> DataFrame:
-    lo, hi = (1 - level) / 2, (1 + level) / 2
-    p = F.percentile(F.col(value), F.array(F.lit(lo), F.lit(hi)))
-    return (df.groupBy(group).agg(p.alias("_p"))
-            .select(group, F.col("_p")[0].alias(f"{prefix}ci_lower"),
-                    F.col("_p")[1].alias(f"{prefix}ci_upper")))
 
+def bin_seed(group: Column, score: Column, seed: int) -> Column:
+    """First 32 bits of md5 of the bin: group, score (in 1e-9 units), seed."""
+    key = F.concat_ws("|", group, F.round(score * 1e9).cast("bigint").cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
-def hash_index(key: Column, n: Column) -> Column:
-    """First 32 bits of ``md5(key)`` modulo ``n``."""
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), n)
 
-
-def hashed_resample_ci(samples: DataFrame, group: str, order: Sequence[str],
-                       replicates: int = 10, level: float = K.BOOTSTRAP_LEVEL,
-                       prefix: str = "") -> DataFrame:
-    """Percentile CI of the mean per group from md5-drawn resamples.
-
-    Samples are numbered 0..n-1 per group along ``order``; resample ``rep``
-    fills slot ``i`` with sample ``md5(group|rep|i) mod n``.
-    """
-    s = samples.select(group, "score", *order)
-    # Numbering per group: cells (group, first order column) are small, so
-    # the nested rank needs no global sort even for a hot group.
-    numbered = nested_rank(s, [group], [order[0]], list(order[1:]) or [order[0]], out="_idx")
-    numbered = numbered.select(group, "score", (F.col("_idx") - 1).cast("bigint").alias("_idx"))
-    sizes = s.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")
-    key = F.concat_ws("|", F.col(group).cast("string"), F.col("_rep").cast("string"),
-                      F.col("_idx").cast("string"))
-    draws = (numbered.select(group, "_idx").join(sizes, group)
-             .select(group, "_idx", "_n", rep)
-             .select(group, "_rep", hash_index(key, F.col("_n")).alias("_pick")))
-    picked = draws.join(numbered.withColumnRenamed("_idx", "_pick"), [group, "_pick"])
-    means = picked.groupBy(group, "_rep").agg(F.avg("score").alias("_mean"))
-    return _interval(means, group, "_mean", level, prefix)
-
-
-# ---------------------------------------------------------------- Poisson form
-
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix64(x: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser (vectorised, wrapping uint64 arithmetic)."""
-    with np.errstate(over="ignore"):
-        z = x + _GOLDEN
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+def _fmix(x: np.ndarray) -> np.ndarray:
+    """32-bit finaliser in 64-bit arithmetic."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(FMIX[0])) & mask
+    x = x ^ (x >> np.uint64(13))
+    x = (x * np.uint64(FMIX[1])) & mask
+    return x ^ (x >> np.uint64(16))
 
 
 def _uniforms(seeds: np.ndarray, replicates: int) -> np.ndarray:
-    """(bins x replicates) uniforms in (0, 1) from per-bin seeds."""
-    base = _mix64(seeds.astype(np.int64).view(np.uint64))
-    with np.errstate(over="ignore"):
-        ctr = base[:, None] + np.arange(replicates, dtype=np.uint64)[None, :]
-    z = _mix64(ctr)
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-
+    """(bins x replicates) uniforms in (0, 1)."""
+    reps = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(STEP)) & np.uint64(0xFFFFFFFF)
+    h = _fmix(_fmix(seeds.astype(np.uint64))[:, None] ^ reps[None, :])
+    return (h.astype(np.float64) + 0.5) / 4294967296.0
 
-def _poisson_quantile(c: int, u: np.ndarray) -> np.ndarray:
-    """Poisson(c) draws for uniforms ``u`` by inverting a table of the CDF.
 
-    The table spans c +- 12 sd; log-probabilities follow from the mode by
-    the recurrence log p(k+1) = log p(k) + log c - log(k+1).
-    """
+def poisson_cdf(c: int) -> tuple[int, np.ndarray]:
+    """First value and CDF table of Poisson(c), c +- 12 sd."""
     sd = math.sqrt(c)
     lo = max(0, int(c - 12 * sd - 10))
-    hi = int(c + 12 * sd + 10)
-    ks = np.arange(lo, hi + 1)
-    steps = math.log(c) - np.log(ks[1:].astype(np.float64))
-    logp = np.concatenate([[0.0], np.cumsum(steps)])
+    ks = np.arange(lo, int(c + 12 * sd + 10) + 1)
+    logp = np.concatenate([[0.0], np.cumsum(math.log(c) - np.log(ks[1:].astype(np.float64)))])
     cdf = np.cumsum(np.exp(logp - logp.max()))
-    cdf /= cdf[-1]
-    return ks[np.minimum(np.searchsorted(cdf, u), len(ks) - 1)]
+    return lo, cdf / cdf[-1]
 
 
-def _bin_weights(counts: np.ndarray, seeds: np.ndarray, replicates: int) -> np.ndarray:
+def _weights(counts: np.ndarray, seeds: np.ndarray, replicates: int) -> np.ndarray:
     u = _uniforms(seeds, replicates)
     w = np.empty(u.shape, dtype=np.float64)
-    for c in np.unique(counts):  # one CDF table per distinct bin count
+    for c in np.unique(counts):  # one table per distinct bin count
         rows = counts == c
-        w[rows] = _poisson_quantile(int(c), u[rows])
+        lo, cdf = poisson_cdf(int(c))
+        w[rows] = lo + np.minimum(np.searchsorted(cdf, u[rows]), len(cdf) - 1)
     return w
 
 
-def _group_intervals(replicates: int, lo_q: float, hi_q: float, chunk: int = 4096):
-    """Replicate sums per group, finished in numpy where possible.
+def _runs(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
-    Bins arrive sorted by group within the partition, so a group is a
-    contiguous run: its B weight sums and weighted-score sums are
-    accumulated run by run (memory O(B) per group).  A group whose bins all
-    live in this partition (``_fan == 1``) is finished here: its replicate
-    means give the percentile interval directly (linear interpolation, as
-    Spark's ``percentile``).  A salted hot group (``_fan > 1``) emits its
-    partial sums as arrays for Spark to combine.
-    """
-    def fn(batches):
-        state = {"g": None, "fan": 1, "sw": None, "swx": None}
-        rows = []
-
-        done_g, done_sw, done_swx = [], [], []
-
-        def flush():
-            g = state["g"]
-            if g is None:
-                return
-            if state["fan"] == 1:
-                done_g.append(g)
-                done_sw.append(state["sw"])
-                done_swx.append(state["swx"])
-            else:
-                rows.append((g, None, None, state["sw"].tolist(), state["swx"].tolist()))
-
-        def finish():
-            """Percentile intervals of all finished groups at once."""
-            if not done_g:
-                return
-            sw, swx = np.vstack(done_sw), np.vstack(done_swx)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                means = np.where(sw > 0, swx / sw, np.nan)
-            means.sort(axis=1)  # NaN (no mean) sorts last
-            n = (~np.isnan(means)).sum(axis=1)
-            bounds = []
-            for q in (lo_q, hi_q):
-                pos = q * np.maximum(n - 1, 0)
-                i0 = np.floor(pos).astype(np.int64)
-                i1 = np.minimum(i0 + 1, np.maximum(n - 1, 0))
-                r = np.arange(len(n))
-                a0, a1 = means[r, i0], means[r, i1]
-                bounds.append(a0 + (pos - i0) * (a1 - a0))
-            for g, k, lo, hi in zip(done_g, n, bounds[0], bounds[1]):
-                rows.append((g, float(lo), float(hi), None, None) if k else (g, None, None, None, None))
-            done_g.clear()
-            done_sw.clear()
-            done_swx.clear()
 
+def _partial_sums(replicates: int, chunk: int = 4096):
+    """Weight sums and weighted score sums per replicate of each run of a group."""
+    def fn(batches):
         for pdf in batches:
-            for start in range(0, len(pdf), chunk):
-                part = pdf.iloc[start:start + chunk]
-                w = _bin_weights(part["n"].to_numpy(np.int64), part["seed"].to_numpy(np.int64),
-                                 replicates)
-                wx = w * part["score"].to_numpy(np.float64)[:, None]
+            for a in range(0, len(pdf), chunk):
+                part = pdf.iloc[a:a + chunk]
                 grp = part["grp"].to_numpy(dtype=object)
-                fans = part["_fan"].to_numpy(np.int64)
-                starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
-                seg_w = np.add.reduceat(w, starts, axis=0)
-                seg_wx = np.add.reduceat(wx, starts, axis=0)
-                for i, s in enumerate(starts):
-                    if grp[s] == state["g"]:
-                        state["sw"] += seg_w[i]
-                        state["swx"] += seg_wx[i]
-                    else:
-                        flush()
-                        state.update(g=grp[s], fan=int(fans[s]), sw=seg_w[i].copy(),
-                                     swx=seg_wx[i].copy())
-            finish()
-            if rows:
-                yield pd.DataFrame(rows, columns=["grp", "lo", "hi", "sw", "swx"])
-                rows.clear()
-        flush()
-        finish()
-        if rows:
-            yield pd.DataFrame(rows, columns=["grp", "lo", "hi", "sw", "swx"])
+                w = _weights(part["n"].to_numpy(np.int64), part["seed"].to_numpy(np.int64), replicates)
+                first = _runs(grp)
+                sw = np.add.reduceat(w, first, axis=0)
+                swx = np.add.reduceat(w * part["score"].to_numpy(np.float64)[:, None], first, axis=0)
+                yield pd.DataFrame({"grp": grp[first], "sw": [x.tobytes() for x in sw], "swx": [x.tobytes() for x in swx]})
     return fn
 
 
-# Bins one task handles per group before the group is split over tasks.
-BINS_PER_TASK = 20_000
+def _intervals(replicates: int, lo_q: float, hi_q: float):
+    """Percentiles of the replicate means of each group; rows of a group are adjacent."""
+    def bounds(sw, swx):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = np.sort(np.where(sw > 0, swx / sw, np.nan))  # no mean sorts last
+        n = int((~np.isnan(means)).sum())
+        if not n:
+            return None, None
+        return tuple(float(np.quantile(means[:n], q)) for q in (lo_q, hi_q))
+
+    def fn(batches):
+        held, sw, swx = None, None, None
+        for pdf in batches:
+            out = []
+            for g, a, b in zip(pdf["grp"], pdf["sw"], pdf["swx"]):
+                a, b = np.frombuffer(a, np.float64), np.frombuffer(b, np.float64)
+                if sw is not None and g == held:
+                    sw, swx = sw + a, swx + b
+                    continue
+                if sw is not None:
+                    out.append((held, *bounds(sw, swx)))
+                held, sw, swx = g, a, b
+            yield pd.DataFrame(out, columns=["grp", "lo", "hi"])
+        if sw is not None:
+            yield pd.DataFrame([(held, *bounds(sw, swx))], columns=["grp", "lo", "hi"])
+    return fn
 
 
 def poisson_bootstrap_ci(samples: DataFrame, group: str,
                          replicates: int = K.BOOTSTRAP_REPLICATES,
                          level: float = K.BOOTSTRAP_LEVEL, seed: int = K.BOOTSTRAP_SEED,
-                         prefix: str = "") -> DataFrame:
-    """Percentile CI of the mean per group, Poisson bootstrap with B replicates.
-
-    Bins of a group are brought together (hash partitioning on the group,
-    sorted within the partition), so almost every group is finished in one
-    pass in numpy and yields one row.  A group with more than
-    ``BINS_PER_TASK`` distinct scores is salted over several tasks by a hash
-    of the score -- no task takes a hot group whole -- and its per-task
-    replicate sums are combined by Spark.  A replicate whose weights are all
-    zero (tiny groups) has no mean and is ignored.
+                         prefix: str = "", bins_per_salt: int = BINS_PER_SALT) -> DataFrame:
+    """Percentile CI of the mean per group with B replicates.
+
+    A replicate whose weights are all zero (tiny groups) has no mean and is
+    ignored.
     """
     lo_q, hi_q = (1 - level) / 2, (1 + level) / 2
     hist = (samples.where(F.col("score").isNotNull())
             .groupBy(F.col(group).cast("string").alias("grp"), "score")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("seed", F.xxhash64("grp", "score", F.lit(seed))))
-    fan = hist.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BINS_PER_TASK).alias("_fan"))
-    salted = (hist.join(fan, "grp")
-              .withColumn("_salt", F.pmod(F.xxhash64("score"), F.col("_fan")))
-              .repartition("grp", "_salt").sortWithinPartitions("grp", "_salt"))
-    res = salted.mapInPandas(_group_intervals(replicates, lo_q, hi_q),
-                             "grp string, lo double, hi double, sw array<double>, swx array<double>")
-    # Finished groups pass through as one row (rep NULL); partial sums of
-    # salted groups are summed per replicate, then reduced to percentiles.
-    z = res.select("grp", "lo", "hi",
-                   F.posexplode_outer(F.arrays_zip("sw", "swx")).alias("rep", "z"))
-    per_rep = z.groupBy("grp", "rep").agg(
-        F.max("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.try_divide(F.sum("z.swx"), F.sum("z.sw")).alias("_mean"))
-    p = F.percentile(F.col("_mean"), F.array(F.lit(lo_q), F.lit(hi_q)))
-    out = per_rep.groupBy("grp").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"),
-                                     p.alias("_p"))
-    return out.select(F.col("grp").alias(group),
-                      F.coalesce("lo", F.col("_p")[0]).alias(f"{prefix}ci_lower"),
-                      F.coalesce("hi", F.col("_p")[1]).alias(f"{prefix}ci_upper"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    fan = hist.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / bins_per_salt).alias("_fan"))
+    bins = (hist.join(fan, "grp")
+            .withColumn("_salt", F.pmod(F.xxhash64("score"), F.col("_fan")))
+            .withColumn("seed", bin_seed(F.col("grp"), F.col("score"), seed))
+            .repartition("grp", "_salt").sortWithinPartitions("grp", "_salt"))
+    sums = bins.select("grp", "score", "n", "seed").mapInPandas(
+        _partial_sums(replicates), "grp string, sw binary, swx binary")
+    ci = sums.repartition("grp").sortWithinPartitions("grp").mapInPandas(
+        _intervals(replicates, lo_q, hi_q), "grp string, lo double, hi double")
+    return ci.select(F.col("grp").alias(group), F.col("lo").alias(f"{prefix}ci_lower"),
+                     F.col("hi").alias(f"{prefix}ci_upper"))
 
 
 def metric_intervals(detailed: DataFrame, group: str, metrics: Sequence[str] = K.AVERAGED_METRICS,
-                     method: str = "poisson", **kw) -> DataFrame:
+                     **kw) -> DataFrame:
     """CIs per group and metric plus the pooled ``average`` (H14, H15), long form."""
     d = detailed.withColumn("task_metric", F.concat_ws("_", "task", "metric"))
     d = d.where(F.col("task_metric").isin(list(metrics)))
-    per = d.withColumn("_g", F.concat_ws("\u0001", F.col(group), F.col("task_metric")))
-    if method == "poisson":
-        ci_m = poisson_bootstrap_ci(per, "_g", **kw)
-        ci_avg = poisson_bootstrap_ci(d, group, **kw)
-    else:
-        ci_m = hashed_resample_ci(per, "_g", ["bcp_47", "task", "sentence_nr"], **kw)
-        ci_avg = hashed_resample_ci(d, group, ["bcp_47", "task", "sentence_nr"], **kw)
+    cell = F.array(F.struct(F.concat_ws("\u0001", F.col(group), F.col("task_metric")).alias("g")),
+                   F.struct(F.concat_ws("\u0001", F.col(group), F.lit("average")).alias("g")))
+    ci = poisson_bootstrap_ci(d.select("score", F.explode(cell).alias("_c")).select("score", F.col("_c.g").alias("_g")), "_g", **kw)
     parts = F.split(F.col("_g"), "\u0001")
-    ci_m = ci_m.select(parts[0].alias(group), parts[1].alias("metric"), "ci_lower", "ci_upper")
-    ci_avg = ci_avg.select(group, F.lit("average").alias("metric"), "ci_lower", "ci_upper")
-    return ci_m.unionByName(ci_avg)
+    return ci.select(parts[0].alias(group), parts[1].alias("metric"), "ci_lower", "ci_upper")
+
+
+def wide_intervals(ci_long: DataFrame, group: str, metrics: Sequence[str] = K.AVERAGED_METRICS) -> DataFrame:
+    """Interval columns per metric and for the average, one row per group."""
+    cols = []
+    for m in [*metrics, "average"]:
+        cols += [F.max(F.when(F.col("metric") == m, F.col("ci_lower"))).alias(f"{m}_ci_lower"),
+                 F.max(F.when(F.col("metric") == m, F.col("ci_upper"))).alias(f"{m}_ci_upper")]
+    return ci_long.groupBy(group).agg(*cols)
+
+
+# ------------------------------------------------- resampling by index
+
+def _interval(df: DataFrame, group: str, value: str, level: float, prefix: str) -> DataFrame:
+    lo, hi = (1 - level) / 2, (1 + level) / 2
+    p = F.percentile(F.col(value), F.array(F.lit(lo), F.lit(hi)))
+    return (df.groupBy(group).agg(p.alias("_p"))
+            .select(group, F.col("_p")[0].alias(f"{prefix}ci_lower"),
+                    F.col("_p")[1].alias(f"{prefix}ci_upper")))
+
+
+def hash_index(key: Column, n: Column) -> Column:
+    """First 32 bits of ``md5(key)`` modulo ``n``."""
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), n)
+
+
+def hashed_resample_ci(samples: DataFrame, group: str, order: Sequence[str],
+                       replicates: int = 10, level: float = K.BOOTSTRAP_LEVEL,
+                       prefix: str = "") -> DataFrame:
+    """Percentile CI of the mean per group from md5-drawn resamples.
+
+    Samples are numbered 0..n-1 per group along ``order``; resample ``rep``
+    fills slot ``i`` with sample ``md5(group|rep|i) mod n``.
+    """
+    s = samples.select(group, "score", *order)
+    # Numbering per group: cells (group, first order column) are small, so
+    # the nested rank needs no global sort even for a hot group.
+    numbered = nested_rank(s, [group], [order[0]], list(order[1:]) or [order[0]], out="_idx")
+    numbered = numbered.select(group, "score", (F.col("_idx") - 1).cast("bigint").alias("_idx"))
+    sizes = s.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep")
+    key = F.concat_ws("|", F.col(group).cast("string"), F.col("_rep").cast("string"),
+                      F.col("_idx").cast("string"))
+    draws = (numbered.select(group, "_idx").join(sizes, group)
+             .select(group, "_idx", "_n", rep)
+             .select(group, "_rep", hash_index(key, F.col("_n")).alias("_pick")))
+    picked = draws.join(numbered.withColumnRenamed("_idx", "_pick"), [group, "_pick"])
+    means = picked.groupBy(group, "_rep").agg(F.avg("score").alias("_mean"))
+    return _interval(means, group, "_mean", level, prefix)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.ordered import global_rank
+from .bootstrap import metric_intervals, wide_intervals
 
 ORIGINS = ["human", "machine"]
 
@@ -70,7 +71,7 @@ def machine_flags(results: DataFrame, metrics: Sequence[str] = K.AVERAGED_METRIC
     return r.groupBy("model").agg(*cols)
 
 
-MODEL_META = ["name", "provider_name", "creation_date", "type", "cost"]
+MODEL_META = ["name", "provider_name", "creation_date", "type", "cost", "hf_id", "size", "license"]
 
 
 def rank_models(scores: DataFrame, models: DataFrame, meta: Sequence[str] = MODEL_META) -> DataFrame:
@@ -87,14 +88,27 @@ def model_table(results: DataFrame, models: DataFrame,
     return t.select("rank", "model", *MODEL_META, "average", *sorted(metrics))
 
 
+def full_model_table(results: DataFrame, detailed: DataFrame, models: DataFrame,
+                     metrics: Sequence[str] = K.AVERAGED_METRICS) -> DataFrame:
+    """The model table with everything a reader sees at once: metadata, means
+    overall and by origin, machine flags, and intervals per metric and for
+    the average (H1-H8, H14, H15)."""
+    by_origin = model_scores(results, metrics, with_origin=True).drop("average", *metrics)
+    intervals = wide_intervals(metric_intervals(detailed, "model", metrics), "model", metrics)
+    return (model_table(results, models, metrics).join(by_origin, "model", "left")
+            .join(machine_flags(results, metrics), "model", "left").join(intervals, "model", "left"))
+
+
 def language_table(results: DataFrame, detailed: DataFrame, languages: DataFrame,
                    metrics: Sequence[str] = K.AVERAGED_METRICS) -> DataFrame:
     """Language leaderboard.
 
     Metric means come from *all* detailed samples (as the intervals do); the
     ``_origin`` columns are the first origin per metric in results order
-    (model id order).  Languages without scores stay, scores without a
-    language row stay (full outer join).
+    (model id order).  A language of the results gets the means of all its
+    samples; a language that has samples but no published result has none.
+    Languages without scores stay, scores without a language row stay (full
+    outer join).
     """
     r = with_task_metric(results)
     origins = r.groupBy("bcp_47").agg(*[
@@ -102,7 +116,7 @@ def language_table(results: DataFrame, detailed: DataFrame, languages: DataFrame
                  F.when(F.col("task_metric") == m, F.col("model"))).alias(f"{m}_origin")
         for m in metrics])
     means = pivot_agg(with_task_metric(detailed), ["bcp_47"], "task_metric", metrics)
-    scores = means.join(origins, "bcp_47", "full")
+    scores = origins.join(means, "bcp_47", "left")
     lang_cols = [c for c in ["language_name", "autonym", "speakers", "family", "in_benchmark"]
                  if c in languages.columns]
     t = languages.select("bcp_47", *lang_cols).join(scores, "bcp_47", "full")
@@ -111,13 +125,19 @@ def language_table(results: DataFrame, detailed: DataFrame, languages: DataFrame
 
 
 def select_languages(df: DataFrame, selected: DataFrame | None) -> DataFrame:
-    """Keep rows of the selected languages; no selection keeps everything.
-
-    The selection is a user-given list, so its size is bounded by the request.
-    """
+    """Keep rows of the selected languages; no selection, or an empty one,
+    keeps everything (H12).  Spark broadcasts the selection if it is small."""
     if selected is None:
         return df
-    return df.join(F.broadcast(selected.select("bcp_47").distinct()), "bcp_47", "left_semi")
+    chosen = selected.select(F.col("bcp_47").alias("_selected")).distinct()
+    n = chosen.agg(F.count(F.lit(1))).scalar()
+    return (df.join(chosen, F.col("bcp_47") == F.col("_selected"), "left")
+            .where(F.col("_selected").isNotNull() | (n == 0)).drop("_selected"))
+
+
+def by_speakers(table: DataFrame) -> DataFrame:
+    """A language table in display order: most speakers first."""
+    return table.orderBy(F.col("speakers").desc_nulls_last(), F.col("bcp_47"))
 
 
 def machine_metrics(results: DataFrame) -> DataFrame:

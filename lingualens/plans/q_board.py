@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import countries, leaderboard as lb
 from .oracle import pivot_cols, strict_avg
+from .q_stats import long_ci_ctes
 from .registry import query
 
 M = K.AVERAGED_METRICS
@@ -20,8 +21,8 @@ SELECT *, {strict_avg(M)} AS average FROM (
   SELECT model, {pivot_cols(M)} FROM results_tm GROUP BY model) t""")
 
 _BOARD_SELECT = f"""
-SELECT CAST(row_number() OVER (ORDER BY average DESC NULLS LAST, sc.model) AS INTEGER) AS rank,
-  sc.model, m.name, m.provider_name, m.creation_date, m.type, m.cost, average, {", ".join(MS)}
+SELECT row_number() OVER (ORDER BY average DESC NULLS LAST, sc.model) AS rank,
+  sc.model, m.name, m.provider_name, m.creation_date, m.type, m.cost, m.hf_id, m.size, m.license, average, {", ".join(MS)}
 FROM sc LEFT JOIN models m ON m.id = sc.model"""
 
 
@@ -42,6 +43,23 @@ def model_origin_pivot(ctx):
     return lb.model_scores(ctx.results, with_origin=True)
 
 
+_O = [f"{m}_{o}" for m in M for o in lb.ORIGINS]
+_CI = [f"{m}_ci_{e}" for m in [*M, "average"] for e in ("lower", "upper")]
+
+
+@query("full_model_table", ["results_tm", "models", "kl_tm"], f"""
+SELECT b.*, {", ".join(_O)}, {", ".join(f"{m}_contains_machine" for m in M)}, {", ".join(_CI)}
+FROM ({_BOARD_SELECT}) b
+JOIN (SELECT model, {", ".join(f"avg(score) FILTER (WHERE task_metric_origin = '{c}') AS {c}" for c in _O)},
+        {", ".join(f"coalesce(bool_or(origin = 'machine') FILTER (WHERE task_metric = '{m}'), false) AS {m}_contains_machine" for m in M)}
+      FROM results_tm GROUP BY model) o ON o.model = b.model
+LEFT JOIN (SELECT model, {", ".join(f"max(ci_{e}) FILTER (WHERE metric = '{m}') AS {m}_ci_{e}" for m in [*M, "average"] for e in ("lower", "upper"))}
+      FROM ci_long GROUP BY model) i ON i.model = b.model""", [_SCORES, *long_ci_ctes("model")])
+def full_model_table(ctx):
+    """The model table with origins, flags and intervals."""
+    return lb.full_model_table(ctx.results, ctx.detailed, ctx.models)
+
+
 @query("machine_flags", ["results_tm"], "SELECT model, " + ", ".join(
     f"coalesce(bool_or(origin = 'machine') FILTER (WHERE task_metric = '{m}'), false) "
     f"AS {m}_contains_machine" for m in M) + " FROM results_tm GROUP BY model")
@@ -55,18 +73,18 @@ _LANG_CTES = [
     ("origins", "SELECT bcp_47, " + ", ".join(
         f"arg_min(origin, model) FILTER (WHERE task_metric = '{m}') AS {m}_origin" for m in M)
      + " FROM results_tm GROUP BY bcp_47"),
-    ("lsc", "SELECT * FROM means FULL JOIN origins USING (bcp_47)"),
+    ("lsc", "SELECT * FROM origins LEFT JOIN means USING (bcp_47)"),
 ]
 _LANG_SELECT = f"""
-SELECT coalesce(l.bcp_47, lsc.bcp_47) AS bcp_47, l.language_name, l.speakers, l.family, l.in_benchmark,
+SELECT coalesce(l.bcp_47, lsc.bcp_47) AS bcp_47, l.language_name, l.autonym, l.speakers, l.family, l.in_benchmark,
   {strict_avg(M)} AS average, {", ".join(MS)}, {", ".join(f"{m}_origin" for m in MS)}
 FROM languages l FULL JOIN lsc ON l.bcp_47 = lsc.bcp_47"""
 
 
 @query("language_table", ["kl_tm", "results_tm", "languages"], _LANG_SELECT, _LANG_CTES)
 def language_table(ctx):
-    """Language leaderboard, all-sample means, first origins."""
-    return lb.language_table(ctx.results, ctx.detailed, ctx.languages)
+    """Language leaderboard, all-sample means, first origins, by speakers."""
+    return lb.by_speakers(lb.language_table(ctx.results, ctx.detailed, ctx.languages))
 
 
 @query("selected_language_leaderboard", ["results_tm", "models"], _BOARD_SELECT, [

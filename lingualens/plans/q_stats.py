@@ -11,53 +11,78 @@ from .registry import query
 
 M = K.AVERAGED_METRICS
 T = cor.CORRELATION_TASKS
-ORACLE_REPLICATES = 10
 HIGHLIGHTED = ["NATION_1", "NATION_2", "NATION_3"]
-_ORDER = ["bcp_47", "task", "sentence_nr"]
-
-
-def _hashed_ci_sql(src_filter: str, prefix: str) -> tuple[list, str]:
-    ctes = [
-        ("s", f"""SELECT model, score,
-              row_number() OVER (PARTITION BY model ORDER BY bcp_47, task, sentence_nr) - 1 AS idx,
-              count(*) OVER (PARTITION BY model) AS n
-            FROM kl_tm WHERE {src_filter}"""),
-        ("r", f"SELECT * FROM range(0, {ORACLE_REPLICATES}) t(rep)"),
-        ("draws", """SELECT s.model, r.rep,
-              CAST(('0x' || substr(md5(s.model || '|' || CAST(r.rep AS VARCHAR) || '|' || CAST(s.idx AS VARCHAR)), 1, 8)) AS BIGINT) % s.n AS pick
-            FROM s, r"""),
-        ("means", """SELECT d.model, d.rep, avg(s.score) AS m
-            FROM draws d JOIN s ON s.model = d.model AND s.idx = d.pick GROUP BY d.model, d.rep"""),
+B = K.BOOTSTRAP_REPLICATES
+_METRICS = ", ".join(f"'{m}'" for m in M)
+
+
+def ci_ctes(source: str, name: str = "ci") -> list[tuple[str, str]]:
+    """CTEs of a B = 1000 Poisson bootstrap over ``source`` (grp, score):
+    ``{name}`` has grp, ci_lower, ci_upper.
+
+    Each shift-and-multiply step of the hash is a column of its own, and the
+    Poisson weight is the first table entry at or above the uniform.
+    """
+    mask = "4294967295"
+    return [
+        (f"{name}_bins", f"""SELECT grp, score, count(*) AS n,
+            ('0x' || substr(md5(grp || '|' || CAST(CAST(round(score * 1e9) AS BIGINT) AS VARCHAR) || '|{K.BOOTSTRAP_SEED}'), 1, 8))::BIGINT AS seed
+          FROM ({source}) WHERE score IS NOT NULL GROUP BY grp, score"""),
+        (f"{name}_s1", f"SELECT *, (xor(seed, seed >> 16)::HUGEINT * {bs.FMIX[0]} % 4294967296)::BIGINT AS a FROM {name}_bins"),
+        (f"{name}_s2", f"SELECT *, (xor(a, a >> 13)::HUGEINT * {bs.FMIX[1]} % 4294967296)::BIGINT AS b FROM {name}_s1"),
+        (f"{name}_s3", f"""SELECT grp, score, n, rep, xor(xor(b, b >> 16), ((rep + 1) * {bs.STEP}) & {mask}) AS x
+          FROM {name}_s2, range(0, {B}) t(rep)"""),
+        (f"{name}_s4", f"SELECT grp, score, n, rep, (xor(x, x >> 16)::HUGEINT * {bs.FMIX[0]} % 4294967296)::BIGINT AS a FROM {name}_s3"),
+        (f"{name}_s5", f"SELECT grp, score, n, rep, (xor(a, a >> 13)::HUGEINT * {bs.FMIX[1]} % 4294967296)::BIGINT AS b FROM {name}_s4"),
+        (f"{name}_u", f"SELECT grp, score, n, rep, (xor(b, b >> 16) + 0.5e0) / 4294967296e0 AS u FROM {name}_s5"),
+        (f"{name}_k", f"""SELECT n, unnest(range(greatest(0, trunc(n - 12 * sqrt(n) - 10)::BIGINT), trunc(n + 12 * sqrt(n) + 10)::BIGINT + 1)) AS k
+          FROM (SELECT DISTINCT n FROM {name}_bins)"""),
+        (f"{name}_l", f"""SELECT n, k, sum(CASE WHEN first THEN 0e0 ELSE ln(n) - ln(k) END) OVER (PARTITION BY n ORDER BY k) AS logp
+          FROM (SELECT n, k, k = min(k) OVER (PARTITION BY n) AS first FROM {name}_k)"""),
+        (f"{name}_p", f"SELECT n, k, exp(logp - max(logp) OVER (PARTITION BY n)) AS p FROM {name}_l"),
+        (f"{name}_c", f"""SELECT n, k, sum(p) OVER (PARTITION BY n ORDER BY k) / sum(p) OVER (PARTITION BY n) AS hi FROM {name}_p"""),
+        (f"{name}_m", f"""SELECT grp, rep, sum(w * score) / nullif(sum(w), 0) AS m FROM (
+            SELECT u.grp, u.rep, u.score, c.k AS w FROM {name}_u u ASOF JOIN {name}_c c ON u.n = c.n AND u.u <= c.hi)
+          GROUP BY grp, rep"""),
+        (name, f"""SELECT grp, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper
+          FROM {name}_m GROUP BY grp"""),
     ]
-    body = f"""SELECT model, quantile_cont(m, 0.025) AS {prefix}ci_lower,
-      quantile_cont(m, 0.975) AS {prefix}ci_upper FROM means GROUP BY model"""
-    return ctes, body
 
 
-_ACC_CTES, _ACC_BODY = _hashed_ci_sql("metric = 'accuracy'", "")
-_AVG_CTES, _AVG_BODY = _hashed_ci_sql(
-    "task_metric IN (" + ", ".join(f"'{m}'" for m in M) + ")", "average_")
+def long_ci_ctes(group: str, name: str = "ci", source: str = "kl_tm") -> list[tuple[str, str]]:
+    """Intervals per group and metric and for the pooled average: ``{name}_long``."""
+    src = (f"SELECT {group} || chr(1) || task_metric AS grp, score FROM {source} WHERE task_metric IN ({_METRICS}) "
+           f"UNION ALL SELECT {group} || chr(1) || 'average', score FROM {source} WHERE task_metric IN ({_METRICS})")
+    return [*ci_ctes(src, name), (f"{name}_long", f"""SELECT split_part(grp, chr(1), 1) AS {group}, split_part(grp, chr(1), 2) AS metric,
+        ci_lower, ci_upper FROM {name}""")]
 
 
-@query("bootstrap_ci", ["kl_tm"], _ACC_BODY, _ACC_CTES)
+@query("bootstrap_ci", ["kl_tm"], "SELECT grp AS model, ci_lower, ci_upper FROM ci",
+       ci_ctes("SELECT model AS grp, score FROM kl_tm WHERE metric = 'accuracy'"))
 def bootstrap_ci(ctx):
-    """Per-model CI of accuracy rows, md5-drawn resamples (10 replicates)."""
-    acc = ctx.detailed.where(F.col("metric") == "accuracy")
-    return bs.hashed_resample_ci(acc, "model", _ORDER, ORACLE_REPLICATES)
+    """Per-model CI of accuracy rows, B = 1000."""
+    return bs.poisson_bootstrap_ci(ctx.detailed.where(F.col("metric") == "accuracy"), "model")
 
 
-@query("bootstrap_ci_pooled", ["kl_tm"], _AVG_BODY, _AVG_CTES)
+@query("bootstrap_ci_pooled", ["kl_tm"],
+       "SELECT grp AS model, ci_lower AS average_ci_lower, ci_upper AS average_ci_upper FROM ci",
+       ci_ctes(f"SELECT model AS grp, score FROM kl_tm WHERE task_metric IN ({_METRICS})"))
 def bootstrap_ci_pooled(ctx):
-    """Per-model CI of the six averaged metrics pooled."""
+    """Per-model CI of the six averaged metrics pooled, B = 1000."""
     d = ctx.detailed.where(F.concat_ws("_", "task", "metric").isin(M))
-    return bs.hashed_resample_ci(d, "model", _ORDER, ORACLE_REPLICATES, prefix="average_")
+    return bs.poisson_bootstrap_ci(d, "model", prefix="average_")
 
 
-@query("bootstrap_ci_full")
+@query("bootstrap_ci_full", ["kl_tm"], "SELECT * FROM ci_long", long_ci_ctes("model"))
 def bootstrap_ci_full(ctx):
-    """B=1000 Poisson-bootstrap CIs per model and metric plus the pooled
-    average (rows-only: draws are hash-seeded, not comparable by SQL)."""
-    return bs.metric_intervals(ctx.detailed, "model", method="poisson")
+    """CIs per model and metric plus the pooled average, B = 1000."""
+    return bs.metric_intervals(ctx.detailed, "model")
+
+
+@query("bootstrap_ci_language", ["kl_tm"], "SELECT * FROM ci_long", long_ci_ctes("bcp_47"))
+def bootstrap_ci_language(ctx):
+    """CIs per language and metric plus the pooled average, B = 1000."""
+    return bs.metric_intervals(ctx.detailed, "bcp_47")
 
 
 # ------------------------------------------------------------------ correlation
