@@ -102,12 +102,11 @@ def nested_rank(df: DataFrame, group: Sequence[str], coarse: Sequence[str],
     inside = Window.partitionBy(*cell).orderBy(*_as_cols(fine))
     numbered = df.withColumn("_rn", F.row_number().over(inside))
     return (numbered.join(offsets, cell)
-            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("int"))
+            .withColumn(out, (F.col("_off") + F.col("_rn")))
             .drop("_off", "_rn"))
 
 
 def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank",
                 partition_by: Sequence[str] = ()) -> DataFrame:
     """``row_number()`` over a total order (per group), computed distributed."""
-    r = running(df, order, F.lit(1).cast("long"), "sum", out, partition_by)
-    return r.withColumn(out, F.col(out).cast("int"))
+    return running(df, order, F.lit(1).cast("long"), "sum", out, partition_by)

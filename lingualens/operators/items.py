@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.ordered import global_rank, running
 from ..functions.topk import top_k_per_group
+from .scoring import strip_ws
 
 # --- fixed values -----------------------------------------------------------
 CLASSIFY_PROMPT = ("Classify the following text into one of these topics: {topics}.\n"
@@ -24,11 +25,17 @@ TRUTHFULQA_PROMPT = ("Answer the following multiple choice question. Reason step
                      "and then write the final answer as a single letter.\n\n{question}\n\n{choices}")
 TRANSLATE_PROMPT = ("Translate the following text to the {language} language; use the {script} "
                     "script; reply only with the translation:\n\n{text}")
+ANSWER_FORMAT = "Response format:<reasoning>...</reasoning><final_answer>...</final_answer>"
+MULTIPLE_CHOICE_PROMPT = ("Solve the following multiple choice question. Reason step-by-step and then write the "
+                          "final answer as a single letter.\n\n\n{format}\n\n---\n\n{question}\n\n"
+                          "A: {a}\nB: {b}\nC: {c}\nD: {d}")
+MATH_PROMPT = ("Solve the following math problem. Reason step-by-step and then write the final answer as a "
+               "single number.\n\n{format}\n\n---\n\n{question}")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # ---------------------------------------------------------------------------
 
 HUMAN_RANKS = (0, 1)
-MACHINE_RANK = 2
+MACHINE_RANK = 2  # and any later rank
 
 
 def md5_order(*parts: Column) -> Column:
@@ -42,7 +49,7 @@ def md5_uniform(*parts: Column) -> Column:
 
 
 def origin_of(rank: Column) -> Column:
-    return F.when(rank == MACHINE_RANK, "machine").otherwise("human")
+    return F.when(rank >= MACHINE_RANK, "machine").otherwise("human")
 
 
 def source_priority(items: DataFrame, ranks: Sequence[int] = (0, 1, 2)) -> DataFrame:
@@ -60,16 +67,17 @@ def rotating_items(items: DataFrame, chosen: DataFrame,
     """Item ``nr`` of a language: category = sorted categories[nr mod n],
     then the nr-th item of that category in the chosen source (E2).
 
-    A sample number past the end of its category has no item.
+    The categories are those of the first source.  A sample number past the
+    end of its category has no item.  Only the ``n_sentences`` smallest
+    categories and the first ``n_sentences`` items of a category can be asked
+    for, so both are top-k selections, not numberings of the whole table.
     """
-    cats = items.select("subject").distinct()
+    cats = items.where(F.col("source_rank") == 0).select("subject").distinct()
     n_cat = cats.agg(F.count(F.lit(1))).scalar()
-    ranked = global_rank(cats, ["subject"], out="cat_pos")
+    ranked = top_k_per_group(cats.withColumn("_all", F.lit(0)), ["_all"], [F.col("subject")], n_sentences,
+                             out="cat_pos").drop("_all")
     pool = items.join(chosen.select("bcp_47", "source_rank"), ["bcp_47", "source_rank"], "left_semi")
-    numbered = global_rank(pool.select("bcp_47", "source_rank", "subject", "doc_id"), ["doc_id"],
-                           out="_i", partition_by=["bcp_47", "source_rank", "subject"])
-    numbered = numbered.select("bcp_47", "source_rank", "subject", "doc_id",
-                               (F.col("_i") - 1).alias("sentence_nr"))
+    numbered = first_items(pool, ["bcp_47", "source_rank", "subject"], n_sentences)
     grid = chosen.select("bcp_47", "source_rank", "origin",
                          F.explode(F.sequence(F.lit(0), F.lit(n_sentences - 1))).alias("sentence_nr"))
     grid = grid.withColumn("cat_pos", (F.pmod(F.col("sentence_nr"), n_cat) + 1).cast("int"))
@@ -78,8 +86,16 @@ def rotating_items(items: DataFrame, chosen: DataFrame,
             .select("bcp_47", "sentence_nr", "subject", "doc_id", "origin"))
 
 
+def first_items(items: DataFrame, group: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` items of each group by id, numbered from 0."""
+    top = top_k_per_group(items.select(*group, "doc_id"), group, [F.col("doc_id")], n, out="_i")
+    return top.select(*group, "doc_id", (F.col("_i") - 1).alias("sentence_nr"))
+
+
 def common_items(items: DataFrame, seed: int = K.BOOTSTRAP_SEED) -> DataFrame:
-    """Ids present in every language, in a seeded shuffled order."""
+    """Ids present in the human set of every language that has one, in a
+    seeded shuffled order (E3)."""
+    items = items.where(F.col("source_rank").isin(*HUMAN_RANKS))
     n_lang = items.agg(F.countDistinct("bcp_47")).scalar()
     common = (items.groupBy("item_id").agg(F.countDistinct("bcp_47").alias("_n"))
               .where(F.col("_n") == n_lang).select("item_id"))
@@ -89,11 +105,15 @@ def common_items(items: DataFrame, seed: int = K.BOOTSTRAP_SEED) -> DataFrame:
 
 def items_by_common_id(items: DataFrame, common: DataFrame,
                        n_sentences: int = K.N_SENTENCES) -> DataFrame:
-    """Sample nr of a language = the nr-th common id, from its best source:
-    human set first, else machine (E4)."""
+    """Sample nr of a language = the nr-th common id, from the language's
+    source: the human set if the language has one, else the machine
+    translations; an id that this source lacks gives no item (E4)."""
     ids = common.where(F.col("position") <= n_sentences).select(
         "item_id", (F.col("position") - 1).alias("sentence_nr"))
-    cand = items.where(F.col("source_rank").isin(0, 1, 2)).join(ids, "item_id")
+    some = items.where(F.col("source_rank").isin(*HUMAN_RANKS, MACHINE_RANK))
+    human = F.col("source_rank").isin(*HUMAN_RANKS)
+    has = some.groupBy("bcp_47").agg(F.bool_or(human).alias("_human"))
+    cand = some.join(has, "bcp_47").where(human == F.col("_human")).join(ids, "item_id")
     best = cand.groupBy("bcp_47", "sentence_nr").agg(
         F.min(F.struct("source_rank", "doc_id", "item_id")).alias("_b"))
     return best.select("bcp_47", "sentence_nr", F.col("_b.item_id").alias("item_id"),
@@ -102,18 +122,13 @@ def items_by_common_id(items: DataFrame, common: DataFrame,
                        origin_of(F.col("_b.source_rank")).alias("origin"))
 
 
-def first_source_in_range(items: DataFrame, n_sentences: int = K.N_SENTENCES) -> DataFrame:
-    """Sample nr from the first source (by priority) that has more than nr
-    items; none if no source does (E6)."""
-    numbered = global_rank(items.select("bcp_47", "source_rank", "doc_id"), ["doc_id"], out="_i",
-                           partition_by=["bcp_47", "source_rank"])
-    numbered = numbered.select("bcp_47", "source_rank", "doc_id",
-                               (F.col("_i") - 1).alias("sentence_nr"))
-    wanted = numbered.where(F.col("sentence_nr") < n_sentences)
-    best = wanted.groupBy("bcp_47", "sentence_nr").agg(
-        F.min(F.struct("source_rank", "doc_id")).alias("_b"))
-    return best.select("bcp_47", "sentence_nr", F.col("_b.source_rank").alias("source_rank"),
-                       F.col("_b.doc_id").alias("doc_id"))
+def first_source_items(items: DataFrame, n_sentences: int = K.N_SENTENCES) -> DataFrame:
+    """Sample nr from the first source (by priority) that has the language;
+    past that source's end there is no item (E6)."""
+    first = items.groupBy("bcp_47").agg(F.min("source_rank").alias("source_rank"))
+    pool = items.join(first, ["bcp_47", "source_rank"], "left_semi")
+    return (first_items(pool, ["bcp_47", "source_rank"], n_sentences)
+            .withColumn("origin", origin_of(F.col("source_rank"))))
 
 
 def answer_after_marker(text: Column, marker: str = "####") -> Column:
@@ -194,37 +209,48 @@ def weighted_sample(langs: DataFrame, weight: str, seed: int = K.BOOTSTRAP_SEED)
     """As many weighted draws with replacement as there are languages.
 
     Each language owns the interval [cum - w, cum) of the running weight
-    total; draw k is ``md5(seed|k)`` scaled to the total and range-joined to
-    the intervals.  Both sides are at language grain.
+    total; draw k (one per language, numbered in code order) is
+    ``md5(seed|k)`` scaled to the total.  Draws meet intervals by an
+    equi-join on equal-width cells of [0, 1), as many as languages: the
+    intervals cover at most twice that many cells.
     """
     w = langs.select("bcp_47", F.col(weight).cast("double").alias("_w"))
-    cum = running(w, ["bcp_47"], F.col("_w"), "sum", "_hi")
+    one = F.lit(1).cast("long")
+    cum = running(running(w, ["bcp_47"], F.col("_w"), "sum", "_hi"), ["bcp_47"], one, "sum", "_k")
     total = w.agg(F.sum("_w")).scalar()
     n = w.agg(F.count(F.lit(1))).scalar()
-    iv = cum.select("bcp_47", ((F.col("_hi") - F.col("_w")) / total).alias("lo"),
-                    (F.col("_hi") / total).alias("hi"))
-    draws = (w.limit(1).select(F.explode(F.sequence(F.lit(0), n - 1)).alias("draw"))
-             .withColumn("u", md5_uniform(F.lit(seed), F.col("draw"))))
-    return (draws.join(F.broadcast(iv), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-            .select("draw", "bcp_47"))
+    cell = lambda x: F.least(F.floor(x * n), n - 1)
+    iv = cum.select("bcp_47", ((F.col("_hi") - F.col("_w")) / total).alias("lo"), (F.col("_hi") / total).alias("hi"))
+    iv = iv.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    draws = (cum.select((F.col("_k") - 1).alias("draw")).withColumn("u", md5_uniform(F.lit(seed), F.col("draw")))
+             .withColumn("cell", cell(F.col("u"))))
+    return (draws.join(iv, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+            .select(F.col("draw").cast("int").alias("draw"), "bcp_47"))
 
 
-def numbered_sentences(sentences: DataFrame) -> DataFrame:
-    """Sentence number per language in position order (0-based)."""
-    r = global_rank(sentences.select("bcp_47", "pos", "text"), ["pos"], out="_i",
-                    partition_by=["bcp_47"])
-    return r.select("bcp_47", (F.col("_i") - 1).alias("sentence_nr"), "text")
+def numbered_sentences(sentences: DataFrame, n: int = K.N_SENTENCES) -> DataFrame:
+    """The first ``n`` sentences per language in position order (from 0).
+    Texts are joined to the chosen positions only."""
+    top = top_k_per_group(sentences.select("bcp_47", "pos"), ["bcp_47"], [F.col("pos")], n, out="_i")
+    return (sentences.select("bcp_47", "pos", "text").join(top, ["bcp_47", "pos"])
+            .select("bcp_47", (F.col("_i") - 1).alias("sentence_nr"), "text"))
 
 
 def parallel_pairs(sentences: DataFrame, targets: DataFrame,
                    n_sentences: int = K.N_SENTENCES) -> DataFrame:
-    """Source and target sentence nr for each language, target language =
-    draw nr of the weighted sample; missing sentences drop the pair (E12)."""
-    num = numbered_sentences(sentences).where(F.col("sentence_nr") < n_sentences)
-    t = targets.select(F.col("draw").alias("sentence_nr"), F.col("bcp_47").alias("target"))
-    src = num.select("bcp_47", "sentence_nr", F.col("text").alias("source_text"))
-    tgt = num.select(F.col("bcp_47").alias("target"), "sentence_nr", F.col("text").alias("target_text"))
-    return src.join(t, "sentence_nr").join(tgt, ["target", "sentence_nr"])
+    """Source and target sentence nr for each language and both directions,
+    the other language = draw nr of the weighted sample: ``from`` translates
+    the language into it, ``to`` the other way round; missing sentences drop
+    the pair (E12)."""
+    num = numbered_sentences(sentences, n_sentences)
+    t = targets.select(F.col("draw").alias("sentence_nr"), F.col("bcp_47").alias("other"))
+    own = num.select("bcp_47", "sentence_nr", F.col("text").alias("own_text"))
+    oth = num.select(F.col("bcp_47").alias("other"), "sentence_nr", F.col("text").alias("other_text"))
+    j = own.join(t, "sentence_nr").join(oth, ["other", "sentence_nr"])
+    side = lambda mode, target, a, b: F.struct(
+        F.lit(mode).alias("mode"), F.col(target).alias("target"), F.col(a).alias("source_text"), F.col(b).alias("target_text"))
+    both = F.array(side("from", "other", "own_text", "other_text"), side("to", "bcp_47", "other_text", "own_text"))
+    return j.select("bcp_47", "other", "sentence_nr", F.explode(both).alias("_s")).select("bcp_47", "other", "sentence_nr", "_s.*")
 
 
 def paragraph_topics(sentences: DataFrame) -> DataFrame:
@@ -275,6 +301,40 @@ def multiple_choice_requests(items: DataFrame) -> DataFrame:
         F.lit(0).alias("sentence_nr"), prompt.alias("prompt"))
 
 
+def _fill(template: str, **parts: Column) -> Column:
+    """The template with its placeholders (each once, in any order) replaced."""
+    out, rest = [], template
+    for name, c in sorted(parts.items(), key=lambda kv: template.index("{" + kv[0] + "}")):
+        head, rest = rest.split("{" + name + "}", 1)
+        out += [F.lit(head), c]
+    return F.concat(*out, F.lit(rest))
+
+
+def four_choice_requests(items: DataFrame, task: str) -> DataFrame:
+    """MMLU- or ARC-style prompt of items with a question and four choices."""
+    ch = [F.element_at("choices", i) for i in range(1, 5)]
+    prompt = _fill(MULTIPLE_CHOICE_PROMPT, format=F.lit(ANSWER_FORMAT), question=F.col("question"),
+                   a=ch[0], b=ch[1], c=ch[2], d=ch[3])
+    return items.where(F.size("choices") >= 4).select(
+        F.lit(task).alias("task"), "item_key", "sentence_nr", prompt.alias("prompt"))
+
+
+def math_requests(items: DataFrame) -> DataFrame:
+    """Math prompt of items with a question."""
+    prompt = _fill(MATH_PROMPT, format=F.lit(ANSWER_FORMAT), question=F.col("question"))
+    return items.select(F.lit("mgsm").alias("task"), "item_key", "sentence_nr", prompt.alias("prompt"))
+
+
+def translation_requests(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Translation prompt per pair and direction (E13).  ``names``: bcp_47,
+    language_name and script of the target."""
+    n = names.select(F.col("bcp_47").alias("target"), "language_name", "script")
+    prompt = _fill(TRANSLATE_PROMPT, language=F.col("language_name"), script=F.col("script"), text=strip_ws(F.col("source_text")))
+    return pairs.join(n, "target").select(
+        F.concat(F.lit("translation_"), F.col("mode")).alias("task"), F.col("bcp_47").alias("item_key"),
+        "sentence_nr", prompt.alias("prompt"))
+
+
 def shuffled_choices(items: DataFrame, seed: int = K.BOOTSTRAP_SEED) -> DataFrame:
     """Choices and labels shuffled together by a seeded per-item order."""
     zipped = F.arrays_zip(F.col("choices").alias("c"), F.col("labels").alias("l"),
@@ -292,17 +352,16 @@ def translation_worklist(items: DataFrame, supported: DataFrame, per_category: i
     """Supported languages without a human-translated set (E15), each paired
     with up to ``per_category`` original items per category (E16).
 
-    The sample is bounded by ``per_category`` x categories, so it is passed
-    as one array (a scalar subquery) and exploded per language -- a bounded
-    fan-out, not a join.
+    The originals are the English items of the first source.  A language
+    has the positions 1 to ``per_category``; these meet the sample by an
+    equi-join, so the sample stays off the driver.
     """
     human = items.where(F.col("source_rank").isin(*HUMAN_RANKS)).select("bcp_47")
     todo = supported.select("bcp_47").join(human, "bcp_47", "left_anti")
-    pool = items.where(F.col("source_rank") == 0).select("subject", "doc_id")
+    pool = items.where((F.col("source_rank") == 0) & (F.col("bcp_47") == "en")).select("subject", "doc_id")
     sample = top_k_per_group(pool, ["subject"], [F.col("doc_id")], per_category)
-    arr = sample.agg(F.collect_list(F.struct("subject", "doc_id", "pos"))).scalar()
-    return (todo.select("bcp_47", F.explode(arr).alias("_s"))
-            .select("bcp_47", "_s.subject", "_s.doc_id", "_s.pos"))
+    places = todo.select("bcp_47", F.explode(F.sequence(F.lit(1), F.lit(per_category))).alias("pos"))
+    return places.join(sample, "pos").select("bcp_47", "subject", "doc_id", "pos")
 
 
 def regroup_choices(conversations: DataFrame, size: int = 4) -> DataFrame:
@@ -313,6 +372,22 @@ def regroup_choices(conversations: DataFrame, size: int = 4) -> DataFrame:
     return flat.groupBy("conv_id", chunk.alias("chunk")).agg(ordered.alias("choices"))
 
 
+def category_counts(items: DataFrame) -> DataFrame:
+    """Items and languages of each source and category, and how many sources
+    have the category (E18)."""
+    per = items.groupBy("source_rank", "subject").agg(
+        F.count(F.lit(1)).alias("n_items"), F.countDistinct("bcp_47").alias("n_languages"))
+    wide = per.groupBy("subject").agg(F.count(F.lit(1)).alias("n_sources"))
+    return per.join(wide, "subject")
+
+
+def sources_per_language(items: DataFrame) -> DataFrame:
+    """Sources, items and categories that each language has."""
+    return items.groupBy("bcp_47").agg(
+        F.sort_array(F.collect_set("source_rank")).alias("sources"), F.count(F.lit(1)).alias("n_items"),
+        F.countDistinct("subject").alias("n_subjects"))
+
+
 def dataset_coverage(items: DataFrame, sources: Sequence[int] = (0, 1, 2, 3)) -> DataFrame:
     """Per source: subjects, items, languages, and the languages it misses
     that other sources have (E18)."""

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 THINK_BLOCK = r"(?d)<think>.*</think>"
 THINK_TAG = "<think>"
 FINAL_ANSWER = r"(?d)<final_answer>(.*)</final_answer>"
+# White space of every script: what Python's str.strip() and \s take.
+WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Word tokens for BLEU/WER: letter/digit runs, or single other non-space chars.
-WORD_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+WORD_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + WS + "]"
 BLEU_MAX_ORDER = 4
 CHRF_CHAR_ORDER = 6
 CHRF_BETA = 2.0
@@ -29,8 +31,8 @@ CHRF_BETA = 2.0
 
 
 def strip_ws(c: Column) -> Column:
-    """Trim leading and trailing whitespace (not only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim leading and trailing whitespace of any script."""
+    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
 
 
 def clean_response(c: Column) -> Column:
@@ -93,7 +95,7 @@ def char_tokens(c: Column) -> Column:
 
 
 def no_space(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), f"[{WS}]+", "")
 
 
 # Overlapping n-grams come straight from one built-in regex call per order
@@ -242,14 +244,17 @@ def metric_fanout(df: DataFrame, metrics: Sequence[str], shared: Sequence[str])
 
 
 def pair_support(pairs: DataFrame, supported: DataFrame) -> DataFrame:
-    """Translation-service handling of a language pair (F10): same language
-    -> the source is the prediction; an unsupported side -> error; else the
-    pair is sent for translation."""
-    sup = F.broadcast(supported.select(F.col("bcp_47").alias("_s")).distinct())
+    """Translation-service handling of a language pair.
+
+    Each side is matched to the service's languages.  Equal matches -- two
+    unsupported sides match nothing alike -- copy the source; one unsupported
+    side is an error; else the pair is sent for translation.
+    """
+    sup = supported.select(F.col("bcp_47").alias("_s")).distinct()
     j = (pairs.join(sup.withColumnRenamed("_s", "_src"), F.col("bcp_47") == F.col("_src"), "left")
          .join(sup.withColumnRenamed("_s", "_tgt"), F.col("target") == F.col("_tgt"), "left"))
     src_ok, tgt_ok = F.col("_src").isNotNull(), F.col("_tgt").isNotNull()
-    same = src_ok & tgt_ok & (F.col("bcp_47") == F.col("target"))
+    same = F.col("_src").eqNullSafe(F.col("_tgt"))
     action = (F.when(same, "copy").when(~src_ok | ~tgt_ok, "unsupported").otherwise("translate"))
     prediction = F.when(same, F.col("source_text"))
     status = F.when(same, "ok").when(~src_ok | ~tgt_ok, "error")

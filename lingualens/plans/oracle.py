@@ -22,11 +22,14 @@ FROM lineitem l JOIN orders o ON l.l_orderkey=o.o_orderkey JOIN customer c ON o.
 JOIN nation n ON c.c_nationkey=n.n_nationkey JOIN part p ON l.l_partkey=p.p_partkey""",
     "models": """
 SELECT concat('m',cast(s.s_suppkey AS string)) AS id, s.s_name AS name, n.n_name AS provider_name, s.s_acctbal/250 AS cost,
- CASE WHEN s.s_suppkey % 3 = 0 THEN 'open-source' ELSE 'closed-source' END AS type, min(cast(l.l_shipdate AS date)) AS creation_date
+ CASE WHEN s.s_suppkey % 3 = 0 THEN 'open-source' ELSE 'closed-source' END AS type, min(cast(l.l_shipdate AS date)) AS creation_date,
+ CASE WHEN s.s_suppkey % 3 = 0 THEN lower(n.n_name) || '/model-' || CAST(s.s_suppkey AS VARCHAR) END AS hf_id,
+ CASE WHEN s.s_suppkey % 3 = 0 THEN (s.s_suppkey % 70 + 1) * 1e9 END AS size,
+ CASE WHEN s.s_suppkey % 3 = 0 THEN CASE WHEN s.s_suppkey % 2 = 0 THEN 'Apache 2.0' ELSE 'Mit' END END AS license
  FROM supplier s JOIN nation n ON s.s_nationkey=n.n_nationkey LEFT JOIN lineitem l ON l.l_suppkey=s.s_suppkey
  GROUP BY s.s_suppkey, s.s_name, n.n_name, s.s_acctbal""",
     "languages": """
-SELECT n.n_name AS bcp_47, n.n_name AS language_name, r.r_name AS family, count(c.c_custkey)*1000 AS speakers, n.n_nationkey < 20 AS in_benchmark
+SELECT n.n_name AS bcp_47, n.n_name AS language_name, 'Lingua ' || CAST(n.n_nationkey AS VARCHAR) AS autonym, r.r_name AS family, count(c.c_custkey)*1000 AS speakers, n.n_nationkey < 20 AS in_benchmark
   FROM nation n
   JOIN region r ON n.n_regionkey=r.r_regionkey
   LEFT JOIN customer c ON c.c_nationkey=n.n_nationkey
@@ -37,20 +40,20 @@ SELECT n.n_name AS bcp_47, c.c_mktsegment AS iso2, count(*)*50 AS population
   JOIN nation n ON c.c_nationkey=n.n_nationkey
   GROUP BY n.n_name, c.c_mktsegment""",
     "items": """
-SELECT doc_id, CAST(substr(source,4) AS int) % 4 AS source_rank, lang AS bcp_47, concat('subj', CAST(doc_id % 5 AS string)) AS subject, doc_id % 200 AS item_id
+SELECT doc_id, greatest(CAST(substr(source,4) AS int) % 4, CASE lang WHEN 'de' THEN 1 WHEN 'es' THEN 2 ELSE 0 END) AS source_rank, lang AS bcp_47, concat('subj', CAST(doc_id % 5 AS string)) AS subject, doc_id % 200 AS item_id
   FROM documents""",
     "paragraphs": """
-SELECT d.doc_id % 40 AS url, d.doc_id AS pos, d.lang AS bcp_47, CASE
+SELECT d.doc_id // 25 AS url, d.doc_id AS pos, d.lang AS bcp_47, CASE
     WHEN l.quality IS NULL THEN NULL
-    ELSE concat('Topic', CAST(d.doc_id % 40 % 7 AS string)) END AS topic, substr(d.text,1,80) AS text
+    ELSE concat('Topic', CAST(d.doc_id // 25 % 7 AS string)) END AS topic, d.text
   FROM documents d
   LEFT JOIN labels l ON d.doc_id=l.doc_id""",
     "responses": """
 SELECT conv_id, turn, CASE
     WHEN (conv_id+turn) % 6 = 0 THEN NULL
-    WHEN (conv_id+turn) % 6 = 1 THEN concat('<think>', CAST(turn AS string), '</think><final_answer> ', substr('ABCD', CAST(conv_id % 4 AS int)+1, 1), ' </final_answer>')
-    WHEN (conv_id+turn) % 6 = 2 THEN 'no tags'
-    ELSE concat('<reasoning>x</reasoning><final_answer>', substr('ABCD', CAST((conv_id+turn) % 4 AS int)+1, 1), '</final_answer>') END AS response, substr('ABCD', CAST(conv_id % 4 AS int)+1, 1) AS answer
+    WHEN (conv_id+turn) % 6 = 1 THEN concat('<think>', text, '</think><final_answer>', chr(12288), substr('ABCD', CAST(conv_id % 4 AS int)+1, 1), chr(160), '</final_answer>')
+    WHEN (conv_id+turn) % 6 = 2 THEN text
+    ELSE concat('<reasoning>', text, '</reasoning><final_answer>', substr('ABCD', CAST((conv_id+turn) % 4 AS int)+1, 1), '</final_answer>') END AS response, substr('ABCD', CAST(conv_id % 4 AS int)+1, 1) AS answer
   FROM conversations WHERE role='assistant'""",
     "run_health": """
 SELECT concat('u', CAST(user_id % 30 AS string)) AS model, CAST(floor((event_id % 10)) AS int) AS run_nr, count(*) AS total, sum(CASE

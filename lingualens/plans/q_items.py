@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import items as it
+from ..operators.scoring import WS
 from .registry import query
 
 SEED = K.BOOTSTRAP_SEED
@@ -44,7 +45,7 @@ SELECT g.bcp_47, CAST(g.sentence_nr AS INTEGER) AS sentence_nr, k.subject, n.doc
 FROM grid g JOIN cats k ON k.cat_pos = (g.sentence_nr % (SELECT count(*) FROM cats)) + 1
 JOIN num n ON n.bcp_47 = g.bcp_47 AND n.source_rank = g.source_rank AND n.subject = k.subject
   AND n.sentence_nr = g.sentence_nr""", [_E1,
-    ("cats", "SELECT subject, row_number() OVER (ORDER BY subject) AS cat_pos FROM (SELECT DISTINCT subject FROM items)"),
+    ("cats", "SELECT subject, row_number() OVER (ORDER BY subject) AS cat_pos FROM (SELECT DISTINCT subject FROM items WHERE source_rank = 0)"),
     ("num", """SELECT i.bcp_47, i.source_rank, i.subject, i.doc_id,
         row_number() OVER (PARTITION BY i.bcp_47, i.source_rank, i.subject ORDER BY i.doc_id) - 1 AS sentence_nr
       FROM items i JOIN chosen c ON c.bcp_47 = i.bcp_47 AND c.source_rank = i.source_rank"""),
@@ -55,9 +56,10 @@ def rotating_items(ctx):
     return it.rotating_items(items, it.source_priority(items))
 
 
-_E3 = ("ci", f"""SELECT item_id, CAST(row_number() OVER (
-    ORDER BY md5('{SEED}|' || CAST(item_id AS VARCHAR)), item_id) AS INTEGER) AS position
-  FROM items GROUP BY item_id HAVING count(DISTINCT bcp_47) = (SELECT count(DISTINCT bcp_47) FROM items)""")
+_E3 = ("ci", f"""SELECT item_id, row_number() OVER (
+    ORDER BY md5('{SEED}|' || CAST(item_id AS VARCHAR)), item_id) AS position
+  FROM items WHERE source_rank IN (0, 1) GROUP BY item_id
+  HAVING count(DISTINCT bcp_47) = (SELECT count(DISTINCT bcp_47) FROM items WHERE source_rank IN (0, 1))""")
 
 
 @query("common_items", ["items"], "SELECT * FROM ci", [_E3])
@@ -71,6 +73,8 @@ SELECT bcp_47, CAST(sentence_nr AS INTEGER) AS sentence_nr,
   arg_min(item_id, (source_rank, doc_id, item_id)) AS item_id, arg_min(doc_id, (source_rank, doc_id)) AS doc_id,
   min(source_rank) AS source_rank, CASE WHEN min(source_rank) = 2 THEN 'machine' ELSE 'human' END AS origin
 FROM (SELECT i.*, c.position - 1 AS sentence_nr FROM items i JOIN ci c USING (item_id)
+      JOIN (SELECT bcp_47, bool_or(source_rank < 2) AS human FROM items WHERE source_rank IN (0, 1, 2) GROUP BY bcp_47) h
+        ON h.bcp_47 = i.bcp_47 AND h.human = (i.source_rank < 2)
       WHERE c.position <= {NS} AND i.source_rank IN (0, 1, 2))
 GROUP BY bcp_47, sentence_nr""", [_E3])
 def priority_items(ctx):
@@ -80,19 +84,22 @@ def priority_items(ctx):
 
 
 @query("mgsm_items", ["items"], f"""
-SELECT b.bcp_47, CAST(b.sentence_nr AS INTEGER) AS sentence_nr, b.source_rank, b.doc_id,
+SELECT b.bcp_47, CAST(b.sentence_nr AS INTEGER) AS sentence_nr, b.source_rank, b.origin, b.doc_id,
   CASE WHEN instr(d.text, '####') > 0 THEN trim(substr(d.text, instr(d.text, '####') + 4)) END AS answer
-FROM (SELECT bcp_47, sentence_nr, min(source_rank) AS source_rank, arg_min(doc_id, (source_rank, doc_id)) AS doc_id
-      FROM (SELECT bcp_47, source_rank, doc_id,
-              row_number() OVER (PARTITION BY bcp_47, source_rank ORDER BY doc_id) - 1 AS sentence_nr FROM items)
-      WHERE sentence_nr < {NS} GROUP BY bcp_47, sentence_nr) b
-JOIN documents d ON d.doc_id = b.doc_id""")
+FROM (SELECT bcp_47, source_rank, doc_id, CASE WHEN source_rank >= 2 THEN 'machine' ELSE 'human' END AS origin,
+        row_number() OVER (PARTITION BY bcp_47 ORDER BY doc_id) - 1 AS sentence_nr
+      FROM items JOIN (SELECT bcp_47, min(source_rank) AS source_rank FROM items GROUP BY bcp_47) USING (bcp_47, source_rank)
+      QUALIFY sentence_nr < {NS}) b
+JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || ' #### ' || CAST(doc_id % 1000 AS VARCHAR) || ' ' END AS text
+      FROM documents) d ON d.doc_id = b.doc_id""")
 def mgsm_items(ctx):
-    """First source with more than nr items; answer after '####'."""
-    b = it.first_source_in_range(ctx.view("items"))
-    d = ctx.t.documents.select("doc_id", "text")
+    """Nr-th item of the language's first source; answer after '####'
+    (two thirds of the derived items end in one)."""
+    b = it.first_source_items(ctx.view("items"))
+    marked = F.concat("text", F.lit(" #### "), (F.col("doc_id") % 1000).cast("string"), F.lit(" "))
+    d = ctx.t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(marked).alias("text"))
     return (b.join(d, "doc_id")
-            .select("bcp_47", "sentence_nr", "source_rank", "doc_id",
+            .select("bcp_47", "sentence_nr", "source_rank", "origin", "doc_id",
                     it.answer_after_marker(F.col("text")).alias("answer")))
 
 
@@ -174,14 +181,17 @@ def _sentence_langs(ctx):
 
 
 @query("parallel_pairs", ["paragraphs"], f"""
-SELECT t.bcp_47 AS target, s.sentence_nr, s.bcp_47, s.text AS source_text, x.text AS target_text
+SELECT t.bcp_47 AS other, s.sentence_nr, s.bcp_47, m.mode,
+  CASE m.mode WHEN 'from' THEN t.bcp_47 ELSE s.bcp_47 END AS target,
+  CASE m.mode WHEN 'from' THEN s.text ELSE x.text END AS source_text,
+  CASE m.mode WHEN 'from' THEN x.text ELSE s.text END AS target_text
 FROM num s JOIN (SELECT CAST(draw AS INTEGER) AS sentence_nr, bcp_47 FROM targets) t ON t.sentence_nr = s.sentence_nr
-JOIN num x ON x.bcp_47 = t.bcp_47 AND x.sentence_nr = s.sentence_nr""",
+JOIN num x ON x.bcp_47 = t.bcp_47 AND x.sentence_nr = s.sentence_nr CROSS JOIN (VALUES ('from'), ('to')) m(mode)""",
        _weighted_sql("SELECT bcp_47, CAST(count(*) AS DOUBLE) AS w FROM paragraphs GROUP BY bcp_47") + [
            ("num", f"""SELECT * FROM (SELECT bcp_47, CAST(row_number() OVER (PARTITION BY bcp_47 ORDER BY pos) - 1 AS INTEGER)
                          AS sentence_nr, text FROM paragraphs) WHERE sentence_nr < {NS}""")])
 def parallel_pairs(ctx):
-    """source/target sentence pairs by position."""
+    """source/target sentence pairs by position, both directions."""
     targets = it.weighted_sample(_sentence_langs(ctx), "w", SEED)
     return it.parallel_pairs(ctx.view("paragraphs"), targets)
 
@@ -206,6 +216,52 @@ def request_table(ctx):
     return cls.unionByName(mc)
 
 
+_MC4 = _template(it.MULTIPLE_CHOICE_PROMPT, ("format", sql_text(it.ANSWER_FORMAT)), ("question", "question"),
+                 *[(x, f"choices[{i}]") for i, x in enumerate("abcd", 1)])
+_MATH = _template(it.MATH_PROMPT, ("format", sql_text(it.ANSWER_FORMAT)), ("question", "question"))
+_TRANSLATE = _template(it.TRANSLATE_PROMPT, ("language", "upper(target)"), ("script", "'Latin'"),
+                       ("text", f"regexp_replace(source_text, '^[{WS}]+|[{WS}]+$', '', 'g')"))
+_QUESTIONS = [
+    ("chosen4", """SELECT conv_id, [a, b, c, d] AS choices FROM (
+        SELECT conv_id, max(text) FILTER (WHERE turn = 0) AS a, max(text) FILTER (WHERE turn = 1) AS b,
+          max(text) FILTER (WHERE turn = 2) AS c, max(text) FILTER (WHERE turn = 3) AS d
+        FROM conversations GROUP BY conv_id) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL"""),
+    ("q4", """SELECT c.conv_id, c.choices, b.text AS question FROM chosen4 c
+              JOIN benchmark b ON b.item_id = c.conv_id % 20"""),
+]
+
+
+@query("question_requests", [], f"""
+SELECT CASE WHEN conv_id % 2 = 0 THEN 'mmlu' ELSE 'arc' END AS task, CAST(conv_id AS VARCHAR) AS item_key, 0 AS sentence_nr, {_MC4} AS prompt
+FROM q4 UNION ALL SELECT 'mgsm', CAST(item_id AS VARCHAR), 0, {_MATH} FROM (SELECT item_id, text AS question FROM benchmark)""", _QUESTIONS)
+def question_requests(ctx):
+    """MMLU, ARC and MGSM prompts; questions are the benchmark's texts,
+    choices the turns of a conversation."""
+    bench = ctx.t.benchmark.select("item_id", F.col("text").alias("question"))
+    q = (it.choices_from_columns(ctx.t.conversations).withColumn("item_id", F.col("conv_id") % 20).join(bench, "item_id")
+         .select("conv_id", F.col("conv_id").cast("string").alias("item_key"), F.lit(0).alias("sentence_nr"), "question", "choices"))
+    math = bench.select(F.col("item_id").cast("string").alias("item_key"), F.lit(0).alias("sentence_nr"), "question")
+    return (it.four_choice_requests(q.where("conv_id % 2 = 0"), "mmlu")
+            .unionByName(it.four_choice_requests(q.where("conv_id % 2 = 1"), "arc")).unionByName(it.math_requests(math)))
+
+
+@query("translation_requests", ["paragraphs"], f"""
+SELECT 'translation_' || mode AS task, bcp_47 AS item_key, sentence_nr, {_TRANSLATE} AS prompt FROM (
+  SELECT s.bcp_47, s.sentence_nr, m.mode, CASE m.mode WHEN 'from' THEN t.bcp_47 ELSE s.bcp_47 END AS target,
+    CASE m.mode WHEN 'from' THEN s.text ELSE x.text END AS source_text
+  FROM num s JOIN (SELECT CAST(draw AS INTEGER) AS sentence_nr, bcp_47 FROM targets) t ON t.sentence_nr = s.sentence_nr
+  JOIN num x ON x.bcp_47 = t.bcp_47 AND x.sentence_nr = s.sentence_nr CROSS JOIN (VALUES ('from'), ('to')) m(mode))""",
+       _weighted_sql("SELECT bcp_47, CAST(count(*) AS DOUBLE) AS w FROM paragraphs GROUP BY bcp_47") + [
+           ("num", f"""SELECT * FROM (SELECT bcp_47, CAST(row_number() OVER (PARTITION BY bcp_47 ORDER BY pos) - 1 AS INTEGER)
+                         AS sentence_nr, text FROM paragraphs) WHERE sentence_nr < {NS}""")])
+def translation_requests(ctx):
+    """Translation prompts in both directions."""
+    pairs = it.parallel_pairs(ctx.view("paragraphs"), it.weighted_sample(_sentence_langs(ctx), "w", SEED))
+    names = ctx.view("paragraphs").select("bcp_47").distinct().select(
+        "bcp_47", F.upper("bcp_47").alias("language_name"), F.lit("Latin").alias("script"))
+    return it.translation_requests(pairs, names)
+
+
 @query("shuffled_choices", [], f"""
 SELECT conv_id, choices, labels, chr(CAST(64 + list_position(labels, 1) AS INTEGER)) AS answer FROM (
   SELECT conv_id,
@@ -223,7 +279,7 @@ SELECT t.bcp_47, s.subject, s.doc_id, CAST(s.pos AS INTEGER) AS pos
 FROM (SELECT bcp_47 FROM languages WHERE in_benchmark
         AND bcp_47 NOT IN (SELECT bcp_47 FROM items WHERE source_rank IN (0, 1))) t
 CROSS JOIN (SELECT subject, doc_id, row_number() OVER (PARTITION BY subject ORDER BY doc_id) AS pos
-      FROM items WHERE source_rank = 0 QUALIFY pos <= 20) s""")
+      FROM items WHERE source_rank = 0 AND bcp_47 = 'en' QUALIFY pos <= 20) s""")
 def translation_worklist(ctx):
     """Supported languages without a human set, each with the up to
     20 sampled original items per category."""
@@ -249,3 +305,19 @@ LEFT JOIN (SELECT s.source_rank, list(l.bcp_47 ORDER BY l.bcp_47) AS missing
 def dataset_coverage(ctx):
     """Per-source coverage and missing languages."""
     return it.dataset_coverage(ctx.view("items"))
+
+
+@query("category_counts", ["items"], """
+SELECT source_rank, subject, count(*) AS n_items, count(DISTINCT bcp_47) AS n_languages,
+  count(*) OVER (PARTITION BY subject) AS n_sources FROM items GROUP BY source_rank, subject""")
+def category_counts(ctx):
+    """Items and languages per source and category."""
+    return it.category_counts(ctx.view("items"))
+
+
+@query("sources_per_language", ["items"], """
+SELECT bcp_47, list_sort(list(DISTINCT source_rank)) AS sources, count(*) AS n_items, count(DISTINCT subject) AS n_subjects
+FROM items GROUP BY bcp_47""")
+def sources_per_language(ctx):
+    """What each language has."""
+    return it.sources_per_language(ctx.view("items"))

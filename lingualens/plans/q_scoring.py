@@ -9,9 +9,14 @@ from ..operators import scoring as sc
 from .q_items import _E8, _weighted_sql
 from .registry import query
 
-_RESP_CLEAN = r"""regexp_replace(replace(regexp_replace(regexp_replace(response, '<think>.*</think>', '', 'g'),
-  '^\s+|\s+$', '', 'g'), '<think>', ''), '^\s+|\s+$', '', 'g')"""
-_EXTRACT = r"nullif(regexp_replace(regexp_extract({x}, '<final_answer>(.*)</final_answer>', 1), '^\s+|\s+$', '', 'g'), '')"
+_ENDS = f"'^[{sc.WS}]+|[{sc.WS}]+$', '', 'g'"
+_RESP_CLEAN = f"""regexp_replace(replace(regexp_replace(regexp_replace(response, '<think>.*</think>', '', 'g'),
+  {_ENDS}), '<think>', ''), {_ENDS})"""
+
+
+def _extract(x: str) -> str:
+    return f"nullif(regexp_replace(regexp_extract({x}, '<final_answer>(.*)</final_answer>', 1), {_ENDS}), '')"
+
 
 
 @query("clean_responses", ["responses"], f"""
@@ -26,7 +31,7 @@ def clean_responses(ctx):
 SELECT conv_id, turn, extracted,
   CASE WHEN extracted IS NOT NULL AND extracted = answer THEN 1.0e0 ELSE 0.0e0 END AS score,
   CASE WHEN extracted IS NOT NULL THEN 'ok' ELSE 'error' END AS status
-FROM (SELECT conv_id, turn, answer, {_EXTRACT.format(x=_RESP_CLEAN)} AS extracted FROM responses)""")
+FROM (SELECT conv_id, turn, answer, {_extract(_RESP_CLEAN)} AS extracted FROM responses)""")
 def answer_accuracy(ctx):
     """final-answer extraction and exact-match accuracy."""
     r = ctx.view("responses")
@@ -48,15 +53,15 @@ def _number_fixture(ctx):
     return e.select("event_id", response.alias("response"), expected.alias("answer_number"))
 
 
-@query("number_accuracy", [], r"""
+@query("number_accuracy", [], f"""
 SELECT event_id, extracted,
   CASE WHEN extracted IS NOT NULL
-        AND TRY_CAST(regexp_replace(regexp_replace(extracted, '[,.]', '', 'g'), '^\s+|\s+$', '', 'g') AS BIGINT)
-            = TRY_CAST(regexp_replace(regexp_replace(answer_number, '[,.]', '', 'g'), '^\s+|\s+$', '', 'g') AS BIGINT)
+        AND TRY_CAST(regexp_replace(regexp_replace(extracted, '[,.]', '', 'g'), {_ENDS}) AS BIGINT)
+            = TRY_CAST(regexp_replace(regexp_replace(answer_number, '[,.]', '', 'g'), {_ENDS}) AS BIGINT)
        THEN 1.0e0 ELSE 0.0e0 END AS score,
   CASE WHEN extracted IS NOT NULL THEN 'ok' ELSE 'error' END AS status
 FROM (SELECT event_id, answer_number,
-        nullif(regexp_replace(regexp_extract(response, '<final_answer>(.*)</final_answer>', 1), '^\s+|\s+$', '', 'g'), '') AS extracted
+        {_extract('response')} AS extracted
       FROM (SELECT event_id,
               CASE WHEN event_type = 'view' THEN '<final_answer>n/a</final_answer>'
                    WHEN event_type = 'signup' THEN 'no answer'
@@ -85,14 +90,14 @@ _TOPIC_CTES = _E8 + [
 ]
 
 
-@query("topic_accuracy", ["paragraphs"], r"""
+@query("topic_accuracy", ["paragraphs"], f"""
 SELECT bcp_47, sentence_nr, prediction,
   CASE WHEN p <> '' AND (starts_with(p, tru) OR (contains(p, tru)
         AND len(list_filter(list_filter(topics, lambda x: x <> tru), lambda o: contains(p, o))) = 0))
        THEN 1.0e0 ELSE 0.0e0 END AS score,
   CASE WHEN p <> '' THEN 'ok' ELSE 'error' END AS status
-FROM (SELECT *, regexp_replace(lower(coalesce(prediction, '')), '^\s+|\s+$', '', 'g') AS p,
-        regexp_replace(lower(topic), '^\s+|\s+$', '', 'g') AS tru FROM tr)""", _TOPIC_CTES)
+FROM (SELECT *, regexp_replace(lower(coalesce(prediction, '')), {_ENDS}) AS p,
+        regexp_replace(lower(topic), {_ENDS}) AS tru FROM tr)""", _TOPIC_CTES)
 def topic_accuracy(ctx):
     """topic classification accuracy."""
     pt = it.paragraph_topics(ctx.view("paragraphs"))
@@ -151,11 +156,19 @@ def _ngram_sql(tok_h: str, tok_r: str, orders, name: str) -> list[tuple[str, str
     ]
 
 
-_WORD = r"regexp_extract_all(coalesce({x}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
-_CHARS = r"regexp_extract_all(regexp_replace(coalesce({x}, ''), '\s+', '', 'g'), '.')"
-_BLEU_CTES = [_PAIRS] + _ngram_sql(_WORD.format(x="prediction"), _WORD.format(x="reference"),
+
+
+def _word(x: str) -> str:
+    return f"regexp_extract_all(coalesce({x}, ''), '{sc.WORD_TOKEN}')"
+
+
+def _chars(x: str) -> str:
+    return f"regexp_extract_all(regexp_replace(coalesce({x}, ''), '[{sc.WS}]+', '', 'g'), '.')"
+
+
+_BLEU_CTES = [_PAIRS] + _ngram_sql(_word("prediction"), _word("reference"),
                                    range(1, 5), "b")
-_CHRF_CTES = [_PAIRS] + _ngram_sql(_CHARS.format(x="prediction"), _CHARS.format(x="reference"),
+_CHRF_CTES = [_PAIRS] + _ngram_sql(_chars("prediction"), _chars("reference"),
                                    range(1, 7), "c")
 _P = ", ".join(f"CASE WHEN hl - {n} + 1 > 0 THEN m{n} / (hl - {n} + 1) ELSE 0.0e0 END AS p{n}" for n in range(1, 5))
 _BLEU_SQL = f"""
@@ -215,28 +228,27 @@ def metric_fanout(ctx):
     return sc.metric_fanout(wide, ["bleu", "chrf"], ["conv_id", "turn", "status"])
 
 
-SUPPORTED = ["en", "fr", "de"]
+SUPPORTED = ["en", "de"]
+_SUP = "CASE WHEN {0} IN (" + ", ".join(f"'{x}'" for x in SUPPORTED) + ") THEN {0} END"
+_SRC, _TGT = _SUP.format("s.bcp_47"), _SUP.format("t.bcp_47")
 
 
 @query("pair_support", ["paragraphs"], f"""
-SELECT s.bcp_47, t.bcp_47 AS target, s.sentence_nr,
-  CASE WHEN s.bcp_47 IN ({", ".join(f"'{x}'" for x in SUPPORTED)}) AND t.bcp_47 IN ({", ".join(f"'{x}'" for x in SUPPORTED)})
-            AND s.bcp_47 = t.bcp_47 THEN 'copy'
-       WHEN s.bcp_47 NOT IN ({", ".join(f"'{x}'" for x in SUPPORTED)}) OR t.bcp_47 NOT IN ({", ".join(f"'{x}'" for x in SUPPORTED)}) THEN 'unsupported'
-       ELSE 'translate' END AS action,
-  CASE WHEN s.bcp_47 IN ({", ".join(f"'{x}'" for x in SUPPORTED)}) AND s.bcp_47 = t.bcp_47 THEN s.text END AS prediction,
-  CASE WHEN s.bcp_47 IN ({", ".join(f"'{x}'" for x in SUPPORTED)}) AND s.bcp_47 = t.bcp_47 THEN 'ok'
-       WHEN s.bcp_47 NOT IN ({", ".join(f"'{x}'" for x in SUPPORTED)}) OR t.bcp_47 NOT IN ({", ".join(f"'{x}'" for x in SUPPORTED)}) THEN 'error' END AS status
-FROM num s JOIN (SELECT CAST(draw AS INTEGER) AS sentence_nr, bcp_47 FROM targets) t ON t.sentence_nr = s.sentence_nr""",
+SELECT bcp_47, target, sentence_nr,
+  CASE WHEN a IS NOT DISTINCT FROM b THEN 'copy' WHEN a IS NULL OR b IS NULL THEN 'unsupported' ELSE 'translate' END AS action,
+  CASE WHEN a IS NOT DISTINCT FROM b THEN text END AS prediction,
+  CASE WHEN a IS NOT DISTINCT FROM b THEN 'ok' WHEN a IS NULL OR b IS NULL THEN 'error' END AS status
+FROM (SELECT s.bcp_47, t.bcp_47 AS target, s.sentence_nr, s.text, {_SRC} AS a, {_TGT} AS b
+      FROM num s JOIN (SELECT CAST(draw AS INTEGER) AS sentence_nr, bcp_47 FROM targets) t ON t.sentence_nr = s.sentence_nr)""",
        _weighted_sql("SELECT bcp_47, CAST(count(*) AS DOUBLE) AS w FROM paragraphs GROUP BY bcp_47") + [
            ("num", """SELECT * FROM (SELECT bcp_47, CAST(row_number() OVER (PARTITION BY bcp_47 ORDER BY pos) - 1 AS INTEGER)
                          AS sentence_nr, text FROM paragraphs) WHERE sentence_nr < 10""")])
 def pair_support(ctx):
-    """same-language pairs copy the source; unsupported pairs are errors."""
+    """pairs that match alike copy the source; one unsupported side is an error."""
     par = ctx.view("paragraphs")
     w = par.groupBy("bcp_47").agg(F.count(F.lit(1)).alias("w"))
     targets = it.weighted_sample(w, "w")
-    num = it.numbered_sentences(par).where(F.col("sentence_nr") < 10)
+    num = it.numbered_sentences(par)
     pairs = (num.join(targets.select(F.col("draw").alias("sentence_nr"), F.col("bcp_47").alias("target")),
                       "sentence_nr")
              .select("bcp_47", "target", "sentence_nr", F.col("text").alias("source_text")))

@@ -6,12 +6,12 @@ from .. import constants as K
 from ..operators import worklist as wl
 from .registry import query
 
-N_LANGUAGES = 20
-N_MODELS = 40
+N_LANGUAGES = K.N_LANGUAGES
+N_MODELS = K.N_MODELS
 
 _CTES = [
     ("top_lang", f"SELECT bcp_47 FROM languages ORDER BY speakers DESC, language_name DESC LIMIT {N_LANGUAGES}"),
-    ("cohort", f"""SELECT model, CAST(row_number() OVER (ORDER BY model) AS INTEGER) AS position
+    ("cohort", f"""SELECT model, row_number() OVER (ORDER BY model) AS position
                   FROM (SELECT id AS model FROM models ORDER BY id LIMIT {N_MODELS})"""),
     ("valid_tl", "SELECT DISTINCT task, bcp_47 FROM result_log"),
     ("tasks", "SELECT unnest([" + ", ".join(f"'{t}'" for t in K.TASKS) + "]) AS task"),

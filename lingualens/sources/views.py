@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.joins import FIXED_ROWS, bounded
 from .tables import Tables
 
+SENTENCES_PER_URL = 25
+
 
 def _nation(t: Tables) -> DataFrame:
     return bounded(t.nation.select("n_nationkey", "n_name", "n_regionkey"), FIXED_ROWS["nation"])
@@ -91,7 +93,11 @@ def models(t: Tables) -> DataFrame:
                 (F.col("s_acctbal") / 250).alias("cost"),
                 F.when(F.col("s_suppkey") % 3 == 0, "open-source")
                  .otherwise("closed-source").alias("type"),
-                "creation_date"))
+                "creation_date",
+                # Only open models have weights: a hub id, a size and a license.
+                F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lower("n_name"), F.lit("/model-"), F.col("s_suppkey").cast("string"))).alias("hf_id"),
+                F.when(F.col("s_suppkey") % 3 == 0, (F.col("s_suppkey") % 70 + 1) * 1e9).alias("size"),
+                F.when(F.col("s_suppkey") % 3 == 0, F.when(F.col("s_suppkey") % 2 == 0, "Apache 2.0").otherwise("Mit")).alias("license")))
 
 
 def languages(t: Tables) -> DataFrame:
@@ -103,6 +109,7 @@ def languages(t: Tables) -> DataFrame:
             .select(
                 F.col("n_name").alias("bcp_47"),
                 F.col("n_name").alias("language_name"),
+                F.concat(F.lit("Lingua "), F.col("n_nationkey").cast("string")).alias("autonym"),
                 F.col("r_name").alias("family"),
                 (F.coalesce(F.col("n_cust"), F.lit(0)) * 1000).alias("speakers"),
                 (F.col("n_nationkey") < 20).alias("in_benchmark")))
@@ -119,44 +126,50 @@ def population(t: Tables) -> DataFrame:
 
 
 def items(t: Tables) -> DataFrame:
-    """Dataset items with a source priority rank."""
+    """Dataset items with a source priority rank.  German has no set of rank
+    0, Spanish none of rank 0 or 1 (machine translations only)."""
+    least = F.when(F.col("lang") == "de", 1).when(F.col("lang") == "es", 2).otherwise(0)
     return t.documents.select(
         "doc_id",
-        (_num_suffix("source", 4) % 4).alias("source_rank"),
+        F.greatest(_num_suffix("source", 4) % 4, least).alias("source_rank"),
         F.col("lang").alias("bcp_47"),
         F.concat(F.lit("subj"), (F.col("doc_id") % 5).cast("string")).alias("subject"),
         (F.col("doc_id") % 200).alias("item_id"))
 
 
 def paragraphs(t: Tables) -> DataFrame:
-    """Sentences with url, position and (nullable) topic."""
+    """Sentences with url, position and (nullable) topic.  A page holds
+    ``SENTENCES_PER_URL`` consecutive sentences however many there are."""
     d = t.documents.select("doc_id", "lang", "text")
     lab = t.labels.select(F.col("doc_id").alias("l_doc_id"), "quality")
     return (d.join(lab, F.col("doc_id") == F.col("l_doc_id"), "left")
-            .select((F.col("doc_id") % 40).alias("url"),
+            .withColumn("_url", F.expr(f"doc_id div {SENTENCES_PER_URL}"))
+            .select(F.col("_url").alias("url"),
                     F.col("doc_id").alias("pos"),
                     F.col("lang").alias("bcp_47"),
                     F.when(F.col("quality").isNull(), F.lit(None).cast("string"))
                      .otherwise(F.concat(F.lit("Topic"),
-                                         (F.col("doc_id") % 40 % 7).cast("string")))
+                                         (F.col("_url") % 7).cast("string")))
                      .alias("topic"),
-                    F.expr("substr(text, 1, 80)").alias("text")))
+                    "text"))
 
 
 def responses(t: Tables) -> DataFrame:
-    """Raw model responses with the expected answer letter."""
-    c = t.conversations.select("conv_id", "turn", "role").where(F.col("role") == "assistant")
+    """Raw model responses with the expected answer letter: the assistant's
+    text as the reasoning, followed by a tagged answer."""
+    c = t.conversations.select("conv_id", "turn", "role", "text").where(F.col("role") == "assistant")
     k = (F.col("conv_id") + F.col("turn")) % 6
     letter_conv = F.expr("substr('ABCD', CAST(conv_id % 4 AS int) + 1, 1)")
     letter_sum = F.expr("substr('ABCD', CAST((conv_id + turn) % 4 AS int) + 1, 1)")
     return c.select(
         "conv_id", "turn",
         F.when(k == 0, F.lit(None).cast("string"))
-         .when(k == 1, F.concat(F.lit("<think>"), F.col("turn").cast("string"),
-                                F.lit("</think><final_answer> "), letter_conv,
-                                F.lit(" </final_answer>")))
-         .when(k == 2, F.lit("no tags"))
-         .otherwise(F.concat(F.lit("<reasoning>x</reasoning><final_answer>"), letter_sum,
+         .when(k == 1, F.concat(F.lit("<think>"), F.col("text"),
+                                F.lit("</think><final_answer>\u3000"), letter_conv,
+                                F.lit("\u00a0</final_answer>")))
+         .when(k == 2, F.col("text"))
+         .otherwise(F.concat(F.lit("<reasoning>"), F.col("text"),
+                             F.lit("</reasoning><final_answer>"), letter_sum,
                              F.lit("</final_answer>"))).alias("response"),
         letter_conv.alias("answer"))
 
