@@ -102,6 +102,37 @@ def normalise_catalog(catalog: DataFrame) -> DataFrame:
         F.col("created").cast("date").alias("creation_date"))
 
 
+#: A catalog entry as the service sends it.
+CATALOG_ENTRY = ("id string, canonical_slug string, name string, created bigint, hugging_face_id string, "
+                 "pricing struct<completion: string>")
+
+
+def normalise_nested(raw: DataFrame, entry: str = "entry") -> DataFrame:
+    """Catalog entries from JSON text (A8): entries without an id go; the name
+    falls back to the id, the permanent slug to the id; unix seconds become a
+    timestamp; an unparsable price is not free."""
+    e = F.from_json(F.col(entry), CATALOG_ENTRY)
+    some = lambda c: F.nullif(c, F.lit(""))
+    m = raw.select(e.alias("m")).where(some(F.col("m.id")).isNotNull()).select("m.*")
+    name = F.coalesce(some(F.col("name")), F.col("id"))
+    short = F.when(F.instr(name, ": ") > 0, F.substring(name, F.instr(name, ": ") + 2, F.length(name))).otherwise(name)
+    price = F.col("pricing.completion")
+    return m.select(F.col("id").alias("slug"), F.coalesce(some(F.col("canonical_slug")), F.col("id")).alias("permaslug"),
+                    short.alias("short_name"), name.alias("name"), F.timestamp_seconds("created").alias("created_at"),
+                    some(F.col("hugging_face_id")).alias("hf_slug"),
+                    F.coalesce(price.try_cast("double") == 0, F.lit(False)).alias("is_free"), price.alias("completion"))
+
+
+def lookup_by_slug(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The paid catalog entry of each wanted id, by slug or permanent slug
+    (C1): two equi-joins, and of several matches the smallest slug."""
+    paid = catalog.where(~F.col("is_free"))
+    ids = wanted.select("id").distinct()
+    rest = [F.col(c) for c in catalog.columns]
+    by = [ids.join(paid, F.col("id") == F.col(c)).select("id", F.struct(*rest).alias("m")) for c in ("slug", "permaslug")]
+    return by[0].unionByName(by[1]).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.*")
+
+
 def lookup_rows(norm: DataFrame) -> DataFrame:
     """Catalog rows usable for evaluation: paid, no training; first row per
     slug (C1).  "First" is the smallest (name, creation date)."""
@@ -115,8 +146,11 @@ def lookup_rows(norm: DataFrame) -> DataFrame:
 
 def license_text(raw: Column) -> Column:
     """Repository license as display text (C13): '-' becomes a space and
-    'mit' is upper-cased before title-casing, so 'mit' ends up as 'Mit'."""
-    return F.initcap(F.replace(F.replace(raw, F.lit("-"), F.lit(" ")), F.lit("mit"), F.lit("MIT")))
+    'mit' is upper-cased before title-casing, so 'mit' ends up as 'Mit'.
+    A letter after anything but a letter starts a word ('gemma2b': 'Gemma2B')."""
+    c = F.replace(F.replace(raw, F.lit("-"), F.lit(" ")), F.lit("mit"), F.lit("MIT"))
+    words = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), 0)
+    return F.array_join(F.transform(words, F.initcap), "")
 
 
 def cost_capped(models: DataFrame, cap: float = K.COST_CAP_PER_1M) -> DataFrame:
@@ -197,9 +231,9 @@ def cohort_ids(curated: DataFrame, found: DataFrame, auto_blocked: DataFrame,
 
 
 def validated_models(ids: DataFrame, lookup: DataFrame, cap: float = K.COST_CAP_PER_1M) -> DataFrame:
-    """Cohort ids with a usable catalog row and their metadata, capped."""
-    m = lookup.join(ids.select(F.col("id").alias("slug")), "slug", "left_semi")
-    return cost_capped(m.withColumnRenamed("slug", "id"), cap)
+    """Cohort ids (with their other columns) that have a usable catalog row,
+    and its metadata, capped (C9, C14)."""
+    return cost_capped(lookup.withColumnRenamed("slug", "id").join(ids, "id"), cap)
 
 
 def with_tasks(models: DataFrame, tasks: Sequence[str] = K.TASKS) -> DataFrame:

@@ -102,7 +102,7 @@ def language_filter(language_table: DataFrame, name=None, families=None, speaker
                              & _isin(F.col("family"), families)
                              & _between(F.col("speakers"), speakers))
     if selected is not None:
-        t = t.join(F.broadcast(selected.select("bcp_47")), "bcp_47", "left_anti")
+        t = t.join(selected.select("bcp_47"), "bcp_47", "left_anti")
     return t
 
 
@@ -154,6 +154,18 @@ def catalog_filter(catalog: DataFrame, tasks=None, translation=None, n_languages
                                       "translation", "tasks", "implemented")
 
 
+def catalog_groups(catalog: DataFrame) -> DataFrame:
+    """Catalog rows grouped for display: each row's place in its group (most
+    languages first, then by name) and the group's size (I19).  A group holds
+    the datasets of one collection, so its window is small."""
+    from pyspark.sql import Window
+    group = Window.partitionBy("catalog_group")
+    n = F.col("n_languages").try_cast("double")
+    return catalog.select("catalog_group", "name", n.alias("n_languages")).select(
+        "*", F.count(F.lit(1)).over(group).alias("group_size"),
+        F.row_number().over(group.orderBy(F.col("n_languages").desc_nulls_last(), "name")).alias("pos"))
+
+
 def catalog_tasks(catalog: DataFrame) -> DataFrame:
     """Distinct tasks of the catalog."""
     return catalog.select(F.explode("tasks").alias("task")).distinct()

@@ -109,10 +109,12 @@ def frontier_by_group(history: DataFrame, group: str) -> DataFrame:
     return f.select(group, "model", "creation_date", "proficiency_score", "max_score", "new_record")
 
 
-def frontier_steps(frontier: DataFrame, group: str, as_of: dt.date) -> DataFrame:
-    """Step line per group: the record rows plus an end point at ``as_of``."""
-    rec = frontier.where("new_record").select(group, F.col("creation_date").alias("x"),
-                                              F.col("max_score").alias("y"))
-    end = (rec.groupBy(group).agg(F.max("y").alias("y"))
-           .select(group, F.lit(as_of).alias("x"), "y"))
-    return rec.unionByName(end)
+def frontier_steps(frontier: DataFrame, group: str | None, end, x: str = "creation_date",
+                   y: str = "max_score") -> DataFrame:
+    """Step line per group (or one line): the record rows plus an end point
+    at ``end``, a date or the last point of the axis (I9)."""
+    keys = [group] if group else []
+    rec = frontier.where("new_record").select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
+    last = rec.groupBy(*keys).agg(F.max("y").alias("y")).where(F.col("y").isNotNull())
+    end = end if isinstance(end, Column) else F.lit(end)
+    return rec.unionByName(last.select(*keys, end.alias("x"), "y"))

@@ -85,8 +85,18 @@ def commonvoice_coverage(locales: DataFrame) -> DataFrame:
                  F.min("locale").alias("commonvoice_locale")))
 
 
-def build_languages(langs: DataFrame, flores: DataFrame, commonvoice: DataFrame) -> DataFrame:
+def fleurs_coverage(tags: DataFrame) -> DataFrame:
+    """Speech tag per language: the country suffix is dropped for the key and
+    the first tag kept (B10)."""
+    return (tags.withColumn("bcp_47", F.regexp_replace(F.replace("fleurs_tag", F.lit("__"), F.lit("-")), "-[a-z]{2}$", ""))
+            .groupBy("bcp_47").agg(F.min("fleurs_tag").alias("fleurs_tag")))
+
+
+def build_languages(langs: DataFrame, flores: DataFrame, commonvoice: DataFrame,
+                    fleurs: DataFrame | None = None) -> DataFrame:
     """Left-merge coverage tables and flag benchmark membership."""
+    if fleurs is not None:
+        langs = langs.join(fleurs, "bcp_47", "left")
     fl = flores.select("bcp_47", "flores_path")
     in_bench = fl.select("bcp_47").distinct().withColumn("in_benchmark", F.lit(True))
     return (langs.join(fl, "bcp_47", "left").join(commonvoice, "bcp_47", "left")

@@ -101,7 +101,7 @@ def _cohort(ctx):
     flags = co.flagship_per_family(_candidates(ctx))
     ids = co.cohort_ids(curated, flags, auto, blocked)
     lookup = co.lookup_rows(co.normalise_catalog(ctx.view("catalog")))
-    return co.validated_models(ids, lookup).join(ids, "id")
+    return co.validated_models(ids, lookup)
 
 
 @query("catalog_clean", ["catalog"], f"""
@@ -112,6 +112,42 @@ def catalog_clean(ctx):
     return co.cost_capped(lookup)
 
 
+def _entries(ctx):
+    """The catalog as JSON entries: some with a permanent slug and a hub id,
+    some without a name."""
+    c = ctx.view("catalog")
+    pro = F.col("slug").endswith("-pro")
+    return c.select(F.to_json(F.struct(
+        F.col("slug").alias("id"), F.when(pro, F.concat("slug", F.lit("-v1"))).alias("canonical_slug"),
+        F.when(F.col("slug").endswith("-mini"), F.lit("")).otherwise(F.col("name")).alias("name"),
+        F.unix_timestamp(F.col("created").cast("timestamp")).alias("created"),
+        F.when(~pro, F.lower("slug")).alias("hugging_face_id"),
+        F.struct(F.col("price_text").alias("completion")).alias("pricing"))).alias("entry"))
+
+
+_NESTED = ("nested", """SELECT slug, CASE WHEN ends_with(slug, '-pro') THEN slug || '-v1' ELSE slug END AS permaslug,
+    CASE WHEN ends_with(slug, '-mini') THEN slug ELSE substr(name, instr(name, ': ') + 2) END AS short_name,
+    CASE WHEN ends_with(slug, '-mini') THEN slug ELSE name END AS name, CAST(created AS TIMESTAMP) AS created_at,
+    CASE WHEN NOT ends_with(slug, '-pro') THEN lower(slug) END AS hf_slug,
+    coalesce(TRY_CAST(price_text AS DOUBLE) = 0, false) AS is_free, price_text AS completion FROM catalog""")
+
+
+@query("catalog_nested", ["catalog"], "SELECT * EXCLUDE (completion) FROM nested", [_NESTED])
+def catalog_nested(ctx):
+    """Catalog entries from nested JSON."""
+    return co.normalise_nested(_entries(ctx)).drop("completion")
+
+
+@query("catalog_by_slug", ["catalog"], """
+SELECT w.id, min(n.slug) AS slug FROM (SELECT DISTINCT slug || CASE WHEN ends_with(slug, '-pro') THEN '-v1' ELSE '' END AS id FROM catalog) w
+JOIN nested n ON (n.slug = w.id OR n.permaslug = w.id) AND NOT n.is_free GROUP BY w.id""", [_NESTED])
+def catalog_by_slug(ctx):
+    """Paid entries by slug or permanent slug."""
+    slug = F.col("slug")
+    wanted = ctx.view("catalog").select(F.concat(slug, F.when(slug.endswith("-pro"), "-v1").otherwise("")).alias("id"))
+    return co.lookup_by_slug(co.normalise_nested(_entries(ctx)), wanted).select("id", "slug")
+
+
 @query("family_keys", ["catalog"], "SELECT * FROM fam", _FAMILY)
 def family_keys(ctx):
     """Family key per catalog slug."""

@@ -25,6 +25,8 @@ LANG_FAMILIES = ["AFRICA", "ASIA", "EUROPE"]
 LANG_SPEAKERS = (40_000, 80_000)
 LANG_SELECTED = ["NATION_10", "NATION_12"]
 SEARCH_TERM = "ion_2"
+AUTONYM_TERM = "lingua 1"
+MODEL_SIZE = (5e9, 60e9)
 PINNED_FIXTURE = ["NATION_7", "NATION_3", "NATION_21", "NOT_A_CODE", "NATION_0"]
 CATALOG_TASKS = ["mmlu", "arc"]
 CATALOG_TRANSLATION = ["human", "mixed", "machine"]
@@ -41,7 +43,7 @@ def _sql_list(xs):
 
 @query("speaker_cumulative", _LT_USES, """
 SELECT * FROM (
-  SELECT bcp_47, language_name, speakers, CAST(rank AS INTEGER) AS rank,
+  SELECT bcp_47, language_name, speakers, rank,
     sum(speakers) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum_speakers,
     sum(speakers) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) / (SELECT sum(speakers) FROM lt) AS cum_share
   FROM (SELECT *, row_number() OVER (ORDER BY speakers DESC NULLS LAST, bcp_47) AS rank FROM lt) r
@@ -91,6 +93,13 @@ def model_filter(ctx):
     return ex.model_filter(board, MODEL_PROVIDERS, MODEL_NAME, MODEL_TYPES, cost=MODEL_COST)
 
 
+@query("model_filter_size", ["results_tm", "models"], f"""
+SELECT * FROM board WHERE size BETWEEN {MODEL_SIZE[0]} AND {MODEL_SIZE[1]}""", _BOARD)
+def model_filter_size(ctx):
+    """Size filter on the model table; models of unknown size drop out."""
+    return ex.model_filter(lb.model_table(ctx.results, ctx.models), size=MODEL_SIZE)
+
+
 @query("language_filter", _LT_USES, f"""
 SELECT * FROM lt WHERE contains(lower(language_name), '{LANG_NAME}')
   AND family IN ({_sql_list(LANG_FAMILIES)}) AND speakers BETWEEN {LANG_SPEAKERS[0]} AND {LANG_SPEAKERS[1]}
@@ -114,17 +123,27 @@ def filter_values(ctx):
 
 @query("language_search", _LT_USES, f"""
 SELECT * FROM lt WHERE contains(lower(language_name), '{SEARCH_TERM}') OR contains(lower(bcp_47), '{SEARCH_TERM}')
+  OR contains(lower(autonym), '{SEARCH_TERM}')
 ORDER BY speakers DESC NULLS LAST, bcp_47 LIMIT 20""", _LT)
 def language_search(ctx):
     """Case-insensitive language search, at most 20 hits."""
     return ex.language_search(_lt(ctx), SEARCH_TERM)
 
 
+@query("language_search_autonym", _LT_USES, f"""
+SELECT * FROM lt WHERE contains(lower(language_name), '{AUTONYM_TERM}') OR contains(lower(bcp_47), '{AUTONYM_TERM}')
+  OR contains(lower(autonym), '{AUTONYM_TERM}')
+ORDER BY speakers DESC NULLS LAST, bcp_47 LIMIT 20""", _LT)
+def language_search_autonym(ctx):
+    """The same search, with a term that only autonyms have."""
+    return ex.language_search(_lt(ctx), AUTONYM_TERM.upper())
+
+
 @query("pinned_order", ["languages"], f"""
-SELECT bcp_47, language_name, CAST(row_number() OVER (
+SELECT bcp_47, language_name, row_number() OVER (
   ORDER BY CASE WHEN list_position([{_sql_list(PINNED_FIXTURE)}], bcp_47) > 0
                 THEN list_position([{_sql_list(PINNED_FIXTURE)}], bcp_47) END NULLS LAST,
-           language_name, bcp_47) AS INTEGER) AS position
+           language_name, bcp_47) AS position
 FROM languages""")
 def pinned_order(ctx):
     """Pinned codes first in list order, then by name."""
@@ -143,6 +162,15 @@ def catalog_filter(ctx):
                              CATALOG_N_LANGUAGES)
 
 
+@query("catalog_groups", ["dataset_catalog"], """
+SELECT catalog_group, name, TRY_CAST(n_languages AS DOUBLE) AS n_languages, count(*) OVER (PARTITION BY catalog_group) AS group_size,
+  CAST(row_number() OVER (PARTITION BY catalog_group ORDER BY TRY_CAST(n_languages AS INTEGER) DESC NULLS LAST, name) AS INTEGER) AS pos
+FROM dataset_catalog""")
+def catalog_groups(ctx):
+    """Catalog rows within their group, most languages first."""
+    return ex.catalog_groups(ctx.view("dataset_catalog"))
+
+
 @query("catalog_tasks", ["dataset_catalog"],
        "SELECT DISTINCT unnest(tasks) AS task FROM dataset_catalog")
 def catalog_tasks(ctx):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from .. import constants as K
 from ..operators import history as hist
 from ..operators import leaderboard as lb
@@ -20,7 +22,7 @@ _MLS = ("mls", f"""SELECT *, {strict_avg(M)} AS proficiency_score FROM (
   SELECT model, bcp_47, {pivot_cols(M)} FROM results_tm GROUP BY model, bcp_47) t""")
 _TIERS = [
     ("ranked", """SELECT bcp_47, speakers,
-        CAST(row_number() OVER (ORDER BY speakers DESC NULLS LAST, bcp_47) AS INTEGER) AS speaker_rank
+        row_number() OVER (ORDER BY speakers DESC NULLS LAST, bcp_47) AS speaker_rank
       FROM languages"""),
     ("tiers", "SELECT * FROM (VALUES " + ", ".join(
         f"('{t}', {lo}, {hi})" for t, lo, hi in K.TIERS) + ") v(tier, lo, hi)"),
@@ -115,3 +117,40 @@ def frontier_steps(ctx):
     """Step lines of the license frontiers with an end point at the report date."""
     f = hist.frontier_by_group(hist.license_history(ctx.results, ctx.models), "license_type")
     return hist.frontier_steps(f, "license_type", AS_OF)
+
+
+_DATE_FRONTIER = ("fd", """SELECT model, creation_date, greatest(prev, average) AS max_average, average > prev AS new_record
+FROM (SELECT *, coalesce(max(average) OVER (ORDER BY creation_date ASC NULLS FIRST, rank
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM board WHERE average IS NOT NULL) f""")
+_COST_FRONTIER = ("fc", """SELECT model, cost, greatest(prev, average) AS max_average, average > prev AS new_record
+FROM (SELECT *, coalesce(max(average) OVER (ORDER BY cost, rank
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM board WHERE average IS NOT NULL AND cost > 0) f""")
+
+
+@query("frontier_steps_by_date", ["results_tm", "models"], f"""
+SELECT creation_date AS x, max_average AS y FROM fd WHERE new_record
+UNION ALL SELECT DATE '{AS_OF.isoformat()}', max(max_average) FROM fd WHERE new_record HAVING count(*) > 0""",
+       [_SCORES, ("board", _BOARD_SELECT), _DATE_FRONTIER])
+def frontier_steps_by_date(ctx):
+    """Step line of the record over date, to the report date."""
+    return hist.frontier_steps(hist.frontier_by_date(lb.model_table(ctx.results, ctx.models)), None, AS_OF, y="max_average")
+
+
+@query("frontier_steps_by_cost", ["results_tm", "models"], """
+SELECT cost AS x, max_average AS y FROM fc WHERE new_record
+UNION ALL SELECT (SELECT max(cost) FROM models), max(max_average) FROM fc WHERE new_record HAVING count(*) > 0""",
+       [_SCORES, ("board", _BOARD_SELECT), _COST_FRONTIER])
+def frontier_steps_by_cost(ctx):
+    """Step line of the record over cost, to the dearest model."""
+    f = hist.frontier_by_cost(lb.model_table(ctx.results, ctx.models))
+    return hist.frontier_steps(f, None, ctx.models.agg(F.max("cost")).scalar(), x="cost", y="max_average")
+
+
+@query("frontier_steps_by_tier", ["results_tm", "languages", "models"], f"""
+SELECT tier, creation_date AS x, max_score AS y FROM ft WHERE new_record
+UNION ALL SELECT tier, DATE '{AS_OF.isoformat()}', max(max_score) FROM ft WHERE new_record GROUP BY tier""",
+       _TIER_SCORES + [("ft", _group_frontier_sql("ts", "tier"))])
+def frontier_steps_by_tier(ctx):
+    """Step lines of the tier frontiers to the report date."""
+    f = hist.frontier_by_group(hist.tier_scores(ctx.results, ctx.languages, ctx.models), "tier")
+    return hist.frontier_steps(f, "tier", AS_OF)

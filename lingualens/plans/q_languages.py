@@ -47,6 +47,12 @@ def _inputs(ctx):
     return keys, names, variants, scripts, locales, languoids
 
 
+def _fleurs_tags(ctx):
+    """Speech tags of the languages of two regions: code, two underscores, country."""
+    pop = ctx.view("population").join(ctx.languages.where("family IN ('EUROPE', 'AFRICA')").select("bcp_47"), "bcp_47", "left_semi")
+    return pop.select(F.concat("bcp_47", F.lit("__"), F.lower(F.substring("iso2", 1, 2))).alias("fleurs_tag"))
+
+
 _CTES = [
     ("pk", """SELECT bcp_47 AS key, speakers FROM languages
       UNION ALL SELECT bcp_47 || '-' || upper(substr(iso2, 1, 2)), population FROM population
@@ -70,6 +76,8 @@ _CTES = [
         min(locale) AS commonvoice_locale
       FROM (SELECT bcp_47 || '-' || upper(substr(iso2, 1, 2)) AS locale, population / 100e0 AS hours
             FROM population) GROUP BY 1"""),
+    ("fleurs", """SELECT p.bcp_47, min(p.bcp_47 || '__' || lower(substr(p.iso2, 1, 2))) AS fleurs_tag
+      FROM population p JOIN languages l ON l.bcp_47 = p.bcp_47 AND l.family IN ('EUROPE', 'AFRICA') GROUP BY p.bcp_47"""),
     ("lg", """SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS id, 'r' || CAST(n_regionkey AS VARCHAR) AS family_id,
         n_name AS name, n_name AS iso FROM nation
       UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR), NULL, r_name, r_name FROM region"""),
@@ -82,18 +90,19 @@ _USES = ["languages", "population"]
 
 
 @query("language_dimension", _USES, """
-SELECT n.bcp_47, n.speakers, n.language_name, n.autonym, lf.family, fl.flores_path,
+SELECT n.bcp_47, n.speakers, n.language_name, n.autonym, lf.family, fl.flores_path, fleurs.fleurs_tag,
   cv.commonvoice_hours, cv.commonvoice_locale, fl.bcp_47 IS NOT NULL AS in_benchmark
 FROM named n LEFT JOIN lf ON lf.bcp_47 = n.bcp_47 LEFT JOIN fl ON fl.bcp_47 = n.bcp_47
-LEFT JOIN cv ON cv.bcp_47 = n.bcp_47""", _CTES)
+LEFT JOIN cv ON cv.bcp_47 = n.bcp_47 LEFT JOIN fleurs ON fleurs.bcp_47 = n.bcp_47""", _CTES)
 def language_dimension(ctx):
     """Language rows with names, family and coverage."""
     keys, names, variants, _, locales, languoids = _inputs(ctx)
     langs = L.merge_duplicates(L.standardise_codes(L.language_keys(keys))
                                .select("bcp_47", "speakers"))
     langs = L.attach_names(langs, names).join(L.language_family(languoids), "bcp_47", "left")
-    out = L.build_languages(langs, L.pick_variant(variants), L.commonvoice_coverage(locales))
-    return out.select("bcp_47", "speakers", "language_name", "autonym", "family", "flores_path",
+    out = L.build_languages(langs, L.pick_variant(variants), L.commonvoice_coverage(locales),
+                            L.fleurs_coverage(_fleurs_tags(ctx)))
+    return out.select("bcp_47", "speakers", "language_name", "autonym", "family", "flores_path", "fleurs_tag",
                       "commonvoice_hours", "commonvoice_locale", "in_benchmark")
 
 

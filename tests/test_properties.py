@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from lingualens.operators import bootstrap as bs
+from lingualens.operators import leaderboard as lb
 from lingualens.operators import worklist as wl
 from lingualens.plans.context import Ctx
+from lingualens.sources import io
 
 from .conftest import MEDIUM, SMALL
 
@@ -48,8 +50,9 @@ def test_leaderboard_invariant_to_input_partitioning(spark):
 
 
 def test_fixture_bootstrap_values(spark):
-    out = {r.model: (r.ci_lower, r.ci_upper)
-           for r in E.queries()["bootstrap_ci"](spark, MEDIUM).where(F.col("model").isin("m1", "m2", "m3")).collect()}
+    acc = Ctx(spark, MEDIUM).detailed.where((F.col("metric") == "accuracy") & F.col("model").isin("m1", "m2", "m3"))
+    ci = bs.hashed_resample_ci(acc, "model", ["bcp_47", "task", "sentence_nr"], replicates=10)
+    out = {r.model: (r.ci_lower, r.ci_upper) for r in ci.collect()}
     assert out["m1"] == pytest.approx((0.440749235, 0.506269113), abs=1e-9)
     assert out["m2"] == pytest.approx((0.493416667, 0.567000000), abs=1e-9)
     assert out["m3"] == pytest.approx((0.430923345, 0.517944251), abs=1e-9)
@@ -68,27 +71,56 @@ def test_poisson_ci_brackets_the_mean_and_is_partition_free(spark):
     assert inside >= 0.9 * len(rows)
 
 
-def test_frontier_is_monotone(spark):
+def test_frontier_never_falls_along_date_and_rank(spark):
+    ctx = Ctx(spark, SMALL)
+    rank = {r.model: r["rank"] for r in lb.model_table(ctx.results, ctx.models).collect()}
     f = E.queries()["frontier_by_date"](spark, SMALL).collect()
-    f.sort(key=lambda r: (r.creation_date is not None, r.creation_date, -r.average))
+    f.sort(key=lambda r: (r.creation_date is not None, r.creation_date or 0, rank[r.model]))
+    assert len(f) > 2
     best = 0.0
-    for r in sorted(f, key=lambda r: r.max_average):
-        assert r.max_average >= best
-        best = r.max_average
+    for r in f:
+        assert r.new_record == (r.average > best)
+        best = max(best, r.average)
+        assert r.max_average == best
 
 
-def test_group_interval_kernel_matches_numpy_percentile():
+def test_bootstrap_is_the_same_however_bins_are_split(spark):
     import numpy as np
-    import pandas as pd
-    rng = np.random.default_rng(3)
-    df = pd.DataFrame({"grp": np.repeat(["a", "b", "c"], [3, 1, 4]).astype(object),
-                       "score": rng.random(8), "n": rng.integers(1, 50, 8),
-                       "seed": rng.integers(-2**62, 2**62, 8), "_fan": 1})
-    out = pd.concat(list(bs._group_intervals(300, 0.025, 0.975)(iter([df.iloc[:5], df.iloc[5:]]))))
-    for g, part in df.groupby("grp"):
-        w = bs._bin_weights(part["n"].to_numpy(), part["seed"].to_numpy(), 300)
-        sw, swx = w.sum(0), (w * part["score"].to_numpy()[:, None]).sum(0)
-        means = swx[sw > 0] / sw[sw > 0]
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        row = out[out.grp == g].iloc[0]
-        assert row.lo == pytest.approx(lo) and row.hi == pytest.approx(hi)
+    d = Ctx(spark, SMALL).detailed.where(F.col("metric") == "bleu").select("model", "score")
+    one = {r.model: (r.ci_lower, r.ci_upper) for r in bs.poisson_bootstrap_ci(d, "model").collect()}
+    many = {r.model: (r.ci_lower, r.ci_upper) for r in bs.poisson_bootstrap_ci(d, "model", bins_per_salt=2).collect()}
+    assert set(one) == set(many)
+    assert all(one[m] == pytest.approx(many[m], rel=1e-12) for m in one)
+    # against plain numpy: the same weights, summed at once
+    hist = (d.where("model = 'm1'").groupBy("model", "score").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("seed", bs.bin_seed(F.col("model"), F.col("score"), 42)).toPandas())
+    w = bs._weights(hist["n"].to_numpy(), hist["seed"].to_numpy(), 1000)
+    sw = w.sum(0)
+    means = (w * hist["score"].to_numpy()[:, None]).sum(0)[sw > 0] / sw[sw > 0]
+    assert one["m1"] == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
+def test_no_publish_loses_the_table_it_replaces(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = Ctx(spark, SMALL).log
+    first = io.merge_and_publish(spark, log.where("tie1 % 2 = 0"), path)
+    n = first.count()
+    second = io.merge_and_publish(spark, log.where("tie1 % 2 = 1"), path)
+    assert second.count() == Ctx(spark, SMALL).detailed.count() > n
+    bad = second.withColumn("score", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception):
+        io.save(bad, path)
+    assert io.load(spark, path, second.schema).count() == second.count()
+
+
+def test_guarded_publish_by_scale(spark, tmp_path):
+    ctx = Ctx(spark, SMALL)
+    few = spark.createDataFrame([("m1", "x")], "model string, bcp_47 string")
+    many = spark.range(1000).selectExpr("cast(id as string) as model", "cast(id as string) as bcp_47")
+    args = (ctx.detailed, ctx.results, ctx.models, ctx.languages)
+    assert not io.guarded_publish(spark, *args, few, few, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert not io.path_exists(spark, str(tmp_path / "a/results"))
+    assert spark.read.json(str(tmp_path / "b/models")).count() == ctx.models.count()
+    assert io.guarded_publish(spark, *args, many, many, str(tmp_path / "c"), str(tmp_path / "d"))
+    assert io.load(spark, str(tmp_path / "c/languages"), ctx.languages.schema).count() == ctx.languages.count()
+    assert io.load(spark, str(tmp_path / "c/results-detailed"), ctx.detailed.schema).count() == ctx.detailed.count()

@@ -157,3 +157,91 @@ def test_keep_last_is_idempotent_and_order_free(spark):
     shuffled = log.keep_last(df.repartition(7, "tie1"))
     assert once.collect() == twice.collect() == shuffled.collect()
     assert once.first().tie1 == 19  # latest date (day 5), then largest tie1
+
+
+ITEMS = "doc_id long, source_rank int, bcp_47 string, subject string, item_id long"
+
+
+def test_items_come_from_the_language_source(spark):
+    from lingualens.operators import items as it
+    rows = [(1, 0, "en", "a", 10), (2, 0, "en", "b", 11), (3, 1, "en", "a", 12), (4, 1, "fr", "a", 10), (5, 1, "fr", "b", 11),
+            (6, 2, "es", "a", 10), (7, 3, "es", "a", 11), (8, 2, "fr", "c", 13)]
+    d = spark.createDataFrame(rows, ITEMS)
+    # categories are the first source's: "c" is none
+    got = {(r.bcp_47, r.sentence_nr): (r.subject, r.doc_id) for r in it.rotating_items(d, it.source_priority(d), 4).collect()}
+    assert got == {("en", 0): ("a", 1), ("fr", 0): ("a", 4), ("es", 0): ("a", 6)}
+    # common ids: human sets of en and fr only
+    common = it.common_items(d)
+    assert sorted(r.item_id for r in common.collect()) == [10, 11]
+    four = {(r.bcp_47, r.item_id): (r.doc_id, r.origin) for r in it.items_by_common_id(d, common).collect()}
+    # Spanish is machine-translated, and its set of rank 2 lacks id 11
+    assert four == {("en", 10): (1, "human"), ("en", 11): (2, "human"), ("fr", 10): (4, "human"), ("fr", 11): (5, "human"),
+                    ("es", 10): (6, "machine")}
+    # a short first source is not continued in the next one
+    six = {(r.bcp_47, r.sentence_nr): (r.doc_id, r.origin) for r in it.first_source_items(d).collect()}
+    assert six == {("en", 0): (1, "human"), ("en", 1): (2, "human"), ("fr", 0): (4, "human"), ("fr", 1): (5, "human"), ("es", 0): (6, "machine")}
+
+
+def test_language_without_published_result_has_no_mean(spark):
+    from lingualens.operators import leaderboard as lb
+    cols = "model string, bcp_47 string, task string, metric string, score double, origin string"
+    results = spark.createDataFrame([("m", "en", "mmlu", "accuracy", 0.5, "human")], cols)
+    detailed = spark.createDataFrame([("m", "en", "mmlu", "accuracy", 1.0, "human"), ("m", "fr", "mmlu", "accuracy", 1.0, "human")], cols)
+    langs = spark.createDataFrame([("en", "E", 5), ("fr", "F", 9)], "bcp_47 string, language_name string, speakers long")
+    got = [(r.bcp_47, r.mmlu_accuracy) for r in lb.by_speakers(lb.language_table(results, detailed, langs)).collect()]
+    assert got == [("fr", None), ("en", 1.0)]
+    none = spark.createDataFrame([], "bcp_47 string")
+    assert lb.select_languages(detailed, none).count() == 2 and lb.select_languages(detailed, None).count() == 2
+    assert lb.select_languages(detailed, langs.where("speakers > 5")).count() == 1
+
+
+def test_two_unsupported_sides_copy_the_source(spark):
+    from lingualens.operators import scoring as sc
+    pairs = spark.createDataFrame([("es", "pt", 0, "hola"), ("es", "en", 1, "hola"), ("en", "en", 2, "hi"), ("en", "de", 3, "hi")],
+                                  "bcp_47 string, target string, sentence_nr int, source_text string")
+    sup = spark.createDataFrame([("en",), ("de",)], "bcp_47 string")
+    got = {r.sentence_nr: (r.action, r.prediction, r.status) for r in sc.pair_support(pairs, sup).collect()}
+    assert got == {0: ("copy", "hola", "ok"), 1: ("unsupported", None, "error"), 2: ("copy", "hi", "ok"), 3: ("translate", None, None)}
+
+
+def test_white_space_of_any_script(spark):
+    from pyspark.sql import functions as F
+    from lingualens.operators import scoring as sc
+    d = spark.createDataFrame([("\u3000\u00a0A\u2003", "a\u3000b", "a b")], "x string, p string, r string")
+    row = d.select(sc.strip_ws(F.col("x")).alias("x"), sc.word_tokens(F.col("p")).alias("t"), sc.no_space(F.col("p")).alias("n")).first()
+    assert (row.x, row.t, row.n) == ("A", ["a", "b"], "ab")
+    wer = sc.word_error_rate(d.withColumn("g", F.lit(1)), ["g"], "p", "r").first()
+    assert wer.edits == 0 and wer.wer == 0
+
+
+def test_checkpoint_folder_is_kept_and_never_machine_local_on_a_cluster(spark, tmp_path, monkeypatch):
+    from lingualens import session
+    before = spark.sparkContext.getCheckpointDir()
+    session.ensure_checkpoint_dir(spark)
+    assert spark.sparkContext.getCheckpointDir() == before
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    import pytest
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_license_title_case(spark):
+    from pyspark.sql import functions as F
+    from lingualens.operators import cohort as co
+    d = spark.createDataFrame([("gemma2b",), ("apache-2.0",), ("mit",), ("cc-by-nc-4.0",), (None,)], "l string")
+    got = [r[0] for r in d.select(co.license_text(F.col("l"))).collect()]
+    assert got == ["Gemma2B", "Apache 2.0", "Mit", "Cc By Nc 4.0", None]
