@@ -298,12 +298,21 @@ def fit(pats: np.ndarray, counts: np.ndarray, steps: int = 300) -> np.ndarray:
 
 
 def plan(hist: dict[int, int], seq_len: int = SEQ_LEN, depth: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """Groups (lengths of a sequence, number of such sequences)."""
+    """Groups (lengths of a sequence, number of such sequences): the fitted
+    repeat counts rounded, or rounded down, and the residuals best-fit;
+    whichever needs fewer sequences, and no more than best-fit alone."""
     counts = np.zeros(seq_len + 1, np.int64)
     for k, v in hist.items():
         counts[k] = v
     pats = patterns(counts > 0, seq_len, depth)
-    x = np.rint(fit(pats, counts.astype(float))).astype(np.int64)
+    x = fit(pats, counts.astype(float))
+    tried = [rounded(pats, counts, r(x).astype(np.int64), seq_len) for r in (np.rint, np.floor, np.zeros_like)]
+    return min(tried, key=lambda groups: sum(k for _, k in groups))
+
+
+def rounded(pats: np.ndarray, counts: np.ndarray, x: np.ndarray, seq_len: int) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts, largest first, held to what is left of each
+    length, and the residuals packed best-fit."""
     groups: list[tuple[tuple[int, ...], int]] = []
     left = counts.copy()
     for i in np.lexsort((np.arange(len(x)), -x)):

@@ -96,5 +96,14 @@ def test_plan_uses_every_length_once():
         for v in lengths:
             used[v] = used.get(v, 0) + k
     assert used == hist
-    total = sum(k * v for k, v in hist.items())
-    assert sum(k for _, k in groups) <= max(-(-total // 512) * 1.01, sum(v for k, v in hist.items() if k > 256))
+    counts = np.zeros(513, np.int64)
+    for k, v in hist.items():
+        counts[k] = v
+    n = sum(k for _, k in groups)
+    assert n <= sum(k for _, k in packing.best_fit(counts, 512))
+    assert n <= 1.05 * sum(k * v for k, v in hist.items()) / 512
+
+
+def test_patterns_reach_the_bound_where_they_can():
+    hist = {100: 3000, 156: 3000, 256: 3000, 212: 3000, 300: 3000}  # 100+156+256 and 212+300
+    assert sum(k for _, k in packing.plan(hist, 512)) == 6000
