@@ -6,9 +6,11 @@ Texts become sets of word shingles; two link when 100 * |intersection| >=
 1. **Classes.**  One pass reduces each text to its set's size and a 128-bit
    sum of its shingles' hashes; equal sets are one class from then on.
 2. **Orders.**  Under any total order of shingles, two linked sets share one
-   of their first ``n - ceil(t n) + 1`` (their prefixes).  Order 0 is rarity:
-   a table of ``2 ** SKETCH_BITS`` counters over all texts, ties by hash, so
-   common shingles come last and groups stay small.  Orders 1.. are hashes.
+   of their first ``n - ceil(t n) + 1`` (their prefixes).  Order 0 is rarity,
+   from counts over all texts in tables of fixed size: shingles whose counter
+   stands out (passages that many texts share) come last, the others by how
+   often their words occur, ties by hash.  So groups stay small.  Orders 1..
+   are hashes.
 3. **Candidates.**  Prefixes under order 0 are grouped by shingle.  Length and
    position bounds drop pairs that cannot reach the threshold.
 4. **Hubs first.**  Of each shingle's group the class with the fewest rarer
@@ -41,28 +43,34 @@ from .textbytes import NOT_SPACE, Words, append, blocks, mix, utf8
 from .workspace import bitmap, flagged, maybe_in, row_key, stored
 
 N, PERCENT, ORDERS = 3, 90, 3
-SKETCH_BITS, SKETCH_BLOCK = 20, 4096
+WORD_BITS, SHINGLE_BITS, SKETCH_BLOCK = 20, 21, 4096
 _SEEDS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int):
-    """For each text its distinct shingle hashes, sorted."""
+def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, weight: np.ndarray | None = None):
+    """For each text its distinct shingle hashes, sorted; with ``weight`` (by
+    the top bits of a word's hash) also the sum of each shingle's words."""
     w = Words(data, offs, NOT_SPACE)
-    g, ok = w.shingles(n)
+    g, _ = w.shingles(n)
+    if weight is not None:
+        own = weight[(w.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+        total = own.copy()
+        for j in range(1, n):
+            total[:max(0, len(own) - j)] += own[j:]
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= n:
-            yield np.unique(g[a:b - n + 1])
-        elif b > a:
-            h = w.hash[a].copy() if b - a == 1 else None
-            if h is None:
-                h = w.hash[a:a + 1].copy()
-                for j in range(1, b - a):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w.hash[a + j:a + j + 1])
-                h = h[0]
-            # a short sequence is no shingle of n words
-            yield mix(np.array([h], np.uint64) ^ _SEEDS[3] * np.uint64(b - a))
-        else:
-            yield np.zeros(0, np.uint64)
+            if weight is None:
+                yield np.unique(g[a:b - n + 1])
+            else:
+                s, at = np.unique(g[a:b - n + 1], return_index=True)
+                yield s, total[a + at]
+            continue
+        h = w.hash[a:a + 1].copy()
+        for j in range(1, b - a):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w.hash[a + j:a + j + 1])
+        # a short sequence is no shingle of n words
+        s = mix(h ^ _SEEDS[3] * np.uint64(b - a)) if b > a else np.zeros(0, np.uint64)
+        yield s if weight is None else (s, np.zeros(len(s), np.float32))
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -84,10 +92,11 @@ def signatures(docs: DataFrame, text_col: str, n: int, name: str, drop_text: boo
 
 # -------------------------------------------------------------------- orders
 
-def sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Counters of shingles by the top bits of their hash, over all texts.
-    Partial tables are summed in two levels of bounded groups."""
-    size, width = 1 << SKETCH_BITS, SKETCH_BLOCK
+def sketch(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all texts by the top bits of a hash: of words, and of each
+    text's distinct shingles.  Partial tables are summed in two levels of
+    bounded groups."""
+    words, size, width = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << SHINGLE_BITS), SKETCH_BLOCK
 
     def count(batches):
         from pyspark import TaskContext
@@ -95,8 +104,10 @@ def sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
         for batch in batches:
             data, offs = utf8(batch.column(0))
             for i, j in blocks(offs):
-                sets = list(shingle_sets(data, offs[i:j + 1], n))
-                own += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                part = offs[i:j + 1]
+                own[:words] += np.bincount((Words(data, part, NOT_SPACE).hash >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=words)
+                sets = np.concatenate(list(shingle_sets(data, part, n)))
+                own[words:] += np.bincount((sets >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64), minlength=size - words)
         part = TaskContext.get().partitionId()
         at = [b for b in range(size // width) if own[b * width:(b + 1) * width].any()]
         yield pa.RecordBatch.from_arrays(
@@ -115,47 +126,69 @@ def sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     kind = "part int, block int, counts binary"
     tables = docs.select(text_col).mapInArrow(count, kind).groupBy("part", "block").applyInArrow(add, kind)
     out = np.zeros(size, np.int64)
-    for r in tables.groupBy("block").applyInArrow(add, kind).collect():  # at most 8 MB
+    for r in tables.groupBy("block").applyInArrow(add, kind).collect():  # at most 24 MB
         out[r.block * width:(r.block + 1) * width] = np.frombuffer(r.counts, "<i8")
-    return out
+    return out[:words], out[words:]
+
+
+class Rarity:
+    """Order 0: shingles that stand out last (by how much), then the sum of
+    the logarithms of their words' counts, then the hash."""
+
+    def __init__(self, words: np.ndarray, shingles: np.ndarray):
+        self.weight = np.log2(np.maximum(1, words)).astype(np.float32)
+        usual = max(1.0, float(np.median(shingles)))
+        excess = (shingles - usual) / usual ** 0.5
+        self.hot = np.where(excess > 6, 1 + np.log2(np.maximum(1, excess)), 0).astype(np.uint8)
+
+    def order(self, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        return np.lexsort((s, weight, self.hot[(s >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)]))
 
 
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def ordered(s: np.ndarray, order: int, counts: np.ndarray | None) -> np.ndarray:
-    """The set's shingles in global order ``order``."""
-    if order:
-        return s[np.argsort(mix(s ^ _SEEDS[order]), kind="stable")]
-    return s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))]
+def hash_prefix(s: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The set's prefix under hash order ``order``."""
+    key = mix(s ^ _SEEDS[order])
+    p = prefix_size(len(s), percent)
+    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
 
 
-def prefixes(docs: DataFrame, text_col: str, n: int, percent: int, counts) -> DataFrame:
-    """token, s1, s2, n, pos: the prefix of each set under order 0."""
+def prefixes(texts: DataFrame, n: int, percent: int, rarity) -> DataFrame:
+    """token, k1, k2, n, pos: the prefix under order 0 of the sets of
+    ``texts`` (k1, k2, t)."""
 
     def run(batches):
-        table = counts.value
+        order = rarity.value
         for batch in batches:
-            data, offs = utf8(batch.column(0))
+            data, offs = utf8(batch.column(2))
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)]
             for i, j in blocks(offs):
-                tok, sig, num, pos = [], [], [], []
-                for s in shingle_sets(data, offs[i:j + 1], n):
+                tok, row, num, pos = [], [], [], []
+                for d, (s, weight) in enumerate(shingle_sets(data, offs[i:j + 1], n, order.weight)):
                     if not len(s):
                         continue
                     p = prefix_size(len(s), percent)
-                    tok.append(ordered(s, 0, table)[:p])
-                    sig.append(np.array([_signature(s)] * p, np.int64).reshape(-1, 2))
+                    tok.append(s[order.order(s, weight)[:p]])
+                    row.append(np.full(p, i + d, np.int64))
                     num.append(np.full(p, len(s), np.int32))
                     pos.append(np.arange(p, dtype=np.int32))
                 if tok:
-                    sig = np.concatenate(sig)
+                    row = np.concatenate(row)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.ascontiguousarray(sig[:, 0])),
-                         pa.array(np.ascontiguousarray(sig[:, 1])), pa.array(np.concatenate(num)), pa.array(np.concatenate(pos))],
-                        names=["token", "s1", "s2", "n", "pos"])
+                        [pa.array(np.concatenate(tok).view(np.int64)), pa.array(keys[0][row]), pa.array(keys[1][row]),
+                         pa.array(np.concatenate(num)), pa.array(np.concatenate(pos))], names=["token", "k1", "k2", "n", "pos"])
+
+    return texts.select("k1", "k2", "t").mapInArrow(run, "token long, k1 long, k2 long, n int, pos int")
 
-    return docs.select(text_col).mapInArrow(run, "token long, s1 long, s2 long, n int, pos int")
+
+def without(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``texts`` whose key (k1, k2) isn't in ``keys``; only rows that may go are shuffled."""
+    marked = flagged(texts, "k1", bitmap(keys, "k1"), "__odd")
+    odd = marked.where("__odd").join(keys, ["k1", "k2"], "left_anti")
+    return marked.where("not __odd").drop("__odd").unionByName(odd.drop("__odd"))
 
 
 # -------------------------------------------------------------- verification
@@ -168,19 +201,36 @@ def shingles_of(text: str | None, n: int) -> set:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def linked(a: str, b: str, n: int, percent: int, orders: int) -> bool:
-    """Prefixes meet under every hash order, and the exact sets are similar."""
-    sets = []
-    for t in (a, b):
-        raw = np.frombuffer(t.encode(), np.uint8)
-        sets.append(next(shingle_sets(raw, np.array([0, len(raw)]), n)))
-    for order in range(1, orders):
-        x, y = (ordered(s, order, None)[:prefix_size(len(s), percent)] for s in sets)
-        if not len(np.intersect1d(x, y)):
+class Verifier:
+    """Exact similarity of pairs of texts, behind the filters of the hash orders."""
+
+    def __init__(self, n: int, percent: int, orders: int):
+        self.n, self.percent, self.orders = n, percent, orders
+        self.last: tuple = (None, None, None)
+
+    def _set(self, text: str):
+        if self.last[0] != text:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            s = next(shingle_sets(raw, np.array([0, len(raw)]), self.n))
+            self.last = text, s, [hash_prefix(s, k, self.percent) for k in range(1, self.orders)]
+        return self.last[1:]
+
+    def _enough(self, both: int, n: int, m: int) -> bool:
+        return 100 * both >= self.percent * (n + m - both)
+
+    def __call__(self, a: str, b: str) -> bool:
+        y, fy = self._set(b)  # pairs come sorted by b
+        held = self.last
+        x, fx = self._set(a)
+        self.last = held
+        # prefixes meet under every order, then the sets, then the words themselves
+        for p, q in zip(fx, fy):
+            if not len(np.intersect1d(p, q, assume_unique=True)):
+                return False
+        if not self._enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
             return False
-    x, y = shingles_of(a, n), shingles_of(b, n)
-    both = len(x & y)
-    return 100 * both >= percent * (len(x) + len(y) - both)
+        x, y = shingles_of(a, self.n), shingles_of(b, self.n)
+        return self._enough(len(x & y), len(x), len(y))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, orders: int) -> DataFrame:
@@ -194,9 +244,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: i
     full = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
 
     def run(batches):
+        linked = Verifier(n, percent, orders)
         for batch in batches:
             x, y = batch.column(4), batch.column(5)
-            ok = [linked(x[i].as_py(), y[i].as_py(), n, percent, orders) for i in range(len(x))]
+            ok = [linked(x[i].as_py(), y[i].as_py()) for i in range(len(x))]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(ok, pa.bool_()))
 
     return full.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct()
@@ -239,14 +290,14 @@ def _possible(a: str, b: str, percent: int) -> Column:
 def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, percent: int, orders: int) -> DataFrame:
     """k1, k2, c1, c2 of the classes that have a link.  ``rows``: one row per
     text with k1, k2, n, s1, s2."""
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(sketch(docs, text_col, n))  # 8 MB
-    found = stored(prefixes(docs, text_col, n, percent, counts))
-    shared = (found.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
-              .where("lo != hi").select("token"))
-    reps = rows.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k")).select("s1", "s2", "k.*")
-    members = stored(found.join(shared, "token").dropDuplicates(["token", "s1", "s2"])
-                     .join(reps, ["s1", "s2"]).select("token", "k1", "k2", "n", "pos"))
+    rarity = docs.sparkSession.sparkContext.broadcast(Rarity(*sketch(docs, text_col, n)))  # 6 MB
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    copies = stored(rows.where("n > 0").join(classes, ["s1", "s2"]).where("k1 != k.k1 or k2 != k.k2").select("k1", "k2").distinct())
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
+    found = stored(prefixes(without(texts, copies), n, percent, rarity))
+    shared = stored(found.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"))
+                    .where("lo != hi").select("token"))
+    members = stored(maybe_in(found, "token", bitmap(shared, "token")).join(shared, "token"))
 
     hubs = members.groupBy("token").agg(F.min(F.struct("pos", "n", "k1", "k2")).alias("h")) \
         .select("token", F.col("h.pos").alias("hpos"), F.col("h.n").alias("hn"), F.col("h.k1").alias("b1"), F.col("h.k2").alias("b2"))
