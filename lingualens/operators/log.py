@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
-# A cell of the published aggregate, and the per-sample key within it.  The
-# cell columns lead, so one hash partitioning on the cell serves the
-# keep-last window and the cell aggregation without a second shuffle.
+# A cell of the published aggregate, and the per-sample key within it.
 CELL = ["model", "bcp_47", "task", "metric"]
 LOG_KEY = [*CELL, "sentence_nr"]
 # Log order: a later row wins on merge; the earliest row is "first".
@@ -24,15 +22,14 @@ def log_order(order: Sequence[str] = LOG_ORDER) -> Column:
 
 
 def keep_last(log: DataFrame, key: Sequence[str] = LOG_KEY,
-              order: Sequence[str] = LOG_ORDER, cluster: Sequence[str] | None = None) -> DataFrame:
+              order: Sequence[str] = LOG_ORDER) -> DataFrame:
     """Last row per key in log order (G1).
 
     ``max`` of a struct that leads with the order columns is an ordinary
     aggregate, so Spark combines copies map-side before the shuffle: even a
     key whose copies are a third of all rows reaches the reduce side as one
     row per map task, never as one task's worth of raw rows.  The remaining
-    columns break exact ties deterministically.  (``cluster`` is accepted
-    for callers that name one; the aggregate shuffles on the key.)
+    columns break exact ties deterministically.
     """
     key = list(key)
     rest = [c for c in log.columns if c not in key and c not in order]
