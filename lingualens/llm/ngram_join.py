@@ -18,10 +18,14 @@ Texts become sets of word shingles; two link when 100 * |intersection| >=
    are contracted to components, and only then are the pairs between classes
    of *different* components made: within a group of copies nothing is left
    to do, and no link between components is lost.
-5. **Verification.**  Before two texts are compared in full, their prefixes
-   must meet under every other order as well.  Then the exact shingles (the
-   words, not their hashes) are counted.
-6. **Components** by repeatedly linking all neighbours to the smallest one.
+5. **Filters of the other orders.**  Under every hash order the start of a
+   set is kept with its class (``filter_size`` shingles, 32 bits each).  Up to
+   the smaller of two such starts' ends both sets are known there, and linked
+   sets may miss no more of each other's shingles than the threshold allows
+   in all.  Candidates must pass under every order.
+6. **Verification** of what passes: the exact shingles (the words, not their
+   hashes) are counted.
+7. **Components** by repeatedly linking all neighbours to the smallest one.
 
 Shuffles carry shingle prefixes, not texts; texts are fetched for candidates
 only, by a bitmap of fixed size and an exact join behind it.
@@ -77,17 +81,52 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(s ^ seed).sum(dtype=np.uint64).view(np.int64)) for seed in _SEEDS[:2])
 
 
-def signatures(docs: DataFrame, text_col: str, n: int, name: str, drop_text: bool = True) -> DataFrame:
-    """``docs`` with a struct ``name``: n (set size), s1 and s2."""
+def filter_size(n: int, percent: int) -> int:
+    """Shingles kept of each hash order: the prefix and a few more."""
+    return min(n, prefix_size(n, percent) + 8)
+
+
+def starts(s: np.ndarray, percent: int, orders: int) -> bytes:
+    """The set's first keys under each hash order, their top 32 bits, sorted."""
+    q = filter_size(len(s), percent)
+    out = []
+    for k in range(1, orders):
+        key = (mix(s ^ _SEEDS[k]) >> np.uint64(32)).astype("<u4")
+        out.append(np.sort(np.partition(key, q - 1)[:q] if q < len(key) else key).tobytes())
+    return b"".join(out)
+
+
+def may_link(n: int, f: bytes, m: int, g: bytes, percent: int, orders: int) -> bool:
+    """Whether two sets of n and m shingles pass the filters of every hash order."""
+    need = -(-percent * (n + m) // (100 + percent))  # shingles in common
+    p, q = filter_size(n, percent), filter_size(m, percent)
+    x, y = (np.frombuffer(v, "<u4").reshape(orders - 1, -1) for v in (f, g))
+    for a, b in zip(x, y):
+        # the last key of a cut start may have equals beyond it, so it is left out
+        end = min(int(a[-1]) if p < n else 1 << 32, int(b[-1]) if q < m else 1 << 32)
+        a, b = a[a < end], b[b < end]
+        if (~np.isin(a, b)).sum() > n - need or (~np.isin(b, a)).sum() > m - need:
+            return False
+    return True
+
+
+def signatures(docs: DataFrame, text_col: str, n: int, percent: int, orders: int, name: str) -> DataFrame:
+    """``docs`` without the text and with a struct ``name``: n (set size), s1,
+    s2 and f (starts under the hash orders)."""
 
     def run(batch: pa.RecordBatch) -> pa.Array:
         data, offs = utf8(batch.column(batch.schema.get_field_index(text_col)))
-        rows = [(len(s), *_signature(s)) for i, j in blocks(offs) for s in shingle_sets(data, offs[i:j + 1], n)]
+        rows, f = [], []
+        for i, j in blocks(offs):
+            for s in shingle_sets(data, offs[i:j + 1], n):
+                rows.append((len(s), *_signature(s)))
+                f.append(starts(s, percent, orders) if len(s) else b"")
         cols = np.array(rows, np.int64).reshape(-1, 3).T
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["n", "s1", "s2"])
+        return pa.StructArray.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in cols], pa.array(f, pa.binary())],
+                                          names=["n", "s1", "s2", "f"])
 
-    kind = docs.sparkSession.createDataFrame([], "n long, s1 long, s2 long").schema
-    return append(docs, text_col, run, kind, name, drop_text)
+    kind = docs.sparkSession.createDataFrame([], "n long, s1 long, s2 long, f binary").schema
+    return append(docs, text_col, run, kind, name, drop_text=True)
 
 
 # -------------------------------------------------------------------- orders
@@ -149,13 +188,6 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def hash_prefix(s: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The set's prefix under hash order ``order``."""
-    key = mix(s ^ _SEEDS[order])
-    p = prefix_size(len(s), percent)
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
-
-
 def prefixes(texts: DataFrame, n: int, percent: int, rarity) -> DataFrame:
     """token, k1, k2, n, pos: the prefix under order 0 of the sets of
     ``texts`` (k1, k2, t)."""
@@ -202,41 +234,52 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 class Verifier:
-    """Exact similarity of pairs of texts, behind the filters of the hash orders."""
+    """Exact similarity of pairs of texts; the last second text is kept."""
 
-    def __init__(self, n: int, percent: int, orders: int):
-        self.n, self.percent, self.orders = n, percent, orders
-        self.last: tuple = (None, None, None)
+    def __init__(self, n: int, percent: int):
+        self.n, self.percent = n, percent
+        self.held: tuple = (None, None, None)
 
-    def _set(self, text: str):
-        if self.last[0] != text:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            s = next(shingle_sets(raw, np.array([0, len(raw)]), self.n))
-            self.last = text, s, [hash_prefix(s, k, self.percent) for k in range(1, self.orders)]
-        return self.last[1:]
+    def _hashes(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return next(shingle_sets(raw, np.array([0, len(raw)]), self.n))
 
     def _enough(self, both: int, n: int, m: int) -> bool:
         return 100 * both >= self.percent * (n + m - both)
 
     def __call__(self, a: str, b: str) -> bool:
-        y, fy = self._set(b)  # pairs come sorted by b
-        held = self.last
-        x, fx = self._set(a)
-        self.last = held
-        # prefixes meet under every order, then the sets, then the words themselves
-        for p, q in zip(fx, fy):
-            if not len(np.intersect1d(p, q, assume_unique=True)):
-                return False
+        if self.held[0] != b:  # pairs come sorted by b
+            self.held = b, self._hashes(b), None
+        x, y = self._hashes(a), self.held[1]
         if not self._enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-            return False
-        x, y = shingles_of(a, self.n), shingles_of(b, self.n)
+            return False  # equal shingles have equal hashes
+        if self.held[2] is None:
+            self.held = b, y, shingles_of(b, self.n)
+        x, y = shingles_of(a, self.n), self.held[2]
         return self._enough(len(x & y), len(x), len(y))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, orders: int) -> DataFrame:
+def filtered(pairs: DataFrame, rows: DataFrame, percent: int, orders: int) -> DataFrame:
+    """The pairs that pass the filters of the hash orders."""
+    sides = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
+    kept = maybe_in(rows.select("k1", "k2", "n", "f"), "k1", bitmap(sides, "k1"))
+    left = kept.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("n").alias("x"), F.col("f").alias("fx"))
+    right = kept.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("y"), F.col("f").alias("fy"))
+    full = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "fx", "y", "fy")
+
+    def run(batches):
+        for batch in batches:
+            ok = [may_link(*r, percent, orders) for r in zip(*(batch.column(c).to_pylist() for c in range(4, 8)))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(ok, pa.bool_()))
+
+    return full.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, percent: int,
+             orders: int) -> DataFrame:
     """The pairs (a1, a2, b1, b2: row keys) whose texts link."""
-    sides = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")) \
-        .union(pairs.select("b1", "b2")).distinct()
+    pairs = stored(filtered(pairs, rows, percent, orders))
+    sides = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
     texts = maybe_in(docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t")), "k1", bitmap(sides, "k1"))
     texts = stored(texts.join(sides, ["k1", "k2"], "left_semi"))
     left = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("t").alias("x"))
@@ -244,7 +287,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: i
     full = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "x", "y")
 
     def run(batches):
-        linked = Verifier(n, percent, orders)
+        linked = Verifier(n, percent)
         for batch in batches:
             x, y = batch.column(4), batch.column(5)
             ok = [linked(x[i].as_py(), y[i].as_py()) for i in range(len(x))]
@@ -289,7 +332,7 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, percent: int, orders: int) -> DataFrame:
     """k1, k2, c1, c2 of the classes that have a link.  ``rows``: one row per
-    text with k1, k2, n, s1, s2."""
+    text with k1, k2, n, s1, s2 and f."""
     rarity = docs.sparkSession.sparkContext.broadcast(Rarity(*sketch(docs, text_col, n)))  # 6 MB
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k"))
     copies = stored(rows.where("n > 0").join(classes, ["s1", "s2"]).where("k1 != k.k1 or k2 != k.k2").select("k1", "k2").distinct())
@@ -304,7 +347,7 @@ def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: st
     first = (members.join(hubs, "token").where("k1 != b1 or k2 != b2").where(_possible("", "h", percent))
              .groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2"))
              .agg(F.min(F.struct("hpos", "pos", "b1", "b2")).alias("h")).select("a1", "a2", "h.b1", "h.b2"))
-    links = stored(verified(stored(first), docs, id_col, text_col, n, percent, orders))
+    links = stored(verified(stored(first), docs, rows, id_col, text_col, n, percent, orders))
 
     parts = components(links)
     at = stored(members.join(parts, ["k1", "k2"], "left")
@@ -322,7 +365,7 @@ def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: st
             .where("(c1 != oc1 or c2 != oc2) and (omain or k1 < ok1 or (k1 = ok1 and k2 < ok2))")
             .where(_possible("", "o", percent))
             .select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("ok1").alias("b1"), F.col("ok2").alias("b2")).distinct())
-    more = verified(stored(rest), docs, id_col, text_col, n, percent, orders)
+    more = verified(stored(rest), docs, rows, id_col, text_col, n, percent, orders)
     return components(links.union(more))
 
 
@@ -331,7 +374,7 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """id, k1, k2 (key of the row), n, c1, c2 (key of its component, null
     without words) and component_id, for every row."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = stored(signatures(docs.select("id", *row_key("id", "t"), "t"), "t", n, "s").select("id", "k1", "k2", "s.*"))
+    rows = stored(signatures(docs.select("id", *row_key("id", "t"), "t"), "t", n, percent, orders, "s").select("id", "k1", "k2", "s.*"))
     parts = class_components(docs, rows, "id", "t", n, percent, orders)
     classes = (rows.where("n > 0").groupBy("s1", "s2")
                .agg(F.min(F.struct("k1", "k2")).alias("k"), F.min("id").alias("least")).select("s1", "s2", "k.*", "least")

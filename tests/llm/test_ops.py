@@ -280,6 +280,27 @@ def test_ngram_join_edges(spark):
     assert got == sorted([(None, 2, 5), (5, 2, 5), (None, 2, None), (6, 1, 6)], key=key)
 
 
+def test_order_filters_pass_every_link():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    passed = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        drop, add = rng.integers(0, max(1, n // 8), 2)
+        b = np.unique(np.concatenate([rng.choice(a, max(1, len(a) - drop), replace=False), rng.integers(0, 2**63, add).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        ok = ngram_join.may_link(len(a), ngram_join.starts(a, 90, 3), len(b), ngram_join.starts(b, 90, 3), 90, 3)
+        if 100 * both >= 90 * (len(a) + len(b) - both):
+            assert ok
+            passed += 1
+    assert passed > 50
+    far = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    near = np.concatenate([a[:0], far[:60], rng.integers(0, 2**63, 240).astype(np.uint64)])
+    near = np.unique(near)
+    assert not ngram_join.may_link(len(far), ngram_join.starts(far, 90, 3), len(near), ngram_join.starts(near, 90, 3), 90, 3)
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, 0, i + 1, 0) for i in range(30)] + [(100, 0, 99, 0)], "a1 long, a2 long, b1 long, b2 long")
     got = {r.k1: r.c1 for r in ngram_join.components(e).collect()}
