@@ -12,10 +12,12 @@ The trees of all languages share their keys: one lookup of the longest known
 string (context and byte) yields the costs in every language at once.
 
 Learning uses a bounded sample of whole labelled texts: texts are taken by a
-hash of the id at a rate that leaves about ``sample_docs`` a language, and at
-most ``max_strings`` of the longest strings are kept (the most frequent).
-Both are parameters.  Counting runs in Spark tasks and is summed by Spark;
-only the kept strings reach the driver.  Everything else covers all texts.
+hash of the id at a rate that leaves about ``sample_docs`` a language (a
+parameter).  Every string of the sample is kept, so each language has its
+whole tree however many others there are.  Counting runs in Spark tasks and is
+summed by Spark; the distinct strings reach the driver as Arrow columns, and
+the model has one cost a string and language.  Everything else covers all
+texts.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter
 (empty ones too), and all texts if nothing could be learned; otherwise the
@@ -38,7 +40,6 @@ from .textbytes import append, blocks, utf8
 
 ORDER = 3
 SAMPLE_DOCS = 4000
-MAX_STRINGS = 1 << 19
 RESULT = "lang_pred string, score double, bits double, n_bytes long"
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -68,8 +69,8 @@ def strings(buf: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return eight[at - (k - 1)] & np.uint64((1 << (8 * k)) - 1)
 
 
-def count_strings(texts: DataFrame, order: int, max_strings: int) -> list:
-    """(lang, key, n) of the most frequent strings of order + 1 bytes."""
+def count_strings(texts: DataFrame, order: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By language, all strings of order + 1 bytes and how often each occurs."""
 
     def run(batches):
         for batch in batches:
@@ -86,9 +87,11 @@ def count_strings(texts: DataFrame, order: int, max_strings: int) -> list:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(key)), pa.array(key.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
 
-    return (texts.mapInArrow(run, "lang string, key long, n long")
-            .groupBy("lang", "key").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "lang", "key").limit(max_strings).collect())
+    found = texts.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy(zero_copy_only=False)
+    key, n = (found.column(c).to_numpy() for c in ("key", "n"))
+    return {lang: (key[code == i].view(np.uint64), n[code == i].astype(np.float64)) for i, lang in enumerate(names.dictionary.to_pylist())}
 
 
 @dataclass
@@ -102,10 +105,15 @@ class Model:
 
 
 def build(rows: list, order: int) -> Model:
-    """Context trees and exact costs (bits) of all known strings."""
+    """Model of counted strings given as rows (lang, key, n)."""
     langs = sorted({r.lang for r in rows})
-    top = {lang: (np.array([r.key for r in rows if r.lang == lang], np.int64).view(np.uint64),
-                  np.array([r.n for r in rows if r.lang == lang], np.float64)) for lang in langs}
+    return trees({lang: (np.array([r.key for r in rows if r.lang == lang], np.int64).view(np.uint64),
+                         np.array([r.n for r in rows if r.lang == lang], np.float64)) for lang in langs}, order)
+
+
+def trees(top: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
+    """Context trees and exact costs (bits) of all known strings."""
+    langs = sorted(top)
     levels, escapes = [], []
     below_keys, below_cost = None, np.full((1, len(langs)), 8.0)
     for k in range(order + 1):
@@ -139,7 +147,7 @@ def build(rows: list, order: int) -> Model:
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          order: int = ORDER, sample_docs: int = SAMPLE_DOCS, max_strings: int = MAX_STRINGS) -> Model | None:
+          order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Model of the labelled rows of ``docs``; None if there are none."""
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")) \
         .where("lang is not null and text is not null and text != ''")
@@ -151,8 +159,8 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         share = min(1.0, sample_docs / n)
         chosen = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20))
         take = take | ((F.col("lang") == lang) & chosen)
-    rows = count_strings(known.where(take).select("lang", "text"), order, max_strings)
-    return build(rows, order) if rows else None
+    top = count_strings(known.where(take).select("lang", "text"), order)
+    return trees(top, order) if top else None
 
 
 # ------------------------------------------------------------------- scoring
@@ -248,7 +256,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", nam
     """``docs`` with a struct column ``name``: lang_pred, score, bits (code
     length in that language) and n_bytes."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most max_strings strings an order
+    sent = spark.sparkContext.broadcast(model)  # the strings of the sample
     kind = spark.createDataFrame([], RESULT).schema
     state: dict = {}
 

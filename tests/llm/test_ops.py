@@ -106,6 +106,17 @@ def test_langid_edges(spark):
     assert alone[0].lang_pred == "und"
 
 
+def test_langid_small_label_keeps_its_tree(spark):
+    import numpy as np
+    much = "".join(random.Random(3).choices([chr(c) for c in range(48, 123)], k=700_000))
+    model = langid.learn(docs_of(spark, [(1, much, "big"), (2, much, "big"), (3, "été œuvre ñandú", "rare")]))
+    assert model.langs == ["big", "rare"]
+    scorer = langid.Scorer(model)
+    for text, want in (("ñandú été", 1), (much[1000:1100], 0)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert scorer.totals(raw, np.array([0, len(raw)])).argmin(1)[0] == want
+
+
 # ------------------------------------------------------------------------ 3
 
 TURNS = "conv_id long, turn long, role string, text string, position long, h1 string, kept string"
