@@ -13,7 +13,8 @@ check digit, so only a context word lifts it over the threshold.
 
 Scans are linear in the text: every pattern starts at a character that its
 match must have (the ``@`` of an address, the start of a run of digits, a
-``+``), and no start repeats another's work.
+``+``), and no start repeats another's work (an account's run is of bounded
+size).
 
 Defined results: null and empty texts have no spans; positions count code
 points, ends exclusive; repeated rows and null ids are reported each; other
@@ -52,6 +53,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
+#: Characters of an account by country.
+_IBAN_SIZE = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 "
+    "GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+    "MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 "
+    "TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _CONTEXT = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, v)) + r")\b", re.I) for k, v in CONTEXT.items()}
 _HAS_16 = re.compile(r"[0-9](?:[ -]?[0-9]){15}")
@@ -92,6 +99,25 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def accounts(text: str):
+    """Bank accounts.  Words of capitals or digits after an account belong to
+    its run: the account ends at the word end that its country's size gives,
+    or at the run's; without a known size at the last word end that confirms."""
+    m = _IBAN.search(text)
+    while m:
+        run, at = m[0], m.start() + 1
+        ends = [len(run), *(i for i in range(len(run) - 1, 0, -1) if run[i] == " ")]
+        size = _IBAN_SIZE.get(run[:2])
+        if size:
+            ends = [e for e in ends if e - run.count(" ", 0, e) == size] + ends[:1]
+        for e in ends:
+            if mod97(run[:e]):
+                yield m.start(), m.start() + e
+                at = m.start() + e
+                break
+        m = _IBAN.search(text, at)
+
+
 def proposals(text: str):
     """Confirmed spans (kind, start, end), by kind as listed, then start."""
     if "@" in text:
@@ -109,9 +135,8 @@ def proposals(text: str):
         for m in _PHONE.finditer(text):
             if 8 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end()
+    for a, b in accounts(text):
+        yield "iban", a, b
     for m in _NATIONAL.finditer(text):
         yield "national_id", m.start(), m.end()
 

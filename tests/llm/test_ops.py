@@ -246,6 +246,16 @@ def test_pii_context_and_check_digits():
     assert pii.masked("write a@b.cd now") == "write <email> now"
 
 
+def test_pii_account_before_capitals_or_digits():
+    found = lambda t: [t[a:b] for k, a, b, _ in pii.scored(t) if k == "iban"]
+    plain, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    assert found(f"IBAN {plain} BIC COBADEFFXXX") == found(f"{plain} 2 days") == found(f"AB12 {plain}") == [plain]
+    assert found(f"IBAN {spaced} BIC COBADEFFXXX") == [spaced]
+    assert found("NO9386011117947 BE68539007547034 X") == ["NO9386011117947", "BE68539007547034"]
+    assert found("DE88370400440532013000 BIC COBADEFFXXX") == []
+    assert pii.masked(f"to {spaced} BIC X") == "to <iban> BIC X"
+
+
 # ------------------------------------------------------------------------ 9
 
 def test_url_filter_as_of(spark):
