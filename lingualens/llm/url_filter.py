@@ -13,8 +13,10 @@ segment of a path.  A capture has few keys: the suffixes of its host (at most
 * Captures are reduced to distinct (host, segment, day) before their keys are
   joined back; the most specific active pattern decides.
 
-Defined results: a null or unparsable URL, a host over 253 characters or a
-null day matches nothing and isn't blocked; of entries for one pattern and
+Defined results: hosts may have letters and digits of any script and are
+compared in lower case as written; a null or unparsable URL, one whose host
+has any other character, a host over 253 characters or a null day matches
+nothing and isn't blocked; of entries for one pattern and
 day, an addition beats a removal and the smaller category wins; a removal
 without an addition does nothing; repeated captures are judged each; other
 columns play no part.
@@ -25,7 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([A-Za-z0-9._-]+)(?::[0-9]+)?(?:/([^/?#]*))?"
+# The host is taken whole or not at all: it ends where port, path, query or fragment begin, or with the URL.
+_URL = (r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#\\]*@)?+([\p{L}\p{M}\p{N}._-]+)(?=[:/?#\\]|\s*$)"
+        r"(?::[0-9]+)?(?:/([^/?#]*))?")
+# ASCII hosts only, and any prefix of a host that is one; equal to the above on hosts of ASCII letters.
+_SQL_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([A-Za-z0-9._-]+)(?::[0-9]+)?(?:/([^/?#]*))?"
 
 
 def host(url: Column) -> Column:
@@ -132,4 +138,4 @@ hits AS (
             AND (s.pattern = host || '/' || segment OR ends_with(host || '/' || segment, '.' || s.pattern)))))
 SELECT p.page_id, p.url, p.day, h.pattern IS NOT NULL AS blocked, h.pattern, h.category, h.since
 FROM p LEFT JOIN hits h ON h.page_id = p.page_id AND h.url = p.url AND h.nr = 1
-""".replace("{url}", _URL)
+""".replace("{url}", _SQL_URL)

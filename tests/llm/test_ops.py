@@ -274,6 +274,18 @@ def test_url_filter_as_of(spark):
     assert url_filter.judged(none, entries).collect() == []
 
 
+def test_url_filter_takes_whole_hosts(spark):
+    day = dt.date(2024, 1, 5)
+    listed = ["münchen.de", "m", "exämple.com/a", "ex", "user", "ss", "a.org"]
+    entries = spark.createDataFrame([(p, day, "add", "x") for p in listed], "pattern string, day date, action string, category string")
+    urls = {"http://münchen.de/rathaus": "münchen.de", "http://www.MÜNCHEN.de": "münchen.de", "https://exämple.com/a": "exämple.com/a",
+            "https://exämple.com/b": None, "http://ex%C3%A4mple.com/a": None, "http://ex!/": None, "http://user:pw@ex!/": None,
+            "http://user:p@ss@a.org/": "a.org", "http://a.org \n": "a.org", "http://a.org?q": "a.org", "http://a.org:80#f": "a.org"}
+    pages = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, day date")
+    assert {r.url: r.pattern for r in url_filter.judged(pages, entries).collect()} == urls
+    assert "münchen.de" in {r.pattern for r in url_filter.list_log(pages).collect()}
+
+
 # ----------------------------------------------------------------------- 10
 
 def test_ngram_join_equals_brute_force(spark):
