@@ -169,6 +169,16 @@ def test_top_k_equals_brute_force(spark):
     assert mtree.digest(spark.createDataFrame([], VECS)).collect() == []
 
 
+def test_top_k_takes_every_vector_of_an_id(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice([5, 50, 100, 1000 + i]), [rnd.uniform(-1, 1) for _ in range(4)], 1, 1, 1) for i in range(300)]
+    got = sorted(tuple(r) for r in mtree.digest(spark.createDataFrame(rows, VECS)).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [r[:2] for r in rows])
+    assert got == sorted(con.execute(mtree.SQL).fetchall())
+
+
 def test_best_first_skips_pages():
     import numpy as np
     rng = np.random.default_rng(0)
