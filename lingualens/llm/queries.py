@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Tables
-from . import chat, decontam, langid, mtree, ngram_join, packing, pii, secrets, suffix_dedup, url_filter
+from . import chat, decontam, langid, merkle, mtree, ngram_join, packing, pii, secrets, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,6 +84,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(Tables(spark, sf_dir).documents)
 
 
+@query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprint of every document and of an edited form of it."""
+    return merkle.digest(Tables(spark, sf_dir).documents)
+
+
 ORACLE_SQL["op3_chat"] = chat.SQL
 ORACLE_SQL["op4_mtree"] = mtree.SQL
 ORACLE_SQL["op9_url_filter"] = url_filter.SQL
+ORACLE_SQL["op11_fingerprints"] = merkle.SQL
