@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Tables
-from . import chat, decontam, langid, merkle, mtree, ngram_join, packing, pii, secrets, suffix_dedup, url_filter
+from . import (align, chat, decontam, langid, merkle, mtree, ngram_join, packing, pii, secrets, spelling,
+               suffix_dedup, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +91,18 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(Tables(spark, sf_dir).documents)
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document."""
+    return align.digest(Tables(spark, sf_dir).documents)
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words and the form they vary."""
+    return spelling.digest(Tables(spark, sf_dir).documents)
+
+
 ORACLE_SQL["op3_chat"] = chat.SQL
 ORACLE_SQL["op4_mtree"] = mtree.SQL
 ORACLE_SQL["op9_url_filter"] = url_filter.SQL
