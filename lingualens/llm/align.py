@@ -29,7 +29,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,12 @@ class Pair:
         byte_of = _byte_of()
         self.bytes_a = {i: bytes(byte_of.get(c, 0) for c in t) for t, i in self.a.get_vocab().items()}
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.size_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        ids = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
+        self.digits = np.array([len(x) for x in ids], np.int64)
+        self.comma, self.bar, self.semicolon = (np.array([x + c for x in ids], object) for c in ",|;")
         self.clear()
 
     def _piece(self, i: int) -> bytes:
@@ -81,42 +87,85 @@ class Pair:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.texts: list[str] = []
-        self.counts: list[tuple[int, int, int, bool]] = []  # A tokens, B tokens, groups, whether the bytes are the unit's
-        self.links: list[int] = []
-        self.first: list[int] = [0]
+        # A tokens, B tokens, groups, links, and whether the bytes are the unit's
+        self.counts = np.zeros((0, 5), np.int64)
+        self.links = np.zeros(0, np.int64)
 
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        return list(zip(a, self.b.encode(units, num_threads=1)))
+        return a, self.b.encode(units, num_threads=1)
 
     def learn(self, units: list[str]) -> None:
-        for unit, (a, b) in zip(units, self.encode(units)):
-            whole = (" " + unit).encode()
-            ok = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            groups, links = self.aligned(a, b) if ok else ([], [])
-            self.place[unit] = len(self.texts)
-            self.texts.append(";".join(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in groups))
-            self.counts.append((len(a), len(b), len(groups), ok))
-            self.links.extend(links)
-            self.first.append(len(self.links))
-
-    def aligned(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-        """Groups (index ranges in both id lists) and links (A id * 2**32 + B id)."""
-        ends_a = list(accumulate(len(self.bytes_a[i]) for i in a))
-        ends_b = list(accumulate(len(self.bytes_b[i]) for i in b))
-        index_a = dict(zip(ends_a, range(1, len(a) + 1)))
-        index_b = dict(zip(ends_b, range(1, len(b) + 1)))
-        groups, links, i, k = [], [], 0, 0
-        for end in sorted(index_a.keys() & index_b.keys()):
-            j, m = index_a[end], index_b[end]
-            groups.append((i, j, k, m))
-            while i < j and k < m:
-                links.append(a[i] << 32 | b[k])
-                at_a, at_b = ends_a[i], ends_b[k]
-                i += at_a <= at_b
-                k += at_b <= at_a
-            i, k = j, m
-        return groups, links
+        """Encode and align units, all at once."""
+        ids = self.encode(units)
+        whole = [(" " + u).encode() for u in units]
+        ok = self._tiled(ids, whole)
+        if not ok.all():
+            ids = [[x if k else [] for x, k in zip(own, ok)] for own in ids]
+            whole = [x if k else b"" for x, k in zip(whole, ok)]
+        groups, links, texts = self.aligned(*ids, np.fromiter(map(len, whole), np.int64, len(units)))
+        self.place.update(zip(units, range(len(self.texts), len(self.texts) + len(units))))
+        self.texts.extend(texts)
+        n_a, n_b = (np.fromiter(map(len, own), np.int64, len(units)) for own in ids)
+        unit = np.searchsorted(np.cumsum([len(x) for x in whole]), links[0])
+        n_links = np.bincount(unit, minlength=len(units)) if len(units) else np.zeros(0, np.int64)
+        self.counts = np.concatenate([self.counts, np.column_stack([n_a, n_b, groups, n_links, ok])])
+        self.links = np.concatenate([self.links, links[1]])
+
+    def _tiled(self, ids, whole: list[bytes]) -> np.ndarray:
+        """Whether both tokenizers' tokens of each unit join to its bytes."""
+        joined = [b"".join(map(table.__getitem__, chain.from_iterable(own))) for own, table in zip(ids, (self.bytes_a, self.bytes_b))]
+        sizes = [np.add.reduceat(np.append(table[np.fromiter(chain.from_iterable(own), np.int64)], 0), starts) * (n > 0)
+                 for own, table in zip(ids, (self.size_a, self.size_b))
+                 for n in [np.fromiter(map(len, own), np.int64, len(own))] for starts in [np.cumsum(n) - n]]
+        size = np.fromiter(map(len, whole), np.int64, len(whole))
+        text = b"".join(whole)
+        if joined[0] == text == joined[1] and (sizes[0] == size).all() and (sizes[1] == size).all():
+            return np.ones(len(whole), bool)
+        return np.array([b"".join(map(self.bytes_a.__getitem__, x)) == w == b"".join(map(self.bytes_b.__getitem__, y))
+                         for x, y, w in zip(*ids, whole)], bool)
+
+    def aligned(self, ids_a: list[list[int]], ids_b: list[list[int]], size: np.ndarray):
+        """Of units (of ``size`` bytes, which their tokens tile): groups of
+        each; links in order, as (last byte, A id * 2**32 + B id); and the
+        groups of each as text."""
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        common, (stop_a, stop_b), ends_a, ends_b = self.groups(a, b)
+        unit_end = np.cumsum(size)
+        unit = np.searchsorted(unit_end, common)  # of each group: ends don't cross units
+        groups = np.bincount(unit, minlength=len(size))
+        # Links: within a slice every end of either side closes one overlap.
+        ends = np.union1d(ends_a, ends_b)
+        links = (ends, a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]) if len(a) else (ends, a)
+        return groups, links, self._written(a, b, stop_a, stop_b, groups)
+
+    def groups(self, a: np.ndarray, b: np.ndarray):
+        """Ends (bytes) of the groups of two id sequences that tile the same
+        bytes, the ends of their slices, and the ends of all tokens."""
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        index_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))
+        index_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1)))
+        common = sorted(index_a.keys() & index_b.keys())
+        stops = tuple(np.fromiter(map(x.__getitem__, common), np.int64, len(common)) for x in (index_a, index_b))
+        return common, stops, ends_a, ends_b
+
+    def _written(self, a, b, stop_a, stop_b, groups) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each unit, from the slices' ends."""
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[stop_a - 1] = last_b[stop_b - 1] = True
+        # A slice's A ids come after the B ids of the slices before, its B ids after its own A ids.
+        group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
+        at_a = np.arange(len(a)) + np.concatenate([[0], stop_b])[group_a]
+        at_b = np.arange(len(b)) + stop_a[group_b] if len(b) else np.zeros(0, np.int64)
+        parts, sizes = np.empty(len(a) + len(b), object), np.zeros(len(a) + len(b) + 1, np.int64)
+        parts[at_a] = np.where(last_a, self.bar[a], self.comma[a])
+        parts[at_b] = np.where(last_b, self.semicolon[b], self.comma[b])
+        sizes[at_a + 1], sizes[at_b + 1] = self.digits[a] + 1, self.digits[b] + 1
+        text, upto = "".join(parts.tolist()), np.cumsum(sizes)
+        done = np.cumsum(groups)
+        stop = np.concatenate([[0], upto[(stop_a + stop_b)]])[done].tolist()
+        start = [0, *stop[:-1]]
+        return [text[i:j - 1] if j > i else "" for i, j in zip(start, stop)]
 
 
 @lru_cache(maxsize=2)
@@ -136,29 +185,30 @@ def _align_block(pair: Pair, texts: list[str]) -> tuple:
     if len(pair.texts) > _UNITS or len(pair.links) > _LINKS:
         pair.clear()
     units = [_CUT.split(t) if t else [] for t in texts]
-    missing = list(dict.fromkeys(u for us in units for u in us if u not in pair.place))
+    missing = [u for u in dict.fromkeys(chain.from_iterable(units)) if u not in pair.place]
     if missing:
         pair.learn(missing)
     size = np.fromiter(map(len, units), np.int64, len(units))
-    at = np.fromiter((pair.place[u] for us in units for u in us), np.int64, int(size.sum()))
+    at = np.fromiter(map(pair.place.__getitem__, chain.from_iterable(units)), np.int64, int(size.sum()))
     own = np.repeat(np.arange(len(texts)), size)
     # Only the units of this block are looked at, not all that are remembered.
     used, at = np.unique(at, return_inverse=True)
-    counts = np.array([pair.counts[u] for u in used.tolist()], np.int64).reshape(-1, 4)
-    first = np.array([pair.first[u] for u in used.tolist()], np.int64)
-    many = np.array([pair.first[u + 1] for u in used.tolist()], np.int64) - first
+    counts = pair.counts[used]
+    first = (np.cumsum(pair.counts[:, 3]) - pair.counts[:, 3])[used]
+    many = counts[:, 3]
     bad = np.zeros(len(texts), bool)
-    bad[own[counts[at, 3] == 0]] = True
+    bad[own[counts[at, 4] == 0]] = True
     keep = ~bad[own]
     at, own = at[keep], own[keep]
-    sums = np.zeros((len(texts), 4), np.int64)
-    np.add.at(sums, own, np.column_stack([counts[at, :3], many[at]]))
     starts = np.searchsorted(own, np.arange(len(texts) + 1))
+    sums = np.zeros((len(at) + 1, 4), np.int64)
+    np.cumsum(counts[at, :4], axis=0, out=sums[1:])
+    sums = sums[starts[1:]] - sums[starts[:-1]]
     place = used[at].tolist()
     digest = [hashlib.sha256(";".join([pair.texts[u] for u in place[i:j]]).encode()).hexdigest() if j > i else ""
               for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
     # Links of each unit once, numbered in the block's list of pairs.
-    codes = np.array([pair.links[k] for f, n in zip(first.tolist(), many.tolist()) for k in range(f, f + n)], np.int64)
+    codes = pair.links[_spread(first, many)]
     begin = np.cumsum(many) - many
     listed, number = np.unique(codes, return_inverse=True)
     links = number[_spread(begin[at], many[at])]
@@ -253,20 +303,18 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for row, text in enumerate(batch.column(1)):
                 units = _CUT.split(text.as_py()) if text.as_py() else []
-                coded = pair.encode(units) if units else []
-                out, at, ok = [], 0, True
-                for unit, (a, b) in zip(units, coded):
-                    whole = (" " + unit).encode()
-                    ok = ok and b"".join(map(pair.bytes_a.__getitem__, a)) == whole == b"".join(map(pair.bytes_b.__getitem__, b))
-                    for i, j, k, m in pair.aligned(a, b)[0] if ok else ():
-                        end = at + sum(len(pair.bytes_a[t]) for t in a[i:j])
-                        out.append((at, end, a[i:j], b[k:m]))
-                        at = end
-                if ok and out:
-                    start, end, a, b = zip(*out)
-                    ids = batch.column(0).take(pa.array([row] * len(out)))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(a, pa.list_(pa.int32())),
-                         pa.array(b, pa.list_(pa.int32()))], names=["id", "start", "end", "a", "b"])
+                if not units:
+                    continue
+                ids = pair.encode(units)
+                if not pair._tiled(ids, [(" " + u).encode() for u in units]).all():
+                    continue
+                # The whole text as one unit: its units' tokens in a row.
+                a, b = ([x for own in side for x in own] for side in ids)
+                ends, stops = pair.groups(np.array(a, np.int64), np.array(b, np.int64))[:2]
+                cut = lambda x, stop: [x[i:j] for i, j in zip([0, *stop[:-1]], stop)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([row] * len(ends))), pa.array([0, *ends[:-1]], pa.int64()), pa.array(ends, pa.int64()),
+                     pa.array(cut(a, stops[0].tolist()), pa.list_(pa.int32())), pa.array(cut(b, stops[1].tolist()), pa.list_(pa.int32()))],
+                    names=["id", "start", "end", "a", "b"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, start long, `end` long, a array<int>, b array<int>")
