@@ -141,13 +141,13 @@ def poisson_bootstrap_ci(samples: DataFrame, group: str,
                          prefix: str = "", bins_per_salt: int = BINS_PER_SALT) -> DataFrame:
     """Percentile CI of the mean per group with B replicates.
 
-    A replicate whose weights are all zero (tiny groups) has no mean and is
-    ignored.
+    A sample with a count ``n`` stands for that many.  A replicate whose
+    weights are all zero (tiny groups) has no mean and is ignored.
     """
     lo_q, hi_q = (1 - level) / 2, (1 + level) / 2
+    count = F.sum("n") if "n" in samples.columns else F.count(F.lit(1))
     hist = (samples.where(F.col("score").isNotNull())
-            .groupBy(F.col(group).cast("string").alias("grp"), "score")
-            .agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(F.col(group).cast("string").alias("grp"), "score").agg(count.alias("n")))
     fan = hist.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / bins_per_salt).alias("_fan"))
     bins = (hist.join(fan, "grp")
             .withColumn("_salt", F.pmod(F.xxhash64("score"), F.col("_fan")))
@@ -163,12 +163,14 @@ def poisson_bootstrap_ci(samples: DataFrame, group: str,
 
 def metric_intervals(detailed: DataFrame, group: str, metrics: Sequence[str] = K.AVERAGED_METRICS,
                      **kw) -> DataFrame:
-    """CIs per group and metric plus the pooled ``average`` (H14, H15), long form."""
+    """CIs per group and metric plus the pooled ``average`` (H14, H15), long
+    form; of samples or of a cube (with counts ``n``)."""
     d = detailed.withColumn("task_metric", F.concat_ws("_", "task", "metric"))
     d = d.where(F.col("task_metric").isin(list(metrics)))
     cell = F.array(F.struct(F.concat_ws("\u0001", F.col(group), F.col("task_metric")).alias("g")),
                    F.struct(F.concat_ws("\u0001", F.col(group), F.lit("average")).alias("g")))
-    ci = poisson_bootstrap_ci(d.select("score", F.explode(cell).alias("_c")).select("score", F.col("_c.g").alias("_g")), "_g", **kw)
+    held = ["score", "n"] if "n" in d.columns else ["score"]
+    ci = poisson_bootstrap_ci(d.select(*held, F.explode(cell).alias("_c")).select(*held, F.col("_c.g").alias("_g")), "_g", **kw)
     parts = F.split(F.col("_g"), "\u0001")
     return ci.select(parts[0].alias(group), parts[1].alias("metric"), "ci_lower", "ci_upper")
 

@@ -54,21 +54,27 @@ def model_scores(results: DataFrame, metrics: Sequence[str] = K.AVERAGED_METRICS
     aggregation instead of a second pivot and an outer merge (H3).
     """
     r = with_task_metric(results)
+    return (r.groupBy("model").agg(*_mean_columns(metrics, with_origin))
+            .withColumn("average", strict_average(metrics)))
+
+
+def _mean_columns(metrics: Sequence[str], with_origin: bool) -> list[Column]:
     cols = [F.avg(F.when(F.col("task_metric") == m, F.col("score"))).alias(m) for m in metrics]
     if with_origin:
         cols += [F.avg(F.when(F.col("task_metric_origin") == f"{m}_{o}", F.col("score")))
                  .alias(f"{m}_{o}") for m in metrics for o in ORIGINS]
-    return r.groupBy("model").agg(*cols).withColumn("average", strict_average(metrics))
+    return cols
+
+
+def _flag_columns(metrics: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.bool_or(F.when(F.col("task_metric") == m, F.col("origin") == "machine")), F.lit(False))
+            .alias(f"{m}_contains_machine") for m in metrics]
 
 
 def machine_flags(results: DataFrame, metrics: Sequence[str] = K.AVERAGED_METRICS) -> DataFrame:
     """Per model and metric: does any aggregated cell come from machine
     translation (H6)?  False, not NULL, where the metric has no rows."""
-    r = with_task_metric(results)
-    cols = [F.coalesce(F.bool_or(F.when(F.col("task_metric") == m,
-                                        F.col("origin") == "machine")), F.lit(False))
-            .alias(f"{m}_contains_machine") for m in metrics]
-    return r.groupBy("model").agg(*cols)
+    return with_task_metric(results).groupBy("model").agg(*_flag_columns(metrics))
 
 
 MODEL_META = ["name", "provider_name", "creation_date", "type", "cost", "hf_id", "size", "license"]
@@ -88,15 +94,39 @@ def model_table(results: DataFrame, models: DataFrame,
     return t.select("rank", "model", *MODEL_META, "average", *sorted(metrics))
 
 
-def full_model_table(results: DataFrame, detailed: DataFrame, models: DataFrame,
+def full_model_table(results: DataFrame, samples: DataFrame, models: DataFrame,
                      metrics: Sequence[str] = K.AVERAGED_METRICS) -> DataFrame:
     """The model table with everything a reader sees at once: metadata, means
     overall and by origin, machine flags, and intervals per metric and for
-    the average (H1-H8, H14, H15)."""
-    by_origin = model_scores(results, metrics, with_origin=True).drop("average", *metrics)
-    intervals = wide_intervals(metric_intervals(detailed, "model", metrics), "model", metrics)
-    return (model_table(results, models, metrics).join(by_origin, "model", "left")
-            .join(machine_flags(results, metrics), "model", "left").join(intervals, "model", "left"))
+    the average (H1-H8, H14, H15).
+
+    Means and flags are one aggregation of the published cells.  ``samples``
+    are the rows behind the intervals: the merged log or, with a count ``n``,
+    its cube.
+    """
+    r = with_task_metric(results)
+    scores = r.groupBy("model").agg(*_mean_columns(metrics, with_origin=True), *_flag_columns(metrics))
+    ranked = rank_models(scores.withColumn("average", strict_average(metrics)), models)
+    intervals = wide_intervals(metric_intervals(samples, "model", metrics), "model", metrics)
+    parts = [f"{m}_{o}" for m in metrics for o in ORIGINS]
+    return (ranked.select("rank", "model", *MODEL_META, "average", *sorted(metrics), *parts,
+                          *[f"{m}_contains_machine" for m in metrics])
+            .join(intervals, "model", "left"))
+
+
+def language_board(cells: DataFrame, languages: DataFrame, metrics: Sequence[str] = K.AVERAGED_METRICS) -> DataFrame:
+    """``language_table`` from guarded cells (H9-H11): the means of all
+    samples and the first origins of the published ones are one aggregation."""
+    c = with_task_metric(cells)
+    is_m = {m: F.col("task_metric") == m for m in metrics}
+    means = [(F.sum(F.when(is_m[m], F.col("total"))) / F.sum(F.when(is_m[m] & (F.col("n") > 0), F.col("n")))).alias(m) for m in metrics]
+    origins = [F.min_by(F.when(is_m[m] & F.col("published"), F.col("origin")),
+                        F.when(is_m[m] & F.col("published"), F.col("model"))).alias(f"{m}_origin") for m in metrics]
+    scores = c.groupBy("bcp_47").agg(F.bool_or("published").alias("_any"), *means, *origins).where("_any").drop("_any")
+    lang_cols = [x for x in ["language_name", "autonym", "speakers", "family", "in_benchmark"] if x in languages.columns]
+    t = languages.select("bcp_47", *lang_cols).join(scores, "bcp_47", "full")
+    return t.select("bcp_47", *lang_cols, strict_average(metrics).alias("average"),
+                    *sorted(metrics), *sorted(f"{m}_origin" for m in metrics))
 
 
 def language_table(results: DataFrame, detailed: DataFrame, languages: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.joins import bounded
 
 # A cell of the published aggregate, and the per-sample key within it.
 CELL = ["model", "bcp_47", "task", "metric"]
@@ -66,33 +67,105 @@ def aggregate_results(valid: DataFrame, publishable_models: DataFrame | None = N
                  F.min_by("origin", log_order(order)).alias("origin")))
 
 
-def published_aggregate(detailed: DataFrame, covered_models: DataFrame,
-                        cohort_languages: DataFrame,
-                        min_attempts: int = K.HEALTH_MIN_ATTEMPTS,
-                        fail_pct: float = K.HEALTH_FAIL_PCT,
-                        order: Sequence[str] = LOG_ORDER) -> DataFrame:
-    """The published aggregate (G3 + G4) in one pass over the merged log.
+def log_cells(detailed: DataFrame, order: Sequence[str] = LOG_ORDER, n_slots: int = 1) -> DataFrame:
+    """Every cell of the merged log reduced once to mergeable statistics.
 
-    Each cell is reduced once to its row count, error count, mean of valid
-    scores and first valid origin.  The publish guard (covered, and not
-    ``>= min_attempts`` rows with ``>= fail_pct`` % errors) is then decided
-    per model from the cell totals -- a window at cell grain, where a model
-    has at most languages x metrics rows -- so the log is read once.
+    ``n``, ``total``, ``squares``: count, sum and sum of squares of all scores;
+    ``valid_n``, ``valid_total`` and ``origin``: of the valid rows, with their
+    first origin; ``errors``; ``slots``: bits of the attempted samples (modulo
+    ``n_slots``, at most 63).
     """
+    if not 0 < n_slots < 64:
+        raise ValueError("a cell's samples are the bits of one word: use coverage.guard beyond 63")
+    valid, score = is_valid(), F.col("score")
+    return detailed.groupBy(*CELL).agg(
+        F.count("score").alias("n"), F.sum("score").alias("total"), F.sum(score * score).alias("squares"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "error").alias("errors"),
+        F.count_if(valid).alias("valid_rows"), F.count(F.when(valid, score)).alias("valid_n"),
+        F.sum(F.when(valid, score)).alias("valid_total"),
+        F.min_by(F.when(valid, F.col("origin")), F.when(valid, log_order(order))).alias("origin"),
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(sentence_nr, {n_slots}) as int))")).alias("slots"))
+
+
+def score_cube(detailed: DataFrame, order: Sequence[str] = LOG_ORDER, n_slots: int = 1) -> DataFrame:
+    """The merged log as a cube: mergeable statistics per cell and score.
+
+    One pass makes it, and everything that is reported rolls it up: cells
+    (``cells_of``), and score histograms (columns ``score`` and ``n``) for
+    intervals.  ``first`` holds a cell's first valid row of that score.
+    """
+    if not 0 < n_slots < 64:
+        raise ValueError("a cell's samples are the bits of one word: use coverage.guard beyond 63")
     valid = is_valid()
-    cells = (detailed.groupBy(*CELL)
-             .agg(F.count(F.lit(1)).alias("_n"),
-                  F.count_if(F.col("status") == "error").alias("_err"),
-                  F.count_if(valid).alias("_nv"),
-                  F.avg(F.when(valid, F.col("score"))).alias("score"),
-                  F.min_by(F.when(valid, F.col("origin")),
-                           F.when(valid, log_order(order))).alias("origin")))
-    # The guard counts every row of a covered model, in all languages.
-    cells = cells.join(covered_models.select("model"), "model", "left_semi")
+    return detailed.groupBy(*CELL, "score").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(valid).alias("valid_rows"),
+        F.min(F.when(valid, F.struct(*order, "origin"))).alias("first"),
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(sentence_nr, {n_slots}) as int))")).alias("slots"))
+
+
+def cells_of(cube: DataFrame) -> DataFrame:
+    """Cell statistics (as ``log_cells``) rolled up from a cube."""
+    score = F.col("score")
+    counted = score.isNotNull()
+    return cube.groupBy(*CELL).agg(
+        F.sum(F.when(counted, F.col("n")).otherwise(0)).alias("n"), F.sum(score * F.col("n")).alias("total"),
+        F.sum(score * score * F.col("n")).alias("squares"), F.sum("n").alias("rows"), F.sum("errors").alias("errors"),
+        F.sum("valid_rows").alias("valid_rows"), F.sum(F.when(counted, F.col("valid_rows")).otherwise(0)).alias("valid_n"),
+        F.sum(F.when(F.col("valid_rows") > 0, score * F.col("valid_rows"))).alias("valid_total"),
+        F.min("first")["origin"].alias("origin"), F.bit_or("slots").alias("slots"))
+
+
+def guarded_cells(cells: DataFrame, cohort: DataFrame, cohort_languages: DataFrame,
+                  min_attempts: int = K.HEALTH_MIN_ATTEMPTS, fail_pct: float = K.HEALTH_FAIL_PCT,
+                  expected: DataFrame | None = None, n_slots: int = 1) -> DataFrame:
+    """Cells with ``published``: whether the guard lets them into the
+    aggregate, and if so their ``score`` and ``origin`` there (G3 + G4).
+
+    The guard is decided per model from its cells, by windows at cell grain,
+    where a model has at most languages x metrics rows; so the log is read
+    once.  A model passes if it is covered and hasn't ``min_attempts`` rows with
+    ``fail_pct`` % errors.  With ``expected`` (task, bcp_47), covered means
+    that each sample of each expected pair of the model's ``tasks`` was
+    attempted; without, ``cohort`` lists the covered models.  Rows of all
+    languages count for the guard.
+    """
+    # One exchange by model serves the join and both windows.
+    cells = cells.repartition("model")
     by_model = Window.partitionBy("model")
-    total, errors = F.sum("_n").over(by_model), F.sum("_err").over(by_model)
+    if expected is None:
+        cells = cells.join(cohort.select("model", F.lit(True).alias("_covered")), "model", "left")
+        covered = F.coalesce("_covered", F.lit(False))
+    else:
+        pairs = expected.select("task", "bcp_47").distinct()
+        per_task = pairs.groupBy("task").agg(F.count("*").alias("_pairs"))
+        asked = (cohort.select("model", "tasks", F.explode("tasks").alias("task")).join(bounded(per_task, len(K.TASKS)), "task")
+                 .groupBy("model").agg(F.any_value("tasks").alias("_tasks"), F.sum("_pairs").alias("_asked")))
+        listed = bounded(pairs.withColumn("_listed", F.lit(True)), len(K.TASKS) * K.N_LANGUAGES)
+        cells = cells.join(asked, "model", "left").join(listed, ["task", "bcp_47"], "left")
+        # A pair can have several metrics: its samples count once.
+        pair = Window.partitionBy("model", "task", "bcp_47")
+        whole = F.bit_or("slots").over(pair) == (1 << n_slots) - 1
+        cells = cells.withColumn("_whole", F.when(F.row_number().over(pair.orderBy("metric")) == 1,
+                                                  whole & F.col("_listed") & F.array_contains("_tasks", F.col("task"))))
+        covered = F.count_if("_whole").over(by_model) == F.coalesce("_asked", F.lit(-1))
+    total, errors = F.sum("rows").over(by_model), F.sum("errors").over(by_model)
     broken = (total >= min_attempts) & (errors / total * 100 >= fail_pct)
-    return (cells.withColumn("_broken", broken)
-            .where(~F.col("_broken") & (F.col("_nv") > 0))
-            .join(cohort_languages.select("bcp_47"), "bcp_47", "left_semi")
-            .select(*CELL, "score", "origin"))
+    cells = cells.withColumn("_passes", covered & ~broken & (F.col("valid_rows") > 0))
+    known = cohort_languages.select("bcp_47", F.lit(True).alias("_known")).distinct()
+    cells = cells.join(known, "bcp_47", "left")
+    published = F.col("_passes") & F.coalesce("_known", F.lit(False))
+    return cells.select(
+        *CELL, "n", "total", "squares", published.alias("published"),
+        F.when(published, F.col("valid_total") / F.col("valid_n")).alias("score"),
+        F.when(published, F.col("origin")).alias("origin"))
+
+
+def published_aggregate(detailed: DataFrame, cohort: DataFrame, cohort_languages: DataFrame,
+                        min_attempts: int = K.HEALTH_MIN_ATTEMPTS, fail_pct: float = K.HEALTH_FAIL_PCT,
+                        order: Sequence[str] = LOG_ORDER, expected: DataFrame | None = None,
+                        n_slots: int = 1) -> DataFrame:
+    """The published aggregate (G3 + G4) in one pass over the merged log: the
+    cells that pass the guard (``guarded_cells``)."""
+    cells = log_cells(detailed, order, n_slots)
+    return (guarded_cells(cells, cohort, cohort_languages, min_attempts, fail_pct, expected, n_slots)
+            .where("published").select(*CELL, "score", "origin"))

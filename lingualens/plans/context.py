@@ -11,9 +11,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.joins import FIXED_ROWS, bounded
-from ..operators import health, log
+from ..operators import coverage, log, worklist
+from ..session import ensure_checkpoint_dir
 from ..sources import views
 from ..sources.tables import Tables
+from .oracle import COVER_SLOTS
 
 # Publish guard used by the registered queries: the default minimum number
 # of attempts, and a 20 % error bar (FIXTURES: 50 % never triggers here).
@@ -51,19 +53,57 @@ class Ctx:
     def valid(self) -> DataFrame:
         return log.valid_rows(self.detailed)
 
+    @cached_property
+    def cohort(self) -> DataFrame:
+        """Every model with the tasks that it can do."""
+        return self.view("model_tasks")
+
+    @cached_property
+    def task_languages(self) -> DataFrame:
+        """(task, bcp_47) pairs with data in any sub-dataset."""
+        return worklist.valid_task_languages(self.view("task_sources"))
+
+    @cached_property
+    def expected(self) -> DataFrame:
+        """(task, bcp_47) pairs that coverage asks for."""
+        return coverage.expected_languages(self.task_languages, self.languages)
+
+    @cached_property
+    def guard(self) -> DataFrame:
+        """Coverage and publish decision of every model."""
+        return coverage.guard(self.detailed, self.cohort, self.expected, COVER_SLOTS,
+                              PUBLISH_MIN_ATTEMPTS, PUBLISH_FAIL_PCT)
+
     @cached_property
     def covered(self) -> DataFrame:
-        return self.models.select(self.models["id"].alias("model"))
+        """Models whose whole matrix was attempted."""
+        return self.guard.where("covered").select("model")
 
     @cached_property
     def published(self) -> DataFrame:
-        return health.publishable_models(self.detailed, self.covered,
-                                         min_attempts=PUBLISH_MIN_ATTEMPTS,
-                                         fail_pct=PUBLISH_FAIL_PCT)
+        return self.guard.where("publishable").select("model")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """The cube: statistics of every cell, all rows and published ones,
+        from one pass over the log.  Every board rolls it up."""
+        return log.guarded_cells(log.log_cells(self.detailed, n_slots=COVER_SLOTS), self.cohort, self.languages,
+                                 PUBLISH_MIN_ATTEMPTS, PUBLISH_FAIL_PCT, self.expected, COVER_SLOTS)
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        """The cube per cell and score, made once (a job) and held in the
+        shared checkpoint folder; boards with intervals read only this."""
+        ensure_checkpoint_dir(self.spark)
+        return log.score_cube(self.detailed, n_slots=COVER_SLOTS).checkpoint()
+
+    @cached_property
+    def cube_cells(self) -> DataFrame:
+        """``cells``, rolled up from the cube, held likewise."""
+        return log.guarded_cells(log.cells_of(self.cube), self.cohort, self.languages, PUBLISH_MIN_ATTEMPTS,
+                                 PUBLISH_FAIL_PCT, self.expected, COVER_SLOTS).checkpoint()
 
     @cached_property
     def results(self) -> DataFrame:
         """The published aggregate (G3 guard + G4), one pass over the log."""
-        return log.published_aggregate(self.detailed, self.covered, self.languages,
-                                       min_attempts=PUBLISH_MIN_ATTEMPTS,
-                                       fail_pct=PUBLISH_FAIL_PCT)
+        return self.cells.where("published").select(*log.CELL, "score", "origin")

@@ -6,6 +6,11 @@ The view texts are the mapping of FIXTURES.md §3; queries are assembled as
 
 from __future__ import annotations
 
+from ..sources.views import LOGGED_TASKS, TASK_SOURCES, TRANSLATION_TASKS
+
+#: Samples that coverage asks of each (task, language): the derived log tries few of them.
+COVER_SLOTS = 1
+
 VIEWS = {
     "result_log": """
 SELECT concat('m', cast(l.l_suppkey AS string)) AS model, n.n_name AS bcp_47,
@@ -80,6 +85,13 @@ SELECT source AS name, concat('group', CAST(CAST(substr(source,4) AS int) % 5 AS
  split(CASE CAST(substr(source,4) AS int) % 3 WHEN 0 THEN 'translation,classification' WHEN 1 THEN 'mmlu' ELSE 'mgsm,arc,translation' END, ',') AS tasks,
  CAST(substr(source,4) AS int) % 2 = 0 AS implemented
 FROM documents GROUP BY source""",
+    "task_sources": """
+SELECT r.source, r.task, n.n_name AS bcp_47
+FROM nation n JOIN (VALUES """ + ", ".join(str(r) for r in TASK_SOURCES) + """) r(source, task, every, rest)
+  ON n.n_nationkey % r.every = r.rest""",
+    "model_tasks": f"""
+SELECT concat('m', CAST(s_suppkey AS string)) AS model,
+  CASE WHEN s_suppkey % 3 = 0 THEN {TRANSLATION_TASKS} ELSE {LOGGED_TASKS} END AS tasks FROM supplier""",
 }
 
 # Shared derived tables, each with the names of what it needs.
@@ -91,9 +103,17 @@ QUALIFY row_number() OVER (PARTITION BY task, model, bcp_47, metric, sentence_nr
   ORDER BY logged_at DESC, tie1 DESC, tie2 DESC, tie3 DESC) = 1"""),
     # G2
     "valid": (["kl"], "SELECT * FROM kl WHERE status IS NULL OR status = 'ok'"),
+    # Cells that each model's tasks ask for, and those that it attempted.
+    "matrix": (["kl", "task_sources", "model_tasks", "languages"], f"""
+SELECT t.model, e.task, e.bcp_47, s.slot, h.model IS NOT NULL AS done
+FROM model_tasks t JOIN (SELECT DISTINCT task, bcp_47 FROM task_sources WHERE bcp_47 IN (SELECT bcp_47 FROM languages)) e
+  ON list_contains(t.tasks, e.task) CROSS JOIN range(0, {COVER_SLOTS}) s(slot)
+LEFT JOIN (SELECT DISTINCT model, task, bcp_47, sentence_nr % {COVER_SLOTS} AS slot FROM kl) h
+  ON h.model = t.model AND h.task = e.task AND h.bcp_47 = e.bcp_47 AND h.slot = s.slot"""),
+    "cov": (["matrix"], "SELECT model FROM matrix GROUP BY model HAVING bool_and(done)"),
     # G3 with the thresholds of the registered queries (min 100 rows, 20 %).
-    "pub": (["kl", "models"], """
-SELECT model FROM kl WHERE model IN (SELECT id FROM models) GROUP BY model
+    "pub": (["kl", "cov"], """
+SELECT model FROM kl WHERE model IN (SELECT model FROM cov) GROUP BY model
 HAVING NOT (count(*) >= 100 AND count(*) FILTER (WHERE status = 'error') / count(*) * 100 >= 20)"""),
     # The published aggregate.
     "results": (["valid", "pub", "languages"], """

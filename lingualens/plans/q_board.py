@@ -57,7 +57,7 @@ LEFT JOIN (SELECT model, {", ".join(f"max(ci_{e}) FILTER (WHERE metric = '{m}')
       FROM ci_long GROUP BY model) i ON i.model = b.model""", [_SCORES, *long_ci_ctes("model")])
 def full_model_table(ctx):
     """The model table with origins, flags and intervals."""
-    return lb.full_model_table(ctx.results, ctx.detailed, ctx.models)
+    return lb.full_model_table(ctx.cube_cells.where("published"), ctx.cube, ctx.models)
 
 
 @query("machine_flags", ["results_tm"], "SELECT model, " + ", ".join(
@@ -84,7 +84,7 @@ FROM languages l FULL JOIN lsc ON l.bcp_47 = lsc.bcp_47"""
 @query("language_table", ["kl_tm", "results_tm", "languages"], _LANG_SELECT, _LANG_CTES)
 def language_table(ctx):
     """Language leaderboard, all-sample means, first origins, by speakers."""
-    return lb.by_speakers(lb.language_table(ctx.results, ctx.detailed, ctx.languages))
+    return lb.by_speakers(lb.language_board(ctx.cells, ctx.languages))
 
 
 @query("selected_language_leaderboard", ["results_tm", "models"], _BOARD_SELECT, [
@@ -126,7 +126,7 @@ SELECT iso2, CAST(sum(population) AS BIGINT) AS population, count(*) AS n_langua
 FROM cl GROUP BY iso2""", _COUNTRY_CTES)
 def country_scores(ctx):
     """Speaker-weighted country score, missing = 0, small countries NULL."""
-    lt = lb.language_table(ctx.results, ctx.detailed, ctx.languages)
+    lt = lb.language_board(ctx.cells, ctx.languages)
     return countries.country_scores(lt, ctx.view("population"))
 
 
@@ -134,6 +134,6 @@ def country_scores(ctx):
        "SELECT iso2, name, bcp_47, population, score FROM cl", _COUNTRY_CTES)
 def country_language_list(ctx):
     """The nested per-country language list, exploded for comparison."""
-    lt = lb.language_table(ctx.results, ctx.detailed, ctx.languages)
+    lt = lb.language_board(ctx.cells, ctx.languages)
     nested = countries.country_table(lt, ctx.view("population"))
     return nested.select("iso2", F.inline("languages"))

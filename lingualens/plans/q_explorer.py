@@ -34,7 +34,7 @@ CATALOG_N_LANGUAGES = (2, 4)
 
 
 def _lt(ctx):
-    return lb.language_table(ctx.results, ctx.detailed, ctx.languages)
+    return lb.language_board(ctx.cells, ctx.languages)
 
 
 def _sql_list(xs):

@@ -27,15 +27,15 @@ def valid_rows(ctx):
     return ctx.valid
 
 
-@query("publishable", ["kl", "models"], f"""
+@query("publishable", ["kl", "cov"], f"""
 SELECT model, count(*) AS total, count(*) FILTER (WHERE status = 'error') AS failed,
   count(*) FILTER (WHERE status = 'error') / count(*) * 100 AS failed_pct,
   NOT (count(*) >= {PUBLISH_MIN_ATTEMPTS}
        AND count(*) FILTER (WHERE status = 'error') / count(*) * 100 >= {PUBLISH_FAIL_PCT}) AS publishable
-FROM kl WHERE model IN (SELECT id FROM models) GROUP BY model""")
+FROM kl WHERE model IN (SELECT model FROM cov) GROUP BY model""")
 def publishable(ctx):
     """Publish decision per covered model."""
-    return health.publishable(ctx.detailed, ctx.covered, PUBLISH_MIN_ATTEMPTS, PUBLISH_FAIL_PCT)
+    return ctx.guard.where("covered").select("model", "total", "failed", "failed_pct", "publishable")
 
 
 @query("result_aggregate", ["results"], "SELECT * FROM results")
@@ -151,4 +151,4 @@ SELECT (SELECT count(DISTINCT id) FROM models) AS n_models,
 def publish_decision(ctx):
     """A4: may this run overwrite the published aggregates (full scale only)?"""
     from ..sources.io import publish_target
-    return publish_target(ctx.covered, ctx.languages)
+    return publish_target(ctx.models.select(F.col("id").alias("model")), ctx.languages)

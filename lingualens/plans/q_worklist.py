@@ -11,25 +11,23 @@ N_MODELS = K.N_MODELS
 
 _CTES = [
     ("top_lang", f"SELECT bcp_47 FROM languages ORDER BY speakers DESC, language_name DESC LIMIT {N_LANGUAGES}"),
-    ("cohort", f"""SELECT model, row_number() OVER (ORDER BY model) AS position
-                  FROM (SELECT id AS model FROM models ORDER BY id LIMIT {N_MODELS})"""),
-    ("valid_tl", "SELECT DISTINCT task, bcp_47 FROM result_log"),
-    ("tasks", "SELECT unnest([" + ", ".join(f"'{t}'" for t in K.TASKS) + "]) AS task"),
+    ("cohort", f"""SELECT c.model, t.tasks, row_number() OVER (ORDER BY c.model) AS position
+                  FROM (SELECT id AS model FROM models ORDER BY id LIMIT {N_MODELS}) c JOIN model_tasks t ON t.model = c.model"""),
+    ("valid_tl", "SELECT DISTINCT task, bcp_47 FROM task_sources"),
     ("wl", f"""SELECT v.task, c.model, v.bcp_47, CAST(s.sentence_nr AS INTEGER) AS sentence_nr
-              FROM cohort c CROSS JOIN tasks t JOIN valid_tl v ON v.task = t.task
+              FROM cohort c JOIN valid_tl v ON list_contains(c.tasks, v.task)
               JOIN top_lang l ON l.bcp_47 = v.bcp_47 CROSS JOIN range(0, {K.N_SENTENCES}) s(sentence_nr)"""),
     ("pend", """SELECT * FROM wl WHERE NOT EXISTS (
                  SELECT 1 FROM valid v WHERE v.task = wl.task AND v.model = wl.model
                    AND v.bcp_47 = wl.bcp_47 AND v.sentence_nr = wl.sentence_nr)"""),
 ]
-_USES = ["languages", "models", "result_log", "valid"]
+_USES = ["languages", "models", "model_tasks", "task_sources", "valid"]
 
 
 def _parts(ctx):
-    cohort = wl.cohort_models(ctx.models, N_MODELS)
+    cohort = wl.cohort_models(ctx.models, N_MODELS).join(ctx.cohort, "model")
     langs = wl.top_languages(ctx.languages, N_LANGUAGES)
-    valid = wl.valid_task_languages(ctx.log)
-    work = wl.worklist(cohort, langs, valid)
+    work = wl.worklist(cohort, langs, ctx.task_languages)
     return cohort, work, wl.pending(work, ctx.detailed)
 
 
@@ -62,10 +60,18 @@ def coverage(ctx):
     return wl.coverage(work, pend, cohort)
 
 
-@query("valid_task_languages", ["result_log"], "SELECT DISTINCT task, bcp_47 FROM result_log")
+@query("coverage_bitmap", ["matrix"], """
+SELECT model, count(*) AS expected, count(*) FILTER (WHERE done) AS attempted, bool_and(done) AS covered
+FROM matrix GROUP BY model""")
+def coverage_bitmap(ctx):
+    """Cells of each model's matrix and those attempted, from bitmaps."""
+    return ctx.guard.select("model", "expected", "attempted", "covered")
+
+
+@query("valid_task_languages", ["task_sources"], "SELECT DISTINCT task, bcp_47 FROM task_sources")
 def valid_task_languages(ctx):
-    """(task, language) pairs that have data."""
-    return wl.valid_task_languages(ctx.log)
+    """(task, language) pairs that any sub-dataset of the task has."""
+    return ctx.task_languages
 
 
 @query("top_languages", ["languages"], f"""

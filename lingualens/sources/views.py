@@ -100,6 +100,33 @@ def models(t: Tables) -> DataFrame:
                 F.when(F.col("s_suppkey") % 3 == 0, F.when(F.col("s_suppkey") % 2 == 0, "Apache 2.0").otherwise("Mit")).alias("license")))
 
 
+TRANSLATION_TASKS = ["translation_from", "translation_to"]
+LOGGED_TASKS = [*TRANSLATION_TASKS, "classification", "mmlu", "arc", "mgsm"]
+
+#: Sub-dataset, task, and the languages it has: those whose nation number
+#: leaves ``rest`` when divided by ``every``.
+TASK_SOURCES = [
+    ("parallel", "translation_from", 7, 0), ("parallel", "translation_to", 7, 0), ("parallel", "classification", 7, 0),
+    ("choices_a", "mmlu", 12, 0), ("choices_b", "mmlu", 11, 5), ("choices_machine", "mmlu", 13, 9),
+    ("science", "arc", 9, 1), ("science_machine", "arc", 25, 4),
+    ("sums_a", "mgsm", 12, 3), ("sums_b", "mgsm", 10, 8), ("sums_machine", "mgsm", 25, 20),
+]
+
+
+def task_sources(t: Tables) -> DataFrame:
+    """(source, task, bcp_47): the languages of each sub-dataset of a task."""
+    rules = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(k).alias("task"), F.lit(e).alias("every"), F.lit(r).alias("rest"))
+                      for s, k, e, r in TASK_SOURCES])
+    n = t.nation.select("n_nationkey", F.col("n_name").alias("bcp_47")).withColumn("r", F.explode(rules))
+    return n.where(F.col("n_nationkey") % F.col("r.every") == F.col("r.rest")).select("r.source", "r.task", "bcp_47")
+
+
+def model_tasks(t: Tables) -> DataFrame:
+    """(model, tasks): every third model only translates."""
+    tasks = F.when(F.col("s_suppkey") % 3 == 0, F.array(*map(F.lit, TRANSLATION_TASKS))).otherwise(F.array(*map(F.lit, LOGGED_TASKS)))
+    return t.supplier.select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("model"), tasks.alias("tasks"))
+
+
 def languages(t: Tables) -> DataFrame:
     """Language dimension: one row per nation."""
     speakers = (t.customer.groupBy("c_nationkey")
@@ -250,4 +277,6 @@ VIEWS = {
     "timings": timings,
     "catalog": catalog,
     "dataset_catalog": dataset_catalog,
+    "task_sources": task_sources,
+    "model_tasks": model_tasks,
 }
