@@ -85,7 +85,12 @@ def _switch(spark: SparkSession, path: str, version: str) -> None:
 
 
 def load(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A stored table, or an empty one of the same schema if absent (A1)."""
+    """A stored table, or an empty one of the same schema if absent (A1).  A
+    table of a published set (``sources.manifest``) is that of its manifest."""
+    from . import manifest
+    base, _, name = path.rstrip("/").rpartition("/")
+    if manifest.current(spark, base).paths.get(name):
+        return manifest.load(spark, base, name, schema)
     version = current_version(spark, path)
     if version or path_exists(spark, path):
         return spark.read.schema(schema).parquet(version or path)
@@ -137,16 +142,20 @@ def guarded_publish(spark: SparkSession, log: DataFrame, aggregate: DataFrame, m
                     published_dir: str, local_dir: str) -> bool:
     """Publish the log always, and the aggregate, models and languages only at
     full scale, else write them to the local location (A4).  Returns whether
-    they were published.  The decision reads one aggregated row."""
+    they were published.  The decision reads one aggregated row.
+
+    What is published becomes visible at once, by one manifest
+    (``sources.manifest``; read it with ``manifest.load``): a failure between
+    two tables leaves the set as it was.
+    """
+    from . import manifest
     decision = publish_target(cohort_models, cohort_languages).first()
-    save(log, f"{published_dir}/results-detailed")
     tables = {"results": aggregate, "models": models, "languages": languages}
     full = bool(decision and decision["publish_aggregates"])
-    for name, df in tables.items():
-        if full:
-            save(df, f"{published_dir}/{name}")
-        else:
+    if not full:
+        for name, df in tables.items():
             save_local_only(df, f"{local_dir}/{name}")
+    manifest.updated(spark, published_dir, lambda held: {"results-detailed": log, **(tables if full else {})})
     return full
 
 

@@ -1,77 +1,169 @@
 """Micro-batch maintenance of the result log (K1-K3).
 
 Result files arrive in a folder; a Structured Streaming query merges every
-micro-batch into the log with keep-last semantics (K1), refreshes the
-published aggregate only for the buckets the batch touched (K2), and a
-second, stateful query keeps a running per-model error rate (K3).
-
-The log and the aggregate are parquet tables partitioned by a hash bucket
-of the model, written with dynamic partition overwrite, so a batch rewrites
-only the buckets it touches.  The merged bucket data is checkpointed before
-it overwrites the partitions it was read from.  Sinks are idempotent per
-epoch -- a replayed batch overwrites the partitions it wrote before -- and
-progress is kept in a checkpoint location on shared storage, so a lost
-executor or a restarted driver resumes where it stopped.
+micro-batch into the log with keep-last semantics (K1) and refreshes the
+published aggregate for the models that the batch touched (K2); a second,
+stateful query keeps a running per-model error rate (K3).
+
+Log, cell statistics and published aggregate are kept in buckets that split as
+they grow (extendible hashing): a bucket is the rows whose hash ends in certain
+bits, and one of more than ``max_rows`` rows becomes two, four, ... the next
+time that it is written.  The log is hashed by cell (model, language, task,
+metric), so a model of any size lies in many buckets; cells and aggregate are
+hashed by model, which has at most languages x metrics of them, because the
+publish guard looks at whole models.
+
+A micro-batch writes the buckets that it touches to new folders and then
+publishes one manifest that names every bucket of all three tables.  Readers
+take their buckets from a manifest, so they see the log and the aggregate of
+the same batch and never a half-written bucket.  The manifest also holds the
+last batch's number: a replayed batch is skipped, and one that failed before
+its commit left nothing that anyone reads.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.health import not_ok
-from ..operators.log import LOG_KEY, keep_last, published_aggregate
-from ..sources.io import drop_partition, path_exists
+from ..operators.log import CELL, guarded_cells, keep_last, log_cells
+from ..sources import manifest as mf
+
+MAX_ROWS = 5_000_000
+#: Bits of a hash that tell buckets apart.
+MAX_DEPTH = 24
+TABLES = {"log": CELL, "cells": ["model"], "results": ["model"]}
 
-N_BUCKETS = 64
 
+def _hash(key: list[str]) -> Column:
+    return F.xxhash64(*key).bitwiseAND(F.lit((1 << MAX_DEPTH) - 1))
 
-def bucket_of(model_col="model", n: int = N_BUCKETS):
-    return F.pmod(F.xxhash64(F.col(model_col)), F.lit(n)).cast("int")
 
+def buckets_of(state: dict, table: str) -> list[tuple[int, int, str]]:
+    """(depth, end, path) of a table's buckets in a manifest's state."""
+    return [tuple(b) for b in state.get(table, [])] or [(0, 0, "")]
 
-def merge_batch(spark: SparkSession, batch: DataFrame, log_path: str, agg_path: str,
-                covered: DataFrame, languages: DataFrame, n_buckets: int = N_BUCKETS, **guard) -> None:
-    """Keep-last merge of one batch into the log; aggregate refresh of the
-    touched buckets (K1, K2).
 
-    A bucket holds whole models, so the publish guard (covered models, error
-    bar, cohort languages) is decided as in the batch job.
+def with_bucket(df: DataFrame, table: str, buckets: list[tuple[int, int, str]]) -> DataFrame:
+    """``df`` with the (depth, end) of the bucket of each row.
+
+    A row asks for its hash's end at each depth in use (few numbers), and
+    exactly one of these is a bucket.
+    """
+    spark = df.sparkSession
+    known = spark.createDataFrame([(d, e) for d, e, _ in buckets], "depth int, end long")
+    depths = sorted({d for d, _, _ in buckets})
+    asked = F.array(*[F.struct(F.lit(d).alias("depth"), _hash(TABLES[table]).bitwiseAND(F.lit((1 << d) - 1)).alias("end")) for d in depths])
+    return df.withColumn("_b", F.explode(asked)).select("*", "_b.*").drop("_b").join(known, ["depth", "end"])
+
+
+def _split(df: DataFrame, table: str, max_rows: int) -> DataFrame:
+    """Rows (depth, end) re-dealt: a bucket of more than ``max_rows`` rows
+    goes as many bits deeper as its rows ask for."""
+    size = df.groupBy("depth", "end").agg(F.count("*").alias("_n"))
+    deeper = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / max_rows))).cast("int")
+    size = size.select("depth", "end", F.least(F.col("depth") + deeper, F.lit(MAX_DEPTH)).alias("_to"))
+    mask = F.expr("shiftleft(1L, _to) - 1")
+    return (df.join(size, ["depth", "end"]).withColumn("end", _hash(TABLES[table]).bitwiseAND(mask))
+            .drop("depth").withColumnRenamed("_to", "depth"))
+
+
+def _read(spark: SparkSession, base: str, buckets: list[tuple[int, int, str]], schema) -> DataFrame:
+    paths = [f"{base}/{p}" for _, _, p in buckets if p]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _write(df: DataFrame, base: str, table: str) -> tuple[list[tuple[int, int, str]], DataFrame]:
+    """Write rows with (depth, end) as new buckets; the buckets and the rows read again."""
+    spark, path = df.sparkSession, f"tables/{table}/v-{uuid.uuid4().hex}"
+    dealt = df.repartition("depth", "end").withColumn("bucket", F.concat_ws("-", "depth", "end")).drop("depth", "end")
+    dealt.write.partitionBy("bucket").parquet(f"{base}/{path}")
+    schema = StructType([f for f in df.schema.fields if f.name not in ("depth", "end")])
+    fs, p = mf._fs(spark, f"{base}/{path}")
+    found = [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")]
+    new = [(*map(int, n.removeprefix("bucket=").split("-")), f"{path}/{n}") for n in found]
+    return new, _read(spark, base, new, schema)
+
+
+def _replaced(old: list[tuple[int, int, str]], touched: set[tuple[int, int]], new: list[tuple[int, int, str]]) -> list:
+    """The buckets after a batch: those not touched and the new ones; a
+    touched bucket (or a part of a split one) that got no rows stays, empty."""
+    out = [b for b in old if b[:2] not in touched]
+    have = {(d, e) for d, e, _ in new}
+    for d, e in touched:
+        parts = [(x, y) for x, y in have if x >= d and y % (1 << d) == e]
+        depth = max((x for x, _ in parts), default=d)
+        out += [(depth, y, "") for y in range(e, 1 << depth, 1 << d) if (depth, y) not in have]
+    return sorted([*out, *new])
+
+
+def _pairs(df: DataFrame) -> set[tuple[int, int]]:
+    return {(r.depth, r.end) for r in df.select("depth", "end").distinct().collect()}  # at most as many as buckets
+
+
+def merge_batch(spark: SparkSession, batch: DataFrame, number: int, base: str, cohort: DataFrame, languages: DataFrame,
+                max_rows: int = MAX_ROWS, n_slots: int = 1, **guard) -> mf.Manifest:
+    """Keep-last merge of one batch into the log, and refresh of the cells and
+    the aggregate of the models that it touches (K1, K2); one commit.
+
+    The guard is decided as in the batch job (``operators.log``).
     """
-    b = batch.withColumn("bucket", bucket_of(n=n_buckets))
-    touched = b.select("bucket").distinct()
-    if path_exists(spark, log_path):
-        # Partition pruning: only the touched buckets of the log are read;
-        # ``touched`` has at most n_buckets rows.
-        prior = spark.read.parquet(log_path).join(F.broadcast(touched), "bucket", "left_semi")
-        merged = keep_last(prior.unionByName(b), key=[*LOG_KEY, "bucket"])
-    else:
-        merged = keep_last(b, key=[*LOG_KEY, "bucket"])
-    merged = merged.checkpoint(eager=True)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(log_path))
-    agg = published_aggregate(merged, covered, languages, **guard).withColumn("bucket", bucket_of(n=n_buckets))
-    # A touched bucket without a publishable model must lose its old rows.
-    if path_exists(spark, agg_path):
-        stale = spark.read.parquet(agg_path).join(F.broadcast(touched), "bucket", "left_semi").select("bucket").distinct() \
-            .join(agg.select("bucket").distinct(), "bucket", "left_anti")
-        for row in stale.collect():  # at most n_buckets rows
-            drop_partition(spark, f"{agg_path}/bucket={row.bucket}")
-    (agg.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(agg_path))
-
-
-def start_log_merge(spark: SparkSession, incoming: str, schema: StructType, log_path: str,
-                    agg_path: str, checkpoint: str, covered: DataFrame, languages: DataFrame,
-                    files_per_batch: int | None = None, **guard):
-    """Streaming query over ``incoming`` that merges each micro-batch (K1, K2)."""
+    held = mf.current(spark, base)
+    if held.state.get("batch", -1) >= number:
+        return held  # a replay
+    state = {"batch": number}
+
+    def touched_rows(rows: DataFrame, table: str):
+        """Buckets that ``rows`` fall into, and what these hold now."""
+        buckets = buckets_of(held.state, table)
+        at = with_bucket(rows, table, buckets)
+        hit = _pairs(at)
+        return buckets, at, hit, [b for b in buckets if b[:2] in hit]
+
+    # Log: the touched buckets, merged.
+    schema = batch.schema
+    buckets, at, hit, old = touched_rows(batch, "log")
+    merged = keep_last(_read(spark, base, old, schema).unionByName(batch)).select(schema.names)
+    new, merged = _write(_split(with_bucket(merged, "log", [(d, e, "") for d, e in hit] or [(0, 0, "")]), "log", max_rows), base, "log")
+    state["log"] = _replaced(buckets, hit, new)
+
+    # Cells: those with rows in the batch, counted anew from the merged log.
+    changed = batch.select(*CELL).distinct()
+    fresh = log_cells(merged.join(changed, CELL, "left_semi"), n_slots=n_slots)
+    buckets, at, hit, old = touched_rows(changed, "cells")
+    kept = _read(spark, base, old, fresh.schema).join(changed, CELL, "left_anti")
+    cells = with_bucket(kept.unionByName(fresh), "cells", [(d, e, "") for d, e in hit] or [(0, 0, "")])
+    new, cells = _write(_split(cells, "cells", max_rows), base, "cells")
+    state["cells"] = _replaced(buckets, hit, new)
+
+    # Aggregate: the touched models, whole, through the guard.
+    models = changed.select("model").distinct()
+    board = guarded_cells(cells.join(models, "model", "left_semi"), cohort, languages, n_slots=n_slots, **guard)
+    board = board.where("published").select(*CELL, "score", "origin")
+    buckets, at, hit, old = touched_rows(models, "results")
+    kept = _read(spark, base, old, board.schema).join(models, "model", "left_anti")
+    board = with_bucket(kept.unionByName(board), "results", [(d, e, "") for d, e in hit] or [(0, 0, "")])
+    new, _ = _write(_split(board, "results", max_rows), base, "results")
+    state["results"] = _replaced(buckets, hit, new)
+
+    paths = {t: [p for _, _, p in state[t] if p] for t in TABLES}
+    return mf.commit(spark, base, held, paths, state)
+
+
+def start_log_merge(spark: SparkSession, incoming: str, schema: StructType, base: str, checkpoint: str, cohort: DataFrame,
+                    languages: DataFrame, files_per_batch: int | None = None, **how):
+    """Streaming query over ``incoming`` that merges each micro-batch (K1, K2)
+    into the tables under ``base``."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     stream = reader.parquet(incoming)
     return (stream.writeStream
-            .foreachBatch(lambda df, epoch: merge_batch(spark, df, log_path, agg_path, covered, languages, **guard))
+            .foreachBatch(lambda df, epoch: merge_batch(spark, df, epoch, base, cohort, languages, **how))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
