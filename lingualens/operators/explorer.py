@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.ordered import global_rank, running
+from ..functions.ordered import Key, desc, global_rank, running
 
 # --- fixed values -----------------------------------------------------------
 # Languages listed first, in this order, when the search box is empty.
@@ -32,7 +32,7 @@ def speaker_cumulative(language_table: DataFrame, top: int = 100) -> DataFrame:
     """
     lt = language_table.select("bcp_47", "language_name", "speakers")
     total = lt.agg(F.sum("speakers")).scalar()
-    order = [F.col("speakers").desc_nulls_last(), F.col("bcp_47")]
+    order = [desc("speakers"), "bcp_47"]
     ranked = global_rank(lt, order, out="rank")
     cum = running(ranked.where(F.col("rank") <= top), ["rank"], F.col("speakers"), "sum",
                   "cum_speakers")
@@ -139,7 +139,7 @@ def pinned_order(language_table: DataFrame, pinned: Sequence[str] = PINNED_CODES
     pos = F.array_position(F.array(*[F.lit(c) for c in pinned]), F.col("bcp_47"))
     key = F.when(pos > 0, pos)
     return global_rank(language_table.select("bcp_47", "language_name"),
-                       [key.asc_nulls_last(), F.col("language_name"), F.col("bcp_47")],
+                       [Key(key, nulls_last=True), "language_name", "bcp_47"],
                        out="position")
 
 

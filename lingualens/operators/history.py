@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.joins import lookup
-from ..functions.ordered import global_rank, running
+from ..functions.ordered import desc, global_rank, running
 from .leaderboard import model_scores, strict_average, with_task_metric
 
 
@@ -31,7 +31,7 @@ def language_tiers(languages: DataFrame, tiers=K.TIERS) -> DataFrame:
     """
     spark = languages.sparkSession
     ranked = global_rank(languages.select("bcp_47", "speakers"),
-                         [F.col("speakers").desc_nulls_last(), F.col("bcp_47")],
+                         [desc("speakers"), "bcp_47"],
                          out="speaker_rank")
     t = lookup(spark, list(tiers), "tier string, lo int, hi int")
     return (ranked.join(t, (F.col("speaker_rank") >= F.col("lo"))
@@ -89,7 +89,7 @@ def frontier_by_date(board: DataFrame) -> DataFrame:
     Equal dates keep leaderboard order (rank).
     """
     b = board.where(F.col("average").isNotNull())
-    f = record_frontier(b, "average", [F.col("creation_date").asc_nulls_first(), F.col("rank")],
+    f = record_frontier(b, "average", ["creation_date", "rank"],
                         max_col="max_average")
     return f.select("model", "creation_date", "average", "max_average", "new_record")
 

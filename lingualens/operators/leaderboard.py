@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.ordered import global_rank
+from ..functions.ordered import desc, global_rank
 from .bootstrap import metric_intervals, wide_intervals
 
 ORIGINS = ["human", "machine"]
@@ -82,7 +82,7 @@ MODEL_META = ["name", "provider_name", "creation_date", "type", "cost", "hf_id",
 
 def rank_models(scores: DataFrame, models: DataFrame, meta: Sequence[str] = MODEL_META) -> DataFrame:
     """Rank by average (NULL last, then model id) and attach metadata (H7)."""
-    ranked = global_rank(scores, [F.col("average").desc_nulls_last(), F.col("model")])
+    ranked = global_rank(scores, [desc("average"), "model"])
     m = models.select(F.col("id").alias("model"), *meta)
     return ranked.join(m, "model", "left")
 
