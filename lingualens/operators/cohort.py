@@ -83,7 +83,8 @@ def normalise_catalog(catalog: DataFrame) -> DataFrame:
     ``price_text`` becomes ``cost`` per 1M tokens (NULL when unparsable,
     C11); free = price 0; provider is the part of ``name`` before ": " and
     the short name the part after it, cleaned of markers and a trailing
-    parenthesis (C10); creation date from the catalog date (C12).
+    parenthesis (C10); creation date is the repository's (column
+    ``repository_created``) where there is one, else the catalog's (C12).
     """
     price = F.col("price_text").try_cast("double")
     has_sep = F.instr(F.col("name"), ": ") > 0
@@ -99,7 +100,13 @@ def normalise_catalog(catalog: DataFrame) -> DataFrame:
         F.coalesce(price == 0, F.lit(False)).alias("is_free"),
         F.bround(price * 1_000_000, 2).alias("cost"),
         F.col("trains_on_prompts").alias("train_on_prompts"),
-        F.col("created").cast("date").alias("creation_date"))
+        creation_date(catalog).alias("creation_date"))
+
+
+def creation_date(catalog: DataFrame) -> Column:
+    """Repository date, else catalog date; either may be text that isn't a date."""
+    dates = [F.col(c).try_cast("date") for c in ("repository_created", "created") if c in catalog.columns]
+    return F.coalesce(*dates)
 
 
 #: A catalog entry as the service sends it.

@@ -172,6 +172,39 @@ def choices_from_columns(conversations: DataFrame) -> DataFrame:
             .select("conv_id", F.array("option_a", "option_b", "option_c", "option_d").alias("choices")))
 
 
+def choices_from_nested(items: DataFrame, field: str = "targets") -> DataFrame:
+    """Choices and labels out of a nested record (E7): ``field`` is a struct of
+    two arrays, ``choices`` (or ``text``) and ``labels`` if it has them."""
+    names = items.schema[field].dataType.names
+    text = F.col(f"{field}.{'choices' if 'choices' in names else 'text'}").alias("choices")
+    labels = [F.col(f"{field}.labels").alias("labels")] if "labels" in names else []
+    return items.select(*[c for c in items.columns if c != field], text, *labels)
+
+
+#: A quoted string of a list written as text, once escaped quotes are out of the way.
+_QUOTED = "'[^']*+'|\"[^\"]*+\""
+#: Escapes, what stands for them while strings are cut, and what they mean.
+_ESCAPES = [("\\\\", "\x00", "\\"), ("\\'", "\x01", "'"), ('\\"', "\x02", '"'), ("\\n", "\x03", "\n"), ("\\t", "\x04", "\t"), ("\\r", "\x05", "\r")]
+
+
+def choices_from_literal(items: DataFrame, column: str = "choices") -> DataFrame:
+    """Choices array from a list written as text, ``['a', "it's", 'b\\n']``
+    (E7); NULL where the text is no list of quoted strings."""
+    text = F.col(column)
+    for escape, mark, _ in _ESCAPES:
+        text = F.replace(text, F.lit(escape), F.lit(mark))
+
+    def plain(s: Column) -> Column:
+        s = F.substring(s, F.lit(2), F.length(s) - 2)
+        for _, mark, char in _ESCAPES:
+            s = F.replace(s, F.lit(mark), F.lit(char))
+        return s
+
+    strings = F.regexp_extract_all(text, F.lit(_QUOTED), 0)
+    is_list = text.rlike(rf"^\s*\[\s*(?:(?:{_QUOTED})\s*(?:,\s*|(?=\])))*+\]\s*$")
+    return items.withColumn(column, F.when(is_list, F.transform(strings, plain)))
+
+
 def paragraphs_by_url(sentences: DataFrame) -> DataFrame:
     """Sentences with a topic joined per (language, url) in position order,
     topic lower-cased, first topic kept (E8)."""

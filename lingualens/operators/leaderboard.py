@@ -114,10 +114,12 @@ def full_model_table(results: DataFrame, samples: DataFrame, models: DataFrame,
             .join(intervals, "model", "left"))
 
 
-def language_board(cells: DataFrame, languages: DataFrame, metrics: Sequence[str] = K.AVERAGED_METRICS) -> DataFrame:
+def language_board(cells: DataFrame, languages: DataFrame, metrics: Sequence[str] = K.AVERAGED_METRICS,
+                   shown: Sequence[str] | None = None) -> DataFrame:
     """``language_table`` from guarded cells (H9-H11): the means of all
-    samples and the first origins of the published ones are one aggregation."""
-    c = with_task_metric(cells)
+    samples and the first origins of the published ones are one aggregation.
+    ``shown`` metrics have columns, ``metrics`` make the average."""
+    c, averaged, metrics = with_task_metric(cells), metrics, shown or metrics
     is_m = {m: F.col("task_metric") == m for m in metrics}
     means = [(F.sum(F.when(is_m[m], F.col("total"))) / F.sum(F.when(is_m[m] & (F.col("n") > 0), F.col("n")))).alias(m) for m in metrics]
     origins = [F.min_by(F.when(is_m[m] & F.col("published"), F.col("origin")),
@@ -125,7 +127,7 @@ def language_board(cells: DataFrame, languages: DataFrame, metrics: Sequence[str
     scores = c.groupBy("bcp_47").agg(F.bool_or("published").alias("_any"), *means, *origins).where("_any").drop("_any")
     lang_cols = [x for x in ["language_name", "autonym", "speakers", "family", "in_benchmark"] if x in languages.columns]
     t = languages.select("bcp_47", *lang_cols).join(scores, "bcp_47", "full")
-    return t.select("bcp_47", *lang_cols, strict_average(metrics).alias("average"),
+    return t.select("bcp_47", *lang_cols, strict_average(averaged).alias("average"),
                     *sorted(metrics), *sorted(f"{m}_origin" for m in metrics))
 
 

@@ -13,8 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..functions.edits import token_edits
 
 # --- fixed values -----------------------------------------------------------
 THINK_BLOCK = r"(?d)<think>.*</think>"
@@ -216,23 +220,27 @@ def chrf_scores(pairs: DataFrame, key: Sequence[str], prediction: str, reference
     return w.select(*key, chrf.alias("chrf"))
 
 
-def token_chars(tokens: Column, vocab: Column) -> Column:
-    """Each token as one supplementary-plane character (its vocabulary
-    index), so the built-in ``levenshtein`` counts word edits."""
-    code = F.transform(tokens, lambda t: F.decode(
-        F.unhex(F.lpad(F.hex(F.array_position(vocab, t) + 65535), 8, "0")), "UTF-32"))
-    return F.array_join(code, "")
-
-
 def word_error_rate(pairs: DataFrame, group: Sequence[str], prediction: str,
                     reference: str) -> DataFrame:
-    """Corpus WER per group: word edits / reference words (F8)."""
+    """Corpus WER per group: word edits / reference words (F8).
+
+    Edits are counted pair by pair in tasks, from the token lists themselves.
+    """
     p = pairs.select(*group, word_tokens(F.col(prediction)).alias("_h"),
                      word_tokens(F.col(reference)).alias("_r"))
-    p = p.withColumn("_v", F.array_distinct(F.concat("_r", "_h")))
-    edits = F.levenshtein(token_chars(F.col("_h"), F.col("_v")), token_chars(F.col("_r"), F.col("_v")))
-    return (p.groupBy(*group)
-            .agg(F.sum(edits).alias("edits"), F.sum(F.size("_r")).alias("ref_words"))
+    n = len(group)
+
+    def count(batches):
+        for batch in batches:
+            hyp, ref = batch.column(n), batch.column(n + 1)
+            both = [(h.as_py(), r.as_py()) for h, r in zip(hyp, ref)]
+            edits = pa.array([token_edits(h, r) for h, r in both], pa.int64())
+            words = pa.array([len(r) for _, r in both], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], edits, words], names=[*batch.schema.names[:n], "edits", "ref_words"])
+
+    schema = StructType([*p.schema.fields[:n], StructField("edits", LongType()), StructField("ref_words", LongType())])
+    return (p.mapInArrow(count, schema).groupBy(*group)
+            .agg(F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"))
             .withColumn("wer", F.col("edits") / F.col("ref_words")))
 
 

@@ -76,6 +76,7 @@ SELECT concat('vendor', CAST(p_partkey % 25 AS string), '/', replace(p_name,' ',
  concat('Vendor ', CAST(p_partkey % 25 AS string), ': ', p_name, CASE WHEN p_partkey % 5 = 0 THEN ' (free)' ELSE '' END) AS name,
  CASE WHEN p_partkey % 5 = 0 THEN '0' WHEN p_partkey % 11 = 0 THEN 'n/a' ELSE CAST((p_retailprice - 890) / 3000000 AS string) END AS price_text,
  CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(p_partkey % 700 AS int) END AS created,
+ CASE WHEN p_partkey % 4 = 1 THEN DATE '2023-06-01' + CAST(p_partkey % 900 AS int) END AS repository_created,
  p_partkey % 17 = 0 AS trains_on_prompts
 FROM part""",
     "dataset_catalog": """

@@ -26,7 +26,7 @@ SELECT slug, split_part(name, ': ', 1) AS provider_name,
     ' (free)', ''), ' (self-moderated)', ''), '\s*\([^)]*\)\s*$', '') AS name,
   coalesce(TRY_CAST(price_text AS DOUBLE) = 0, false) AS is_free,
   round_even(TRY_CAST(price_text AS DOUBLE) * 1000000, 2) AS cost,
-  trains_on_prompts AS train_on_prompts, CAST(created AS DATE) AS creation_date
+  trains_on_prompts AS train_on_prompts, coalesce(CAST(repository_created AS DATE), CAST(created AS DATE)) AS creation_date
 FROM catalog""")
 _LOOKUP = ("lookup", """
 SELECT slug, provider_name, name, is_free, cost, train_on_prompts, creation_date FROM norm
@@ -203,6 +203,20 @@ def auto_excluded(ctx):
     return co.auto_excluded(last)
 
 
+_RAW_LICENSE = """CASE p_partkey % 4 WHEN 0 THEN 'mit' WHEN 1 THEN 'apache-2.0' WHEN 2 THEN 'cc-by-nc-' || lower(p_brand)
+  ELSE lower(p_type) || '2b-licence' END"""
+
+
+@query("license_names", [], f"""
+SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]+'),
+  lambda w: upper(w[1:1]) || lower(w[2:])), '') AS license
+FROM (SELECT p_partkey, replace(replace({_RAW_LICENSE}, '-', ' '), 'mit', 'MIT') AS x FROM part)""")
+def license_names(ctx):
+    """Repository licenses as display text."""
+    p = ctx.t.part.select("p_partkey", F.expr(_RAW_LICENSE).alias("raw"))
+    return p.select("p_partkey", co.license_text(F.col("raw")).alias("license"))
+
+
 @query("cost_cap_report", ["catalog"], f"""
 SELECT l.slug, l.name, l.cost FROM lookup l
 WHERE l.cost > {K.COST_CAP_PER_1M} AND l.slug IN (SELECT slug FROM curated)""", _COHORT)

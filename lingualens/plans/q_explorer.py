@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import explorer as ex
 from ..operators import leaderboard as lb
+from ..operators.log import guarded_cells, log_cells
 from .q_board import _BOARD_SELECT, _COUNTRY_CTES, _LANG_CTES, _LANG_SELECT, _SCORES
 from .registry import query
 
@@ -80,7 +81,30 @@ SELECT count(*) FILTER (WHERE coalesce({", ".join(M)}) IS NOT NULL) AS evaluated
   count(*) AS all_languages FROM lt""", _LT)
 def evaluated_language_count(ctx):
     """Languages with any metric."""
-    return ex.evaluated_language_count(_lt(ctx))
+    return ex.evaluated_language_count(lb.language_board(ctx.cells, ctx.languages, shown=ex.EVALUATED_METRICS))
+
+
+#: One model's science rows, and truthfulness rows for every third language.
+_SPARSE = [("few", "SELECT bcp_47 FROM kl WHERE model = 'm1' AND task = 'arc' AND status IS DISTINCT FROM 'error'"),
+           ("truthful", "SELECT DISTINCT l.bcp_47 FROM events e JOIN languages l ON l.bcp_47 = 'NATION_' || CAST(e.event_id % 8 * 3 AS VARCHAR)")]
+
+
+@query("evaluated_by_any_metric", ["kl", "languages"], """
+SELECT (SELECT count(DISTINCT bcp_47) FROM (SELECT * FROM few UNION ALL SELECT * FROM truthful)) AS evaluated_languages,
+  (SELECT count(*) FROM languages) AS all_languages""", _SPARSE)
+def evaluated_by_any_metric(ctx):
+    """Of a sparse log, in which some languages only have truthfulness
+    rows, the languages with any of the seven metrics."""
+    few = ctx.detailed.where("model = 'm1' AND task = 'arc'")
+    e = ctx.t.events.select("event_id", "value")
+    named = {"model": F.lit("m1"), "bcp_47": F.concat(F.lit("NATION_"), (F.col("event_id") % 8 * 3).cast("string")),
+             "task": F.lit("truthfulqa"), "metric": F.lit("accuracy"), "sentence_nr": (F.col("event_id") % 5).cast("int"),
+             "score": F.lit(1.0), "origin": F.lit("human"), "status": F.lit("ok")}
+    truthful = e.select(*[c.alias(k) for k, c in named.items()])
+    both = few.unionByName(truthful, allowMissingColumns=True)
+    models = both.select("model").distinct()
+    cells = guarded_cells(log_cells(both), models, ctx.languages)
+    return ex.evaluated_language_count(lb.language_board(cells, ctx.languages, shown=ex.EVALUATED_METRICS))
 
 
 @query("model_filter", ["results_tm", "models"], f"""

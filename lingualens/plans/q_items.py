@@ -127,6 +127,37 @@ def choices_array(ctx):
     return it.choices_from_columns(ctx.t.conversations)
 
 
+def _choice_texts(ctx):
+    return it.choices_from_columns(ctx.t.conversations)
+
+
+_FOUR = """(SELECT conv_id, [a, b, c, d] AS choices FROM (
+  SELECT conv_id, max(text) FILTER (WHERE turn = 0) AS a, max(text) FILTER (WHERE turn = 1) AS b,
+    max(text) FILTER (WHERE turn = 2) AS c, max(text) FILTER (WHERE turn = 3) AS d
+  FROM conversations GROUP BY conv_id) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL)"""
+
+
+@query("choices_nested", [], f"SELECT conv_id, choices, [1, 0, 0, 0] AS labels FROM {_FOUR}")
+def choices_nested(ctx):
+    """Choices and labels from a nested record."""
+    c = _choice_texts(ctx)
+    record = F.struct("choices", F.array(*map(F.lit, (1, 0, 0, 0))).alias("labels"))
+    return it.choices_from_nested(c.select("conv_id", record.alias("targets")))
+
+
+@query("choices_literal", [], f"""
+SELECT conv_id, [choices[1], 'it''s "' || choices[2] || '"', 'a\\' || choices[3], choices[4] || chr(10)] AS choices FROM {_FOUR}""")
+def choices_literal(ctx):
+    """Choices from a list written as text, with quotes and escapes in it."""
+    c = _choice_texts(ctx)
+    at = lambda i: F.element_at("choices", i)
+    texts = F.array(at(1), F.concat(F.lit("it's \""), at(2), F.lit('"')), F.concat(F.lit("a\\"), at(3)), F.concat(at(4), F.lit("\n")))
+    escaped = F.transform(texts, lambda s: F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")),
+                                                     F.lit("\n"), F.lit("\\n")))
+    literal = F.concat(F.lit("['"), F.array_join(escaped, "', '"), F.lit("']"))
+    return it.choices_from_literal(c.select("conv_id", literal.alias("choices")))
+
+
 _E8 = [
     ("s", "SELECT bcp_47, url, pos, lower(topic) AS topic, text FROM paragraphs WHERE topic IS NOT NULL"),
     ("p", """SELECT bcp_47, url, string_agg(text, ' ' ORDER BY pos) AS text, arg_min(topic, pos) AS topic

@@ -244,6 +244,7 @@ def catalog(t: Tables) -> DataFrame:
         F.when(k % 13 == 0, F.lit(None).cast("date"))
          .otherwise(F.date_add(F.lit("2024-01-01").cast("date"), (k % 700).cast("int")))
          .alias("created"),
+        F.when(k % 4 == 1, F.date_add(F.lit("2023-06-01").cast("date"), (k % 900).cast("int"))).alias("repository_created"),
         (k % 17 == 0).alias("trains_on_prompts"))
 
 
