@@ -40,9 +40,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # --- fixed values: multipliers of the 32-bit finaliser and the counter step
 FMIX = (2246822507, 3266489909)
 STEP = 2654435769
+# Normal quantile: rational approximation (Acklam), numerators and denominators
+# of the middle and of the tails, whose share of a side is TAIL.
+MIDDLE = ((-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01,
+           2.506628277459239e+00),
+          (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01, 1.0))
+TAILS = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00, 4.374664141464968e+00,
+          2.938163982698783e+00),
+         (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00, 1.0))
+TAIL = 0.02425
 # ---------------------------------------------------------------------------
 #: Distinct scores of a group that one task draws for.
 BINS_PER_SALT = 2000
+#: From this count on, weights come from the quantile's expansion instead of a
+#: table (which has 24 * sqrt(count) entries: some 6000 at most).
+EXPANDED_FROM = 1 << 16
 
 
 def bin_seed(group: Column, score: Column, seed: int) -> Column:
@@ -78,10 +90,29 @@ def poisson_cdf(c: int) -> tuple[int, np.ndarray]:
     return lo, cdf / cdf[-1]
 
 
+def normal_quantile(u: np.ndarray) -> np.ndarray:
+    """Quantile of the standard normal distribution, to nine digits."""
+    q = u - 0.5
+    middle = q * np.polyval(MIDDLE[0], q * q) / np.polyval(MIDDLE[1], q * q)
+    r = np.sqrt(-2 * np.log(np.minimum(u, 1 - u)))
+    tails = np.polyval(TAILS[0], r) / np.polyval(TAILS[1], r)
+    return np.where(np.minimum(u, 1 - u) >= TAIL, middle, np.where(q < 0, tails, -tails))
+
+
+def poisson_expanded(c: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Quantile of Poisson(c) for large c, by its expansion in the normal
+    quantile: the same work for any c.  From ``EXPANDED_FROM`` on it is the
+    exact quantile but for uniforms within some thousandths of a step's edge."""
+    z = normal_quantile(u)
+    return np.ceil(c + np.sqrt(c) * z + (z * z - 1) / 6 + (z - z ** 3) / (72 * np.sqrt(c)) - 0.5)
+
+
 def _weights(counts: np.ndarray, seeds: np.ndarray, replicates: int) -> np.ndarray:
     u = _uniforms(seeds, replicates)
     w = np.empty(u.shape, dtype=np.float64)
-    for c in np.unique(counts):  # one table per distinct bin count
+    large = counts >= EXPANDED_FROM
+    w[large] = poisson_expanded(counts[large, None].astype(np.float64), u[large])
+    for c in np.unique(counts[~large]):  # one table per distinct bin count
         rows = counts == c
         lo, cdf = poisson_cdf(int(c))
         w[rows] = lo + np.minimum(np.searchsorted(cdf, u[rows]), len(cdf) - 1)

@@ -16,6 +16,14 @@ B = K.BOOTSTRAP_REPLICATES
 _METRICS = ", ".join(f"'{m}'" for m in M)
 
 
+def _poly(coefficients, x: str) -> str:
+    """Horner form of a polynomial, highest power first."""
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out}) * ({x}) + {c!r}"
+    return out
+
+
 def ci_ctes(source: str, name: str = "ci") -> list[tuple[str, str]]:
     """CTEs of a B = 1000 Poisson bootstrap over ``source`` (grp, score):
     ``{name}`` has grp, ci_lower, ci_upper.
@@ -36,13 +44,17 @@ def ci_ctes(source: str, name: str = "ci") -> list[tuple[str, str]]:
         (f"{name}_s5", f"SELECT grp, score, n, rep, (xor(a, a >> 13)::HUGEINT * {bs.FMIX[1]} % 4294967296)::BIGINT AS b FROM {name}_s4"),
         (f"{name}_u", f"SELECT grp, score, n, rep, (xor(b, b >> 16) + 0.5e0) / 4294967296e0 AS u FROM {name}_s5"),
         (f"{name}_k", f"""SELECT n, unnest(range(greatest(0, trunc(n - 12 * sqrt(n) - 10)::BIGINT), trunc(n + 12 * sqrt(n) + 10)::BIGINT + 1)) AS k
-          FROM (SELECT DISTINCT n FROM {name}_bins)"""),
+          FROM (SELECT DISTINCT n FROM {name}_bins WHERE n < {bs.EXPANDED_FROM})"""),
         (f"{name}_l", f"""SELECT n, k, sum(CASE WHEN first THEN 0e0 ELSE ln(n) - ln(k) END) OVER (PARTITION BY n ORDER BY k) AS logp
           FROM (SELECT n, k, k = min(k) OVER (PARTITION BY n) AS first FROM {name}_k)"""),
         (f"{name}_p", f"SELECT n, k, exp(logp - max(logp) OVER (PARTITION BY n)) AS p FROM {name}_l"),
         (f"{name}_c", f"""SELECT n, k, sum(p) OVER (PARTITION BY n ORDER BY k) / sum(p) OVER (PARTITION BY n) AS hi FROM {name}_p"""),
+        (f"{name}_z", f"""SELECT *, CASE WHEN least(u, 1 - u) >= {bs.TAIL} THEN q * ({_poly(bs.MIDDLE[0], "q * q")}) / ({_poly(bs.MIDDLE[1], "q * q")})
+            ELSE -sign(q) * ({_poly(bs.TAILS[0], "r")}) / ({_poly(bs.TAILS[1], "r")}) END AS z
+          FROM (SELECT *, u - 0.5e0 AS q, sqrt(-2 * ln(least(u, 1 - u))) AS r FROM {name}_u WHERE n >= {bs.EXPANDED_FROM})"""),
         (f"{name}_m", f"""SELECT grp, rep, sum(w * score) / nullif(sum(w), 0) AS m FROM (
-            SELECT u.grp, u.rep, u.score, c.k AS w FROM {name}_u u ASOF JOIN {name}_c c ON u.n = c.n AND u.u <= c.hi)
+            SELECT u.grp, u.rep, u.score, c.k AS w FROM {name}_u u ASOF JOIN {name}_c c ON u.n = c.n AND u.u <= c.hi
+            UNION ALL SELECT grp, rep, score, ceil(n + sqrt(n) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(n)) - 0.5) FROM {name}_z)
           GROUP BY grp, rep"""),
         (name, f"""SELECT grp, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper
           FROM {name}_m GROUP BY grp"""),
