@@ -32,6 +32,8 @@ BLEU_MAX_ORDER = 4
 CHRF_CHAR_ORDER = 6
 CHRF_BETA = 2.0
 # ---------------------------------------------------------------------------
+#: Characters, or tokens, whose n-grams are made at once.
+SLICE = 8192
 
 
 def strip_ws(c: Column) -> Column:
@@ -102,7 +104,7 @@ def no_space(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), f"[{WS}]+", "")
 
 
-# Overlapping n-grams come straight from one built-in regex call per order
+# Overlapping n-grams of a piece come straight from one built-in regex call per order
 # (a capturing look-ahead at every start position), so no per-element
 # lambda runs.  Orders never collide: a char n-gram has n characters, a
 # word n-gram (tokens joined by one space; tokens never contain spaces) has
@@ -121,35 +123,54 @@ def _gram_order(g: Column, kind: str) -> Column:
     return F.char_length(g) - F.char_length(F.replace(g, F.lit(" "), F.lit(""))) + 1
 
 
+def _pieces(text: Column, size: int, kind: str) -> Column:
+    """``text`` (characters, or an array of tokens) cut every ``size``."""
+    if kind == "char":
+        return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), 0)
+    last = F.greatest(F.ceil(F.size(text) / size) - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.slice(text, (i * size + 1).cast("int"), size))
+
+
+def _piece_grams(piece: Column, following: Column, n: int, kind: str) -> Column:
+    """The n-grams that start in a piece; the last ones end in the following one."""
+    if kind == "char":
+        return _char_grams(F.concat(piece, F.coalesce(F.substring(following, 1, n - 1), F.lit(""))), n)
+    rest = F.coalesce(F.slice(following, 1, n - 1), F.array().cast("array<string>"))
+    return _word_grams(F.array_join(F.concat(piece, rest), " "), n)
+
+
 def ngram_matches(pairs: DataFrame, key: Sequence[str], hyp: str, ref: str,
-                  orders: Sequence[int], kind: str) -> DataFrame:
+                  orders: Sequence[int], kind: str, size: int = SLICE) -> DataFrame:
     """Clipped n-gram matches per (key, n): sum over n-grams of
     min(count in hyp, count in ref).
 
-    ``hyp``/``ref`` are strings: whitespace-free text for ``kind='char'``,
-    space-joined tokens for ``kind='word'``.  Both sides' n-grams are
-    exploded from one concatenated array (the position tells the side) and
-    counted in one aggregation on (key, gram), which the caller's hash
-    partitioning on ``key`` already satisfies -- the exploded n-grams are
-    never shuffled or joined.
+    ``hyp``/``ref`` are whitespace-free text for ``kind='char'``, token arrays
+    for ``kind='word'``.  Both sides are cut into pieces of ``size``, and the
+    n-grams that start in a piece are exploded piece by piece, so no array
+    holds the n-grams of a whole text.  They are counted in one aggregation on
+    (key, gram), which the caller's hash partitioning on ``key`` already
+    satisfies -- the exploded n-grams are never shuffled or joined.
     """
+    if size < max(orders) - 1:
+        raise ValueError("an n-gram may reach into one following piece only")
     key = list(key)
-    grams = _char_grams if kind == "char" else _word_grams
-    g = pairs.select(*key, F.concat(*[grams(F.col(hyp), n) for n in orders]).alias("_gh"),
-                     F.concat(*[grams(F.col(ref), n) for n in orders]).alias("_gr"))
-    # The side marker travels inside the generator input: a column computed
-    # before the explode and read after it would be re-evaluated per n-gram.
-    g = g.select(*key, F.concat("_gh", "_gr").alias("g"),
-                 F.concat(F.array_repeat(F.lit(0), F.size("_gh")),
-                          F.array_repeat(F.lit(1), F.size("_gr"))).alias("s"))
-    e = g.select(*key, F.explode(F.arrays_zip("g", "s")).alias("_x"))
-    c = (e.groupBy(*key, F.col("_x.g").alias("g"))
-         .agg(F.count_if(F.col("_x.s") == 0).alias("_h"),
-              F.count_if(F.col("_x.s") == 1).alias("_r")))
+    cut = pairs.select(*key, _pieces(F.col(hyp), size, kind).alias("_ph"), _pieces(F.col(ref), size, kind).alias("_pr"))
+    with_next = [_followed(c, side) for side, c in enumerate(("_ph", "_pr"))]
+    slices = cut.select(*key, F.inline(F.concat(*with_next)))
+    grams = F.concat(*[_piece_grams(F.col("p"), F.col("f"), n, kind) for n in orders])
+    e = slices.select(*key, "s", F.explode(grams).alias("g"))
+    c = (e.groupBy(*key, "g")
+         .agg(F.count_if(F.col("s") == 0).alias("_h"),
+              F.count_if(F.col("s") == 1).alias("_r")))
     return (c.groupBy(*key, _gram_order(F.col("g"), kind).alias("n"))
             .agg(F.sum(F.least("_h", "_r")).alias("m")))
 
 
+def _followed(pieces: str, side: int) -> Column:
+    """(side, piece, following piece) of each piece of an array column."""
+    return F.transform(pieces, lambda p, i: F.struct(F.lit(side).alias("s"), p.alias("p"), F.get(F.col(pieces), i + 1).alias("f")))
+
+
 def _per_order(pairs: DataFrame, key, hyp, ref, orders, kind, hyp_len, ref_len,
                carry=()) -> DataFrame:
     """One row per key with lengths, ``carry`` columns and m_1..m_k matches.
@@ -172,7 +193,7 @@ def bleu_scores(pairs: DataFrame, key: Sequence[str], prediction: str, reference
     geometric mean, brevity penalty, no smoothing; 0 without prediction."""
     key = list(key)
     th, tr = word_tokens(F.col(prediction)), word_tokens(F.col(reference))
-    p = pairs.select(*key, F.array_join(th, " ").alias("_hyp"), F.array_join(tr, " ").alias("_ref"),
+    p = pairs.select(*key, th.alias("_hyp"), tr.alias("_ref"),
                      F.size(th).alias("_hl"), F.size(tr).alias("_rl"),
                      F.col(prediction).isNotNull().alias("_has"))
     orders = list(range(1, max_order + 1))

@@ -107,3 +107,23 @@ def test_wer_matches_brute_force_on_fixture(spark):
         e, n = want.get(r.model, (0, 0))
         want[r.model] = (e + edit_distance(h, ref), n + len(ref))
     assert got == want
+
+
+def test_pieces_give_the_same_counts(spark):
+    import random
+    rnd = random.Random(9)
+    words = ["a", "bb", "été", "😀x", "z9"]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.choice([0, 1, 2, 9, 40]))), " ".join(rnd.choices(words, k=rnd.choice([1, 7, 8, 9, 33])))) for i in range(60)]
+    d = spark.createDataFrame(rows, "id int, h string, r string")
+    for kind, orders, col in (("char", [1, 2, 3, 4, 5, 6], lambda c: scoring.no_space(F.col(c))), ("word", [1, 2, 3, 4], lambda c: scoring.word_tokens(F.col(c)))):
+        p = d.select("id", col("h").alias("h"), col("r").alias("r"))
+        at = lambda size: sorted(map(tuple, scoring.ngram_matches(p, ["id"], "h", "r", orders, kind, size).collect()))  # noqa: B023, E731
+        whole = at(10 ** 6)
+        assert len(whole) > 200 and all(at(size) == whole for size in (max(orders) - 1, max(orders), 8, 9))
+
+
+def test_a_long_text_is_scored_in_pieces(spark):
+    h = "".join(chr(97 + (i * i + i // 7) % 23) for i in range(1_500_000))
+    d = spark.createDataFrame([(1, h, h[:700_000] + "zz" + h[700_000:]), (2, "ab", "ab")], "id int, h string, r string")
+    out = {r.id: r.chrf for r in scoring.chrf_scores(d, ["id"], "h", "r").collect()}
+    assert out[2] == pytest.approx(1.0) and 0.9999 < out[1] < 1.0
