@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import health
+from ..operators.bootstrap import metric_intervals
 from ..operators.log import keep_last, published_aggregate
 from ..session import shared_dir
 from ..sources import io
@@ -133,7 +134,7 @@ def dashboard_payload(ctx):
     return dashboard.payload_values(ctx.spark, payload, path)
 
 
-def _merged(ctx):
+def _merged(ctx, **how):
     """Run the streaming merge over three arrivals; the tables' folder."""
     base = _scratch(ctx, "stream")
     src = ctx.log.withColumn("arrival", (F.col("tie1") % 3).cast("int"))
@@ -143,7 +144,7 @@ def _merged(ctx):
     expected = _small(ctx, ctx.expected, base, "expected")
     q = inc.start_log_merge(ctx.spark, f"{base}/incoming", schema, f"{base}/merged", f"{base}/ckpt_log", cohort, languages,
                             files_per_batch=8, expected=expected, n_slots=COVER_SLOTS,
-                            min_attempts=PUBLISH_MIN_ATTEMPTS, fail_pct=PUBLISH_FAIL_PCT)
+                            min_attempts=PUBLISH_MIN_ATTEMPTS, fail_pct=PUBLISH_FAIL_PCT, **how)
     q.awaitTermination()
     return f"{base}/merged"
 
@@ -168,6 +169,14 @@ def incremental_results(ctx):
     return mf.load(ctx.spark, _merged(ctx), "results", ctx.results.schema)
 
 
+@query("incremental_intervals", ["kl_tm"], "SELECT * FROM ci_long", long_ci_ctes("model"))
+def incremental_intervals(ctx):
+    """The intervals that the same stream keeps, redone for the models
+    of each batch.  Equal the batch query's."""
+    schema = metric_intervals(ctx.detailed, "model").schema
+    return mf.load(ctx.spark, _merged(ctx, intervals={}), "intervals", schema)
+
+
 @query("json_catalog", ["dataset_catalog"], """
 SELECT name, translation, coalesce(TRY_CAST(n_languages AS INTEGER), -1) AS n_languages, tasks, implemented FROM dataset_catalog""")
 def json_catalog(ctx):

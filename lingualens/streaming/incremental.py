@@ -5,16 +5,20 @@ micro-batch into the log with keep-last semantics (K1) and refreshes the
 published aggregate for the models that the batch touched (K2); a second,
 stateful query keeps a running per-model error rate (K3).
 
-Log, cell statistics and published aggregate are kept in buckets that split as
-they grow (extendible hashing): a bucket is the rows whose hash ends in certain
-bits, and one of more than ``max_rows`` rows becomes two, four, ... the next
-time that it is written.  The log is hashed by cell (model, language, task,
-metric), so a model of any size lies in many buckets; cells and aggregate are
-hashed by model, which has at most languages x metrics of them, because the
-publish guard looks at whole models.
+Log, cube (counts per cell and score), published aggregate and, if asked for,
+bootstrap intervals are kept in buckets that split as they grow (extendible
+hashing): a bucket is the rows whose hash ends in certain bits, and one of more
+than ``max_rows`` rows becomes two, four, ... the next time that it is written.
+The log is hashed by cell (model, language, task, metric), so a model of any
+size lies in many buckets; the others are hashed by model, because the publish
+guard and the intervals look at whole models, which have a row for each of
+their languages, metrics and different scores at most.
+
+Intervals (H14, H15) are redone from the cube for the models that a batch
+touches, never from the log; the others' stay.
 
 A micro-batch writes the buckets that it touches to new folders and then
-publishes one manifest that names every bucket of all three tables.  Readers
+publishes one manifest that names every bucket of all tables.  Readers
 take their buckets from a manifest, so they see the log and the aggregate of
 the same batch and never a half-written bucket.  The manifest also holds the
 last batch's number: a replayed batch is skipped, and one that failed before
@@ -30,13 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.health import not_ok
-from ..operators.log import CELL, guarded_cells, keep_last, log_cells
+from ..operators.bootstrap import metric_intervals
+from ..operators.log import CELL, cells_of, guarded_cells, keep_last, score_cube
 from ..sources import manifest as mf
 
 MAX_ROWS = 5_000_000
 #: Bits of a hash that tell buckets apart.
 MAX_DEPTH = 24
-TABLES = {"log": CELL, "cells": ["model"], "results": ["model"]}
+TABLES = {"log": CELL, "cube": ["model"], "results": ["model"], "intervals": ["model"]}
 
 
 def _hash(key: list[str]) -> Column:
@@ -106,9 +111,10 @@ def _pairs(df: DataFrame) -> set[tuple[int, int]]:
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, number: int, base: str, cohort: DataFrame, languages: DataFrame,
-                max_rows: int = MAX_ROWS, n_slots: int = 1, **guard) -> mf.Manifest:
-    """Keep-last merge of one batch into the log, and refresh of the cells and
-    the aggregate of the models that it touches (K1, K2); one commit.
+                max_rows: int = MAX_ROWS, n_slots: int = 1, intervals: dict | None = None, **guard) -> mf.Manifest:
+    """Keep-last merge of one batch into the log, and refresh of the cube, the
+    aggregate and (with ``intervals``, the options of ``metric_intervals``) the
+    intervals of the models that it touches (K1, K2); one commit.
 
     The guard is decided as in the batch job (``operators.log``).
     """
@@ -131,26 +137,27 @@ def merge_batch(spark: SparkSession, batch: DataFrame, number: int, base: str, c
     new, merged = _write(_split(with_bucket(merged, "log", [(d, e, "") for d, e in hit] or [(0, 0, "")]), "log", max_rows), base, "log")
     state["log"] = _replaced(buckets, hit, new)
 
-    # Cells: those with rows in the batch, counted anew from the merged log.
+    def refresh(table: str, keys: DataFrame, on: list[str], fresh: DataFrame) -> DataFrame:
+        """Replace the rows of ``keys`` by ``fresh`` ones."""
+        buckets, at, hit, old = touched_rows(keys, table)
+        kept = _read(spark, base, old, fresh.schema).join(keys, on, "left_anti")
+        rows = with_bucket(kept.unionByName(fresh), table, [(d, e, "") for d, e in hit] or [(0, 0, "")])
+        new, out = _write(_split(rows, table, max_rows), base, table)
+        state[table] = _replaced(buckets, hit, new)
+        return out
+
+    # Cube: the cells with rows in the batch, counted anew from the merged log.
     changed = batch.select(*CELL).distinct()
-    fresh = log_cells(merged.join(changed, CELL, "left_semi"), n_slots=n_slots)
-    buckets, at, hit, old = touched_rows(changed, "cells")
-    kept = _read(spark, base, old, fresh.schema).join(changed, CELL, "left_anti")
-    cells = with_bucket(kept.unionByName(fresh), "cells", [(d, e, "") for d, e in hit] or [(0, 0, "")])
-    new, cells = _write(_split(cells, "cells", max_rows), base, "cells")
-    state["cells"] = _replaced(buckets, hit, new)
-
-    # Aggregate: the touched models, whole, through the guard.
     models = changed.select("model").distinct()
-    board = guarded_cells(cells.join(models, "model", "left_semi"), cohort, languages, n_slots=n_slots, **guard)
-    board = board.where("published").select(*CELL, "score", "origin")
-    buckets, at, hit, old = touched_rows(models, "results")
-    kept = _read(spark, base, old, board.schema).join(models, "model", "left_anti")
-    board = with_bucket(kept.unionByName(board), "results", [(d, e, "") for d, e in hit] or [(0, 0, "")])
-    new, _ = _write(_split(board, "results", max_rows), base, "results")
-    state["results"] = _replaced(buckets, hit, new)
-
-    paths = {t: [p for _, _, p in state[t] if p] for t in TABLES}
+    cube = refresh("cube", changed, CELL, score_cube(merged.join(changed, CELL, "left_semi"), n_slots=n_slots))
+    cube = cube.join(models, "model", "left_semi")
+    # Aggregate and intervals: the touched models, whole.
+    board = guarded_cells(cells_of(cube), cohort, languages, n_slots=n_slots, **guard)
+    refresh("results", models, ["model"], board.where("published").select(*CELL, "score", "origin"))
+    if intervals is not None:
+        refresh("intervals", models, ["model"], metric_intervals(cube, "model", **intervals))
+
+    paths = {t: [p for _, _, p in state[t] if p] for t in TABLES if t in state}
     return mf.commit(spark, base, held, paths, state)
 
 

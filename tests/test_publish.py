@@ -157,6 +157,27 @@ def test_merge_splits_replays_and_survives_a_crash(spark, tmp_path, parts, monke
     assert mf.load(spark, base, "log", log.schema, reader).count() == keep_last(arrivals[0]).count()
 
 
+def test_intervals_follow_every_batch(spark, tmp_path, parts):
+    from lingualens.operators.bootstrap import metric_intervals
+    arrivals, log, cohort, languages, expected = parts
+    base, asked = str(tmp_path), []
+    for k in range(3):
+        # the second batch touches one model only
+        rows = arrivals[k] if k != 1 else arrivals[1].where("model = 'm2'")
+        asked.append(rows)
+        before = mf.current(spark, base)
+        inc.merge_batch(spark, rows, k, base, cohort, languages, max_rows=400, expected=expected, intervals={"replicates": 100}, **GUARD)
+        merged = asked[0]
+        for more in asked[1:]:
+            merged = merged.union(more)
+        want = metric_intervals(keep_last(merged), "model", replicates=100)
+        got = mf.load(spark, base, "intervals", want.schema)
+        assert same(got, want)
+        if k == 1:
+            kept = mf.load(spark, base, "intervals", want.schema, before).where("model != 'm2'")
+            assert same(got.where("model != 'm2'"), kept)
+
+
 def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path, parts):
     arrivals, log, cohort, languages, expected = parts
     base = str(tmp_path)
@@ -164,6 +185,6 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path, parts):
     before = inc.merge_batch(spark, arrivals[0], 0, base, cohort, languages, **how)
     one = arrivals[1].where("model != 'm3'").orderBy("tie1", "tie2").limit(1)
     after = inc.merge_batch(spark, one, 1, base, cohort, languages, **how)
-    for table in ("log", "cells"):
+    for table in ("log", "cube"):
         kept = set(before.paths[table]) & set(after.paths[table])
         assert len(kept) >= len(before.paths[table]) - 1 > 1
