@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingualens.llm import decontam, langid, ngram_join, packing, secrets
-from lingualens.llm.workspace import stored
+from lingualens.llm.workspace import ship, stored
 from lingualens.sources.tables import Tables
 
 _RESULT = "__llm_result"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     model = langid.learn(docs)
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -69,6 +70,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    ship(spark)
     docs = Tables(spark, sf_dir).documents
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))

@@ -43,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbytes import NOT_SPACE, Words, append, blocks, mix, utf8
-from .workspace import bitmap, flagged, maybe_in, row_key, stored
+from .textbytes import NOT_SPACE, Words, append, blocks, give_back, mix, utf8
+from .workspace import bitmap, dropped, flagged, maybe_in, row_key, stored
 
 N, PERCENT, ORDERS = 3, 90, 3
 WORD_BITS, SHINGLE_BITS, SKETCH_BLOCK = 20, 21, 4096
@@ -147,6 +147,7 @@ def sketch(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarr
                 own[:words] += np.bincount((Words(data, part, NOT_SPACE).hash >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=words)
                 sets = np.concatenate(list(shingle_sets(data, part, n)))
                 own[words:] += np.bincount((sets >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64), minlength=size - words)
+        give_back()
         part = TaskContext.get().partitionId()
         at = [b for b in range(size // width) if own[b * width:(b + 1) * width].any()]
         yield pa.RecordBatch.from_arrays(
@@ -212,6 +213,7 @@ def prefixes(texts: DataFrame, n: int, percent: int, rarity) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(tok).view(np.int64)), pa.array(keys[0][row]), pa.array(keys[1][row]),
                          pa.array(np.concatenate(num)), pa.array(np.concatenate(pos))], names=["token", "k1", "k2", "n", "pos"])
+        give_back()
 
     return texts.select("k1", "k2", "t").mapInArrow(run, "token long, k1 long, k2 long, n int, pos int")
 
@@ -271,14 +273,17 @@ def filtered(pairs: DataFrame, rows: DataFrame, percent: int, orders: int) -> Da
         for batch in batches:
             ok = [may_link(*r, percent, orders) for r in zip(*(batch.column(c).to_pylist() for c in range(4, 8)))]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     return full.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, percent: int,
              orders: int) -> DataFrame:
-    """The pairs (a1, a2, b1, b2: row keys) whose texts link."""
-    pairs = stored(filtered(pairs, rows, percent, orders))
+    """The pairs (a1, a2, b1, b2: row keys) whose texts link, stored; ``pairs``
+    is stored too, and deleted."""
+    given, pairs = pairs, stored(filtered(pairs, rows, percent, orders))
+    dropped(given)
     sides = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
     texts = maybe_in(docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t")), "k1", bitmap(sides, "k1"))
     texts = stored(texts.join(sides, ["k1", "k2"], "left_semi"))
@@ -292,8 +297,11 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, te
             x, y = batch.column(4), batch.column(5)
             ok = [linked(x[i].as_py(), y[i].as_py()) for i in range(len(x))]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
-    return full.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct()
+    out = stored(full.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct())
+    dropped(pairs, texts)
+    return out
 
 
 # ---------------------------------------------------------------- components
@@ -304,7 +312,7 @@ def components(edges: DataFrame) -> DataFrame:
     to the smallest of them, until nothing changes."""
     both = lambda e: e.union(e.select("b1", "b2", "a1", "a2"))
     edges = stored(edges.select("a1", "a2", "b1", "b2").distinct())
-    before = None
+    before, held = None, None
     while True:
         near = both(edges)
         least = (near.groupBy("a1", "a2").agg(F.min(F.struct("b1", "b2")).alias("m"))
@@ -312,7 +320,8 @@ def components(edges: DataFrame) -> DataFrame:
         moved = near.join(least, ["a1", "a2"]).select(
             F.col("b1").alias("x1"), F.col("b2").alias("x2"), F.col("m.b1").alias("y1"), F.col("m.b2").alias("y2")) \
             .union(least.select("a1", "a2", "m.b1", "m.b2")).distinct()
-        edges = stored(moved.where("x1 != y1 or x2 != y2").toDF("a1", "a2", "b1", "b2"))
+        held, edges = edges, stored(moved.where("x1 != y1 or x2 != y2").toDF("a1", "a2", "b1", "b2"))
+        dropped(held)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a1", "a2", "b1", "b2"))).first()
         if now == before:
             break
@@ -330,8 +339,36 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, percent: int, orders: int) -> DataFrame:
-    """k1, k2, c1, c2 of the classes that have a link.  ``rows``: one row per
+def _step(size: Column) -> Column:
+    """Sizes in steps of an eighth of a doubling; small sizes have their own."""
+    return F.floor(F.log2(size) * 8).cast("int")
+
+
+def met(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``one`` (token, n, pos) with the rows of ``other`` (token, on,
+    opos) that the length and position bounds allow.
+
+    At a position a set can only link sets of sizes from ``percent`` of its
+    own to what the shingles from there on still allow.  Steps of these sizes
+    are part of the join's key, so most pairs that the bounds exclude are
+    never formed, and a common shingle is split by the sizes of its sets.
+    """
+    n, m = F.col("n").cast("long"), F.col("on").cast("long")
+
+    def partners(size, pos):
+        return F.ceil(percent * size / 100), F.floor((100 + percent) * (size - pos) / percent) - size
+
+    low, high = partners(n, F.col("pos"))
+    olow, ohigh = partners(m, F.col("opos"))
+    left = one.where(low <= high).withColumn("step", F.explode(F.sequence(_step(low), _step(high))))
+    right = other.where(olow <= ohigh).withColumn("step", _step(m))
+    return left.join(right, ["token", "step"]).drop("step").where(
+        m.between(low, high) & n.between(olow, ohigh) & _possible("", "o", percent))
+
+
+def class_prefixes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """token, k1, k2, n, pos, stored: the prefix under order 0 of a text of
+    each class, where other classes have the token too.  ``rows``: one row per
     text with k1, k2, n, s1, s2 and f."""
     rarity = docs.sparkSession.sparkContext.broadcast(Rarity(*sketch(docs, text_col, n)))  # 6 MB
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("k1", "k2")).alias("k"))
@@ -341,17 +378,24 @@ def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: st
     shared = stored(found.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"))
                     .where("lo != hi").select("token"))
     members = stored(maybe_in(found, "token", bitmap(shared, "token")).join(shared, "token"))
+    dropped(copies, found, shared)
+    return members
 
+
+def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, n: int, percent: int, orders: int) -> DataFrame:
+    """k1, k2, c1, c2 of the classes that have a link."""
+    members = class_prefixes(docs, rows, id_col, text_col, n, percent)
     hubs = members.groupBy("token").agg(F.min(F.struct("pos", "n", "k1", "k2")).alias("h")) \
         .select("token", F.col("h.pos").alias("hpos"), F.col("h.n").alias("hn"), F.col("h.k1").alias("b1"), F.col("h.k2").alias("b2"))
     first = (members.join(hubs, "token").where("k1 != b1 or k2 != b2").where(_possible("", "h", percent))
              .groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2"))
              .agg(F.min(F.struct("hpos", "pos", "b1", "b2")).alias("h")).select("a1", "a2", "h.b1", "h.b2"))
-    links = stored(verified(stored(first), docs, rows, id_col, text_col, n, percent, orders))
+    links = verified(stored(first), docs, rows, id_col, text_col, n, percent, orders)
 
     parts = components(links)
     at = stored(members.join(parts, ["k1", "k2"], "left")
                 .withColumn("c1", F.coalesce("c1", "k1")).withColumn("c2", F.coalesce("c2", "k2")))
+    dropped(members)
     # Of each group the component with most members needs no pairs within it.
     main = (at.groupBy("token", "c1", "c2").agg(F.count("*").alias("size"))
             .groupBy("token").agg(F.max(F.struct("size", "c1", "c2")).alias("m"), F.count("*").alias("parts"))
@@ -361,12 +405,15 @@ def class_components(docs: DataFrame, rows: DataFrame, id_col: str, text_col: st
     other = open_.select("token", *[F.col(c).alias(f"o{c}") for c in ("k1", "k2", "n", "pos", "c1", "c2")],
                          ((F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2"))).alias("omain"))
     # Each pair once: between two components apart from the main one, by order of keys.
-    rest = (apart.join(other, "token")
+    rest = (met(apart, other, percent)
             .where("(c1 != oc1 or c2 != oc2) and (omain or k1 < ok1 or (k1 = ok1 and k2 < ok2))")
-            .where(_possible("", "o", percent))
             .select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("ok1").alias("b1"), F.col("ok2").alias("b2")).distinct())
-    more = verified(stored(rest), docs, rows, id_col, text_col, n, percent, orders)
-    return components(links.union(more))
+    rest = stored(rest)
+    dropped(at)
+    more = verified(rest, docs, rows, id_col, text_col, n, percent, orders)
+    out = components(links.union(more))
+    dropped(links, more)
+    return out
 
 
 def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT,
@@ -388,6 +435,35 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.when(some, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT,
+          orders: int = ORDERS) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and what the sets stand for.
+
+    Pairs (a, b): ids of two classes of equal sets that link, each pair once.
+    Membership (id, class_id, n_links): the class of every row, named by its
+    smallest id, and how many other classes it links to; rows without words
+    have no class.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = stored(signatures(docs.select("id", *row_key("id", "t"), "t"), "t", n, percent, orders, "s").select("id", "k1", "k2", "s.*"))
+    own = class_prefixes(docs, rows, "id", "t", n, percent)
+    other = own.select("token", *[F.col(c).alias(f"o{c}") for c in ("k1", "k2", "n", "pos")])
+    pairs = (met(own, other, percent).where("k1 < ok1 or (k1 = ok1 and k2 < ok2)")
+             .select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("ok1").alias("b1"), F.col("ok2").alias("b2")).distinct())
+    found = verified(stored(pairs), docs, rows, "id", "t", n, percent, orders)
+    dropped(own)
+    classes = stored(rows.where("n > 0").groupBy("s1", "s2")
+                     .agg(F.min(F.struct("k1", "k2")).alias("k"), F.min("id").alias("class_id")).select("s1", "s2", "k.*", "class_id"))
+    side = lambda k, c: classes.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("class_id").alias(c))
+    named = stored(found.join(side("a", "x"), ["a1", "a2"]).join(side("b", "y"), ["b1", "b2"]))
+    ends = named.select("a1", "a2").union(named.select("b1", "b2")).toDF("k1", "k2").groupBy("k1", "k2").agg(F.count("*").alias("n_links"))
+    of = classes.join(ends, ["k1", "k2"], "left").select("s1", "s2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    member = rows.where("n > 0").join(of, ["s1", "s2"]).select(F.col("id").alias(id_col), "class_id", "n_links")
+    member = member.unionByName(rows.where("n = 0").select(F.col("id").alias(id_col), F.lit(None).cast(docs.schema["id"].dataType).alias("class_id"),
+                                                           F.lit(0).cast("long").alias("n_links")))
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), member
+
+
 def joined(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """id, n_shingles, component_id of every row."""
     return grouped(docs, id_col=id_col, **how).select(

@@ -7,20 +7,27 @@ table.  ``ORACLE_SQL`` has an entry where SQL can say the same.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Tables
 from . import (align, chat, decontam, langid, merkle, mtree, ngram_join, packing, pii, secrets, spelling,
                suffix_dedup, url_filter)
+from .workspace import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
