@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbytes import LOWER, blocks, mix, padded, span_hash, utf8
+from .textbytes import LOWER, blocks, give_back, mix, padded, span_hash, utf8
 from .workspace import stored
 
 SEQ_LEN = 2048
+#: Texts encoded at once; each byte takes some 60 bytes of arrays.
+BLOCK_BYTES = 1 << 18
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -69,7 +71,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 class WordCache:
     """Token ids of the words met so far in this worker, by a hash of the word."""
 
-    LIMIT = 1_500_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -214,7 +216,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         for batch in batches:
             _, offs = utf8(batch.column(1))
             col = batch.column(1)
-            for i, j in blocks(offs):
+            for i, j in blocks(offs, BLOCK_BYTES):
                 texts = [t or "" for t in col.slice(i, j - i).to_pylist()]
                 ids, total = encode_texts(cache, texts)
                 row, piece, start, length, crc = [], [], [], [], []
@@ -233,6 +235,8 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
                     [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["id", "piece", "start", "length", "ids_crc32"])
+        cache.clear()  # the worker is kept for later stages
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {PIECES}")

@@ -7,6 +7,7 @@ arrays stay small whatever the batch size; a block never splits a text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _M1, _M2, _GOLD = (np.uint64(x) for x in
                    (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -42,6 +43,15 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker is kept for the
+    stages that follow, and what it holds then counts beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes, or of one longer row."""
     i, n = 0, len(offs) - 1
@@ -134,6 +144,7 @@ def append(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], pa.Array
             cols = [batch.column(i) for i, f in enumerate(batch.schema) if not (drop_text and f.name == text_col)]
             names = [f.name for f in batch.schema if not (drop_text and f.name == text_col)]
             yield pa.RecordBatch.from_arrays([*cols, fn(batch)], names=[*names, name])
+        give_back()
 
     return df.mapInArrow(run, schema)
 
