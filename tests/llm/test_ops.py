@@ -164,7 +164,7 @@ def test_top_k_equals_brute_force(spark):
     got = sorted(tuple(r) for r in mtree.digest(spark.createDataFrame([(a, b, 1, 1, 1) for a, b in rows], VECS)).collect())
     con = duckdb.connect()
     con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
-    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [r for r in {repr(r): r for r in rows}.values() if r[0] is not None])
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [r for r in rows if r[0] is not None])
     assert got == sorted(con.execute(mtree.SQL).fetchall())
     assert mtree.digest(spark.createDataFrame([], VECS)).collect() == []
 
@@ -179,6 +179,28 @@ def test_top_k_takes_every_vector_of_an_id(spark):
     assert got == sorted(con.execute(mtree.SQL).fetchall())
 
 
+def test_top_k_takes_every_equal_row(spark):
+    rnd = random.Random(13)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    rows += [rows[59]] * 3 + [rows[50]] * 2 + [(70, rows[50][1])] * 5
+    got = sorted(tuple(r) for r in mtree.digest(spark.createDataFrame([(a, b, 1, 1, 1) for a, b in rows], VECS)).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(mtree.SQL).fetchall())
+
+
+def test_top_k_of_large_components(spark):
+    rnd = random.Random(14)
+    rows = [(i, [float(rnd.randint(-2 ** 21, 2 ** 21)) for _ in range(4)]) for i in range(120)]
+    odd = [(1000, [1e9] * 4), (1050, [3e38, 0.0, 0.0, 0.0]), (1001, [-8e6, 8e6, 8e6, 8e6])]
+    got = sorted(tuple(r) for r in mtree.digest(spark.createDataFrame([(a, b, 1, 1, 1) for a, b in rows + odd], VECS)).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(mtree.SQL).fetchall())
+
+
 def test_best_first_skips_pages():
     import numpy as np
     rng = np.random.default_rng(0)
@@ -316,6 +338,46 @@ def test_ngram_join_equals_brute_force(spark):
     assert got == sorted(ngram_join.reference(rows))
 
 
+def test_ngram_links_equal_brute_force(spark):
+    rnd = random.Random(21)
+    base = [[rnd.choice("abcdefghij") + str(rnd.randrange(30)) for _ in range(rnd.choice([3, 12, 40, 90]))] for _ in range(12)]
+    rows = []
+    for i in range(90):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            w[rnd.randrange(len(w))] = "new" + str(rnd.randrange(5))
+        rows.append((i, " ".join(w + ["tail"] * rnd.choice([0, 0, 1, 3]))))
+    rows += [(90, None), (91, ""), (92, "one"), (93, "ONE"), (94, rows[0][1])]
+    pairs, member = ngram_join.links(docs_of(spark, rows))
+    sets = {i: frozenset(tuple(w[k:k + 3]) for k in range(max(1, len(w) - 2))) if (w := (t or "").lower().split()) else None for i, t in rows}
+    of = {i: min(j for j in sets if sets[j] == s) if s else None for i, s in sets.items()}
+    reps = sorted({c for c in of.values() if c is not None})
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    count = {c: sum(c in p for p in want) for c in reps}
+    assert sorted(tuple(r) for r in member.select("doc_id", "class_id", "n_links").fillna(-1, "class_id").collect()) == sorted(
+        (i, -1 if c is None else c, count.get(c, 0)) for i, c in of.items())
+
+
+def test_pairs_of_a_template_grow_with_the_rows(spark):
+    rnd = random.Random(22)
+    template = [f"t{k}" for k in range(32)]
+    formed = []
+    for size in (400, 1600):
+        rows = []
+        for i in range(size):
+            w = list(template)
+            w[rnd.randrange(3, 29)] = f"u{i}"
+            rows.append((i, " ".join(w)))
+        d = docs_of(spark, rows).select("doc_id", "text").toDF("id", "t")
+        r = ngram_join.signatures(d.select("id", *ngram_join.row_key("id", "t"), "t"), "t", 3, 90, 3, "s").select("id", "k1", "k2", "s.*")
+        own = ngram_join.class_prefixes(d, r, "id", "t", 3, 90)
+        other = own.select("token", *[own[c].alias(f"o{c}") for c in ("k1", "k2", "n", "pos")])
+        formed.append(ngram_join.met(own, other, 90).where("k1 < ok1").count())
+    assert formed[1] <= 4 * max(formed[0], 25)
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.joined(docs_of(spark, [])).collect() == []
     rows = [(None, "one two three four"), (5, "one two three four"), (None, "lonely text here now"), (6, "y " * 300_000)]
