@@ -6,7 +6,7 @@ compute the same values as a distributed *scan*:
 
 1. a sketch of the order's key: the key of smallest hash in each of
    ``buckets`` hash slots, sorted.  It depends on the rows alone, not on how
-   they are partitioned, and is a scalar subquery of at most ``buckets`` keys;
+   they are partitioned, and is one row of at most ``buckets`` keys;
 2. a row's bucket is the number of sketched keys up to its own (binary search);
 3. each bucket is aggregated (at most ``buckets`` + 1 rows a group);
 4. an exclusive prefix over the buckets gives each bucket its carry;
@@ -105,10 +105,21 @@ def bucketed(df: DataFrame, order: Sequence[Key | Column | str], out: str = _SLI
     keyed = df.withColumn("_key", _order_key(df, order))
     drawn = keyed.select("_key").groupBy(F.pmod(F.xxhash64("_key"), F.lit(buckets)).alias("_slot")).agg(
         F.min(F.struct(F.xxhash64(F.lit(1), F.col("_key")).alias("h"), F.col("_key").alias("k"))).alias("m"))
-    cuts = drawn.agg(F.array_sort(F.collect_list("m.k"))).scalar()
+    cuts = drawn.agg(F.array_sort(F.collect_list("m.k")).alias("_cuts"))
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
     below = F.aggregate(steps, F.lit(0), lambda acc, s: F.when(F.get(F.col("_cuts"), acc + s - 1) <= F.col("_key"), acc + s).otherwise(acc))
-    return keyed.withColumn("_cuts", cuts).withColumn(out, below).drop("_cuts", "_key")
+    # One row, in the same plan (a scalar subquery would run the input again).
+    return keyed.join(F.broadcast(cuts), how="cross").withColumn(out, below).drop("_cuts", "_key")
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` behind one exchange of whole rows, which its uses share.
+
+    Each use reads other columns; rows packed into one column aren't pruned, so
+    the exchanges are equal, and the plan below runs once for all of them.
+    """
+    rows = df.select(F.array(F.struct(*df.columns)).alias("_row")).repartition("_row")
+    return rows.select(*[F.col("_row")[0][c].alias(c) for c in df.columns])
 
 
 def running(df: DataFrame, order: Sequence[Key | Column | str], value: Column, how: str,
@@ -123,7 +134,7 @@ def running(df: DataFrame, order: Sequence[Key | Column | str], value: Column, h
         raise ValueError(how)
     agg = F.max if how == "max" else F.sum
     groups = list(partition_by)
-    s = bucketed(df.withColumn("_v", value), order, buckets=buckets)
+    s = bucketed(_held(df.withColumn("_v", value)), order, buckets=buckets)
 
     # Per-bucket summaries and the carry from all earlier buckets of the group.
     summary = s.groupBy(_SLICE, *groups).agg(agg("_v").alias("_blk"))
