@@ -1,7 +1,9 @@
 """Operators 2, 3, 4, 6, 8, 9 and 10 against brute force, SQL and edge cases."""
 
 import datetime as dt
+import math
 import random
+import struct
 
 import duckdb
 import pytest
@@ -201,6 +203,23 @@ def test_top_k_of_large_components(spark):
     assert got == sorted(con.execute(mtree.SQL).fetchall())
 
 
+def test_top_k_query_takes_every_finite_vector(spark, tmp_path):
+    rnd = random.Random(15)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(1000, [1e9] * 4), (1001, [-8e6, 8e6, 8e6, 8e6]), (1002, [2e9, -2e9, 1.0, 0.5]), (1050, [1e7, -1e7, 3.0, 0.1]),
+             (1051, [3e38, 0.0, 0.0, 0.0]), (1052, [2e38, 1.0, 0.0, 0.0]), (1053, [-3e38, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 4)]
+    spark.createDataFrame([(a, b, 1, 1, 1) for a, b in rows], VECS).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in queries.QUERIES["op4_mtree"](spark, str(tmp_path)).collect())
+    f32 = lambda x: struct.unpack("f", struct.pack("f", x))[0]
+    v = {i: [math.floor(256 * f32(x)) for x in e] for i, e in rows if e[0] == e[0]}
+    want = []
+    for q in (i for i in v if i % 50 == 0):
+        best = sorted((-sum(x * y for x, y in zip(v[q], v[c])), c) for c in v if c != q)[:5]
+        want += [(q, r + 1, c, min(max(-s, -2 ** 63), 2 ** 63 - 1)) for r, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+    assert {1001, 1002, 1050} <= {c for _, _, c, _ in got}
+
+
 def test_best_first_skips_pages():
     import numpy as np
     rng = np.random.default_rng(0)
