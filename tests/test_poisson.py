@@ -48,3 +48,19 @@ def test_intervals_of_large_counts_equal_sql(spark):
     sql = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes) + " SELECT * FROM ci"
     for g, lo, hi in con.execute(sql).fetchall():
         assert got[g] == pytest.approx((lo, hi), abs=1e-9)
+
+
+def test_sums_of_whole_groups_stay_in_their_task():
+    """A whole group leaves its task as two numbers, and memory is that of a
+    chunk however many groups there are."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({
+        "grp": [f"g{i // 3:05d}" for i in range(6000)] + ["large"] * 5, "score": [i % 7 / 10 for i in range(6005)],
+        "n": [1 + i % 4 for i in range(6005)], "seed": list(range(6005)), "_fan": [1] * 6000 + [2] * 5})
+    out = list(bs._group_sums(100, 0.025, 0.975, chunk=64, block=30)([batch.slice(0, 1000), batch.slice(1000)]))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert max(b.num_rows for b in out) <= 64
+    assert [r["grp"] for r in rows if r["sw"] is None] == [f"g{i:05d}" for i in range(2000)]
+    assert [(r["grp"], r["block"], len(r["sw"])) for r in rows if r["sw"]] == [("large", 0, 240), ("large", 1, 240), ("large", 2, 240), ("large", 3, 80)]
+    alone = list(bs._group_sums(100, 0.025, 0.975)([batch.slice(333, 3)]))[0].to_pylist()[0]
+    assert next(r for r in rows if r["grp"] == alone["grp"]) == alone
