@@ -245,3 +245,18 @@ def test_license_title_case(spark):
     d = spark.createDataFrame([("gemma2b",), ("apache-2.0",), ("mit",), ("cc-by-nc-4.0",), (None,)], "l string")
     got = [r[0] for r in d.select(co.license_text(F.col("l"))).collect()]
     assert got == ["Gemma2B", "Apache 2.0", "Mit", "Cc By Nc 4.0", None]
+
+
+def test_worklist_asks_all_tasks_and_languages_of_the_log(spark):
+    """The pairs come from the whole log, and every model of the cohort is asked all of them."""
+    from lingualens.plans import registry
+    from lingualens.plans.context import Ctx
+    small = "/root/testdata/sf0.001"
+    pairs = {tuple(r) for r in Ctx(spark, small).log.select("task", "bcp_47").distinct().collect()}
+    queries = registry.queries()
+    assert {tuple(r) for r in queries["valid_task_languages"](spark, small).select("task", "bcp_47").collect()} == pairs
+    cover = queries["coverage"](spark, small).collect()
+    assert cover and all(r.expected == 10 * len(pairs) for r in cover)
+    pending = {r.model: r.pending for r in queries["pending_counts"](spark, small).collect()}
+    assert pending == {r.model: r.pending for r in cover if r.pending}
+    assert queries["worklist_pending"](spark, small).count() == sum(pending.values())
