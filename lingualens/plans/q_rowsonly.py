@@ -23,6 +23,8 @@ from .q_stats import long_ci_ctes
 from .registry import query
 
 
+#: Micro-batches of the streaming merge.
+ARRIVALS = 3
 _SEL = ", ".join(f"'{c}'" for c in SELECTED)
 _HEALTH_SQL = """
 SELECT model, count(*) AS total, count(*) FILTER (WHERE status IS DISTINCT FROM 'ok') AS failed,
@@ -135,15 +137,17 @@ def dashboard_payload(ctx):
 
 
 def _merged(ctx, **how):
-    """Run the streaming merge over three arrivals; the tables' folder."""
+    """Run the streaming merge over ``ARRIVALS`` micro-batches, however many
+    files the log arrives in; the tables' folder."""
     base = _scratch(ctx, "stream")
-    src = ctx.log.withColumn("arrival", (F.col("tie1") % 3).cast("int"))
+    src = ctx.log.withColumn("arrival", (F.col("tie1") % ARRIVALS).cast("int"))
     src.write.mode("overwrite").partitionBy("arrival").parquet(f"{base}/incoming")
-    schema = ctx.spark.read.parquet(f"{base}/incoming").schema
+    incoming = ctx.spark.read.parquet(f"{base}/incoming")
+    schema, files = incoming.schema, len(incoming.inputFiles())
     cohort, languages = _small(ctx, ctx.cohort, base, "cohort"), _small(ctx, ctx.languages, base, "languages")
     expected = _small(ctx, ctx.expected, base, "expected")
     q = inc.start_log_merge(ctx.spark, f"{base}/incoming", schema, f"{base}/merged", f"{base}/ckpt_log", cohort, languages,
-                            files_per_batch=8, expected=expected, n_slots=COVER_SLOTS,
+                            files_per_batch=-(-files // ARRIVALS) or None, expected=expected, n_slots=COVER_SLOTS,
                             min_attempts=PUBLISH_MIN_ATTEMPTS, fail_pct=PUBLISH_FAIL_PCT, **how)
     q.awaitTermination()
     return f"{base}/merged"

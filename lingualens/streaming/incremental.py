@@ -138,12 +138,17 @@ def merge_batch(spark: SparkSession, batch: DataFrame, number: int, base: str, c
     state["log"] = _replaced(buckets, hit, new)
 
     def refresh(table: str, keys: DataFrame, on: list[str], fresh: DataFrame) -> DataFrame:
-        """Replace the rows of ``keys`` by ``fresh`` ones."""
+        """Replace the rows of ``keys`` by ``fresh`` ones, which are made once."""
+        scratch = f"{base}/tables/{table}/s-{uuid.uuid4().hex}"
+        fresh.write.parquet(scratch)
+        fresh = spark.read.schema(fresh.schema).parquet(scratch)
         buckets, at, hit, old = touched_rows(keys, table)
         kept = _read(spark, base, old, fresh.schema).join(keys, on, "left_anti")
         rows = with_bucket(kept.unionByName(fresh), table, [(d, e, "") for d, e in hit] or [(0, 0, "")])
         new, out = _write(_split(rows, table, max_rows), base, table)
         state[table] = _replaced(buckets, hit, new)
+        fs, p = mf._fs(spark, scratch)
+        fs.delete(p, True)  # ``out`` reads the buckets
         return out
 
     # Cube: the cells with rows in the batch, counted anew from the merged log.

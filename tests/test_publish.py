@@ -188,3 +188,19 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path, parts):
     for table in ("log", "cube"):
         kept = set(before.paths[table]) & set(after.paths[table])
         assert len(kept) >= len(before.paths[table]) - 1 > 1
+
+
+def test_merge_takes_three_batches_however_many_files(spark, tmp_path, monkeypatch):
+    """The log's files grow with the log; each batch rewrites what it touches."""
+    from lingualens.plans import q_rowsonly
+    from lingualens.plans.context import Ctx
+    from lingualens.sources import manifest
+    seen = []
+    merge = q_rowsonly.inc.merge_batch
+    monkeypatch.setattr(q_rowsonly.inc, "merge_batch", lambda s, b, n, *a, **k: (seen.append(n), merge(s, b, n, *a, **k))[1])
+    ctx = Ctx(spark, "/root/testdata/sf0.001")
+    ctx.log = ctx.log.repartition(16)
+    base = q_rowsonly._merged(ctx)
+    assert seen == [0, 1, 2]
+    got = manifest.load(spark, base, "log", ctx.detailed.schema)
+    assert got.count() == ctx.detailed.count() and got.exceptAll(ctx.detailed).count() == 0
