@@ -127,3 +127,15 @@ def test_a_long_text_is_scored_in_pieces(spark):
     d = spark.createDataFrame([(1, h, h[:700_000] + "zz" + h[700_000:]), (2, "ab", "ab")], "id int, h string, r string")
     out = {r.id: r.chrf for r in scoring.chrf_scores(d, ["id"], "h", "r").collect()}
     assert out[2] == pytest.approx(1.0) and 0.9999 < out[1] < 1.0
+
+
+def test_ngrams_are_counted_where_the_pair_is(spark):
+    """No n-gram is a row: nothing is shuffled, grouped or exploded for a score."""
+    rows = [(i, None if i % 7 == 0 else "a bé 😀 c " * (i % 5), "bé 😀 a " * (i % 4)) for i in range(40)]
+    d = spark.createDataFrame(rows, "id int, h string, r string")
+    for score, brute in ((scoring.chrf_scores, py_chrf), (scoring.bleu_scores, py_bleu)):
+        out = score(d, ["id"], "h", "r")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Aggregate", "Generate"))
+        for r in out.collect():
+            assert r[1] == pytest.approx(brute(*rows[r.id][1:]), abs=1e-12)
