@@ -211,7 +211,8 @@ def published_set(ctx):
         def change(held, part=part):
             new = keep_last(mf.load(ctx.spark, base, "results-detailed", rows.schema, held).unionByName(rows.where(F.col("tie1") % 3 == part)))
             new = new.select(rows.columns)
-            board = published_aggregate(new, cohort, languages, PUBLISH_MIN_ATTEMPTS, PUBLISH_FAIL_PCT, expected=expected, n_slots=COVER_SLOTS)
+            board = lambda log: published_aggregate(
+                log, cohort, languages, PUBLISH_MIN_ATTEMPTS, PUBLISH_FAIL_PCT, expected=expected, n_slots=COVER_SLOTS)
             return {"results-detailed": new, "results": board, "models": models, "languages": languages}
         mf.updated(ctx.spark, base, change)
     return mf.load(ctx.spark, base, "results", ctx.results.schema)

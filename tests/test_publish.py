@@ -204,3 +204,15 @@ def test_merge_takes_three_batches_however_many_files(spark, tmp_path, monkeypat
     assert seen == [0, 1, 2]
     got = manifest.load(spark, base, "log", ctx.detailed.schema)
     assert got.count() == ctx.detailed.count() and got.exceptAll(ctx.detailed).count() == 0
+
+
+def test_a_table_is_made_from_the_version_just_written(spark, tmp_path):
+    """The log isn't merged a second time for its aggregate."""
+    base, plans = str(tmp_path / "set"), []
+
+    def board(log):
+        plans.append(log.inputFiles())
+        return log.selectExpr("count(*) AS n")
+    mf.publish({"log": numbers(spark, 3), "results": board}, base, mf.current(spark, base))
+    assert all("/tables/log/v-" in f for f in plans[0]) and plans[0]
+    assert mf.load(spark, base, "results", "n long").first().n == 3
