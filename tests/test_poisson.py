@@ -64,3 +64,45 @@ def test_sums_of_whole_groups_stay_in_their_task():
     assert [(r["grp"], r["block"], len(r["sw"])) for r in rows if r["sw"]] == [("large", 0, 240), ("large", 1, 240), ("large", 2, 240), ("large", 3, 80)]
     alone = list(bs._group_sums(100, 0.025, 0.975)([batch.slice(333, 3)]))[0].to_pylist()[0]
     assert next(r for r in rows if r["grp"] == alone["grp"]) == alone
+
+
+def test_weights_by_table_are_the_exact_quantile():
+    """Looked-up weights equal a search of the whole CDF, at its steps too."""
+    rng = np.random.default_rng(5)
+    counts = np.r_[1:40, rng.integers(1, 3000, 40), bs.EXPANDED_FROM - 1, bs.EXPANDED_FROM, 1, 1]
+    seeds = rng.integers(0, 2 ** 32, len(counts))
+    w, tables = bs._weights(counts, seeds, 500), {}
+    u = bs._uniforms(bs._hashes(seeds, 500))
+    for i, c in enumerate(counts):
+        if c < bs.EXPANDED_FROM:
+            lo, cdf = bs.poisson_cdf(int(c))
+            assert (w[i] == lo + np.searchsorted(cdf, u[i])).all()
+    assert (bs._weights(counts, seeds, 500, tables) == w).all() and (bs._weights(counts[:9], seeds[:9], 500, tables) == w[:9]).all()
+    for c in (1, 7, 400):
+        lo, first, guide = bs._drawn(c)
+        _, cdf = bs.poisson_cdf(c)
+        h = np.unique(np.clip(np.r_[first - 1, first, first + 1], 0, 2 ** 32 - 1))
+        assert (np.searchsorted(first, h, "right") == np.searchsorted(cdf, (h + 0.5) / 2 ** 32)).all()
+
+
+def test_percentiles_equal_numpy():
+    rng = np.random.default_rng(6)
+    sw, swx = rng.integers(0, 2, (20, 101)).astype(float), rng.random((20, 101))
+    sw[0], sw[1] = 0, 1
+    sw[2, 1:] = 0
+    lo, hi = bs._bounds(sw, swx, 0.025, 0.975)
+    for i in range(20):
+        means = (swx[i] / np.where(sw[i] > 0, sw[i], np.nan))[sw[i] > 0]
+        assert (lo[i], hi[i]) == (tuple(np.quantile(means, (0.025, 0.975))) if len(means) else (None, None))
+
+
+def test_samples_are_counted_once(spark):
+    """The histogram and its groups' sizes share one exchange."""
+    d = spark.range(1000).selectExpr("concat('g', id % 7) AS g", "id % 5 / 4.0D AS score")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [bs.poisson_bootstrap_ci(x, "g")._jdf.queryExecution().executedPlan().toString()
+                 for x in (d, d.withColumn("n", d.score.cast("long") + 1))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert all("ReusedExchange" in p for p in plans)

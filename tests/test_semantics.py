@@ -260,3 +260,17 @@ def test_worklist_asks_all_tasks_and_languages_of_the_log(spark):
     pending = {r.model: r.pending for r in queries["pending_counts"](spark, small).collect()}
     assert pending == {r.model: r.pending for r in cover if r.pending}
     assert queries["worklist_pending"](spark, small).count() == sum(pending.values())
+
+
+def test_readers_of_the_cube_take_their_columns_only(spark):
+    """The cube is made once, as files by column: intervals don't read the
+    rows that the origins come from, and cells lie together."""
+    from lingualens.operators import bootstrap as bs
+    from lingualens.plans.context import Ctx
+    ctx = Ctx(spark, "/root/testdata/sf0.001")
+    assert ctx.cube.inputFiles() and ctx.cube_cells.inputFiles()
+    plan = bs.metric_intervals(ctx.cube, "model")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "first:struct" not in plan
+    assert ctx.cube.where("score IS NULL OR n < 1").count() == 0
+    placed = ctx.cube.select("model", "bcp_47", "task", "metric", F.input_file_name().alias("file")).distinct()
+    assert placed.count() == ctx.cube_cells.count() > 0
