@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.joins import bounded
 from ..functions.ordered import desc, global_rank
 from .bootstrap import metric_intervals, wide_intervals
 
@@ -158,12 +159,13 @@ def language_table(results: DataFrame, detailed: DataFrame, languages: DataFrame
 
 def select_languages(df: DataFrame, selected: DataFrame | None) -> DataFrame:
     """Keep rows of the selected languages; no selection, or an empty one,
-    keeps everything (H12).  Spark broadcasts the selection if it is small."""
+    keeps everything (H12).  The selection is a request's, at most the list of
+    languages: broadcast, so rows aren't dealt by their few languages."""
     if selected is None:
         return df
     chosen = selected.select(F.col("bcp_47").alias("_selected")).distinct()
     n = chosen.agg(F.count(F.lit(1))).scalar()
-    return (df.join(chosen, F.col("bcp_47") == F.col("_selected"), "left")
+    return (df.join(bounded(chosen, K.N_LANGUAGES), F.col("bcp_47") == F.col("_selected"), "left")
             .where(F.col("_selected").isNotNull() | (n == 0)).drop("_selected"))
 
 

@@ -106,3 +106,14 @@ def test_samples_are_counted_once(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert all("ReusedExchange" in p for p in plans)
+
+
+def test_weights_are_drawn_in_blocks(monkeypatch):
+    """However many bins come at once, their hashes are made ``DRAWN_AT_ONCE`` bins at a time; the weights are the same."""
+    rng = np.random.default_rng(8)
+    counts, seeds = np.r_[rng.integers(1, 200, 300), bs.EXPANDED_FROM], rng.integers(0, 2 ** 32, 301)
+    alone = np.concatenate([bs._weights(counts[i:i + 1], seeds[i:i + 1], 70) for i in range(301)])
+    made, hashes = [], bs._hashes
+    monkeypatch.setattr(bs, "_hashes", lambda s, replicates: made.append(len(s)) or hashes(s, replicates))
+    assert (bs._weights(counts, seeds, 70) == alone).all()
+    assert max(made) <= bs.DRAWN_AT_ONCE and sum(made) == 301

@@ -274,3 +274,14 @@ def test_readers_of_the_cube_take_their_columns_only(spark):
     assert ctx.cube.where("score IS NULL OR n < 1").count() == 0
     placed = ctx.cube.select("model", "bcp_47", "task", "metric", F.input_file_name().alias("file")).distinct()
     assert placed.count() == ctx.cube_cells.count() > 0
+
+
+def test_selection_is_sent_to_the_rows(spark):
+    """Rows aren't dealt by their few languages to meet a selection, however it is given."""
+    from lingualens.operators import leaderboard as lb
+    rows = spark.range(50).selectExpr("concat('l', id % 5) AS bcp_47", "id")
+    sel = spark.createDataFrame([("l1",), ("l3",), ("l3",), (None,)], "bcp_47 string")
+    chosen = lb.select_languages(rows, sel)
+    assert sorted(r.id for r in chosen.collect()) == [i for i in range(50) if i % 5 in (1, 3)]
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(bcp_47" not in plan
