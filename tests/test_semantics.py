@@ -262,6 +262,16 @@ def test_worklist_asks_all_tasks_and_languages_of_the_log(spark):
     assert queries["worklist_pending"](spark, small).count() == sum(pending.values())
 
 
+def test_pending_work_of_every_model(spark):
+    """The worklist has no cap on models."""
+    from lingualens.plans import registry
+    from lingualens.plans.context import Ctx
+    medium = "/root/testdata/sf0.01"
+    models = {r.id for r in Ctx(spark, medium).models.select("id").collect()}
+    pending = registry.queries()["worklist_pending"](spark, medium)
+    assert len(models) > K.N_MODELS and {r.model for r in pending.select("model").distinct().collect()} == models
+
+
 def test_readers_of_the_cube_take_their_columns_only(spark):
     """The cube is made once, as files by column: intervals don't read the
     rows that the origins come from, and cells lie together."""
