@@ -9,10 +9,12 @@ Log, cube (counts per cell and score), published aggregate and, if asked for,
 bootstrap intervals are kept in buckets that split as they grow (extendible
 hashing): a bucket is the rows whose hash ends in certain bits, and one of more
 than ``max_rows`` rows becomes two, four, ... the next time that it is written.
-The log is hashed by cell (model, language, task, metric), so a model of any
-size lies in many buckets; the others are hashed by model, because the publish
-guard and the intervals look at whole models, which have a row for each of
-their languages, metrics and different scores at most.
+Log and cube are hashed by cell (model, language, task, metric), so a model of
+any size lies in many buckets, and a bucket of the cube counts the bucket of
+the log with the same hashes: both are made where its rows are merged.  The
+others are hashed by model, because the publish guard and the intervals look at
+whole models, which have a row for each of their languages, metrics and
+different scores at most.
 
 Intervals (H14, H15) are redone from the cube for the models that a batch
 touches, never from the log; the others' stay.
@@ -27,25 +29,40 @@ its commit left nothing that anyone reads.
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.health import not_ok
 from ..operators.bootstrap import metric_intervals
-from ..operators.log import CELL, cells_of, guarded_cells, keep_last, score_cube
+from ..operators.log import CELL, cells_of, guarded_cells, keep_last, log_and_cube, score_cube
 from ..sources import manifest as mf
 
 MAX_ROWS = 5_000_000
 #: Bits of a hash that tell buckets apart.
 MAX_DEPTH = 24
-TABLES = {"log": CELL, "cube": ["model"], "results": ["model"], "intervals": ["model"]}
+TABLES = {"log": CELL, "cube": CELL, "results": ["model"], "intervals": ["model"]}
+#: How rows are dealt to buckets; a set that was dealt otherwise is dealt anew.
+LAYOUT = "murmur3"
+#: Rows that a task merges, at most twice as many as it has on average.
+TASK_ROWS = 250_000
+#: So many models are looked for in the cube's files instead of joined.
+FEW_MODELS = 1000
 
 
 def _hash(key: list[str]) -> Column:
-    return F.xxhash64(*key).bitwiseAND(F.lit((1 << MAX_DEPTH) - 1))
+    """The hash by which Spark deals rows: a task of a power of two of them
+    has the rows of one bucket, or of buckets of its own."""
+    return F.hash(*key).bitwiseAND(F.lit((1 << MAX_DEPTH) - 1))
+
+
+def _tasks(rows: int) -> int:
+    return 1 << max(0, math.ceil(math.log2(max(rows, 1) / TASK_ROWS)))
 
 
 def buckets_of(state: dict, table: str) -> list[tuple[int, int, str]]:
@@ -53,45 +70,49 @@ def buckets_of(state: dict, table: str) -> list[tuple[int, int, str]]:
     return [tuple(b) for b in state.get(table, [])] or [(0, 0, "")]
 
 
-def with_bucket(df: DataFrame, table: str, buckets: list[tuple[int, int, str]]) -> DataFrame:
-    """``df`` with the (depth, end) of the bucket of each row.
+def _pair(bucket: int) -> tuple[int, int]:
+    """(depth, end) of a bucket's number."""
+    return bucket >> MAX_DEPTH, bucket & ((1 << MAX_DEPTH) - 1)
 
-    A row asks for its hash's end at each depth in use (few numbers), and
-    exactly one of these is a bucket.
-    """
-    spark = df.sparkSession
-    known = spark.createDataFrame([(d, e) for d, e, _ in buckets], "depth int, end long")
-    depths = sorted({d for d, _, _ in buckets})
-    asked = F.array(*[F.struct(F.lit(d).alias("depth"), _hash(TABLES[table]).bitwiseAND(F.lit((1 << d) - 1)).alias("end")) for d in depths])
-    return df.withColumn("_b", F.explode(asked)).select("*", "_b.*").drop("_b").join(known, ["depth", "end"])
-
-
-def _split(df: DataFrame, table: str, max_rows: int) -> DataFrame:
-    """Rows (depth, end) re-dealt: a bucket of more than ``max_rows`` rows
-    goes as many bits deeper as its rows ask for."""
-    size = df.groupBy("depth", "end").agg(F.count("*").alias("_n"))
-    deeper = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / max_rows))).cast("int")
-    size = size.select("depth", "end", F.least(F.col("depth") + deeper, F.lit(MAX_DEPTH)).alias("_to"))
-    mask = F.expr("shiftleft(1L, _to) - 1")
-    return (df.join(size, ["depth", "end"]).withColumn("end", _hash(TABLES[table]).bitwiseAND(mask))
-            .drop("depth").withColumnRenamed("_to", "depth"))
-
-
-def _read(spark: SparkSession, base: str, buckets: list[tuple[int, int, str]], schema) -> DataFrame:
-    paths = [f"{base}/{p}" for _, _, p in buckets if p]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def _write(df: DataFrame, base: str, table: str) -> tuple[list[tuple[int, int, str]], DataFrame]:
-    """Write rows with (depth, end) as new buckets; the buckets and the rows read again."""
-    spark, path = df.sparkSession, f"tables/{table}/v-{uuid.uuid4().hex}"
-    dealt = df.repartition("depth", "end").withColumn("bucket", F.concat_ws("-", "depth", "end")).drop("depth", "end")
-    dealt.write.partitionBy("bucket").parquet(f"{base}/{path}")
-    schema = StructType([f for f in df.schema.fields if f.name not in ("depth", "end")])
+
+def with_bucket(df: DataFrame, table: str, buckets: Iterable[tuple[int, int]]) -> DataFrame:
+    """``df`` with the number of the bucket of each row: its hash's end is a
+    bucket's at exactly one of the depths in use (few numbers)."""
+    ends = {}
+    for d, e in sorted(buckets):
+        ends.setdefault(d, []).append(e)
+    found = []
+    for d, known in ends.items():
+        end = _hash(TABLES[table]).bitwiseAND(F.lit((1 << d) - 1))
+        number = end.cast("long") + F.lit(d << MAX_DEPTH).cast("long")
+        found.append(number if len(known) == 1 << d else F.when(end.isin(known), number))
+    return df.withColumn("bucket", F.coalesce(*found))
+
+
+def _sizes(df: DataFrame, table: str, buckets: Iterable[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """Rows in each bucket (at most as many as there are buckets)."""
+    return {_pair(r.bucket): r.n for r in with_bucket(df, table, buckets).groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+
+
+def _split(sizes: dict[tuple[int, int], int], max_rows: int) -> list[tuple[int, int]]:
+    """Buckets of more than ``max_rows`` rows go as many bits deeper as their
+    rows ask for."""
+    out = []
+    for (d, e), n in sizes.items():
+        deeper = min(d + max(0, math.ceil(math.log2(n / max_rows))), MAX_DEPTH)
+        out += [(deeper, y) for y in range(e, 1 << deeper, 1 << d)]
+    return out
+
+
+def _read(spark: SparkSession, base: str, paths: list[str], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{base}/{p}" for p in paths]) if paths else spark.createDataFrame([], schema)
+
+
+def _written(spark: SparkSession, base: str, path: str) -> list[tuple[int, int, str]]:
+    """The buckets in a folder."""
     fs, p = mf._fs(spark, f"{base}/{path}")
-    found = [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")]
-    new = [(*map(int, n.removeprefix("bucket=").split("-")), f"{path}/{n}") for n in found]
-    return new, _read(spark, base, new, schema)
+    found = [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")] if fs.exists(p) else []
+    return [(*_pair(int(n.removeprefix("bucket="))), f"{path}/{n}") for n in found]
 
 
 def _replaced(old: list[tuple[int, int, str]], touched: set[tuple[int, int]], new: list[tuple[int, int, str]]) -> list:
@@ -106,10 +127,6 @@ def _replaced(old: list[tuple[int, int, str]], touched: set[tuple[int, int]], ne
     return sorted([*out, *new])
 
 
-def _pairs(df: DataFrame) -> set[tuple[int, int]]:
-    return {(r.depth, r.end) for r in df.select("depth", "end").distinct().collect()}  # at most as many as buckets
-
-
 def merge_batch(spark: SparkSession, batch: DataFrame, number: int, base: str, cohort: DataFrame, languages: DataFrame,
                 max_rows: int = MAX_ROWS, n_slots: int = 1, intervals: dict | None = None, **guard) -> mf.Manifest:
     """Keep-last merge of one batch into the log, and refresh of the cube, the
@@ -121,46 +138,77 @@ def merge_batch(spark: SparkSession, batch: DataFrame, number: int, base: str, c
     held = mf.current(spark, base)
     if held.state.get("batch", -1) >= number:
         return held  # a replay
-    state = {"batch": number}
-
-    def touched_rows(rows: DataFrame, table: str):
-        """Buckets that ``rows`` fall into, and what these hold now."""
-        buckets = buckets_of(held.state, table)
-        at = with_bucket(rows, table, buckets)
-        hit = _pairs(at)
-        return buckets, at, hit, [b for b in buckets if b[:2] in hit]
-
-    # Log: the touched buckets, merged.
+    state = {"batch": number, "layout": LAYOUT}
+    ours = held.state.get("layout") == LAYOUT
     schema = batch.schema
-    buckets, at, hit, old = touched_rows(batch, "log")
-    merged = keep_last(_read(spark, base, old, schema).unionByName(batch)).select(schema.names)
-    new, merged = _write(_split(with_bucket(merged, "log", [(d, e, "") for d, e in hit] or [(0, 0, "")]), "log", max_rows), base, "log")
-    state["log"] = _replaced(buckets, hit, new)
-
-    def refresh(table: str, keys: DataFrame, on: list[str], fresh: DataFrame) -> DataFrame:
-        """Replace the rows of ``keys`` by ``fresh`` ones, which are made once."""
-        scratch = f"{base}/tables/{table}/s-{uuid.uuid4().hex}"
-        fresh.write.parquet(scratch)
-        fresh = spark.read.schema(fresh.schema).parquet(scratch)
-        buckets, at, hit, old = touched_rows(keys, table)
-        kept = _read(spark, base, old, fresh.schema).join(keys, on, "left_anti")
-        rows = with_bucket(kept.unionByName(fresh), table, [(d, e, "") for d, e in hit] or [(0, 0, "")])
-        new, out = _write(_split(rows, table, max_rows), base, table)
-        state[table] = _replaced(buckets, hit, new)
-        fs, p = mf._fs(spark, scratch)
-        fs.delete(p, True)  # ``out`` reads the buckets
-        return out
-
-    # Cube: the cells with rows in the batch, counted anew from the merged log.
-    changed = batch.select(*CELL).distinct()
-    models = changed.select("model").distinct()
-    cube = refresh("cube", changed, CELL, score_cube(merged.join(changed, CELL, "left_semi"), n_slots=n_slots))
-    cube = cube.join(models, "model", "left_semi")
-    # Aggregate and intervals: the touched models, whole.
-    board = guarded_cells(cells_of(cube), cohort, languages, n_slots=n_slots, **guard)
-    refresh("results", models, ["model"], board.where("published").select(*CELL, "score", "origin"))
+    standing = {t: buckets_of(held.state, t) if ours else [(0, 0, "")] for t in TABLES}
+
+    def rows_of(table: str, hit: set[tuple[int, int]]) -> list[str]:
+        """Where the rows of the touched buckets are; of another layout, all."""
+        return [p for d, e, p in buckets_of(held.state, table) if p and (not ours or (d, e) in hit)]
+
+    # The models and buckets that the batch touches.
+    scratch = f"{base}/tables/models/s-{uuid.uuid4().hex}"
+    (with_bucket(batch, "log", [b[:2] for b in standing["log"]]).groupBy("bucket", "model").agg(F.count("*").alias("n"))
+     .write.parquet(f"{scratch}/seen"))
+    seen = spark.read.schema("bucket long, model string, n long").parquet(f"{scratch}/seen")
+    by_bucket = seen.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    if not by_bucket:
+        return mf.commit(spark, base, held, held.paths, held.state | {"batch": number})
+    hit = {_pair(r.bucket) for r in by_bucket} if ours else {(0, 0)}
+    sizes = {_pair(r.bucket): r.n for r in by_bucket}
+    if max(r.most for r in by_bucket) > TASK_ROWS:
+        # Maybe many copies of a key: combined map-side, they aren't one task's.
+        keep_last(batch).select(schema.names).write.parquet(f"{scratch}/batch")
+        batch = spark.read.schema(schema).parquet(f"{scratch}/batch")
+        sizes = _sizes(batch, "log", hit)
+
+    # Log and cube: the touched buckets, dealt by cell once.  A cell is whole
+    # in its task, which merges its rows, counts them and writes both tables.
+    rows = batch
+    if old := rows_of("log", hit):
+        old = _read(spark, base, old, schema)
+        for r in old.groupBy("_metadata.file_path").count().collect():  # as many as files; from their footers
+            pair = _pair(int(r.file_path.split("/bucket=")[1].split("/")[0])) if ours else (0, 0)
+            sizes[pair] = sizes.get(pair, 0) + r["count"]
+        rows = rows.unionByName(old)
+    # Copies count here: a bucket may be split somewhat early.
+    buckets = _split(sizes, max_rows)
+    merged = keep_last(rows.repartition(_tasks(sum(sizes.values())), *CELL)).select(schema.names)
+    both, path = log_and_cube(merged, n_slots=n_slots), f"tables/log/v-{uuid.uuid4().hex}"
+    with_bucket(both, "log", buckets).write.partitionBy("kind", "bucket").parquet(f"{base}/{path}")
+    for table in ("log", "cube"):
+        state[table] = _replaced(standing[table], hit, _written(spark, base, f"{path}/kind={table}"))
+
+    # Aggregate and intervals: the touched models, whole, from the cube.
+    models = seen.select("model").distinct()
+    cube = _read(spark, base, [p for _, _, p in state["cube"] if p], score_cube(merged, n_slots=n_slots).schema)
+    tasks = max(_tasks(cube.count()), 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    few = [r.model for r in models.limit(FEW_MODELS + 1).collect()]
+    cube = cube.where(F.col("model").isin(few)) if len(few) <= FEW_MODELS else cube.join(models, "model", "left_semi")
+
+    def refresh(table: str, fresh: DataFrame) -> None:
+        """Replace the rows of ``models`` by ``fresh`` ones, which are made once."""
+        hit = set(_sizes(models, table, [b[:2] for b in standing[table]])) if ours else {(0, 0)}
+        rows = fresh
+        if old := rows_of(table, hit):
+            old = _read(spark, base, old, fresh.schema).repartition(tasks, "model")
+            rows = fresh.unionByName(old.join(models, "model", "left_anti"))
+        rows = rows.persist(StorageLevel.DISK_ONLY)
+        try:
+            buckets, path = _split(_sizes(rows, table, hit), max_rows), f"tables/{table}/v-{uuid.uuid4().hex}"
+            if buckets:
+                with_bucket(rows, table, buckets).write.partitionBy("bucket").parquet(f"{base}/{path}")
+            state[table] = _replaced(standing[table], hit, _written(spark, base, path))
+        finally:
+            rows.unpersist()
+
+    board = guarded_cells(cells_of(cube.repartition(tasks, "model")), cohort, languages, n_slots=n_slots, by_model=True, **guard)
+    refresh("results", board.where("published").select(*CELL, "score", "origin"))
     if intervals is not None:
-        refresh("intervals", models, ["model"], metric_intervals(cube, "model", **intervals))
+        refresh("intervals", metric_intervals(cube, "model", **intervals).repartition(tasks, "model"))
+    fs, p = mf._fs(spark, scratch)
+    fs.delete(p, True)
 
     paths = {t: [p for _, _, p in state[t] if p] for t in TABLES if t in state}
     return mf.commit(spark, base, held, paths, state)

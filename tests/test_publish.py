@@ -206,6 +206,66 @@ def test_merge_takes_three_batches_however_many_files(spark, tmp_path, monkeypat
     assert got.count() == ctx.detailed.count() and got.exceptAll(ctx.detailed).count() == 0
 
 
+def test_a_bucket_is_merged_and_written_by_several_tasks(spark, tmp_path, parts, monkeypatch):
+    """A task's work doesn't grow with the bucket, and the log isn't dealt again for the cube."""
+    import os
+    monkeypatch.setattr(inc, "TASK_ROWS", 100, raising=False)
+    arrivals, log, cohort, languages, expected = parts
+    base = str(tmp_path)
+    how = dict(expected=expected, **GUARD)
+    inc.merge_batch(spark, arrivals[0], 0, base, cohort, languages, **how)
+    inc.merge_batch(spark, arrivals[1], 1, base, cohort, languages, **how)
+    assert state(spark, base, parts, 2) == (True, True)
+    held = mf.current(spark, base)
+    for table in ("log", "cube"):
+        assert len(held.paths[table]) == 1
+        assert len([f for f in os.listdir(f"{base}/{held.paths[table][0]}") if f.endswith(".parquet")]) > 8
+    cells = [{tuple(r) for r in spark.read.parquet(f"{base}/{held.paths[t][0]}").select(*inc.CELL).distinct().collect()} for t in ("log", "cube")]
+    assert cells[0] == cells[1]
+
+
+def test_a_set_of_another_layout_is_dealt_anew(spark, tmp_path, parts):
+    arrivals, log, cohort, languages, expected = parts
+    base = str(tmp_path)
+    how = dict(max_rows=300, expected=expected, **GUARD)
+    first = inc.merge_batch(spark, arrivals[0], 0, base, cohort, languages, **how)
+    other = {"batch": 0}  # its buckets aren't where this layout's hashes look for them
+    for t in ("log", "cube", "results"):
+        paths = [b[2] for b in first.state[t]]
+        other[t] = [[d, e, p] for (d, e, _), p in zip(first.state[t], [*paths[1:], paths[0]])]
+    mf.commit(spark, base, first, first.paths, other)
+    inc.merge_batch(spark, arrivals[1], 1, base, cohort, languages, **how)
+    assert state(spark, base, parts, 2) == (True, True)
+
+
+def test_many_copies_of_a_key_are_combined_first(spark, tmp_path, parts, monkeypatch):
+    arrivals, log, cohort, languages, expected = parts
+    base, combined = str(tmp_path), []
+    monkeypatch.setattr(inc, "TASK_ROWS", 500)
+    merge = inc.keep_last
+    monkeypatch.setattr(inc, "keep_last", lambda df: (combined.append(1), merge(df))[1])
+    one = arrivals[0].orderBy("tie1", "tie2").limit(1)
+    copies = one.crossJoin(spark.range(600)).withColumn("tie3", F.col("tie3") + F.col("id")).drop("id")
+    rows = arrivals[0].where("model = 'm2'").unionByName(copies)
+    inc.merge_batch(spark, rows, 0, base, cohort, languages, expected=expected, **GUARD)
+    assert len(combined) == 2
+    assert same(mf.load(spark, base, "log", log.schema), merge(rows))
+
+
+def test_log_and_cube_from_one_pass(spark):
+    from lingualens.operators.log import LOG_KEY, log_and_cube, score_cube
+    names = [*LOG_KEY, "score", "origin", "status", "logged_at", "tie1", "tie2", "tie3"]
+    rows = [("m", "a", "t", "x", nr, score, origin, status, day, 1, 1, 1.0) for nr, score, origin, status, day in [
+        (1, 0.0, "human", "ok", 3), (2, -0.0, "machine", None, 2), (3, None, "human", "error", 1), (None, None, "human", "ok", 1),
+        (4, float("nan"), "human", "ok", 5), (5, 0.5, None, "ok", 4)]]
+    log = spark.createDataFrame(rows, "model string, bcp_47 string, task string, metric string, sentence_nr int, score double, "
+                                      "origin string, status string, logged_at int, tie1 int, tie2 int, tie3 double").select(names)
+    both, cube = log_and_cube(log, n_slots=5), score_cube(log, n_slots=5)
+    shown = lambda d: sorted(repr(r) for r in d.collect())
+    assert shown(both.where("kind = 'log'").select(names)) == shown(log)
+    assert shown(both.where("kind = 'cube'").select(cube.columns)) == shown(cube)
+
+
 def test_a_table_is_made_from_the_version_just_written(spark, tmp_path):
     """The log isn't merged a second time for its aggregate."""
     base, plans = str(tmp_path / "set"), []
