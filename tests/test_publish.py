@@ -178,6 +178,16 @@ def test_intervals_follow_every_batch(spark, tmp_path, parts):
             assert same(got.where("model != 'm2'"), kept)
 
 
+def test_intervals_are_written_by_several_tasks(spark, tmp_path, parts):
+    """A bucket of intervals isn't one task's; its files have models of their own."""
+    arrivals, log, cohort, languages, expected = parts
+    base = str(tmp_path)
+    held = inc.merge_batch(spark, arrivals[0], 0, base, cohort, languages, expected=expected, intervals={"replicates": 20}, **GUARD)
+    assert len(held.paths["intervals"]) == 1
+    rows = spark.read.parquet(f"{base}/{held.paths['intervals'][0]}").select("model", F.input_file_name().alias("file")).distinct().collect()
+    assert len({r.file for r in rows}) > 2 and len(rows) == len({r.model for r in rows})
+
+
 def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path, parts):
     arrivals, log, cohort, languages, expected = parts
     base = str(tmp_path)
